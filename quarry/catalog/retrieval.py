@@ -1 +1,230 @@
-"""placeholder"""
+"""Queries for the index and retrieval (M2-M4, M8-M10, J5, J6, W1, T1, A5,
+F14, S7-S9)."""
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quarry.catalog import register
+from quarry.catalog import sqlfrag as Q
+from quarry.catalog.text import chunk_sql
+from quarry.catalog.web import PROCESSED_SQL, _crawl, _crawl_sql, _processed
+from quarry.functions import vectors as V
+from quarry.operators.crawl import processed_docs
+from quarry.operators.embed import embed
+from quarry.operators.knn import knn_join, retrieve_context, stuff_context, top_k_for_vector
+from quarry.plans.ask import ask, retrieve
+from quarry.plans.ingest import chunk_corpus, clean_documents, page_documents, page_index
+from quarry.session import ensure_checkpoint_dir
+from quarry.sources.index_store import load_index, save_index
+from quarry.sources.tables import questions_from_conversations, scan_pages, table
+
+
+# ---- shared builders -------------------------------------------------------
+
+def _index(spark, sf):
+    return page_index(scan_pages(spark, sf))
+
+
+def _questions(spark, sf):
+    return questions_from_conversations(table(spark, sf, "conversations"))
+
+
+def _emb_summary(df, cols):
+    e = F.col("embedding")
+    return df.select(*cols,
+                     F.size(F.filter(e, lambda x: x != 0)).cast("bigint").alias("nnz"),
+                     F.round(F.aggregate(F.transform(e, lambda x, i: x * (i + 1)), F.lit(0.0),
+                                         lambda a, y: a + y), 6).alias("checksum"))
+
+
+# ---- shared SQL ------------------------------------------------------------
+
+def page_chunks_sql() -> str:
+    doc = f"(SELECT url, {Q.clean(Q.html_to_text_sql('html'))} AS t FROM pages)"
+    return (chunk_sql(doc, "url", "t") + """,
+pchunks AS (SELECT url AS source, chunk_idx, start, text,
+  sha256(url || '#' || CAST(chunk_idx AS VARCHAR)) AS chunk_id FROM chunks)""")
+
+
+QUESTIONS_SQL = "qs AS (SELECT conv_id * 1000 + turn AS q_id, text AS question FROM conversations WHERE role = 'user')"
+
+
+def emb_summary_sql(chunks: str, key: str, extra: str = "") -> str:
+    return f"""cv AS {Q.sparse_embedding(chunks, key, 'text')}
+SELECT {extra}c.{key}, CAST(coalesce(s.nnz, 0) AS BIGINT) AS nnz, round(coalesce(s.checksum, 0), 6) AS checksum
+FROM {chunks} c LEFT JOIN (SELECT {key}, count(*) AS nnz, sum(v * (b + 1)) AS checksum FROM cv GROUP BY {key}) s
+USING ({key})"""
+
+
+def knn_sql(qs: str, k: int) -> str:
+    """Ranked top-k pairs ``ranked(q_id, chunk_id, dist, rank)`` over pchunks."""
+    return f"""cv AS {Q.sparse_embedding('pchunks', 'chunk_id', 'text')},
+qv AS {Q.sparse_embedding(qs, 'q_id', 'question')},
+cn AS (SELECT chunk_id, sum(v * v) AS n2 FROM cv GROUP BY chunk_id),
+qn AS (SELECT q_id, sum(v * v) AS n2 FROM qv GROUP BY q_id),
+dots AS (SELECT qv.q_id, cv.chunk_id, sum(qv.v * cv.v) AS dot FROM qv JOIN cv USING (b) GROUP BY ALL),
+pairs AS (SELECT q.q_id, c.chunk_id,
+   greatest(round(coalesce(qn.n2, 0) + coalesce(cn.n2, 0) - 2 * coalesce(dots.dot, 0), 9), 0) AS dist
+   FROM {qs} q CROSS JOIN pchunks c LEFT JOIN qn ON qn.q_id = q.q_id LEFT JOIN cn ON cn.chunk_id = c.chunk_id
+   LEFT JOIN dots ON dots.q_id = q.q_id AND dots.chunk_id = c.chunk_id),
+ranked AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY dist, chunk_id) AS BIGINT) AS rank
+   FROM pairs) WHERE rank <= {k})"""
+
+
+# ---- queries ---------------------------------------------------------------
+
+@register("embed_chunks", "M2", lambda: "WITH RECURSIVE " + chunk_sql("documents", "doc_id", Q.clean("text"))
+          + ", dch AS (SELECT doc_id || '#' || chunk_idx AS ck, doc_id, chunk_idx, text FROM chunks), "
+          + emb_summary_sql("dch", "ck", "c.doc_id, c.chunk_idx, ").replace("SELECT c.doc_id, c.chunk_idx, c.ck,", "SELECT c.doc_id, c.chunk_idx,"))
+def q_embed_chunks(spark, sf):
+    """Chunks of ``documents`` embedded (summary: non-zeros and a position-weighted sum)."""
+    from quarry.operators.chunk import chunk_documents
+    from quarry.functions.text import clean_text
+    docs = table(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    ch = embed(chunk_documents(docs, ["doc_id"], "text"))
+    return _emb_summary(ch.withColumn("chunk_idx", F.col("chunk_idx").cast("bigint")), ["doc_id", "chunk_idx"])
+
+
+@register("build_index", "M3,M9", lambda: "WITH RECURSIVE " + page_chunks_sql() + ", "
+          + emb_summary_sql("pchunks", "chunk_id", "c.source, c.chunk_idx, c.text, "))
+def q_build_index(spark, sf):
+    idx = _index(spark, sf).withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
+    return _emb_summary(idx, ["source", "chunk_idx", "text", "chunk_id"])
+
+
+@register("index_roundtrip", "S7,S8,S9", lambda: "WITH RECURSIVE " + page_chunks_sql() + ", "
+          + emb_summary_sql("pchunks", "chunk_id", "c.source, c.chunk_idx, c.text, "))
+def q_index_roundtrip(spark, sf):
+    """Write the index as a new version under the checkpoint folder, read it back."""
+    path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    save_index(_index(spark, sf), path, 1)
+    idx = load_index(spark, path).withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
+    return _emb_summary(idx, ["source", "chunk_idx", "text", "chunk_id"])
+
+
+@register("incremental_index", "M8", lambda: "WITH RECURSIVE " + page_chunks_sql() + ", "
+          + emb_summary_sql("pchunks", "chunk_id", "c.source, c.chunk_idx, c.text, "))
+def q_incremental_index(spark, sf):
+    """Run 1 indexed the https pages; run 2 chunks and embeds only pages not
+    processed before and appends them.  Equals a full rebuild."""
+    pages = scan_pages(spark, sf)
+    old = _processed(spark, sf)
+    first = page_index(processed_docs(pages, old))
+    added = page_index(pages.join(old, "url", "left_anti"))
+    idx = first.unionByName(added).withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
+    return _emb_summary(idx, ["source", "chunk_idx", "text", "chunk_id"])
+
+
+@register("ingest_pipeline", "M9,P17,J4,U1", lambda: "WITH RECURSIVE " + PROCESSED_SQL + ", " + _crawl_sql(True) + ", "
+          + page_chunks_sql().replace("FROM pages)", "FROM pages WHERE url IN (SELECT url FROM crawled WHERE status = 'inside' UNION SELECT url FROM processed))", 1) + ", "
+          + emb_summary_sql("pchunks", "chunk_id", "c.source, c.chunk_idx, "))
+def q_ingest_pipeline(spark, sf):
+    """Add request: crawl, merge the processed set, load every processed page,
+    clean, chunk, embed."""
+    from quarry.operators.crawl import processed_union
+    pages = scan_pages(spark, sf)
+    crawled = _crawl(spark, sf, _processed(spark, sf))
+    processed = processed_union(crawled.where(F.col("status") == "inside"), _processed(spark, sf))
+    idx = page_index(processed_docs(pages, processed)).withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
+    return _emb_summary(idx, ["source", "chunk_idx", "chunk_id"])
+
+
+@register("knn_join", "J5,W1,M4", lambda: "WITH RECURSIVE " + page_chunks_sql() + ", " + QUESTIONS_SQL + ", "
+          + knn_sql("qs", 1) + " SELECT q_id, chunk_id, round(dist, 6) AS dist, rank FROM ranked")
+def q_knn_join(spark, sf):
+    idx = _index(spark, sf)
+    qe = embed(_questions(spark, sf), "question")
+    hits = knn_join(qe, idx, k=1)
+    return hits.select("q_id", "chunk_id", F.round("dist", 6).alias("dist"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("retrieve_context", "J6", lambda: "WITH RECURSIVE " + page_chunks_sql() + ", " + QUESTIONS_SQL + ", "
+          + knn_sql("qs", 1) + """ SELECT r.q_id, r.chunk_id, r.rank, c.source, c.text
+FROM ranked r JOIN pchunks c USING (chunk_id)""")
+def q_retrieve_context(spark, sf):
+    r = retrieve(_questions(spark, sf), _index(spark, sf), k=1)
+    return r.select("q_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "source", "text")
+
+
+@register("stuff_context", "A5", lambda: "WITH RECURSIVE " + page_chunks_sql() + ", " + QUESTIONS_SQL + ", "
+          + knn_sql("qs", 2) + """ SELECT q_id, string_agg(c.text, chr(10) || chr(10) ORDER BY rank) AS context,
+string_agg(c.source, ' | ' ORDER BY rank) AS sources
+FROM ranked r JOIN pchunks c USING (chunk_id) GROUP BY q_id""")
+def q_stuff_context(spark, sf):
+    """k = 2 so the blank-line separator is exercised."""
+    s = stuff_context(retrieve(_questions(spark, sf), _index(spark, sf), k=2))
+    return s.select("q_id", "context", F.array_join(F.transform("sources", lambda x: x["source"]), " | ").alias("sources"))
+
+
+@register("top_chunk", "T1", lambda: "WITH RECURSIVE " + page_chunks_sql() + """,
+qs AS (SELECT item_id AS q_id, text AS question FROM benchmark ORDER BY item_id LIMIT 1), """
+          + knn_sql("qs", 1) + " SELECT chunk_id, round(dist, 6) AS dist FROM ranked")
+def q_top_chunk(spark, sf):
+    """One question (the first benchmark item): native distance + orderBy/limit."""
+    q = table(spark, sf, "benchmark").orderBy("item_id").limit(1).select("text")
+    vec = embed(q, "text").first()["embedding"]
+    top = top_k_for_vector(_index(spark, sf), vec, k=1)
+    return top.select("chunk_id", F.round("dist", 6).alias("dist"))
+
+
+VEC_SQL = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+@register("knn_vectors", "J5,W1", f"""WITH {VEC_SQL},
+pairs AS (SELECT a.vec_id AS q_id, b.vec_id AS nn_id,
+  greatest(round(list_inner_product(a.v, a.v) + list_inner_product(b.v, b.v) - 2 * list_inner_product(a.v, b.v), 9), 0) AS dist
+  FROM e a, e b),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, nn_id) AS rank FROM pairs),
+nn AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY rank) AS pick FROM r WHERE rank <= 2 AND nn_id <> q_id)
+SELECT q_id, nn_id, round(dist, 6) AS dist FROM nn WHERE pick = 1""")
+def q_knn_vectors(spark, sf):
+    """Nearest other vector of every row of ``embeddings`` (top 2, self removed)."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    hits = knn_join(e.withColumnRenamed("vec_id", "q_id"), e, k=2, q_key="q_id", c_key="vec_id")
+    w = Window.partitionBy("q_id").orderBy("rank")
+    return (hits.where(F.col("vec_id") != F.col("q_id"))
+            .withColumn("pick", F.row_number().over(w)).where("pick = 1")
+            .select("q_id", F.col("vec_id").alias("nn_id"), F.round("dist", 6).alias("dist")))
+
+
+@register("l2_distance", "F14", f"""WITH {VEC_SQL}
+SELECT a.vec_id, b.vec_id AS next_id, round(pow(list_distance(a.v, b.v), 2), 6) AS dist
+FROM e a JOIN e b ON b.vec_id = a.vec_id + 1""")
+def q_l2_distance(spark, sf):
+    """Squared L2 between consecutive vectors (an equi join on id + 1)."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("next_id"), F.col("embedding").alias("e2"))
+    return e.join(b, "vec_id").select("vec_id", "next_id",
+                                      F.round(V.squared_l2(F.col("embedding"), F.col("e2")), 6).alias("dist"))
+
+
+@register("normalize_vectors", "F14", f"""WITH {VEC_SQL}, n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS nrm FROM e)
+SELECT vec_id, round(nrm, 6) AS norm,
+  round(CASE WHEN nrm > 0 THEN list_sum(list_transform(v, lambda x, i: x / nrm * i)) ELSE 0 END, 6) AS checksum
+FROM n""")
+def q_normalize_vectors(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    u = V.normalize(F.col("embedding"))
+    return e.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"),
+                    F.round(F.aggregate(F.transform(u, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, y: a + y), 6)
+                    .alias("checksum"))
+
+
+def ask_sql() -> str:
+    from quarry.functions.prompt import ANSWER_TEMPLATE, fill_template_sql
+    prompt = fill_template_sql(ANSWER_TEMPLATE, {"chat_history": "''", "context": "a.context", "question": "q.question"})
+    return ("WITH RECURSIVE " + page_chunks_sql() + ", " + QUESTIONS_SQL + ", " + knn_sql("qs", 1)
+            + f""", a AS (SELECT q_id, string_agg(c.text, chr(10) || chr(10) ORDER BY rank) AS context,
+  first(c.source ORDER BY rank) AS source FROM ranked r JOIN pchunks c USING (chunk_id) GROUP BY q_id)
+SELECT q.q_id, q.question, a.source, a.context, {prompt} AS prompt FROM qs q LEFT JOIN a USING (q_id)""")
+
+
+@register("ask_pipeline", "M10,F6,F8,T2,P14", ask_sql)
+def q_ask_pipeline(spark, sf):
+    """Flagship: every user turn answered from the page index (k = 1):
+    question → embed → exact top-1 → stuff → prompt, with its source."""
+    out = ask(_questions(spark, sf), _index(spark, sf), k=1)
+    return out.select("q_id", "question", "source", "context", "prompt")

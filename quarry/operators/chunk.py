@@ -55,6 +55,11 @@ def _fold_expr(t: str, n: str, size: int, overlap: int) -> str:
     )
 
 
+def _sql_pattern(p: str) -> str:
+    """A regex as the body of a Spark SQL string literal (backslashes escaped)."""
+    return p.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def _needs_fallback(text_col: str, size: int) -> F.Column:
     # newline separators apply, or a piece (space + word) of `size` characters
     return F.col(text_col).contains("\n") | F.col(text_col).rlike(f"[^ ]{{{size - 1}}}")
@@ -69,16 +74,19 @@ def chunk_documents(docs: DataFrame, key_cols: list[str], text_col: str = "text"
     base = docs.select(*key_cols, F.col(text_col).alias("_t")).where(F.col("_t").isNotNull())
     fallback_cond = _needs_fallback("_t", size)
 
+    # The text and its length are bound once as lambda variables (``d.t``,
+    # ``d.n``): referenced directly, Catalyst would inline the whole cleaning
+    # chain into every step of the fold.  ``posexplode_outer`` keeps the
+    # optimizer from inferring a filter that re-evaluates the fold.
+    fold = _fold_expr("d.t", "d.n", size, overlap)
+    chunks_expr = (
+        f"transform(array(named_struct('t', _t, 'n', length(_t))), d -> "
+        f"filter(transform(({fold}).out, s -> named_struct('start', s.a, 'text', "
+        f"regexp_replace(substring(d.t, s.a + 1, s.b - s.a), '{_sql_pattern(STRIP_PATTERN)}', ''))), "
+        f"c -> c.text != ''))[0]")
     native = (base.where(~fallback_cond)
-              .withColumn("_n", F.length("_t"))
-              .withColumn("_f", F.expr(_fold_expr("_t", "_n", size, overlap)))
-              .withColumn("_chunks", F.filter(
-                  F.transform(F.col("_f.out"), lambda s: F.struct(
-                      s["a"].alias("start"),
-                      F.regexp_replace(F.substring(F.col("_t"), s["a"] + 1, s["b"] - s["a"]),
-                                       STRIP_PATTERN, "").alias("text"))),
-                  lambda c: c["text"] != ""))
-              .select(*key_cols, F.posexplode("_chunks").alias("chunk_idx", "_c"))
+              .select(*key_cols, F.posexplode_outer(F.expr(chunks_expr)).alias("chunk_idx", "_c"))
+              .where(F.col("_c").isNotNull())
               .select(*key_cols, "chunk_idx", F.col("_c.start").alias("start"),
                       F.col("_c.text").alias("text")))
 

@@ -1 +1,119 @@
-"""placeholder"""
+"""Queries for the training corpus."""
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from quarry.catalog import register
+from quarry.catalog import sqlfrag as Q
+from quarry.catalog.text import normalize_corpus_sql
+from quarry.operators import trainset as TS
+from quarry.operators.docs import normalize_corpus
+from quarry.session import ensure_checkpoint_dir
+from quarry.sources.tables import table
+
+
+def _norm(spark, sf):
+    return normalize_corpus(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def _parts(spark, sf):
+    return TS.char_split(_norm(spark, sf))
+
+
+def _ids_vocab(spark, sf):
+    toks = TS.token_rows(_parts(spark, sf))
+    vocab = TS.build_vocab(toks)
+    return TS.tokenize(toks, vocab), vocab
+
+
+def offsets_sql() -> str:
+    return normalize_corpus_sql() + """,
+offs AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n_chars,
+  coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS char_start FROM norm)"""
+
+
+def split_sql(fraction: float = TS.TRAIN_FRACTION) -> str:
+    return offsets_sql() + f""",
+cut AS (SELECT CAST(floor(CAST({fraction} AS DOUBLE) * CAST(coalesce(sum(n_chars), 0) AS DOUBLE)) AS BIGINT) AS c FROM offs),
+sp AS (SELECT doc_id, text, CAST(least(greatest(cut.c - char_start, 0), n_chars) AS BIGINT) AS k FROM offs, cut),
+parts AS (SELECT * FROM (
+  SELECT 'train' AS split, doc_id, substring(text, 1, k) AS text FROM sp
+  UNION ALL SELECT 'val', doc_id, substring(text, k + 1) FROM sp) WHERE length(text) > 0)"""
+
+
+def ids_sql() -> str:
+    return split_sql() + f""",
+toks AS (SELECT split, doc_id, unnest({Q.token_list('text')}) AS token,
+  generate_subscripts({Q.token_list('text')}, 1) - 1 AS pos FROM parts),
+vocab AS (SELECT token, id FROM (SELECT token, row_number() OVER (ORDER BY cnt DESC, token) - 1 AS id
+  FROM (SELECT token, count(*) AS cnt FROM toks GROUP BY token)) WHERE id < {TS.VOCAB_SIZE - 1}),
+ids AS (SELECT t.split, t.doc_id, t.pos, coalesce(v.id, {TS.END_OF_TEXT_ID}) AS id FROM toks t LEFT JOIN vocab v USING (token))"""
+
+
+def blocks_sql() -> str:
+    return ids_sql() + f""",
+cnt AS (SELECT split, doc_id, count(*) AS n FROM ids GROUP BY ALL),
+off AS (SELECT split, doc_id, coalesce(sum(n) OVER (PARTITION BY split ORDER BY doc_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM cnt),
+g AS (SELECT i.split, CAST((o.o + i.pos) // {TS.BLOCK_SIZE} AS BIGINT) AS block_id, (o.o + i.pos) % {TS.BLOCK_SIZE} AS slot, i.id
+  FROM ids i JOIN off o USING (split, doc_id)),
+blocks AS (SELECT split, block_id, list(id ORDER BY slot) AS ids FROM g GROUP BY ALL HAVING count(*) = {TS.BLOCK_SIZE})"""
+
+
+@register("corpus_offsets", "A4,W2", lambda: "WITH " + offsets_sql() + " SELECT doc_id, char_start, n_chars FROM offs")
+def q_corpus_offsets(spark, sf):
+    return TS.corpus_offsets(_norm(spark, sf)).select("doc_id", F.col("char_start").cast("bigint").alias("char_start"), "n_chars")
+
+
+@register("char_split", "W2,F13", lambda: "WITH " + split_sql() + " SELECT split, doc_id, text FROM parts")
+def q_char_split(spark, sf):
+    return _parts(spark, sf)
+
+
+@register("train_val_sink", "S10", lambda: "WITH " + split_sql() + " SELECT split, doc_id, text FROM parts")
+def q_train_val_sink(spark, sf):
+    """Write train/validation text partitioned by split, read it back."""
+    path = f"{ensure_checkpoint_dir(spark)}/trainval-{uuid.uuid4().hex}"
+    _parts(spark, sf).write.partitionBy("split").parquet(path)
+    return spark.read.parquet(path).select("split", "doc_id", "text")
+
+
+@register("tokenize", "M5", lambda: "WITH " + ids_sql() + """
+SELECT split, doc_id, CAST(count(*) AS BIGINT) AS n_tokens, array_to_string(list(id ORDER BY pos), ' ') AS ids
+FROM ids GROUP BY ALL""")
+def q_tokenize(spark, sf):
+    ids, _ = _ids_vocab(spark, sf)
+    per = TS.ids_per_doc(ids)
+    return per.select("split", "doc_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
+                      F.array_join("input_ids", " ").alias("ids"))
+
+
+@register("detokenize", "M6", lambda: "WITH " + ids_sql() + f"""
+SELECT i.split, i.doc_id, string_agg(v.token, '' ORDER BY i.pos) AS text
+FROM ids i JOIN vocab v USING (id) WHERE i.id <> {TS.END_OF_TEXT_ID} GROUP BY ALL""")
+def q_detokenize(spark, sf):
+    ids, vocab = _ids_vocab(spark, sf)
+    return TS.detokenize(ids, vocab)
+
+
+@register("pack_blocks", "W3", lambda: "WITH " + blocks_sql() + " SELECT split, block_id, array_to_string(ids, ' ') AS ids FROM blocks")
+def q_pack_blocks(spark, sf):
+    ids, _ = _ids_vocab(spark, sf)
+    b = TS.pack_blocks(ids)
+    return b.select("split", "block_id", F.array_join("input_ids", " ").alias("ids"))
+
+
+@register("training_blocks", "M11,F15", lambda: "WITH " + blocks_sql() + f"""
+SELECT split, block_id, CAST(len(ids) AS BIGINT) AS n_ids, CAST(len(ids) AS BIGINT) AS mask_ones,
+  array_to_string(ids, ' ') AS labels, CAST(list_sum(list_transform(ids, lambda x: CASE WHEN x = {TS.END_OF_TEXT_ID} THEN 1 ELSE 0 END)) AS BIGINT) AS n_special
+FROM blocks""")
+def q_training_blocks(spark, sf):
+    """Composite: normalise → split → tokenise → pack → collate."""
+    ids, _ = _ids_vocab(spark, sf)
+    c = TS.collate_blocks(TS.pack_blocks(ids))
+    return c.select("split", "block_id", F.size("input_ids").cast("bigint").alias("n_ids"),
+                    F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_ones"),
+                    F.array_join("labels", " ").alias("labels"),
+                    F.size(F.filter("input_ids", lambda x: x == TS.END_OF_TEXT_ID)).cast("bigint").alias("n_special"))

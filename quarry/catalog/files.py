@@ -1 +1,41 @@
-"""placeholder"""
+"""File-source queries (S5, S6).  The files are written by Spark from the
+``documents`` table into a fresh folder under the checkpoint directory: one
+``.txt`` file per ``source``, holding its documents in ``doc_id`` order, one
+line each."""
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from quarry.catalog import register
+from quarry.session import ensure_checkpoint_dir
+from quarry.sources.files import directory_scan, text_scan
+from quarry.sources.tables import table
+
+
+def _write_sources(spark, sf, partitioned: bool = True) -> str:
+    path = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").where(F.col("text").isNotNull()).select("source", "doc_id", "text")
+    ordered = docs.repartition("source").sortWithinPartitions("source", "doc_id")
+    if partitioned:
+        ordered.select("source", "text").write.partitionBy("source").text(path)
+    else:
+        ordered.select("text").write.text(path)
+    return path
+
+
+@register("text_scan", "S5", """SELECT source, string_agg(text || chr(10), '' ORDER BY doc_id) AS text
+FROM documents WHERE text IS NOT NULL GROUP BY source""")
+def q_text_scan(spark, sf):
+    path = _write_sources(spark, sf)
+    t = text_scan(spark, path, recursive=True)
+    return t.select(F.regexp_extract("path", r"source=([^/]*)/", 1).alias("source"), "text")
+
+
+@register("directory_scan", "S6")
+def q_directory_scan(spark, sf):
+    """Suffix dispatch over one flat directory of Spark-written part files."""
+    path = _write_sources(spark, sf, partitioned=False)
+    d = directory_scan(spark, path)
+    return d.select("kind", F.length("text").cast("bigint").alias("n_chars"))

@@ -25,7 +25,12 @@ from quarry.sources.tables import questions_from_conversations, scan_pages, tabl
 # ---- shared builders -------------------------------------------------------
 
 def _index(spark, sf):
-    return page_index(scan_pages(spark, sf))
+    """The page index as the ask path sees it: built once, saved as a new
+    version (S7) under the checkpoint folder and read back (S8), so retrieval
+    scans stored vectors instead of re-chunking and re-embedding."""
+    path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    save_index(page_index(scan_pages(spark, sf)), path, 1)
+    return load_index(spark, path)
 
 
 def _questions(spark, sf):

@@ -10,21 +10,26 @@ from quarry.catalog import sqlfrag as Q
 from quarry.catalog.text import normalize_corpus_sql
 from quarry.operators import trainset as TS
 from quarry.operators.docs import normalize_corpus
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import cut_lineage, ensure_checkpoint_dir
 from quarry.sources.tables import table
 
 
 def _norm(spark, sf):
-    return normalize_corpus(table(spark, sf, "documents").select("doc_id", "text"))
+    """Normalised corpus, checkpointed once (reliable, in the shared checkpoint
+    folder): offsets, the split and tokenisation all read it."""
+    return cut_lineage(normalize_corpus(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 def _parts(spark, sf):
     return TS.char_split(_norm(spark, sf))
 
 
-def _ids_vocab(spark, sf):
-    toks = TS.token_rows(_parts(spark, sf))
+def _ids_vocab(spark, sf, with_counts: bool = False):
+    parts = _parts(spark, sf)
+    toks = TS.token_rows(parts)
     vocab = TS.build_vocab(toks)
+    if with_counts:
+        return TS.tokenize(toks, vocab), vocab, TS.token_counts(parts)
     return TS.tokenize(toks, vocab), vocab
 
 
@@ -100,8 +105,8 @@ def q_detokenize(spark, sf):
 
 @register("pack_blocks", "W3", lambda: "WITH " + blocks_sql() + " SELECT split, block_id, array_to_string(ids, ' ') AS ids FROM blocks")
 def q_pack_blocks(spark, sf):
-    ids, _ = _ids_vocab(spark, sf)
-    b = TS.pack_blocks(ids)
+    ids, _, counts = _ids_vocab(spark, sf, with_counts=True)
+    b = TS.pack_blocks(ids, counts=counts)
     return b.select("split", "block_id", F.array_join("input_ids", " ").alias("ids"))
 
 
@@ -111,8 +116,8 @@ SELECT split, block_id, CAST(len(ids) AS BIGINT) AS n_ids, CAST(len(ids) AS BIGI
 FROM blocks""")
 def q_training_blocks(spark, sf):
     """Composite: normalise → split → tokenise → pack → collate."""
-    ids, _ = _ids_vocab(spark, sf)
-    c = TS.collate_blocks(TS.pack_blocks(ids))
+    ids, _, counts = _ids_vocab(spark, sf, with_counts=True)
+    c = TS.collate_blocks(TS.pack_blocks(ids, counts=counts))
     return c.select("split", "block_id", F.size("input_ids").cast("bigint").alias("n_ids"),
                     F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_ones"),
                     F.array_join("labels", " ").alias("labels"),

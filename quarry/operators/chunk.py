@@ -100,10 +100,10 @@ def chunk_documents(docs: DataFrame, key_cols: list[str], text_col: str = "text"
     def _py_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for rec in pdf.itertuples(index=False):
-                d = rec._asdict()
-                for i, (start, txt) in enumerate(split_text(d["_t"], size, overlap)):
-                    rows.append([d[k] for k in key_cols] + [i, start, txt])
+            keys = [pdf[k].tolist() for k in key_cols]
+            for r, text in enumerate(pdf["_t"].tolist()):
+                for i, (start, txt) in enumerate(split_text(text, size, overlap)):
+                    rows.append([kv[r] for kv in keys] + [i, start, txt])
             yield pd.DataFrame(rows, columns=key_cols + ["chunk_idx", "start", "text"])
 
     slow = base.where(fallback_cond).mapInPandas(_py_chunks, out_schema)

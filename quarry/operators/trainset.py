@@ -51,6 +51,11 @@ def token_rows(parts: DataFrame, key: str = "doc_id") -> DataFrame:
                         .alias("pos", "token"))
 
 
+def token_counts(parts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Narrow ``split, key, _n`` (tokens per part) without exploding tokens."""
+    return parts.select("split", key, F.size(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0)).alias("_n"))
+
+
 def build_vocab(tokens: DataFrame, size: int = VOCAB_SIZE - 1) -> DataFrame:
     """M5 default vocabulary: the ``size`` most frequent tokens, ties by token;
     ids from 0.  Counting is a partial+final aggregate; the top-``size`` is a
@@ -82,10 +87,13 @@ def detokenize(ids: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFra
             .select("split", key, F.array_join(F.transform("_p", lambda x: x["token"]), "").alias("text")))
 
 
-def pack_blocks(ids: DataFrame, block_size: int = BLOCK_SIZE, key: str = "doc_id") -> DataFrame:
+def pack_blocks(ids: DataFrame, block_size: int = BLOCK_SIZE, key: str = "doc_id",
+                counts: DataFrame | None = None) -> DataFrame:
     """Global token position per split → ``block_id = pos // block_size``;
-    the last partial block of each split is dropped.  One shuffle (by block)."""
-    counts = ids.groupBy("split", key).agg(F.count("*").alias("_n"))
+    the last partial block of each split is dropped.  One shuffle (by block).
+    ``counts`` (from :func:`token_counts`) avoids re-counting exploded rows."""
+    if counts is None:
+        counts = ids.groupBy("split", key).agg(F.count("*").alias("_n"))
     offs = None
     for split in ("train", "val"):
         o = ordered_scan(counts.where(F.col("split") == split), key, sums={"_off": "_n"})

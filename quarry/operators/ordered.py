@@ -27,7 +27,9 @@ def range_buckets(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
         return df.withColumn(BKT, F.lit(0.0))
     probs = [i / n for i in range(1, n)]
     cuts = df.approxQuantile(key, probs, 1.0 / (4 * n))
-    splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
+    splits = [float("-inf")] + sorted(set(c for c in cuts if c == c)) + [float("inf")]
+    if len(splits) < 3:  # empty input or a single distinct key: one range
+        return df.withColumn(BKT, F.lit(0.0))
     tmp = "_bkt_key"
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=BKT)
     return b.transform(df.withColumn(tmp, F.col(key).cast("double"))).drop(tmp)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import STRIP_PATTERN
+from quarry.operators.parallel import spread
 
 # --- fixed values -----------------------------------------------------------
 CHUNK_SIZE = 1000
@@ -71,7 +72,7 @@ def chunk_documents(docs: DataFrame, key_cols: list[str], text_col: str = "text"
 
     ``start`` is the 0-based character offset of the chunk (before stripping).
     """
-    base = docs.select(*key_cols, F.col(text_col).alias("_t")).where(F.col("_t").isNotNull())
+    base = spread(docs.select(*key_cols, F.col(text_col).alias("_t")).where(F.col("_t").isNotNull()))
     fallback_cond = _needs_fallback("_t", size)
 
     # The text and its length are bound once as lambda variables (``d.t``,

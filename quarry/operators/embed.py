@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import WORD_SPLIT
+from quarry.operators.parallel import spread
 
 # --- fixed values -----------------------------------------------------------
 DEFAULT_DIM = 256
@@ -67,8 +68,9 @@ def embedding_udf(embedder: Callable[[pd.Series], np.ndarray] | None = None) ->
 
 def embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
           embedder: Callable[[pd.Series], np.ndarray] | None = None) -> DataFrame:
-    """Add ``out_col: array<double>``; narrow (no shuffle), Arrow batches."""
-    return df.withColumn(out_col, embedding_udf(embedder)(F.col(text_col)))
+    """Add ``out_col: array<double>``; narrow (no shuffle unless the input has
+    fewer partitions than cores, see :func:`spread`), Arrow batches."""
+    return spread(df).withColumn(out_col, embedding_udf(embedder)(F.col(text_col)))
 
 
 def word_bucket_sql(word: str, dim: int = DEFAULT_DIM) -> str:

@@ -1,0 +1,19 @@
+"""Spread CPU-heavy per-row work over the cluster.
+
+A scan yields one partition per file split (row group).  When an input has
+fewer partitions than the cluster has cores — a few large row groups — the
+per-row work (chunk folds, embedding batches, HTML regexes) would run on a
+handful of tasks.  ``spread`` then round-robins the rows over
+``defaultParallelism`` partitions; on a large input (partitions >= cores) it
+returns the frame untouched, so no shuffle is added at scale.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

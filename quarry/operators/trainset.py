@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import TOKEN_PATTERN
 from quarry.operators.ordered import ordered_scan
+from quarry.operators.parallel import spread
 
 # --- fixed values -----------------------------------------------------------
 TRAIN_FRACTION = 0.8
@@ -47,7 +48,7 @@ def char_split(docs: DataFrame, fraction: float = TRAIN_FRACTION, key: str = "do
 
 def token_rows(parts: DataFrame, key: str = "doc_id") -> DataFrame:
     """Pieces of every text: ``split, key, pos, token`` (narrow, no shuffle)."""
-    return parts.select("split", key, F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0))
+    return spread(parts).select("split", key, F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0))
                         .alias("pos", "token"))
 
 

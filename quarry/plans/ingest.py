@@ -14,11 +14,12 @@ from quarry.functions.html import html_to_text
 from quarry.functions.text import clean_text
 from quarry.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents
 from quarry.operators.embed import embed
+from quarry.operators.parallel import spread
 
 
 def page_documents(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One document per page, ``source`` = URL."""
-    return pages.select(F.col(url_col).alias("source"), html_to_text(F.col(html_col)).alias("text"))
+    return spread(pages).select(F.col(url_col).alias("source"), html_to_text(F.col(html_col)).alias("text"))
 
 
 def clean_documents(docs: DataFrame, newline_replacement: str = "") -> DataFrame:

@@ -35,10 +35,13 @@ class HashedEmbedder:
     def __call__(self, texts: pd.Series) -> np.ndarray:
         import regex  # bundled; supports \p{L}
 
-        splitter = regex.compile(WORD_SPLIT.replace(r"\x{85}", r"\x85"))
+        splitter = regex.compile(WORD_SPLIT)
         dim = self.dim
-        out = np.zeros((len(texts), dim), dtype=np.float64)
-        cache: dict[str, int] = {}
+        cache = _BUCKET_CACHE.setdefault(dim, {})
+        if len(cache) > 2_000_000:
+            cache.clear()
+        rows: list[int] = []
+        buckets: list[int] = []
         for row, text in enumerate(texts):
             if text is None:
                 continue
@@ -49,12 +52,20 @@ class HashedEmbedder:
                 if b is None:
                     b = int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % dim
                     cache[w] = b
-                out[row, b] += 1.0
+                rows.append(row)
+                buckets.append(b)
+        n = len(texts)
+        flat = np.bincount(np.asarray(rows, dtype=np.int64) * dim + np.asarray(buckets, dtype=np.int64),
+                           minlength=n * dim) if rows else np.zeros(n * dim)
+        out = flat.astype(np.float64).reshape(n, dim)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         np.divide(out, norms, out=out, where=norms > 0)
         return out
 
 
+_BUCKET_CACHE: dict[int, dict[str, int]] = {}
+
+
 def embedding_udf(embedder: Callable[[pd.Series], np.ndarray] | None = None) -> Callable[[Column], Column]:
     emb = embedder or HashedEmbedder()
 
@@ -68,9 +79,33 @@ def embedding_udf(embedder: Callable[[pd.Series], np.ndarray] | None = None) ->
 
 def embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
           embedder: Callable[[pd.Series], np.ndarray] | None = None) -> DataFrame:
-    """Add ``out_col: array<double>``; narrow (no shuffle unless the input has
-    fewer partitions than cores, see :func:`spread`), Arrow batches."""
-    return spread(df).withColumn(out_col, embedding_udf(embedder)(F.col(text_col)))
+    """Add ``out_col: array<double>``.  Narrow (no shuffle unless the input has
+    fewer partitions than cores, see :func:`spread`); the embedder sees whole
+    Arrow batches and its matrix goes back as one flat Arrow list array (no
+    per-element conversion)."""
+    import pyarrow as pa
+
+    emb = embedder or HashedEmbedder()
+    out_schema = T.StructType([f for f in df.schema.fields if f.name != out_col]
+                              + [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+    names = [f.name for f in out_schema.fields]
+
+    def run(batches):
+        for rb in batches:
+            texts = pd.Series(rb.column(text_col).to_pylist(), dtype=object)
+            mat = np.asarray(emb(texts), dtype=np.float64).reshape(rb.num_rows, -1)
+            n, d = mat.shape
+            offsets = pa.array(np.arange(0, (n + 1) * d, d if d else 1, dtype=np.int64)[: n + 1]
+                               if d else np.zeros(n + 1, dtype=np.int64))
+            vecs = pa.LargeListArray.from_arrays(offsets, pa.array(mat.ravel(), type=pa.float64())).cast(
+                pa.list_(pa.float64()))
+            cols = [rb.column(nm) for nm in names[:-1]]
+            yield pa.RecordBatch.from_arrays(cols + [vecs], names=names)
+
+    src = spread(df)
+    if out_col in src.columns:
+        src = src.drop(out_col)
+    return src.mapInArrow(run, out_schema)
 
 
 def word_bucket_sql(word: str, dim: int = DEFAULT_DIM) -> str:

@@ -9,8 +9,20 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+# text-heavy tables whose per-row work (regex, chunking, embedding) dominates
+TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan a driver table.  A text table stored as fewer splits than the
+    cluster has cores (one large row group) is spread before any per-row work
+    (see :func:`quarry.operators.parallel.spread`); with many splits — any
+    large input — the scan is returned as is."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        from quarry.operators.parallel import spread
+        df = spread(df)
+    return df
 
 
 def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,7 +94,7 @@ def crawl(start: DataFrame, pages: DataFrame, processed: DataFrame | None = None
         pg = classify_links(nxt.where(~F.col("url").contains(".pdf")).withColumn("level", F.lit(level)), pages)
         visited = pg
         result = result.unionByName(pg).unionByName(pdf)
-    return result.select("seed_url", "base", "url", "level", "status")
+    return result.select("seed_url", "base", "url", F.col("level").cast("bigint").alias("level"), "status")
 
 
 def crawl_from_seeds(seeds: DataFrame, pages: DataFrame, processed: DataFrame | None = None,
@@ -103,7 +103,8 @@ def crawl_from_seeds(seeds: DataFrame, pages: DataFrame, processed: DataFrame |
     Seed-page PDF links are reported with level 0 and status ``pdf``."""
     sf = seed_frontier(seeds, pages, processed)
     pdf = (sf.where(F.col("route") == "pdf")
-           .select("seed_url", "base", "url", "level", F.lit("pdf").alias("status")))
+           .select("seed_url", "base", "url", F.col("level").cast("bigint").alias("level"),
+                   F.lit("pdf").alias("status")))
     pages_out = crawl(sf.where(F.col("route") == "page"), pages, processed, max_level)
     return pages_out.unionByName(pdf)
 

@@ -13,8 +13,6 @@ those rows.  Both paths are partition-local: chunking never shuffles.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,43 +70,38 @@ def chunk_documents(docs: DataFrame, key_cols: list[str], text_col: str = "text"
 
     ``start`` is the 0-based character offset of the chunk (before stripping).
     """
-    base = spread(docs.select(*key_cols, F.col(text_col).alias("_t")).where(F.col("_t").isNotNull()))
-    fallback_cond = _needs_fallback("_t", size)
-
-    # The text and its length are bound once as lambda variables (``d.t``,
-    # ``d.n``): referenced directly, Catalyst would inline the whole cleaning
-    # chain into every step of the fold.  ``posexplode_outer`` keeps the
-    # optimizer from inferring a filter that re-evaluates the fold.
+    # no null filter here: it would be pushed down and evaluate the text
+    # expression a second time; a null text yields a null array and no rows
+    base = spread(docs.select(*key_cols, F.col(text_col).alias("_t")))
+    chunk_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()),
+                                           T.StructField("text", T.StringType())]))
+
+    @F.pandas_udf(chunk_type)
+    def _py_chunks(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else
+                          [{"start": a, "text": x} for a, x in split_text(t, size, overlap)]
+                          for t in texts])
+
+    # One pass, one projection: rows that need the full recursive rule (rare;
+    # none in the ingest path) reach Python through an Arrow UDF whose input
+    # is null for every other row, so the text expression is computed once and
+    # no second branch re-reads the input.  The text and its length are bound
+    # once as lambda variables (``d.t``, ``d.n``): referenced directly,
+    # Catalyst would inline the whole cleaning chain into every fold step.
+    # ``posexplode_outer`` keeps the optimizer from inferring a filter that
+    # re-evaluates the fold.
     fold = _fold_expr("d.t", "d.n", size, overlap)
-    chunks_expr = (
+    native_expr = (
         f"transform(array(named_struct('t', _t, 'n', length(_t))), d -> "
         f"filter(transform(({fold}).out, s -> named_struct('start', s.a, 'text', "
         f"regexp_replace(substring(d.t, s.a + 1, s.b - s.a), '{_sql_pattern(STRIP_PATTERN)}', ''))), "
         f"c -> c.text != ''))[0]")
-    native = (base.where(~fallback_cond)
-              .select(*key_cols, F.posexplode_outer(F.expr(chunks_expr)).alias("chunk_idx", "_c"))
-              .where(F.col("_c").isNotNull())
-              .select(*key_cols, "chunk_idx", F.col("_c.start").alias("start"),
-                      F.col("_c.text").alias("text")))
-
-    key_fields = [f for f in docs.schema.fields if f.name in key_cols]
-    out_schema = T.StructType(
-        [T.StructField(f.name, f.dataType, True) for f in key_fields]
-        + [T.StructField("chunk_idx", T.IntegerType(), False),
-           T.StructField("start", T.IntegerType(), False),
-           T.StructField("text", T.StringType(), False)])
-
-    def _py_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            keys = [pdf[k].tolist() for k in key_cols]
-            for r, text in enumerate(pdf["_t"].tolist()):
-                for i, (start, txt) in enumerate(split_text(text, size, overlap)):
-                    rows.append([kv[r] for kv in keys] + [i, start, txt])
-            yield pd.DataFrame(rows, columns=key_cols + ["chunk_idx", "start", "text"])
-
-    slow = base.where(fallback_cond).mapInPandas(_py_chunks, out_schema)
-    return native.unionByName(slow)
+    routed = base.withColumn("_py", _py_chunks(F.when(_needs_fallback("_t", size), F.col("_t"))))
+    chunks = F.when(F.col("_py").isNotNull(), F.col("_py")).otherwise(F.expr(native_expr))
+    return (routed.select(*key_cols, F.posexplode_outer(chunks).alias("chunk_idx", "_c"))
+            .where(F.col("_c").isNotNull())
+            .select(*key_cols, "chunk_idx", F.col("_c.start").alias("start"),
+                    F.col("_c.text").alias("text")))
 
 
 # --------------------------------------------------------------------------

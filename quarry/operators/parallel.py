@@ -4,11 +4,16 @@ A scan yields one partition per file split (row group).  When an input has
 fewer partitions than the cluster has cores — a few large row groups — the
 per-row work (chunk folds, embedding batches, HTML regexes) would run on a
 handful of tasks.  ``spread`` then round-robins the rows over
-``defaultParallelism`` partitions; on a large input (partitions >= cores) it
-returns the frame untouched, so no shuffle is added at scale.
+``defaultParallelism`` partitions and persists that (memory, spilling to
+disk; lost blocks are recomputed from lineage).  The persisted frame is a
+plan barrier: filters on derived text are evaluated after the spread, and
+every branch of a query that reads the table shares one scan.  On a large
+input (partitions >= cores) the frame is returned untouched — no shuffle, no
+cache.
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 
@@ -16,4 +21,4 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target)
+    return df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)

@@ -23,6 +23,7 @@ CASES = {
     12: "emoji 😀 text " * 150,
     13: " ".join(["abcd"] * 210) + " " + "z" * 40 + " " + " ".join(["efgh"] * 210),
     14: "line one\nline two\n\npara two " * 60,
+    15: None,
 }
 
 

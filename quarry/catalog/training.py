@@ -69,7 +69,8 @@ blocks AS (SELECT split, block_id, list(id ORDER BY slot) AS ids FROM g GROUP BY
 
 @register("corpus_offsets", "A4,W2", lambda: "WITH " + offsets_sql() + " SELECT doc_id, char_start, n_chars FROM offs")
 def q_corpus_offsets(spark, sf):
-    return TS.corpus_offsets(_norm(spark, sf)).select("doc_id", F.col("char_start").cast("bigint").alias("char_start"), "n_chars")
+    return TS.corpus_offsets(_norm(spark, sf)).select("doc_id", F.col("char_start").cast("bigint").alias("char_start"),
+                                                      "n_chars")
 
 
 @register("char_split", "W2,F13", lambda: "WITH " + split_sql() + " SELECT split, doc_id, text FROM parts")

@@ -36,13 +36,15 @@ def normalize_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """
     non_ws = f"[^{WS_CLASS[1:-1]}]"
     d = (docs.select(key, collapse_newline_runs(F.coalesce(F.col(text), F.lit(""))).alias("_c"))
-         .withColumn("_last", F.when(F.length("_c") > 0, F.substring("_c", -1, 1)))
-         .withColumn("_has", F.col("_c").rlike(non_ws)))
+         .withColumn("_last", F.when(F.length("_c") > 0, F.substring("_c", -1, 1))))
     s = ordered_scan(d, key, prev_non_null={"_prev": "_last"})
     c2 = F.when(F.col("_c").startswith("\n") & (F.col("_prev") == "\n"),
                 F.substring("_c", 2, 1 << 30)).otherwise(F.col("_c"))
-    first = d.where("_has").select(F.min(key)).scalar()
-    last = d.where("_has").select(F.max(key)).scalar()
+    # first/last documents holding a non-space character; collapsing newline
+    # runs cannot change that, so the raw text is tested (no regex rewrite)
+    has_raw = docs.where(F.col(text).rlike(non_ws))
+    first = has_raw.select(F.min(key)).scalar()
+    last = has_raw.select(F.max(key)).scalar()
     lstrip = F.regexp_replace(c2, f"^{WS_CLASS}+", "")
     rstrip = lambda c: F.regexp_replace(c, f"{WS_CLASS}+$", "")
     k = F.col(key)

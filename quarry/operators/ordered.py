@@ -36,28 +36,36 @@ def range_buckets(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
 
 
 def ordered_scan(df: DataFrame, key: str, sums: dict[str, str] | None = None,
-                 prev_non_null: dict[str, str] | None = None, n: int | None = None) -> DataFrame:
-    """For each row, in ``key`` order (key unique):
+                 prev_non_null: dict[str, str] | None = None, n: int | None = None,
+                 group_cols: list[str] | tuple[str, ...] = (), totals: bool = False) -> DataFrame:
+    """For each row, in ``key`` order within its group (key unique per group):
 
     * ``sums[out] = col``: sum of ``col`` over all earlier rows (0 if none);
+      with ``totals`` also ``out + "_total"``, the sum over the whole group;
     * ``prev_non_null[out] = col``: ``col`` of the nearest earlier row where it
       is not null (null if none).
+
+    ``group_cols`` must have few distinct values (e.g. train/validation): the
+    broadcast carry table has one row per group and key range.
     """
     sums = sums or {}
     prev_non_null = prev_non_null or {}
+    g = list(group_cols)
     b = range_buckets(df, key, n)
     aggs = [F.sum(c).alias(f"_t_{o}") for o, c in sums.items()]
     aggs += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(key))).alias(f"_l_{o}")
              for o, c in prev_non_null.items()]
-    per_bucket = b.groupBy(BKT).agg(*aggs)
-    # n rows: a window without partition is fine here (its size is the range count)
-    wb = Window.orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = b.groupBy(*g, BKT).agg(*aggs)
+    # groups x ranges rows: windows over this small table are cheap
+    wb = Window.partitionBy(*g).orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.partitionBy(*g)
     carry = per_bucket.select(
-        BKT,
+        *g, BKT,
         *[F.coalesce(F.sum(f"_t_{o}").over(wb), F.lit(0)).alias(f"_c_{o}") for o in sums],
+        *[F.coalesce(F.sum(f"_t_{o}").over(wall), F.lit(0)).alias(f"{o}_total") for o in sums if totals],
         *[F.last(f"_l_{o}", ignorenulls=True).over(wb).alias(f"_p_{o}") for o in prev_non_null])
-    w = Window.partitionBy(BKT).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    out = b.join(F.broadcast(carry), BKT)
+    w = Window.partitionBy(*g, BKT).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    out = b.join(F.broadcast(carry), g + [BKT])
     for o, c in sums.items():
         out = out.withColumn(o, F.col(f"_c_{o}") + F.coalesce(F.sum(c).over(w), F.lit(0)))
     for o, c in prev_non_null.items():

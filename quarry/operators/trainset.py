@@ -28,7 +28,7 @@ END_OF_TEXT_ID = 50256      # end-of-text = unknown = padding
 def corpus_offsets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """A4: ``key, char_start, n_chars``; the corpus length is ``sum(n_chars)``."""
     d = docs.select(key, "text", F.length("text").cast("bigint").alias("n_chars"))
-    return ordered_scan(d, key, sums={"char_start": "n_chars"})
+    return ordered_scan(d, key, sums={"char_start": "n_chars"}, totals=True)
 
 
 def char_split(docs: DataFrame, fraction: float = TRAIN_FRACTION, key: str = "doc_id") -> DataFrame:
@@ -36,8 +36,7 @@ def char_split(docs: DataFrame, fraction: float = TRAIN_FRACTION, key: str = "do
     document across the cut is sliced.  Returns ``split, key, text`` (no empty
     parts)."""
     off = corpus_offsets(docs, key)
-    total = docs.select(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("bigint")).scalar()
-    cut = F.floor(F.lit(float(fraction)) * total.cast("double")).cast("bigint")
+    cut = F.floor(F.lit(float(fraction)) * F.col("char_start_total").cast("double")).cast("bigint")
     k = F.least(F.greatest(cut - F.col("char_start"), F.lit(0)), F.col("n_chars")).cast("int")
     parts = off.select(key, F.explode(F.array(
         F.struct(F.lit("train").alias("split"), F.substring("text", F.lit(1), k).alias("text")),
@@ -95,10 +94,7 @@ def pack_blocks(ids: DataFrame, block_size: int = BLOCK_SIZE, key: str = "doc_id
     ``counts`` (from :func:`token_counts`) avoids re-counting exploded rows."""
     if counts is None:
         counts = ids.groupBy("split", key).agg(F.count("*").alias("_n"))
-    offs = None
-    for split in ("train", "val"):
-        o = ordered_scan(counts.where(F.col("split") == split), key, sums={"_off": "_n"})
-        offs = o if offs is None else offs.unionByName(o)
+    offs = ordered_scan(counts, key, sums={"_off": "_n"}, group_cols=["split"])
     g = (ids.join(offs.select("split", key, "_off"), ["split", key])
          .withColumn("_gp", F.col("_off") + F.col("pos"))
          .select("split", F.floor(F.col("_gp") / block_size).cast("bigint").alias("block_id"),

@@ -24,12 +24,10 @@ def _parts(spark, sf):
     return TS.char_split(_norm(spark, sf))
 
 
-def _ids_vocab(spark, sf, with_counts: bool = False):
+def _ids_vocab(spark, sf):
     parts = _parts(spark, sf)
     toks = TS.token_rows(parts)
     vocab = TS.build_vocab(toks)
-    if with_counts:
-        return TS.tokenize(toks, vocab), vocab, TS.token_counts(parts)
     return TS.tokenize(toks, vocab), vocab
 
 
@@ -106,8 +104,8 @@ def q_detokenize(spark, sf):
 
 @register("pack_blocks", "W3", lambda: "WITH " + blocks_sql() + " SELECT split, block_id, array_to_string(ids, ' ') AS ids FROM blocks")
 def q_pack_blocks(spark, sf):
-    ids, _, counts = _ids_vocab(spark, sf, with_counts=True)
-    b = TS.pack_blocks(ids, counts=counts)
+    parts = _parts(spark, sf)
+    b = TS.pack_token_blocks(parts, TS.build_vocab(TS.token_rows(parts)))
     return b.select("split", "block_id", F.array_join("input_ids", " ").alias("ids"))
 
 
@@ -117,8 +115,8 @@ SELECT split, block_id, CAST(len(ids) AS BIGINT) AS n_ids, CAST(len(ids) AS BIGI
 FROM blocks""")
 def q_training_blocks(spark, sf):
     """Composite: normalise → split → tokenise → pack → collate."""
-    ids, _, counts = _ids_vocab(spark, sf, with_counts=True)
-    c = TS.collate_blocks(TS.pack_blocks(ids, counts=counts))
+    parts = _parts(spark, sf)
+    c = TS.collate_blocks(TS.pack_token_blocks(parts, TS.build_vocab(TS.token_rows(parts))))
     return c.select("split", "block_id", F.size("input_ids").cast("bigint").alias("n_ids"),
                     F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_ones"),
                     F.array_join("labels", " ").alias("labels"),

@@ -99,10 +99,37 @@ def pack_blocks(ids: DataFrame, block_size: int = BLOCK_SIZE, key: str = "doc_id
          .withColumn("_gp", F.col("_off") + F.col("pos"))
          .select("split", F.floor(F.col("_gp") / block_size).cast("bigint").alias("block_id"),
                  (F.col("_gp") % block_size).alias("slot"), "id"))
+    return _assemble(g, block_size)
+
+
+def pack_token_blocks(parts: DataFrame, vocab: DataFrame, block_size: int = BLOCK_SIZE,
+                      key: str = "doc_id") -> DataFrame:
+    """W3 on text parts directly: the ordered scan runs over the parts (the
+    text moves once, with its range), so every part knows its first global
+    token position before its tokens are exploded; token rows then shuffle
+    once, by block.  The vocabulary join is left to AQE (broadcast when its
+    runtime size allows)."""
+    counted = parts.withColumn("_n", F.size(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0)))
+    placed = ordered_scan(counted, key, sums={"_off": "_n"}, group_cols=["split"])
+    toks = placed.select("split", "_off", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0))
+                         .alias("pos", "token"))
+    g = (tokenize(toks, vocab)
+         .withColumn("_gp", F.col("_off") + F.col("pos"))
+         .select("split", F.floor(F.col("_gp") / block_size).cast("bigint").alias("block_id"),
+                 (F.col("_gp") % block_size).alias("slot"), "id"))
+    return _assemble(g, block_size)
+
+
+def _assemble(g: DataFrame, block_size: int) -> DataFrame:
+    """Rows ``split, block_id, slot, id`` → full blocks.  Each (slot, id) pair
+    is packed into one bigint, so the aggregate buffers and the sort handle
+    primitives, not structs."""
+    packed = (F.col("slot").cast("bigint") * F.lit(1 << 32) + F.col("id").cast("bigint"))
     return (g.groupBy("split", "block_id")
-            .agg(F.array_sort(F.collect_list(F.struct("slot", "id"))).alias("_b"))
+            .agg(F.array_sort(F.collect_list(packed)).alias("_b"))
             .where(F.size("_b") == block_size)
-            .select("split", "block_id", F.transform("_b", lambda x: x["id"]).alias("input_ids")))
+            .select("split", "block_id",
+                    F.transform("_b", lambda x: F.pmod(x, F.lit(1 << 32)).cast("int")).alias("input_ids")))
 
 
 def collate_blocks(blocks: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import urls as U
+from quarry.session import cut_lineage
 from quarry.operators.links import extract_links, normalized_links, resolve_relative
 
 # --- fixed values -----------------------------------------------------------
@@ -75,7 +76,10 @@ def crawl(start: DataFrame, pages: DataFrame, processed: DataFrame | None = None
         frontier = frontier.join(processed.select("url"), "url", "left_anti")
     frontier = frontier.dropDuplicates(["seed_url", "url"])
     html = pages.select("url", "html")
-    visited = classify_links(frontier, pages)
+    # each round's frontier is narrow (no html); it is checkpointed so later
+    # rounds, the anti join and the final union read it instead of
+    # recomputing the rounds before it
+    visited = cut_lineage(classify_links(frontier, pages))
     result = visited
     for level in range(1, max_level + 1):
         expand = visited.where((F.col("level") == level - 1) & (F.col("status") == "inside"))
@@ -90,10 +94,12 @@ def crawl(start: DataFrame, pages: DataFrame, processed: DataFrame | None = None
         if processed is not None:
             nxt = nxt.join(processed.select("url"), "url", "left_anti")
         nxt = nxt.join(result.select("seed_url", "url"), ["seed_url", "url"], "left_anti")
-        pdf = nxt.where(F.col("url").contains(".pdf")).withColumn("level", F.lit(level)).withColumn("status", F.lit("pdf"))
-        pg = classify_links(nxt.where(~F.col("url").contains(".pdf")).withColumn("level", F.lit(level)), pages)
-        visited = pg
-        result = result.unionByName(pg).unionByName(pdf)
+        # one branch: PDF links are reported, never fetched or expanded
+        cls = classify_links(nxt.withColumn("level", F.lit(level)), pages)
+        cls = cls.withColumn("status", F.when(F.col("url").contains(".pdf"), F.lit("pdf"))
+                             .otherwise(F.col("status")))
+        visited = cut_lineage(cls)
+        result = result.unionByName(visited)
     return result.select("seed_url", "base", "url", F.col("level").cast("bigint").alias("level"), "status")
 
 

@@ -31,16 +31,19 @@ def unquote_href(raw):
 def extract_links(pages: DataFrame, url_col: str = "url", html_col: str = "html",
                   id_col: str = "page_id") -> DataFrame:
     """``page_id, page_url, tag, tag_rank, pos, href`` — every <a> href in
-    document order, then every <link> href.  Narrow: no shuffle."""
-    parts = []
-    for rank, tag in enumerate(LINK_TAGS):
-        parts.append(
-            pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("page_url"),
-                         F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(tag_href_pattern(tag)), 1))
-                         .alias("pos", "_raw"))
-            .select("page_id", "page_url", F.lit(tag).alias("tag"), F.lit(rank).alias("tag_rank"),
-                    "pos", unquote_href(F.col("_raw")).alias("href")))
-    return parts[0].unionByName(parts[1])
+    document order, then every <link> href.  One pass over the HTML (the
+    per-tag lists are concatenated and exploded once), no shuffle."""
+    html = F.col(html_col)
+    def tagged(tag, rank):
+        return lambda raw, i: F.struct(F.lit(tag).alias("tag"), F.lit(rank).alias("tag_rank"),
+                                       i.alias("pos"), raw.alias("raw"))
+
+    per_tag = [F.transform(F.regexp_extract_all(html, F.lit(tag_href_pattern(tag)), 1), tagged(tag, rank))
+               for rank, tag in enumerate(LINK_TAGS)]
+    return (pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("page_url"),
+                         F.explode(F.concat(*per_tag)).alias("_l"))
+            .select("page_id", "page_url", F.col("_l.tag").alias("tag"), F.col("_l.tag_rank").alias("tag_rank"),
+                    F.col("_l.pos").alias("pos"), unquote_href(F.col("_l.raw")).alias("href")))
 
 
 def distinct_links(links: DataFrame) -> DataFrame:

@@ -10,18 +10,29 @@ from quarry.catalog import sqlfrag as Q
 from quarry.catalog.text import normalize_corpus_sql
 from quarry.operators import trainset as TS
 from quarry.operators.docs import normalize_corpus
+from quarry.operators.ordered import key_cuts
 from quarry.session import cut_lineage, ensure_checkpoint_dir
 from quarry.sources.tables import table
 
 
-def _norm(spark, sf):
+def _cuts(spark, sf):
+    """Range cut points of ``doc_id``, from the key column alone; every
+    ordered scan of the pipeline (same keys) reuses them."""
+    return key_cuts(table(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
+def _norm(spark, sf, cuts=None):
     """Normalised corpus, checkpointed once (reliable, in the shared checkpoint
-    folder): offsets, the split and tokenisation all read it."""
-    return cut_lineage(normalize_corpus(table(spark, sf, "documents").select("doc_id", "text")))
+    folder): offsets and the split read it."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return cut_lineage(normalize_corpus(docs, cuts=cuts if cuts is not None else _cuts(spark, sf)))
 
 
-def _parts(spark, sf):
-    return TS.char_split(_norm(spark, sf))
+def _parts(spark, sf, cuts=None):
+    """Train/validation parts, checkpointed: the vocabulary and both passes of
+    the token ordered scan read them instead of redoing the split's scan."""
+    cuts = cuts if cuts is not None else _cuts(spark, sf)
+    return cut_lineage(TS.char_split(_norm(spark, sf, cuts), cuts=cuts))
 
 
 def _ids_vocab(spark, sf):
@@ -67,8 +78,9 @@ blocks AS (SELECT split, block_id, list(id ORDER BY slot) AS ids FROM g GROUP BY
 
 @register("corpus_offsets", "A4,W2", lambda: "WITH " + offsets_sql() + " SELECT doc_id, char_start, n_chars FROM offs")
 def q_corpus_offsets(spark, sf):
-    return TS.corpus_offsets(_norm(spark, sf)).select("doc_id", F.col("char_start").cast("bigint").alias("char_start"),
-                                                      "n_chars")
+    cuts = _cuts(spark, sf)
+    off = TS.corpus_offsets(_norm(spark, sf, cuts), cuts=cuts)
+    return off.select("doc_id", F.col("char_start").cast("bigint").alias("char_start"), "n_chars")
 
 
 @register("char_split", "W2,F13", lambda: "WITH " + split_sql() + " SELECT split, doc_id, text FROM parts")
@@ -104,8 +116,9 @@ def q_detokenize(spark, sf):
 
 @register("pack_blocks", "W3", lambda: "WITH " + blocks_sql() + " SELECT split, block_id, array_to_string(ids, ' ') AS ids FROM blocks")
 def q_pack_blocks(spark, sf):
-    parts = _parts(spark, sf)
-    b = TS.pack_token_blocks(parts, TS.build_vocab(TS.token_rows(parts)))
+    cuts = _cuts(spark, sf)
+    parts = _parts(spark, sf, cuts)
+    b = TS.pack_token_blocks(parts, TS.build_vocab(TS.token_rows(parts)), cuts=cuts)
     return b.select("split", "block_id", F.array_join("input_ids", " ").alias("ids"))
 
 
@@ -115,8 +128,9 @@ SELECT split, block_id, CAST(len(ids) AS BIGINT) AS n_ids, CAST(len(ids) AS BIGI
 FROM blocks""")
 def q_training_blocks(spark, sf):
     """Composite: normalise → split → tokenise → pack → collate."""
-    parts = _parts(spark, sf)
-    c = TS.collate_blocks(TS.pack_token_blocks(parts, TS.build_vocab(TS.token_rows(parts))))
+    cuts = _cuts(spark, sf)
+    parts = _parts(spark, sf, cuts)
+    c = TS.collate_blocks(TS.pack_token_blocks(parts, TS.build_vocab(TS.token_rows(parts)), cuts=cuts))
     return c.select("split", "block_id", F.size("input_ids").cast("bigint").alias("n_ids"),
                     F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_ones"),
                     F.array_join("labels", " ").alias("labels"),

@@ -28,7 +28,8 @@ def union_docs(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("source", "text").unionByName(b.select("source", "text"))
 
 
-def normalize_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def normalize_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text",
+                     cuts: list[float] | None = None) -> DataFrame:
     """F3 over the concatenation of all documents in ``key`` order, without
     building it: newline runs collapse (also across document borders), then
     white space is stripped at the two ends of the corpus.  Returns ``key,
@@ -37,7 +38,7 @@ def normalize_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     non_ws = f"[^{WS_CLASS[1:-1]}]"
     d = (docs.select(key, collapse_newline_runs(F.coalesce(F.col(text), F.lit(""))).alias("_c"))
          .withColumn("_last", F.when(F.length("_c") > 0, F.substring("_c", -1, 1))))
-    s = ordered_scan(d, key, prev_non_null={"_prev": "_last"})
+    s = ordered_scan(d, key, prev_non_null={"_prev": "_last"}, cuts=cuts)
     c2 = F.when(F.col("_c").startswith("\n") & (F.col("_prev") == "\n"),
                 F.substring("_c", 2, 1 << 30)).otherwise(F.col("_c"))
     # first/last documents holding a non-space character; collapsing newline

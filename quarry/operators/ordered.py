@@ -17,17 +17,24 @@ from pyspark.sql import functions as F
 BKT = "_bkt"
 
 
-def range_buckets(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
-    """Add ``_bkt`` (0..n-1): contiguous key ranges of about equal row count."""
-    spark = df.sparkSession
+def key_cuts(df: DataFrame, key: str, n: int | None = None) -> list[float]:
+    """``n - 1`` approximate quantiles of ``key`` (only these reach the
+    driver).  Compute them once on the source key column and pass them to
+    every ordered scan over frames derived from it with the same keys."""
     if n is None:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(1, n)
-    if n == 1:
-        return df.withColumn(BKT, F.lit(0.0))
-    probs = [i / n for i in range(1, n)]
-    cuts = df.approxQuantile(key, probs, 1.0 / (4 * n))
-    splits = [float("-inf")] + sorted(set(c for c in cuts if c == c)) + [float("inf")]
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n <= 1:
+        return []
+    cuts = df.approxQuantile(key, [i / n for i in range(1, n)], 1.0 / (4 * n))
+    return sorted(set(c for c in cuts if c == c))
+
+
+def range_buckets(df: DataFrame, key: str, n: int | None = None,
+                  cuts: list[float] | None = None) -> DataFrame:
+    """Add ``_bkt``: contiguous key ranges of about equal row count."""
+    if cuts is None:
+        cuts = key_cuts(df, key, n)
+    splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
     if len(splits) < 3:  # empty input or a single distinct key: one range
         return df.withColumn(BKT, F.lit(0.0))
     tmp = "_bkt_key"
@@ -37,7 +44,8 @@ def range_buckets(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
 
 def ordered_scan(df: DataFrame, key: str, sums: dict[str, str] | None = None,
                  prev_non_null: dict[str, str] | None = None, n: int | None = None,
-                 group_cols: list[str] | tuple[str, ...] = (), totals: bool = False) -> DataFrame:
+                 group_cols: list[str] | tuple[str, ...] = (), totals: bool = False,
+                 cuts: list[float] | None = None) -> DataFrame:
     """For each row, in ``key`` order within its group (key unique per group):
 
     * ``sums[out] = col``: sum of ``col`` over all earlier rows (0 if none);
@@ -51,7 +59,7 @@ def ordered_scan(df: DataFrame, key: str, sums: dict[str, str] | None = None,
     sums = sums or {}
     prev_non_null = prev_non_null or {}
     g = list(group_cols)
-    b = range_buckets(df, key, n)
+    b = range_buckets(df, key, n, cuts)
     aggs = [F.sum(c).alias(f"_t_{o}") for o, c in sums.items()]
     aggs += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(key))).alias(f"_l_{o}")
              for o, c in prev_non_null.items()]

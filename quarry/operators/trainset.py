@@ -25,17 +25,18 @@ END_OF_TEXT_ID = 50256      # end-of-text = unknown = padding
 # ----------------------------------------------------------------------------
 
 
-def corpus_offsets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def corpus_offsets(docs: DataFrame, key: str = "doc_id", cuts: list[float] | None = None) -> DataFrame:
     """A4: ``key, char_start, n_chars``; the corpus length is ``sum(n_chars)``."""
     d = docs.select(key, "text", F.length("text").cast("bigint").alias("n_chars"))
-    return ordered_scan(d, key, sums={"char_start": "n_chars"}, totals=True)
+    return ordered_scan(d, key, sums={"char_start": "n_chars"}, totals=True, cuts=cuts)
 
 
-def char_split(docs: DataFrame, fraction: float = TRAIN_FRACTION, key: str = "doc_id") -> DataFrame:
+def char_split(docs: DataFrame, fraction: float = TRAIN_FRACTION, key: str = "doc_id",
+               cuts: list[float] | None = None) -> DataFrame:
     """Cut the corpus at ``int(fraction * length)`` characters; a
     document across the cut is sliced.  Returns ``split, key, text`` (no empty
     parts)."""
-    off = corpus_offsets(docs, key)
+    off = corpus_offsets(docs, key, cuts)
     cut = F.floor(F.lit(float(fraction)) * F.col("char_start_total").cast("double")).cast("bigint")
     k = F.least(F.greatest(cut - F.col("char_start"), F.lit(0)), F.col("n_chars")).cast("int")
     parts = off.select(key, F.explode(F.array(
@@ -103,14 +104,14 @@ def pack_blocks(ids: DataFrame, block_size: int = BLOCK_SIZE, key: str = "doc_id
 
 
 def pack_token_blocks(parts: DataFrame, vocab: DataFrame, block_size: int = BLOCK_SIZE,
-                      key: str = "doc_id") -> DataFrame:
+                      key: str = "doc_id", cuts: list[float] | None = None) -> DataFrame:
     """W3 on text parts directly: the ordered scan runs over the parts (the
     text moves once, with its range), so every part knows its first global
     token position before its tokens are exploded; token rows then shuffle
     once, by block.  The vocabulary join is left to AQE (broadcast when its
     runtime size allows)."""
     counted = parts.withColumn("_n", F.size(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0)))
-    placed = ordered_scan(counted, key, sums={"_off": "_n"}, group_cols=["split"])
+    placed = ordered_scan(counted, key, sums={"_off": "_n"}, group_cols=["split"], cuts=cuts)
     toks = placed.select("split", "_off", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0))
                          .alias("pos", "token"))
     g = (tokenize(toks, vocab)

@@ -110,25 +110,32 @@ def knn_join(questions: DataFrame, index: DataFrame, k: int = 1,
     qv = questions.select(q_key, q_vec).where(F.col(q_vec).isNotNull())
     q_type = qv.schema[q_key].dataType
     c_type = index.schema[c_key].dataType
-    n = qv.count()
-    nblocks = max(1, math.ceil(n / max_block_rows))
     arrow_key = {T.LongType: pa.int64(), T.IntegerType: pa.int32(),
                  T.StringType: pa.string()}[type(c_type)]
     out_schema = T.StructType([T.StructField("_q", q_type), T.StructField("_c", c_type),
                                T.StructField("dist", T.DoubleType())])
     idx = index.select(c_key, c_vec).where(F.col(c_vec).isNotNull())
-    parts = []
-    for b in range(nblocks):
-        blk = qv if nblocks == 1 else qv.where(F.pmod(F.xxhash64(q_key), F.lit(nblocks)) == b)
-        rows = blk.limit(2 * max_block_rows + 1).toArrow()
-        if rows.num_rows > 2 * max_block_rows:
-            raise RuntimeError("question block over its size bound; lower max_block_rows")
-        if rows.num_rows == 0:
-            continue
+
+    def scorer(rows: pa.Table) -> DataFrame:
         qids = rows.column(q_key).to_numpy(zero_copy_only=False)
         Q = _as_matrix(rows.column(q_vec), rows.num_rows)
         bc = spark.sparkContext.broadcast((qids, Q, (Q * Q).sum(axis=1)))
-        parts.append(idx.mapInArrow(_block_scorer(bc, k, c_key, c_vec, arrow_key), out_schema))
+        return idx.mapInArrow(_block_scorer(bc, k, c_key, c_vec, arrow_key), out_schema)
+
+    parts = []
+    # common case: one block; fetching at most max_block_rows + 1 rows proves it
+    first = qv.limit(max_block_rows + 1).toArrow()
+    if first.num_rows <= max_block_rows:
+        if first.num_rows:
+            parts.append(scorer(first))
+    else:
+        nblocks = math.ceil(qv.count() / max_block_rows) + 1
+        for b in range(nblocks):
+            rows = qv.where(F.pmod(F.xxhash64(q_key), F.lit(nblocks)) == b).limit(2 * max_block_rows + 1).toArrow()
+            if rows.num_rows > 2 * max_block_rows:
+                raise RuntimeError("question block over its size bound; lower max_block_rows")
+            if rows.num_rows:
+                parts.append(scorer(rows))
     if not parts:
         return spark.createDataFrame([], T.StructType([
             T.StructField(q_key, q_type), T.StructField(c_key, c_type),

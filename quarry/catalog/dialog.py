@@ -138,7 +138,7 @@ def q_batch_answer(spark, sf):
 
 
 @register("answers_json", "S12,P14,T2,F12", lambda: answers_sql(
-    " SELECT q_id, to_json({'answer': answer, 'source': source}) AS json FROM ans"))
+    " SELECT q_id, CAST(to_json({'answer': answer, 'source': source}) AS VARCHAR) AS json FROM ans"))
 def q_answers_json(spark, sf):
     return answers_json(_answers(spark, sf)).select("q_id", "json")
 

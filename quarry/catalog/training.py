@@ -45,7 +45,8 @@ def _ids_vocab(spark, sf):
 def offsets_sql() -> str:
     return normalize_corpus_sql() + """,
 offs AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n_chars,
-  coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS char_start FROM norm)"""
+  CAST(coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    AS BIGINT) AS char_start FROM norm)"""
 
 
 def split_sql(fraction: float = TS.TRAIN_FRACTION) -> str:

@@ -130,7 +130,7 @@ def q_history_prompt(spark, sf):
     return ask(_questions(spark, sf), _index(spark, sf), k=1, history=hist).select("q_id", "prompt")
 
 
-@register("batch_answer", "M7")
+@register("batch_answer", "M7", lambda: answers_sql(" SELECT q_id, source, answer FROM ans"))
 def q_batch_answer(spark, sf):
     """Prompt column → answer column through the predictor hook (default: the
     extractive stand-in, no model shipped)."""

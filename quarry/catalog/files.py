@@ -33,9 +33,12 @@ def q_text_scan(spark, sf):
     return t.select(F.regexp_extract("path", r"source=([^/]*)/", 1).alias("source"), "text")
 
 
-@register("directory_scan", "S6")
+@register("directory_scan", "S6", """SELECT 'txt' AS kind, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars
+FROM documents WHERE text IS NOT NULL""")
 def q_directory_scan(spark, sf):
-    """Suffix dispatch over one flat directory of Spark-written part files."""
+    """Suffix dispatch over one flat directory of Spark-written part files;
+    characters per kind (the number of part files is Spark's choice, the
+    total is not)."""
     path = _write_sources(spark, sf, partitioned=False)
     d = directory_scan(spark, path)
-    return d.select("kind", F.length("text").cast("bigint").alias("n_chars"))
+    return d.groupBy("kind").agg(F.sum(F.length("text")).cast("bigint").alias("n_chars"))

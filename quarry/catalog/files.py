@@ -16,7 +16,7 @@ from quarry.sources.tables import table
 
 def _write_sources(spark, sf, partitioned: bool = True) -> str:
     path = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
-    docs = table(spark, sf, "documents").where(F.col("text").isNotNull()).select("source", "doc_id", "text")
+    docs = table(spark, sf, "documents", ["source", "doc_id", "text"]).where(F.col("text").isNotNull())
     ordered = docs.repartition("source").sortWithinPartitions("source", "doc_id")
     if partitioned:
         ordered.select("source", "text").write.partitionBy("source").text(path)

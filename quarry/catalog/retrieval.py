@@ -88,7 +88,7 @@ def q_embed_chunks(spark, sf):
     """Chunks of ``documents`` embedded (summary: non-zeros and a position-weighted sum)."""
     from quarry.operators.chunk import chunk_documents
     from quarry.functions.text import clean_text
-    docs = table(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    docs = table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", clean_text(F.col("text")).alias("text"))
     ch = embed(chunk_documents(docs, ["doc_id"], "text"))
     return _emb_summary(ch.withColumn("chunk_idx", F.col("chunk_idx").cast("bigint")), ["doc_id", "chunk_idx"])
 

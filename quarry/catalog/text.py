@@ -16,7 +16,7 @@ from quarry.sources.tables import scan_pages, table
 @register("clean_text", "F1,F2", f"""SELECT doc_id, {Q.clean('text')} AS text,
 CAST(length({Q.clean('text')}) AS BIGINT) AS n_chars FROM documents""")
 def q_clean_text(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    d = table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", clean_text(F.col("text")).alias("text"))
     return d.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
@@ -39,19 +39,19 @@ norm AS (SELECT doc_id, CASE
 
 @register("collapse_newlines", "F3", lambda: f"WITH {normalize_corpus_sql()} SELECT doc_id, text FROM norm")
 def q_collapse_newlines(spark, sf):
-    return normalize_corpus(table(spark, sf, "documents").select("doc_id", "text"))
+    return normalize_corpus(table(spark, sf, "documents", ["doc_id", "text"]))
 
 
 @register("distinct_docs", "A6,U2", "SELECT DISTINCT source, text FROM documents")
 def q_distinct_docs(spark, sf):
-    return distinct_docs(table(spark, sf, "documents").select("source", "text"))
+    return distinct_docs(table(spark, sf, "documents", ["source", "text"]))
 
 
 @register("union_docs", "U3", lambda: f"""SELECT url AS source, {Q.html_to_text_sql('html')} AS text FROM pages
 UNION ALL SELECT source, text FROM documents""")
 def q_union_docs(spark, sf):
     web = page_documents(scan_pages(spark, sf))
-    return union_docs(web, table(spark, sf, "documents"))
+    return union_docs(web, table(spark, sf, "documents", ["source", "text"]))
 
 
 @register("concat_parts", "A2", """SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text
@@ -95,7 +95,7 @@ chunks AS (SELECT k AS {key}, CAST(row_number() OVER (PARTITION BY k ORDER BY a)
 @register("chunk_documents", "M1", lambda: "WITH RECURSIVE " + chunk_sql("documents", "doc_id", Q.clean("text"))
           + " SELECT doc_id, chunk_idx, start, text FROM chunks")
 def q_chunk_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    docs = table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", clean_text(F.col("text")).alias("text"))
     ch = chunk_documents(docs, ["doc_id"], "text")
     return ch.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"),
                      F.col("start").cast("bigint").alias("start"), "text")

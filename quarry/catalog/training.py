@@ -18,13 +18,13 @@ from quarry.sources.tables import table
 def _cuts(spark, sf):
     """Range cut points of ``doc_id``, from the key column alone; every
     ordered scan of the pipeline (same keys) reuses them."""
-    return key_cuts(table(spark, sf, "documents").select("doc_id"), "doc_id")
+    return key_cuts(table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id"), "doc_id")
 
 
 def _norm(spark, sf, cuts=None):
     """Normalised corpus, checkpointed once (reliable, in the shared checkpoint
     folder): offsets and the split read it."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
     return cut_lineage(normalize_corpus(docs, cuts=cuts if cuts is not None else _cuts(spark, sf)))
 
 

@@ -13,12 +13,14 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan a driver table.  A text table stored as fewer splits than the
-    cluster has cores (one large row group) is spread before any per-row work
-    (see :func:`quarry.operators.parallel.spread`); with many splits — any
-    large input — the scan is returned as is."""
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """Scan a driver table (only ``columns`` when given).  A text table stored
+    as fewer splits than the cluster has cores (one large row group) is spread
+    before any per-row work (see :func:`quarry.operators.parallel.spread`);
+    with many splits — any large input — the scan is returned as is."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if columns:
+        df = df.select(*columns)
     if name in TEXT_TABLES:
         from quarry.operators.parallel import spread
         df = spread(df)
@@ -27,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The crawl table replaces live fetching: one row per URL with its HTML."""
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return table(spark, sf_dir, "pages", ["page_id", "url", "html"])
 
 
 def questions_from_conversations(conversations: DataFrame) -> DataFrame:

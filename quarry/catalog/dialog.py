@@ -9,7 +9,6 @@ from quarry.catalog import sqlfrag as Q
 from quarry.catalog.retrieval import QUESTIONS_SQL, _index, _questions, knn_sql, page_chunks_sql
 from quarry.functions.prompt import (ANSWER_TEMPLATE, CONDENSE_TEMPLATE, fill_template, fill_template_sql,
                                      speaker_label_sql)
-from quarry.functions.text import TOKEN_PATTERN
 from quarry.operators import history as H
 from quarry.operators.generate import batch_answer
 from quarry.plans.ask import ask

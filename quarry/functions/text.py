@@ -46,8 +46,3 @@ def collapse_newline_runs(col: Column) -> Column:
 def token_count(col: Column) -> Column:
     """Number of tokenizer pieces in a text (0 for null)."""
     return F.coalesce(F.size(F.regexp_extract_all(col, F.lit(TOKEN_PATTERN), 0)), F.lit(0))
-
-
-def sql_strip(expr: str) -> str:
-    """DuckDB form of :func:`strip_unicode`."""
-    return f"regexp_replace({expr}, '{STRIP_PATTERN}', '', 'g')"

@@ -72,10 +72,10 @@ cn AS (SELECT chunk_id, sum(v * v) AS n2 FROM cv GROUP BY chunk_id),
 qn AS (SELECT q_id, sum(v * v) AS n2 FROM qv GROUP BY q_id),
 dots AS (SELECT qv.q_id, cv.chunk_id, sum(qv.v * cv.v) AS dot FROM qv JOIN cv USING (b) GROUP BY ALL),
 pairs AS (SELECT q.q_id, c.chunk_id,
-   greatest(round(coalesce(qn.n2, 0) + coalesce(cn.n2, 0) - 2 * coalesce(dots.dot, 0), 9), 0) AS dist
+   greatest(coalesce(qn.n2, 0) + coalesce(cn.n2, 0) - 2 * coalesce(dots.dot, 0), 0) AS dist
    FROM {qs} q CROSS JOIN pchunks c LEFT JOIN qn ON qn.q_id = q.q_id LEFT JOIN cn ON cn.chunk_id = c.chunk_id
    LEFT JOIN dots ON dots.q_id = q.q_id AND dots.chunk_id = c.chunk_id),
-ranked AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY dist, chunk_id) AS BIGINT) AS rank
+ranked AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY round(dist, 9), chunk_id) AS BIGINT) AS rank
    FROM pairs) WHERE rank <= {k})"""
 
 
@@ -180,9 +180,9 @@ VEC_SQL = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
 
 @register("knn_vectors", "J5,W1", f"""WITH {VEC_SQL},
 pairs AS (SELECT a.vec_id AS q_id, b.vec_id AS nn_id,
-  greatest(round(list_inner_product(a.v, a.v) + list_inner_product(b.v, b.v) - 2 * list_inner_product(a.v, b.v), 9), 0) AS dist
+  greatest(list_inner_product(a.v, a.v) + list_inner_product(b.v, b.v) - 2 * list_inner_product(a.v, b.v), 0) AS dist
   FROM e a, e b),
-r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, nn_id) AS rank FROM pairs),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(dist, 9), nn_id) AS rank FROM pairs),
 nn AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY rank) AS pick FROM r WHERE rank <= 2 AND nn_id <> q_id)
 SELECT q_id, nn_id, round(dist, 6) AS dist FROM nn WHERE pick = 1""")
 def q_knn_vectors(spark, sf):

@@ -11,8 +11,9 @@ Exact k-NN under squared L2 (the reference searches a flat index).  Plan:
   final WindowGroupLimit) picks the global top-k.  The shuffle carries at most
   ``k x questions`` rows per index partition — never the pair product.
 
-Ties are broken by the chunk key; distances are rounded to ``RANK_DECIMALS``
-before ranking so both engines agree on exact duplicates.
+Ties are broken by the chunk key; distances are ranked rounded to
+``RANK_DECIMALS`` so both engines agree on exact duplicates, and reported
+unrounded (squared L2, clamped at 0).
 """
 from __future__ import annotations
 
@@ -47,20 +48,21 @@ def _block_scorer(bc, k: int, c_key: str, c_vec: str, key_type: pa.DataType):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, Q, qn2 = bc.value
         nq = len(qids)
-        keep_d, keep_c, keep_q = [], [], []
+        keep_d, keep_r, keep_c, keep_q = [], [], [], []
         buffered = 0
 
         def compact():
-            nonlocal keep_d, keep_c, keep_q, buffered
+            nonlocal keep_d, keep_r, keep_c, keep_q, buffered
             d = np.concatenate(keep_d)
+            r = np.concatenate(keep_r)
             c = np.concatenate(keep_c)
             q = np.concatenate(keep_q)
             order = np.lexsort((c, d, q))
-            d, c, q = d[order], c[order], q[order]
+            d, r, c, q = d[order], r[order], c[order], q[order]
             first = np.searchsorted(q, q, side="left")
             pos = np.arange(len(q)) - first
             m = pos < k
-            keep_d, keep_c, keep_q = [d[m]], [c[m]], [q[m]]
+            keep_d, keep_r, keep_c, keep_q = [d[m]], [r[m]], [c[m]], [q[m]]
             buffered = int(m.sum())
 
         for rb in batches:
@@ -77,8 +79,8 @@ def _block_scorer(bc, k: int, c_key: str, c_vec: str, key_type: pa.DataType):
             cids, C = cids[order], C[order]
             for lo in range(0, n, SUB_BATCH_ROWS):
                 Cb, cb = C[lo:lo + SUB_BATCH_ROWS], cids[lo:lo + SUB_BATCH_ROWS]
-                d = (Cb * Cb).sum(axis=1)[:, None] + qn2[None, :] - 2.0 * (Cb @ Q.T)
-                d = np.round(np.maximum(d, 0.0), RANK_DECIMALS)
+                raw = np.maximum((Cb * Cb).sum(axis=1)[:, None] + qn2[None, :] - 2.0 * (Cb @ Q.T), 0.0)
+                d = np.round(raw, RANK_DECIMALS)  # ranking key
                 kk = min(k, d.shape[0])
                 kth = np.partition(d, kk - 1, axis=0)[kk - 1]
                 less = d < kth[None, :]
@@ -87,6 +89,7 @@ def _block_scorer(bc, k: int, c_key: str, c_vec: str, key_type: pa.DataType):
                 sel = less | (eq & (np.cumsum(eq, axis=0) <= need[None, :]))
                 rows, cols = np.nonzero(sel)
                 keep_d.append(d[rows, cols])
+                keep_r.append(raw[rows, cols])
                 keep_c.append(cb[rows])
                 keep_q.append(cols)
                 buffered += len(rows)
@@ -96,7 +99,7 @@ def _block_scorer(bc, k: int, c_key: str, c_vec: str, key_type: pa.DataType):
             compact()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(qids[keep_q[0]]), pa.array(keep_c[0], type=key_type),
-                 pa.array(keep_d[0], type=pa.float64())],
+                 pa.array(keep_r[0], type=pa.float64())],
                 names=["_q", "_c", "dist"])
     return score
 
@@ -143,7 +146,8 @@ def knn_join(questions: DataFrame, index: DataFrame, k: int = 1,
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
-    w = Window.partitionBy("_q").orderBy("dist", "_c")
+    # rank on the rounded distance (ties → key); report the distance itself
+    w = Window.partitionBy("_q").orderBy(F.round("dist", RANK_DECIMALS), "_c")
     return (cand.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k)
             .select(F.col("_q").alias(q_key), F.col("_c").alias(c_key), "dist", "rank"))
@@ -174,5 +178,5 @@ def top_k_for_vector(index: DataFrame, vector: list[float], k: int = 1,
     TakeOrderedAndProject (per-partition top-k, k rows to the driver)."""
     from quarry.functions.vectors import squared_l2
     q = F.array(*[F.lit(float(v)) for v in vector])
-    return (index.select(c_key, F.round(squared_l2(F.col(c_vec), q), RANK_DECIMALS).alias("dist"))
-            .orderBy("dist", c_key).limit(k))
+    return (index.select(c_key, squared_l2(F.col(c_vec), q).alias("dist"))
+            .orderBy(F.round("dist", RANK_DECIMALS), c_key).limit(k))

@@ -1,6 +1,10 @@
 """Run registered queries on Spark and their oracle SQL on DuckDB; compare.
 
-usage: python tools/check_oracles.py [sf_dir] [name ...]
+usage: python tools/check_oracles.py [sf_dir] [--plain] [name ...]
+
+``--exact`` compares floats bit for bit (no re-rounding); ``--plain`` uses a
+bare session (``local[*]``, 8 shuffle partitions, nothing
+else set), as an outside caller of ``queries()`` would.
 """
 from __future__ import annotations
 
@@ -17,13 +21,16 @@ from quarry.session import build_session  # noqa: E402
 from quarry.sources.tables import TABLES  # noqa: E402
 
 
+EXACT = "--exact" in sys.argv
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return v if EXACT else round(v, 6)
     if hasattr(v, "item"):
         return norm(v.item())
     if isinstance(v, (list, tuple)):
@@ -33,10 +40,17 @@ def norm(v):
 
 def main():
     args = sys.argv[1:]
+    plain = "--plain" in args
+    args = [a for a in args if a not in ("--plain", "--exact")]
     sf = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")]
     reg = load_all()
-    spark = build_session("local[8]")
+    if plain:
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false").getOrCreate())
+    else:
+        spark = build_session("local[8]")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")

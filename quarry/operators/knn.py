@@ -2,8 +2,9 @@
 
 Exact k-NN under squared L2 (the reference searches a flat index).  Plan:
 
-* the question side is cut into blocks of at most ``max_block_rows`` rows
-  (counted first, so the broadcast has a proven size bound);
+* the question side is cut into blocks of at most ``max_block_bytes`` of
+  vectors (a bounded fetch proves the common one-block case; otherwise the
+  rows are counted and hash-split), so the broadcast has a proven size bound;
 * each block is broadcast once and the index is scanned with ``mapInArrow``:
   per Arrow batch a BLAS matrix product gives all distances, and only the
   best ``k`` chunks per question and *task* leave the task (running top-k);
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 
 # --- fixed values -----------------------------------------------------------
 RANK_DECIMALS = 9
-DEFAULT_MAX_BLOCK_ROWS = 4096
-SUB_BATCH_ROWS = 1024
+DEFAULT_MAX_BLOCK_BYTES = 64 << 20     # broadcast question block (float64 vectors)
+DISTANCE_CELLS = 8 << 20               # sub-batch x block distance matrix, in cells
 # ----------------------------------------------------------------------------
 
 
@@ -48,6 +49,7 @@ def _block_scorer(bc, k: int, c_key: str, c_vec: str, key_type: pa.DataType):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, Q, qn2 = bc.value
         nq = len(qids)
+        sub_rows = max(32, min(4096, DISTANCE_CELLS // max(nq, 1)))
         keep_d, keep_r, keep_c, keep_q = [], [], [], []
         buffered = 0
 
@@ -77,8 +79,8 @@ def _block_scorer(bc, k: int, c_key: str, c_vec: str, key_type: pa.DataType):
                 raise ValueError(f"index vectors have {C.shape[1]} dims, questions {Q.shape[1]}")
             order = np.argsort(cids, kind="stable")
             cids, C = cids[order], C[order]
-            for lo in range(0, n, SUB_BATCH_ROWS):
-                Cb, cb = C[lo:lo + SUB_BATCH_ROWS], cids[lo:lo + SUB_BATCH_ROWS]
+            for lo in range(0, n, sub_rows):
+                Cb, cb = C[lo:lo + sub_rows], cids[lo:lo + sub_rows]
                 raw = np.maximum((Cb * Cb).sum(axis=1)[:, None] + qn2[None, :] - 2.0 * (Cb @ Q.T), 0.0)
                 d = np.round(raw, RANK_DECIMALS)  # ranking key
                 kk = min(k, d.shape[0])
@@ -107,10 +109,19 @@ def _block_scorer(bc, k: int, c_key: str, c_vec: str, key_type: pa.DataType):
 def knn_join(questions: DataFrame, index: DataFrame, k: int = 1,
              q_key: str = "q_id", c_key: str = "chunk_id",
              q_vec: str = "embedding", c_vec: str = "embedding",
-             max_block_rows: int = DEFAULT_MAX_BLOCK_ROWS) -> DataFrame:
-    """Top-``k`` index rows per question: ``q_key, c_key, dist, rank``."""
+             max_block_rows: int | None = None, max_block_bytes: int = DEFAULT_MAX_BLOCK_BYTES) -> DataFrame:
+    """Top-``k`` index rows per question: ``q_key, c_key, dist, rank``.
+
+    Each question block is broadcast, so its size is bounded: at most
+    ``max_block_bytes`` of float64 vectors (or ``max_block_rows`` rows when
+    given).  Every block is one scan of the index, so large blocks mean few
+    scans."""
     spark = questions.sparkSession
     qv = questions.select(q_key, q_vec).where(F.col(q_vec).isNotNull())
+    if max_block_rows is None:
+        # an aggregate, not first(): a limit would cut the Python stage short
+        dim = qv.agg(F.max(F.size(q_vec))).collect()[0][0] or 1
+        max_block_rows = max(1, max_block_bytes // (8 * max(int(dim), 1)))
     q_type = qv.schema[q_key].dataType
     c_type = index.schema[c_key].dataType
     arrow_key = {T.LongType: pa.int64(), T.IntegerType: pa.int32(),

@@ -43,9 +43,12 @@ def normalize_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 F.substring("_c", 2, 1 << 30)).otherwise(F.col("_c"))
     # first/last documents holding a non-space character; collapsing newline
     # runs cannot change that, so the raw text is tested (no regex rewrite)
-    has_raw = docs.where(F.col(text).rlike(non_ws))
-    first = has_raw.select(F.min(key)).scalar()
-    last = has_raw.select(F.max(key)).scalar()
+    # one scalar subquery (min and max together), bound to one column so the
+    # expressions below reference it instead of each planning its own scan
+    bounds = (docs.where(F.col(text).rlike(non_ws))
+              .select(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar())
+    s = s.withColumn("_bounds", bounds)
+    first, last = F.col("_bounds.lo"), F.col("_bounds.hi")
     lstrip = F.regexp_replace(c2, f"^{WS_CLASS}+", "")
     rstrip = lambda c: F.regexp_replace(c, f"{WS_CLASS}+$", "")
     k = F.col(key)

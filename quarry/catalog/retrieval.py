@@ -47,8 +47,10 @@ def _emb_summary(df, cols):
 
 # ---- shared SQL ------------------------------------------------------------
 
-def page_chunks_sql() -> str:
-    doc = f"(SELECT url, {Q.clean(Q.html_to_text_sql('html'))} AS t FROM pages)"
+def page_chunks_sql(where: str = "") -> str:
+    """Chunks of (optionally filtered) pages as ``pchunks``."""
+    cond = f" WHERE {where}" if where else ""
+    doc = f"(SELECT url, {Q.clean(Q.html_to_text_sql('html'))} AS t FROM pages{cond})"
     return (chunk_sql(doc, "url", "t") + """,
 pchunks AS (SELECT url AS source, chunk_idx, start, text,
   sha256(url || '#' || CAST(chunk_idx AS VARCHAR)) AS chunk_id FROM chunks)""")
@@ -57,9 +59,11 @@ pchunks AS (SELECT url AS source, chunk_idx, start, text,
 QUESTIONS_SQL = "qs AS (SELECT conv_id * 1000 + turn AS q_id, text AS question FROM conversations WHERE role = 'user')"
 
 
-def emb_summary_sql(chunks: str, key: str, extra: str = "") -> str:
+def emb_summary_sql(chunks: str, key: str, extra: str = "", show_key: bool = True) -> str:
+    """Embedding summary per chunk (non-zeros, position-weighted sum) in SQL."""
+    key_col = f"c.{key}, " if show_key else ""
     return f"""cv AS {Q.sparse_embedding(chunks, key, 'text')}
-SELECT {extra}c.{key}, CAST(coalesce(s.nnz, 0) AS BIGINT) AS nnz, round(coalesce(s.checksum, 0), 6) AS checksum
+SELECT {extra}{key_col}CAST(coalesce(s.nnz, 0) AS BIGINT) AS nnz, round(coalesce(s.checksum, 0), 6) AS checksum
 FROM {chunks} c LEFT JOIN (SELECT {key}, count(*) AS nnz, sum(v * (b + 1)) AS checksum FROM cv GROUP BY {key}) s
 USING ({key})"""
 
@@ -83,7 +87,7 @@ ranked AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q_id OR
 
 @register("embed_chunks", "M2", lambda: "WITH RECURSIVE " + chunk_sql("documents", "doc_id", Q.clean("text"))
           + ", dch AS (SELECT doc_id || '#' || chunk_idx AS ck, doc_id, chunk_idx, text FROM chunks), "
-          + emb_summary_sql("dch", "ck", "c.doc_id, c.chunk_idx, ").replace("SELECT c.doc_id, c.chunk_idx, c.ck,", "SELECT c.doc_id, c.chunk_idx,"))
+          + emb_summary_sql("dch", "ck", "c.doc_id, c.chunk_idx, ", show_key=False))
 def q_embed_chunks(spark, sf):
     """Chunks of ``documents`` embedded (summary: non-zeros and a position-weighted sum)."""
     from quarry.operators.chunk import chunk_documents
@@ -124,7 +128,8 @@ def q_incremental_index(spark, sf):
 
 
 @register("ingest_pipeline", "M9,P17,J4,U1", lambda: "WITH RECURSIVE " + PROCESSED_SQL + ", " + _crawl_sql(True) + ", "
-          + page_chunks_sql().replace("FROM pages)", "FROM pages WHERE url IN (SELECT url FROM crawled WHERE status = 'inside' UNION SELECT url FROM processed))", 1) + ", "
+          + page_chunks_sql("url IN (SELECT url FROM crawled WHERE status = 'inside' UNION SELECT url FROM processed)")
+          + ", "
           + emb_summary_sql("pchunks", "chunk_id", "c.source, c.chunk_idx, "))
 def q_ingest_pipeline(spark, sf):
     """Add request: crawl, merge the processed set, load every processed page,

@@ -34,10 +34,18 @@ def _fetch_status(pages: DataFrame) -> DataFrame:
     return p.select("url", F.when(ok, "inside").otherwise("wrong").alias("_fetched"))
 
 
-def classify_links(frontier: DataFrame, pages: DataFrame) -> DataFrame:
+def fetch_status(pages: DataFrame) -> DataFrame:
+    """Narrow ``url, _fetched`` table: the only step that reads ``html`` to
+    classify; build it once per crawl and reuse it for every round."""
+    return _fetch_status(pages)
+
+
+def classify_links(frontier: DataFrame, pages: DataFrame | None = None,
+                   status: DataFrame | None = None) -> DataFrame:
     """Left join on URL; a miss, no html or a 404 is ``wrong``, every
-    other status (403, 500, ...) is ``inside``."""
-    st = _fetch_status(pages)
+    other status (403, 500, ...) is ``inside``.  Pass ``status`` (from
+    :func:`fetch_status`) to avoid re-reading the pages."""
+    st = status if status is not None else _fetch_status(pages)
     return (frontier.join(st, "url", "left")
             .withColumn("status", F.coalesce(F.col("_fetched"), F.lit("wrong")))
             .drop("_fetched"))
@@ -76,10 +84,12 @@ def crawl(start: DataFrame, pages: DataFrame, processed: DataFrame | None = None
         frontier = frontier.join(processed.select("url"), "url", "left_anti")
     frontier = frontier.dropDuplicates(["seed_url", "url"])
     html = pages.select("url", "html")
+    # whether a URL was fetched: read from the html once, kept narrow
+    status = cut_lineage(fetch_status(pages))
     # each round's frontier is narrow (no html); it is checkpointed so later
     # rounds, the anti join and the final union read it instead of
     # recomputing the rounds before it
-    visited = cut_lineage(classify_links(frontier, pages))
+    visited = cut_lineage(classify_links(frontier, status=status))
     result = visited
     for level in range(1, max_level + 1):
         expand = visited.where((F.col("level") == level - 1) & (F.col("status") == "inside"))
@@ -95,7 +105,7 @@ def crawl(start: DataFrame, pages: DataFrame, processed: DataFrame | None = None
             nxt = nxt.join(processed.select("url"), "url", "left_anti")
         nxt = nxt.join(result.select("seed_url", "url"), ["seed_url", "url"], "left_anti")
         # one branch: PDF links are reported, never fetched or expanded
-        cls = classify_links(nxt.withColumn("level", F.lit(level)), pages)
+        cls = classify_links(nxt.withColumn("level", F.lit(level)), status=status)
         cls = cls.withColumn("status", F.when(F.col("url").contains(".pdf"), F.lit("pdf"))
                              .otherwise(F.col("status")))
         visited = cut_lineage(cls)

@@ -46,9 +46,19 @@ def main():
     names = [a for a in args if not a.startswith("/")]
     reg = load_all()
     if plain:
+        # exactly what the driver calls: the entry module's builders and SQL
+        import importlib.util
+        from types import SimpleNamespace
+
         from pyspark.sql import SparkSession
         spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
                  .config("spark.ui.enabled", "false").getOrCreate())
+        root = __file__.rsplit("/tools/", 1)[0]
+        spec = importlib.util.spec_from_file_location("spark_entry", f"{root}/__spark_entry__.py")
+        entry = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(entry)
+        builders, sqls = entry.queries(), entry.oracle_sql()
+        reg = {n: SimpleNamespace(build=builders[n], oracle=lambda n=n: sqls.get(n)) for n in builders}
     else:
         spark = build_session("local[8]")
     con = duckdb.connect()

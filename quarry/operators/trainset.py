@@ -10,8 +10,11 @@ across two documents' border as it would be in one concatenated string.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.text import TOKEN_PATTERN
 from quarry.operators.ordered import ordered_scan
@@ -133,6 +136,47 @@ def _assemble(g: DataFrame, block_size: int) -> DataFrame:
                     F.transform("_b", lambda x: F.pmod(x, F.lit(1 << 32)).cast("int")).alias("input_ids")))
 
 
+TokenizerFactory = Callable[[], Callable[[list[str]], list[list[int]]]]
+_TOKENIZERS: dict[int, Callable] = {}
+
+
+def tokenize_with(parts: DataFrame, factory: TokenizerFactory, key: str = "doc_id") -> DataFrame:
+    """M5 hook: a user tokenizer (e.g. a BPE model), built once per Python
+    worker by ``factory`` and fed Arrow batches of texts; returns
+    ``split, key, input_ids array<int>``.  Narrow, no shuffle."""
+    import pyarrow as pa
+
+    schema = T.StructType([parts.schema["split"], parts.schema[key],
+                           T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
+    fid = id(factory)
+
+    def run(batches):
+        tok = _TOKENIZERS.get(fid)
+        if tok is None:
+            tok = _TOKENIZERS[fid] = factory()
+        for rb in batches:
+            texts = [t or "" for t in rb.column("text").to_pylist()]
+            ids = pa.array(tok(texts), type=pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([rb.column("split"), rb.column(key), ids],
+                                             names=["split", key, "input_ids"])
+
+    return spread(parts.select("split", key, "text")).mapInArrow(run, schema)
+
+
+def pack_id_arrays(ids: DataFrame, block_size: int = BLOCK_SIZE, key: str = "doc_id",
+                   cuts: list[float] | None = None) -> DataFrame:
+    """W3 for id arrays (from :func:`tokenize_with`): the ordered scan places
+    each part, its ids are exploded with global positions, one shuffle by
+    block."""
+    placed = ordered_scan(ids.withColumn("_n", F.size("input_ids")), key, sums={"_off": "_n"},
+                          group_cols=["split"], cuts=cuts)
+    g = (placed.select("split", "_off", F.posexplode("input_ids").alias("pos", "id"))
+         .withColumn("_gp", F.col("_off") + F.col("pos"))
+         .select("split", F.floor(F.col("_gp") / block_size).cast("bigint").alias("block_id"),
+                 (F.col("_gp") % block_size).alias("slot"), "id"))
+    return _assemble(g, block_size)
+
+
 def collate_blocks(blocks: DataFrame) -> DataFrame:
     """causal-LM collation: attention mask of ones, labels = input ids."""
     return (blocks.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))

@@ -38,3 +38,20 @@ def test_blocks(spark):
         b = TS.pack_blocks(ids).orderBy("block_id").collect()
         flat = [x for _, _, _, x in sorted(rows, key=lambda r: (r[1], r[2]))]
         assert [list(r.input_ids) for r in b] == [flat[i:i + 128] for i in range(0, total - 127, 128)]
+
+
+def test_tokenizer_hook_and_id_packing(spark):
+    """A user tokenizer (here: code points) through the hook, packed into
+    blocks, equals slicing the concatenated id stream."""
+    def factory():
+        return lambda texts: [[ord(c) for c in t] for t in texts]
+
+    rows = [("train", 1, "ab" * 100), ("train", 2, "é" * 90), ("val", 3, "xyz" * 50), ("train", 4, "")]
+    parts = spark.createDataFrame(rows, "split string, doc_id long, text string").repartition(3)
+    ids = TS.tokenize_with(parts, factory)
+    got = {(r.split, r.block_id): list(r.input_ids) for r in TS.pack_id_arrays(ids).collect()}
+    for split in ("train", "val"):
+        stream = [ord(c) for _, _, t in sorted((r for r in rows if r[0] == split), key=lambda r: r[1]) for c in t]
+        want = [stream[i:i + 128] for i in range(0, len(stream) - 127, 128)]
+        assert [got[(split, b)] for b in range(len(want))] == want
+        assert not any(k[0] == split and k[1] >= len(want) for k in got)

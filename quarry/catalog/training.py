@@ -29,15 +29,17 @@ def _norm(spark, sf, cuts=None):
 
 
 def _parts(spark, sf, cuts=None):
-    """Train/validation parts, checkpointed: the vocabulary and both passes of
-    the token ordered scan read them instead of redoing the split's scan."""
+    """Train/validation parts with their token arrays, checkpointed: the
+    vocabulary and both passes of the token ordered scan read them instead of
+    redoing the split's scan and the tokenizer regex (readers of the text only
+    prune the ``tokens`` column)."""
     cuts = cuts if cuts is not None else _cuts(spark, sf)
-    return cut_lineage(TS.char_split(_norm(spark, sf, cuts), cuts=cuts))
+    return cut_lineage(TS.with_tokens(TS.char_split(_norm(spark, sf, cuts), cuts=cuts)))
 
 
 def _ids_vocab(spark, sf):
     parts = _parts(spark, sf)
-    toks = TS.token_rows(parts)
+    toks = TS.token_rows(parts, tokens_col="tokens")
     vocab = TS.build_vocab(toks)
     return TS.tokenize(toks, vocab), vocab
 
@@ -86,14 +88,14 @@ def q_corpus_offsets(spark, sf):
 
 @register("char_split", "W2,F13", lambda: "WITH " + split_sql() + " SELECT split, doc_id, text FROM parts")
 def q_char_split(spark, sf):
-    return _parts(spark, sf)
+    return _parts(spark, sf).select("split", "doc_id", "text")
 
 
 @register("train_val_sink", "S10", lambda: "WITH " + split_sql() + " SELECT split, doc_id, text FROM parts")
 def q_train_val_sink(spark, sf):
     """Write train/validation text partitioned by split, read it back."""
     path = f"{ensure_checkpoint_dir(spark)}/trainval-{uuid.uuid4().hex}"
-    _parts(spark, sf).write.partitionBy("split").parquet(path)
+    _parts(spark, sf).select("split", "doc_id", "text").write.partitionBy("split").parquet(path)
     return spark.read.parquet(path).select("split", "doc_id", "text")
 
 
@@ -119,7 +121,8 @@ def q_detokenize(spark, sf):
 def q_pack_blocks(spark, sf):
     cuts = _cuts(spark, sf)
     parts = _parts(spark, sf, cuts)
-    b = TS.pack_token_blocks(parts, TS.build_vocab(TS.token_rows(parts)), cuts=cuts)
+    b = TS.pack_token_blocks(parts, TS.build_vocab(TS.token_rows(parts, tokens_col="tokens")), cuts=cuts,
+                             tokens_col="tokens")
     return b.select("split", "block_id", F.array_join("input_ids", " ").alias("ids"))
 
 
@@ -131,7 +134,8 @@ def q_training_blocks(spark, sf):
     """Composite: normalise → split → tokenise → pack → collate."""
     cuts = _cuts(spark, sf)
     parts = _parts(spark, sf, cuts)
-    c = TS.collate_blocks(TS.pack_token_blocks(parts, TS.build_vocab(TS.token_rows(parts)), cuts=cuts))
+    c = TS.collate_blocks(TS.pack_token_blocks(parts, TS.build_vocab(TS.token_rows(parts, tokens_col="tokens")),
+                                               cuts=cuts, tokens_col="tokens"))
     return c.select("split", "block_id", F.size("input_ids").cast("bigint").alias("n_ids"),
                     F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_ones"),
                     F.array_join("labels", " ").alias("labels"),

@@ -49,10 +49,23 @@ def char_split(docs: DataFrame, fraction: float = TRAIN_FRACTION, key: str = "do
             .where(F.length("text") > 0))
 
 
-def token_rows(parts: DataFrame, key: str = "doc_id") -> DataFrame:
+def _tokens(tokens_col: str | None) -> F.Column:
+    """The token array: a precomputed column, or the regex over ``text``."""
+    if tokens_col:
+        return F.col(tokens_col)
+    return F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0)
+
+
+def with_tokens(parts: DataFrame, out_col: str = "tokens") -> DataFrame:
+    """Add the token array once (e.g. before a checkpoint shared by the
+    vocabulary and the packing)."""
+    return parts.withColumn(out_col, _tokens(None))
+
+
+def token_rows(parts: DataFrame, key: str = "doc_id", tokens_col: str | None = None) -> DataFrame:
     """Pieces of every text: ``split, key, pos, token`` (narrow, no shuffle)."""
-    return spread(parts).select("split", key, F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0))
-                        .alias("pos", "token"))
+    src = parts if tokens_col else spread(parts)
+    return src.select("split", key, F.posexplode(_tokens(tokens_col)).alias("pos", "token"))
 
 
 def token_counts(parts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -107,16 +120,16 @@ def pack_blocks(ids: DataFrame, block_size: int = BLOCK_SIZE, key: str = "doc_id
 
 
 def pack_token_blocks(parts: DataFrame, vocab: DataFrame, block_size: int = BLOCK_SIZE,
-                      key: str = "doc_id", cuts: list[float] | None = None) -> DataFrame:
+                      key: str = "doc_id", cuts: list[float] | None = None,
+                      tokens_col: str | None = None) -> DataFrame:
     """W3 on text parts directly: the ordered scan runs over the parts (the
     text moves once, with its range), so every part knows its first global
     token position before its tokens are exploded; token rows then shuffle
     once, by block.  The vocabulary join is left to AQE (broadcast when its
     runtime size allows)."""
-    counted = parts.withColumn("_n", F.size(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0)))
+    counted = parts.withColumn("_n", F.size(_tokens(tokens_col)))
     placed = ordered_scan(counted, key, sums={"_off": "_n"}, group_cols=["split"], cuts=cuts)
-    toks = placed.select("split", "_off", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0))
-                         .alias("pos", "token"))
+    toks = placed.select("split", "_off", F.posexplode(_tokens(tokens_col)).alias("pos", "token"))
     g = (tokenize(toks, vocab)
          .withColumn("_gp", F.col("_off") + F.col("pos"))
          .select("split", F.floor(F.col("_gp") / block_size).cast("bigint").alias("block_id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing
+from quarry.llm import mixing, simhash, topk
 from quarry.llm.common import documents
 
 QUERIES = {}
@@ -17,6 +17,14 @@ def query(fn):
     return fn
 
 
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return (simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+            .select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                    F.col("component").alias("component_id")))
+
+
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
@@ -60,3 +68,27 @@ counted AS (
   SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM drawn)
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies FROM counted
 """
+
+
+@query
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows for every vector whose id is divisible by 100."""
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    vectors = topk.integer_vectors(rows, "vec_id", "embedding")
+    return topk.top_k(vectors.where(F.col("id") % 100 == 0), vectors, 10)
+
+
+ORACLE_SQL["op10_top_k"] = """
+WITH whole AS (
+  SELECT vec_id, [floor(x::DOUBLE * 1024)::BIGINT FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id,
+    list_sum([q.v[i] * x.v[i] FOR i IN range(1, len(q.v) + 1)])::BIGINT AS score
+  FROM whole q JOIN whole x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored)
+SELECT query_id, place::INT AS rank, vec_id, score FROM ranked WHERE place <= 10
+"""

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -60,3 +61,34 @@ def sparse_counts(counts: np.ndarray, **constants: int) -> pa.RecordBatch:
 def sha256_hex(data: bytes) -> str:
     import hashlib
     return hashlib.sha256(data).hexdigest()
+
+
+def hashed_words(text: bytes) -> np.ndarray:
+    """crc32 of every word of a text, in order, as uint64."""
+    parts = []
+    for piece in text_pieces(text):
+        words = piece.split()
+        parts.append(np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words)))
+    return np.concatenate(parts)
+
+
+def ngram_hashes(words: np.ndarray) -> np.ndarray:
+    """48-bit hashes of the unigrams and bigrams of hashed words."""
+    pairs = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.concatenate([words * np.uint64(0xD6E8FEB86659FD93), pairs]) >> np.uint64(16)
+
+
+def ngram_cells(words: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells of a text's n-grams and their counts."""
+    return np.unique((ngram_hashes(words) >> np.uint64(8)).astype(np.int64) % cells, return_counts=True)
+
+
+def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """``of, label``: one usable label (0 or 1, the smallest given) per id."""
+    return (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
+            .groupBy(F.col(id_col).alias("of")).agg(F.min(label_col).cast("int").alias("label")))
+
+
+def is_remainder(id_col: str, divisor: int, remainder: int) -> Column:
+    """Whether crc32 of the id as text leaves a remainder; false for a null id."""
+    return F.coalesce(id_crc(id_col) % divisor == remainder, F.lit(False))

@@ -8,10 +8,10 @@ equal priors.
 
 Training counts every word of every labelled text (partial sums per task, then
 one shuffle); n-grams are counted over the distinct words, weighted.  A word or
-n-gram is known when it makes up at least 1 / ``CAPACITY`` of its language's
-words (of n-grams of that length), so by its definition a language has at most
-``CAPACITY`` known words whatever the size of the corpus: that bounds the model
-that is broadcast (``check_languages`` bounds the number of languages).
+n-gram is known when it makes up at least 1 / s of its language's words (of
+n-grams of that length), where s is the language's share of ``CAPACITY``.  By
+that definition a language has at most s known words whatever the size of the
+corpus, which bounds the model that is broadcast.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 a text whose words and characters are all unknown gets the language with the
@@ -36,11 +36,11 @@ from quarry.session import cut_lineage
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 MAX_GRAM = 5
-CAPACITY = 50_000
+CAPACITY = 200_000       # known words of all languages together, in equal shares
 MAX_LANGUAGES = 512
 SMOOTHING = 0.5
 LOCAL_WORDS = 200_000    # distinct words a counting task holds before it passes them on
-CACHED_WORDS = 400_000   # unseen words whose scores a task remembers
+CACHED_CELLS = 1_600_000  # scores of unseen words (words x languages) a task remembers
 UNKNOWN = "und"
 
 
@@ -52,9 +52,10 @@ def words_in(text: bytes) -> Iterator[list[str]]:
 
 
 def grams_at(word: str, at: int) -> list[str]:
-    """n-grams of the marked word that start at a place, longest first."""
+    """n-grams of the marked word that start at a place, longest first; a mark
+    alone is none."""
     marked = f"<{word}>"
-    return [marked[at:at + n] for n in range(min(MAX_GRAM, len(marked) - at), 0, -1)]
+    return [marked[at:at + n] for n in range(min(MAX_GRAM, len(marked) - at), int(at == 0), -1)]
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +74,8 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = held.setdefault(lang, Counter())
             for words in words_in(text):
                 counts.update(words)
-        if sum(map(len, held.values())) > LOCAL_WORDS:
-            yield from passed_on()
+            if sum(map(len, held.values())) > LOCAL_WORDS:
+                yield from passed_on()
     yield from passed_on()
 
 
@@ -83,7 +84,7 @@ def word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         counts: dict[tuple[str, str], int] = {}
         for lang, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for at in range(len(word) + 2):
+            for at in range(len(word) + 1):
                 for gram in grams_at(word, at):
                     key = (lang, gram)
                     counts[key] = counts.get(key, 0) + n
@@ -111,10 +112,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", capac
     grams = (words.mapInArrow(word_grams, "lang string, gram string, n long")
              .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
              .withColumn("length", F.length("gram")))
-    top_words = known(words, "word", [], capacity)
-    top_grams = known(cut_lineage(grams), "gram", ["length"], capacity // MAX_GRAM)
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    langs = check_languages([r.lang for r in totals.select("lang").sort("lang").limit(MAX_LANGUAGES + 1).collect()])
+    langs = check_languages([r.lang for r in words.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()])
+    share = max(1, capacity // max(1, len(langs)))
+    top_words = known(words, "word", [], share)
+    top_grams = known(cut_lineage(grams), "gram", ["length"], share)
     return {"langs": langs, "words": table(top_words, langs, []), "grams": table(top_grams, langs, ["length"])}
 
 
@@ -157,18 +158,19 @@ class Scorer:
         self.grams = model["grams"]["index"]
         self.gram_logs = model["grams"]["logs"]
         self.known = len(self.words)
-        self.rows = np.zeros((self.known + CACHED_WORDS, len(self.langs)), dtype=np.float64)
+        self.room = max(1000, CACHED_CELLS // max(1, len(self.langs)))
+        self.rows = np.zeros((self.known + self.room, len(self.langs)), dtype=np.float64)
         self.rows[:self.known] = model["words"]["logs"]
         self.used = 0
         self.cache: dict[str, int] = {}
 
     def backed_off(self, word: str) -> int:
         """Row of an unseen word."""
-        if self.used == CACHED_WORDS:
+        if self.used == self.room:
             self.cache.clear()
             self.used = 0
         found = []
-        for at in range(len(word) + 2):
+        for at in range(len(word) + 1):
             for gram in grams_at(word, at):
                 i = self.grams.get(gram)
                 if i is not None:
@@ -192,7 +194,7 @@ class Scorer:
                     if i is None:
                         i = seen.get(w)
                         if i is None:
-                            if self.used == CACHED_WORDS:  # the rows so far are about to be reused
+                            if self.used == self.room:  # the rows so far are about to be reused
                                 part += self.rows[ids].sum(axis=0)
                                 ids = []
                             i = self.backed_off(w)
@@ -209,22 +211,24 @@ class Scorer:
         return self.langs[best], float(1.0 / np.exp(sums - sums[best]).sum())
 
 
-def predictions(model: Broadcast):
+def predictions(model: Broadcast, text_place: int, kept: int, names: list[str]):
+    """The first ``kept`` columns, language and score of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for b in batches:
-            got = [scorer.predict(t) for t in utf8(b.column(b.num_columns - 1))]
+            got = [scorer.predict(t) for t in utf8(b.column(text_place))]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
-                names=[*b.schema.names[:-1], "lang_pred", "score"])
+                [*b.columns[:kept], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
+                names=names)
     return run
 
 
-def identify(docs: DataFrame, model: dict, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of every document with ``lang_pred`` and ``score``; the
-    prediction sees the text only."""
+def identify(docs: DataFrame, model: dict, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
+             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of every document with its language and score (called
+    ``names``); the prediction sees the text only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if f.name in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    rows = docs.select(*[f.name for f in kept], F.col(text_col).alias("__text"))
-    return rows.mapInArrow(predictions(shared), f"{schema}, lang_pred string, score double")
+    rows = docs.select(*keep, *[text_col][text_col in keep:])
+    schema = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
+    return rows.mapInArrow(predictions(shared, rows.columns.index(text_col), len(keep), [*keep, *names]),
+                           ", ".join([*schema, f"`{names[0]}` string", f"`{names[1]}` double"]))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, simhash, topk
-from quarry.llm.common import documents
+from quarry.llm import langid, mixing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, topk, toxicity, unigram
+from quarry.llm.common import documents, is_remainder, labels
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -17,6 +17,15 @@ def query(fn):
     return fn
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    held = is_remainder("doc_id", 4, 2)
+    return (langid.identify(docs, langid.train(docs.where(~held)))
+            .select("doc_id", held.alias("held_out"), "lang_pred", "score"))
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
@@ -25,6 +34,63 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("component").alias("component_id")))
 
 
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, how many are bytes, and the digest of what they
+    decode to."""
+    model = unigram.load()
+    rows = unigram.encode(documents(spark, sf_dir, "doc_id", "text"), model).drop("text")
+    kept = rows.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"),
+                       unigram.byte_pieces(model).alias("n_bytes"), "pieces", F.col("pieces").alias("again"))
+    return (unigram.decode(kept, model, "again")
+            .select("doc_id", F.when(F.col("pieces").isNotNull(), F.col("n_pieces")).otherwise(0).alias("n_pieces"),
+                    F.when(F.col("pieces").isNotNull(), F.col("n_bytes")).otherwise(0).alias("n_bytes"), "pieces",
+                    F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels that are not held out."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    held = is_remainder("doc_id", 3, 1)
+    model = toxicity.train(docs, labels(spark, sf_dir, "doc_id", "toxic").where(~held))
+    return (toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+            .select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")))
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to documents with smaller ids."""
+    rows = suffix_dedup.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op5_suffix_dedup"] = """
+WITH texts AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+starts AS (SELECT doc_id, b, unnest(range(0, greatest(n - 49, 0))) AS p FROM texts),
+strings AS (SELECT doc_id, p, b[p + 1:p + 50] AS s FROM starts),
+first_owner AS (SELECT s, min(doc_id) AS least FROM strings GROUP BY s),
+lost AS (
+  SELECT t.doc_id, t.p FROM strings t JOIN first_owner f ON t.s = f.s WHERE f.least < t.doc_id),
+runs AS (
+  SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM lost),
+numbered AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM runs),
+spans AS (SELECT doc_id, span, min(p) AS a, max(p) + 50 AS z FROM numbered GROUP BY doc_id, span),
+gaps AS (
+  SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS from_here FROM spans),
+cut AS (
+  SELECT g.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last,
+         string_agg(hex(t.b[from_here + 1:a]), '' ORDER BY a) AS head
+  FROM gaps g JOIN texts t ON t.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT t.doc_id, t.n::BIGINT AS n_bytes, coalesce(c.n_removed, 0)::BIGINT AS n_removed,
+       coalesce(c.n_spans, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN c.doc_id IS NULL THEN t.b ELSE unhex(coalesce(c.head, '') || hex(t.b[c.last + 1:t.n])) END) AS kept_sha256
+FROM texts t LEFT JOIN cut c ON c.doc_id = t.doc_id
+"""
+
+
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
@@ -70,6 +136,38 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copi
 """
 
 
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; documents of label 1 are trusted."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    trusted = labels(spark, sf_dir, "doc_id", "quality").where("quality = 1").select("doc_id")
+    return (quality_rules.rules(docs, trusted).withColumnRenamed("id", "doc_id")
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                    "base_failed", "kept", "ratio"))
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, as counts and digests of their spans."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    spans = secret_scan.scan(docs, secret_scan.train(docs))
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return spans.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"),
+                        F.sha2(secret_scan.span_digest(base).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.span_digest(F.col("spans")).alias("spans"))
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels that are not held out."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    held = is_remainder("doc_id", 5, 0)
+    weights = quality_classifier.train(docs, labels(spark, sf_dir, "doc_id", "quality").where(~held))
+    return (quality_classifier.score(docs, weights).withColumnRenamed("id", "doc_id")
+            .select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")))
+
+
 @query
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows for every vector whose id is divisible by 100."""

@@ -24,7 +24,7 @@ LINE_SQL = f"{speaker_label_sql('role')} || ': ' || coalesce(text, '')"
 
 
 def history_sql() -> str:
-    return f"""hist AS (SELECT conv_id * 1000 + turn AS q_id, conv_id, turn, role,
+    return f"""hist AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS q_id, conv_id, turn, role,
   coalesce(list(line) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS h
   FROM (SELECT *, {LINE_SQL} AS line FROM conversations))"""
 
@@ -32,15 +32,15 @@ def history_sql() -> str:
 @register("chat_history", "W4", lambda: f"""WITH {history_sql()}
 SELECT q_id, conv_id, turn, role, CAST(len(h) AS BIGINT) AS n_history, array_to_string(h, chr(10)) AS chat_history FROM hist""")
 def q_chat_history(spark, sf):
-    return H.chat_history(_conv(spark, sf))
+    return H.chat_history(_conv(spark, sf)).drop("text")
 
 
-def token_buffer_sql(limit: int = H.MAX_HISTORY_TOKENS) -> str:
+def token_buffer_sql(limit: int = H.MAX_HISTORY_TOKENS, conversations: str = "conversations") -> str:
     return f"""tb0 AS (SELECT *, {LINE_SQL} AS line,
-  coalesce(len({Q.token_list('text')}), 0) AS tok FROM conversations),
+  greatest(coalesce(len({Q.token_list('text')}), 0), 1) AS tok FROM {conversations}),
 tb1 AS (SELECT *, coalesce(sum(tok) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM tb0),
 tb2 AS (SELECT *, list({{'turn': turn, 'line': line}}) OVER (PARTITION BY conv_id ORDER BY p RANGE BETWEEN {limit} PRECEDING AND CURRENT ROW) AS cand FROM tb1),
-tb AS (SELECT conv_id * 1000 + turn AS q_id, conv_id, turn, role,
+tb AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS q_id, conv_id, turn, role, text,
   list_sort(list_filter(cand, lambda x: x.turn < turn)) AS kept FROM tb2)"""
 
 
@@ -48,26 +48,44 @@ tb AS (SELECT conv_id * 1000 + turn AS q_id, conv_id, turn, role,
 SELECT q_id, conv_id, turn, role, CAST(len(kept) AS BIGINT) AS n_history,
   array_to_string(list_transform(kept, lambda x: x.line), chr(10)) AS chat_history FROM tb""")
 def q_token_buffer(spark, sf):
-    return H.token_buffer(_conv(spark, sf))
+    return H.token_buffer(_conv(spark, sf)).drop("text")
 
 
-@register("nonempty_questions", "P13", """SELECT conv_id * 1000 + turn AS q_id, text AS question
+@register("nonempty_questions", "P13", """SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS q_id, text AS question
 FROM conversations WHERE role = 'user' AND text IS NOT NULL AND text <> ''""")
 def q_nonempty_questions(spark, sf):
     return H.nonempty_questions(_questions(spark, sf)).select("q_id", "question")
 
 
-@register("transcript_view", "P16", f"""SELECT conv_id, turn, CASE WHEN role = 'user' THEN '{H.PERSON_NAME}' ELSE '{H.BOT_NAME}' END AS name,
-CASE WHEN role = 'user' THEN 'right' ELSE 'left' END AS side, text FROM conversations""")
+LONG_SQL = "(SELECT conv_id % 3 AS conv_id, conv_id * 1000 + turn AS turn, role, text FROM conversations)"
+
+
+@register("token_buffer_long", "W5", lambda: f"""WITH {token_buffer_sql(conversations=LONG_SQL)}
+SELECT q_id, conv_id, turn, role, CAST(len(kept) AS BIGINT) AS n_history,
+  array_to_string(list_transform(kept, lambda x: x.line), chr(10)) AS chat_history FROM tb""")
+def q_token_buffer_long(spark, sf):
+    """Three conversations that hold all messages, with turns far above 1000."""
+    joined = _conv(spark, sf).select((F.col("conv_id") % 3).alias("conv_id"),
+                                     (F.col("conv_id") * 1000 + F.col("turn")).alias("turn"), "role", "text")
+    return H.token_buffer(joined).drop("text")
+
+
+@register("transcript_view", "P16,F11", f"""SELECT c.conv_id, c.turn, CASE WHEN role = 'user' THEN '{H.PERSON_NAME}' ELSE '{H.BOT_NAME}' END AS name,
+CASE WHEN role = 'user' THEN 'right' ELSE 'left' END AS side, text, strftime(e.ts, '%H:%M') AS time
+FROM conversations c LEFT JOIN events e ON e.event_id = c.conv_id * 10 + c.turn""")
 def q_transcript_view(spark, sf):
-    return H.transcript_view(_conv(spark, sf)).select("conv_id", "turn", "name", "side", "text")
+    """Messages with a time of day, taken from the events table."""
+    e = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").select("event_id", "ts")
+    timed = (_conv(spark, sf).withColumn("event_id", F.col("conv_id") * 10 + F.col("turn"))
+             .join(e, "event_id", "left"))
+    return H.transcript_view(timed, "ts").select("conv_id", "turn", "name", "side", "text", "time")
 
 
 ENC_SQL = ("replace(replace(replace(replace(replace(url_encode(coalesce(text, '')), '%21', '!'), '%2A', '*'), "
            "'%27', ''''), '%28', '('), '%29', ')')")
 
 
-@register("encode_question", "F9", f"""SELECT conv_id * 1000 + turn AS q_id, {ENC_SQL} AS encoded
+@register("encode_question", "F9", f"""SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS q_id, {ENC_SQL} AS encoded
 FROM conversations WHERE role = 'user'""")
 def q_encode_question(spark, sf):
     from quarry.functions.urls import encode_component
@@ -76,33 +94,34 @@ def q_encode_question(spark, sf):
 
 
 @register("parse_requests", "S11,F10", f"""SELECT q_id, request_url, url_decode(replace(regexp_extract(request_url, '[?&]msg=([^&#]*)', 1), '+', ' ')) AS msg
-FROM (SELECT conv_id * 1000 + turn AS q_id, '/get?msg=' || {ENC_SQL} AS request_url FROM conversations WHERE role = 'user')""")
+FROM (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS q_id, '/get?msg=' || {ENC_SQL} AS request_url FROM conversations WHERE role = 'user')""")
 def q_parse_requests(spark, sf):
     """Round trip: questions → request URLs (as the browser encodes them) → msg."""
     q = _questions(spark, sf).withColumn("question", F.coalesce(F.col("question"), F.lit("")))
     return parse_requests(to_requests(q)).select("q_id", "request_url", "msg")
 
 
-@register("build_prompt", "F6,F8", lambda: f"""WITH {history_sql()}
-SELECT q_id, {fill_template_sql(ANSWER_TEMPLATE, {'chat_history': "array_to_string(h, chr(10))", 'context': "''", 'question': 'text'})} AS prompt
-FROM hist JOIN (SELECT conv_id, turn, text FROM conversations) USING (conv_id, turn) WHERE role = 'user'""")
+HISTORY = "array_to_string(list_transform(kept, lambda x: x.line), chr(10))"
+
+
+@register("build_prompt", "F6,F8", lambda: f"""WITH {token_buffer_sql()}
+SELECT q_id, {fill_template_sql(ANSWER_TEMPLATE, {'chat_history': HISTORY, 'context': "''", 'question': 'text'})} AS prompt
+FROM tb WHERE role = 'user'""")
 def q_build_prompt(spark, sf):
-    """Answer prompt per user turn with its history; the original question is
-    used (rephrasing is off), the context slot left empty."""
-    h = H.chat_history(_conv(spark, sf)).where(F.col("role") == "user")
-    q = h.join(_conv(spark, sf).select("conv_id", "turn", "text"), ["conv_id", "turn"])
-    return q.select("q_id", fill_template(ANSWER_TEMPLATE, {"chat_history": F.col("chat_history"),
+    """Answer prompt per user turn with its token-bounded history; the original
+    question is used (rephrasing is off), the context slot left empty."""
+    h = H.token_buffer(_conv(spark, sf)).where(F.col("role") == "user")
+    return h.select("q_id", fill_template(ANSWER_TEMPLATE, {"chat_history": F.col("chat_history"),
                                                             "context": F.lit(""),
                                                             "question": F.col("text")}).alias("prompt"))
 
 
-@register("condense_prompt", "F7", lambda: f"""WITH {history_sql()}
-SELECT q_id, {fill_template_sql(CONDENSE_TEMPLATE, {'chat_history': "array_to_string(h, chr(10))", 'question': 'text'})} AS prompt
-FROM hist JOIN (SELECT conv_id, turn, text FROM conversations) USING (conv_id, turn) WHERE role = 'user'""")
+@register("condense_prompt", "F7", lambda: f"""WITH {token_buffer_sql()}
+SELECT q_id, {fill_template_sql(CONDENSE_TEMPLATE, {'chat_history': HISTORY, 'question': 'text'})} AS prompt
+FROM tb WHERE role = 'user'""")
 def q_condense_prompt(spark, sf):
-    h = H.chat_history(_conv(spark, sf)).where(F.col("role") == "user")
-    q = h.join(_conv(spark, sf).select("conv_id", "turn", "text"), ["conv_id", "turn"])
-    return q.select("q_id", fill_template(CONDENSE_TEMPLATE, {"chat_history": F.col("chat_history"),
+    h = H.token_buffer(_conv(spark, sf)).where(F.col("role") == "user")
+    return h.select("q_id", fill_template(CONDENSE_TEMPLATE, {"chat_history": F.col("chat_history"),
                                                               "question": F.col("text")}).alias("prompt"))
 
 

@@ -1,44 +1,44 @@
 """File-source queries (S5, S6).  The files are written by Spark from the
 ``documents`` table into a fresh folder under the checkpoint directory: one
-``.txt`` file per ``source``, holding its documents in ``doc_id`` order, one
-line each."""
+``.txt`` file per thousand ids, so no file grows with the corpus, holding its
+documents in ``doc_id`` order, one line each."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quarry.catalog import register
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import scratch_path
 from quarry.sources.files import directory_scan, text_scan
 from quarry.sources.tables import table
 
+PER_FILE = 1000
+FILES_SQL = f"""files AS (SELECT doc_id // {PER_FILE} AS file_no, string_agg(text || chr(10), '' ORDER BY doc_id) AS text
+FROM documents WHERE text IS NOT NULL GROUP BY ALL)"""
+
 
-def _write_sources(spark, sf, partitioned: bool = True) -> str:
-    path = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
-    docs = table(spark, sf, "documents", ["source", "doc_id", "text"]).where(F.col("text").isNotNull())
-    ordered = docs.repartition("source").sortWithinPartitions("source", "doc_id")
-    if partitioned:
-        ordered.select("source", "text").write.partitionBy("source").text(path)
-    else:
-        ordered.select("text").write.text(path)
+def _write_files(spark, sf) -> str:
+    path = scratch_path(spark, "files")
+    docs = table(spark, sf, "documents", ["doc_id", "text"]).where(F.col("text").isNotNull())
+    numbered = docs.withColumn("file_no", F.floor(F.col("doc_id") / PER_FILE))
+    (numbered.repartition("file_no").sortWithinPartitions("file_no", "doc_id")
+     .select("file_no", "text").write.partitionBy("file_no").text(path))
     return path
 
 
-@register("text_scan", "S5", """SELECT source, string_agg(text || chr(10), '' ORDER BY doc_id) AS text
-FROM documents WHERE text IS NOT NULL GROUP BY source""")
+def _file_no():
+    return F.regexp_extract("path", r"file_no=([0-9]+)/", 1).cast("bigint").alias("file_no")
+
+
+@register("text_scan", "S5", f"WITH {FILES_SQL} SELECT file_no, text FROM files")
 def q_text_scan(spark, sf):
-    path = _write_sources(spark, sf)
-    t = text_scan(spark, path, recursive=True)
-    return t.select(F.regexp_extract("path", r"source=([^/]*)/", 1).alias("source"), "text")
+    return text_scan(spark, _write_files(spark, sf), recursive=True).select(_file_no(), "text")
 
 
-@register("directory_scan", "S6", """SELECT 'txt' AS kind, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars
-FROM documents WHERE text IS NOT NULL""")
+@register("directory_scan", "S6", f"""WITH {FILES_SQL}
+SELECT file_no, 'txt' AS kind, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS digest FROM files""")
 def q_directory_scan(spark, sf):
-    """Suffix dispatch over one flat directory of Spark-written part files;
-    characters per kind (the number of part files is Spark's choice, the
-    total is not)."""
-    path = _write_sources(spark, sf, partitioned=False)
-    d = directory_scan(spark, path)
-    return d.groupBy("kind").agg(F.sum(F.length("text")).cast("bigint").alias("n_chars"))
+    """Suffix dispatch over the files of several directories (a glob), one row
+    per file."""
+    d = directory_scan(spark, _write_files(spark, sf) + "/file_no=*")
+    return d.select(_file_no(), "kind", F.length("text").cast("bigint").alias("n_chars"),
+                    F.sha2(F.col("text").cast("binary"), 256).alias("digest"))

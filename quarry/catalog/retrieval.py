@@ -2,22 +2,18 @@
 F14, S7-S9)."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.catalog import register
 from quarry.catalog import sqlfrag as Q
 from quarry.catalog.text import chunk_sql
-from quarry.catalog.web import PROCESSED_SQL, _crawl, _crawl_sql, _processed
 from quarry.functions import vectors as V
-from quarry.operators.crawl import processed_docs
 from quarry.operators.embed import embed
 from quarry.operators.knn import knn_join, retrieve_context, stuff_context, top_k_for_vector
 from quarry.plans.ask import ask, retrieve
-from quarry.plans.ingest import page_index
-from quarry.session import ensure_checkpoint_dir
+from quarry.plans.ingest import add_sites, page_index
+from quarry.session import scratch_path
 from quarry.sources.index_store import load_index, save_index
 from quarry.sources.tables import questions_from_conversations, scan_pages, table
 
@@ -28,8 +24,8 @@ def _index(spark, sf):
     """The page index as the ask path sees it: built once, saved as a new
     version (S7) under the checkpoint folder and read back (S8), so retrieval
     scans stored vectors instead of re-chunking and re-embedding."""
-    path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
-    save_index(page_index(scan_pages(spark, sf)), path, 1)
+    path = scratch_path(spark, "index")
+    save_index(page_index(scan_pages(spark, sf)), path)
     return load_index(spark, path)
 
 
@@ -41,7 +37,7 @@ def _emb_summary(df, cols):
     e = F.col("embedding")
     return df.select(*cols,
                      F.size(F.filter(e, lambda x: x != 0)).cast("bigint").alias("nnz"),
-                     F.round(F.aggregate(F.transform(e, lambda x, i: x * (i + 1)), F.lit(0.0),
+                     F.round(F.aggregate(F.transform(e, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0),
                                          lambda a, y: a + y), 6).alias("checksum"))
 
 
@@ -56,7 +52,7 @@ pchunks AS (SELECT url AS source, chunk_idx, start, text,
   sha256(url || '#' || CAST(chunk_idx AS VARCHAR)) AS chunk_id FROM chunks)""")
 
 
-QUESTIONS_SQL = "qs AS (SELECT conv_id * 1000 + turn AS q_id, text AS question FROM conversations WHERE role = 'user')"
+QUESTIONS_SQL = "qs AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS q_id, text AS question FROM conversations WHERE role = 'user')"
 
 
 def emb_summary_sql(chunks: str, key: str, extra: str = "", show_key: bool = True) -> str:
@@ -108,38 +104,137 @@ def q_build_index(spark, sf):
           + emb_summary_sql("pchunks", "chunk_id", "c.source, c.chunk_idx, c.text, "))
 def q_index_roundtrip(spark, sf):
     """Write the index as a new version under the checkpoint folder, read it back."""
-    path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
-    save_index(_index(spark, sf), path, 1)
+    path = scratch_path(spark, "index")
+    save_index(_index(spark, sf), path)
     idx = load_index(spark, path).withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
     return _emb_summary(idx, ["source", "chunk_idx", "text", "chunk_id"])
 
 
-@register("incremental_index", "M8", lambda: "WITH RECURSIVE " + page_chunks_sql() + ", "
-          + emb_summary_sql("pchunks", "chunk_id", "c.source, c.chunk_idx, c.text, "))
-def q_incremental_index(spark, sf):
-    """Run 1 indexed the https pages; run 2 chunks and embeds only pages not
-    processed before and appends them.  Equals a full rebuild."""
-    pages = scan_pages(spark, sf)
-    old = _processed(spark, sf)
-    first = page_index(processed_docs(pages, old))
-    added = page_index(pages.join(old, "url", "left_anti"))
-    idx = first.unionByName(added).withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
+# ---- adding sites ----------------------------------------------------------
+# Sites of 20 pages each are derived from ``pages`` in both engines: a seed page
+# lists every third page of its site, a PDF and a foreign page; each page links
+# to the next of its site (a cycle), to a page of another site and to a missing
+# one, and has a link in a comment; every fifth page was fetched twice.
+
+SITE = 20
+SITE_BUDGET = 8
+
+
+def _site_pages(spark, sf):
+    p = scan_pages(spark, sf)
+    site = F.floor(F.col("page_id") / SITE).cast("long")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    nxt = site * SITE + (F.col("page_id") + 1) % SITE
+    own = p.select("page_id", text("https://s", site, ".example/p", F.col("page_id")).alias("url"),
+                   F.when(F.col("page_id") % 11 != 10, F.concat(
+                       F.coalesce("html", F.lit("")),
+                       text("<p>page ", F.col("page_id"), "</p><a href='/p", nxt, "'>n</a><a href='/p", F.col("page_id") + SITE,
+                            "'>o</a><a href=/gone", F.col("page_id"), ">g</a><!-- <a href='/hidden'>h</a> -->"))).alias("html"),
+                   nxt.alias("nxt"))
+    again = own.where("page_id % 5 = 0").select(
+        (F.col("page_id") + 1000000000).alias("page_id"), "url",
+        text("<p>again ", F.col("page_id"), "</p><a href='/p", F.col("nxt"), "'>n</a>").alias("html"))
+    links = F.transform(F.array_sort(F.collect_list("page_id")), lambda i: F.concat(
+        F.lit('<a href="https://s'), F.floor(i / SITE).cast("string"), F.lit(".example/p"), i.cast("string"), F.lit('">x</a>')))
+    seeds = (p.where("page_id % 3 = 0").groupBy(site.alias("site")).agg(F.array_join(links, "").alias("a"))
+             .select((-1 - F.col("site")).alias("page_id"), text("https://s", F.col("site"), ".example/").alias("url"),
+                     text(F.col("a"), "<a href='https://s", F.col("site"), ".example/d.pdf'>d</a><a href='https://far.example/'>f</a>")
+                     .alias("html")))
+    return own.drop("nxt").unionByName(again).unionByName(seeds)
+
+
+def _site_seeds(pages):
+    return pages.where("page_id < 0").select(F.col("url").alias("seed_url"), (-1 - F.col("page_id")).alias("site"))
+
+
+def _site_pdfs(pages):
+    return pages.where("page_id < 0").select(F.concat("url", F.lit("d.pdf")).alias("source"),
+                                             F.concat(F.lit("the printed matter of "), "url").alias("text"))
+
+
+def site_crawl_sql() -> str:
+    """The site pages and their crawl, as ``lastp`` (last fetches) and ``fetched``."""
+    site = f"(page_id // {SITE})"
+    nxt = f"({site} * {SITE} + (page_id + 1) % {SITE})"
+    seed_links = Q.extract_links("(SELECT * FROM lastp WHERE page_id < 0)")
+    page_links = Q.extract_links("(SELECT p.* FROM lastp p SEMI JOIN (SELECT url FROM l0 WHERE status = 'inside') e USING (url))")
+    return f"""own AS (SELECT page_id, 'https://s' || {site} || '.example/p' || page_id AS url, {nxt} AS nxt,
+  CASE WHEN page_id % 11 <> 10 THEN concat(coalesce(html, ''), '<p>page ', page_id, '</p><a href=''/p', {nxt},
+    '''>n</a><a href=''/p', page_id + {SITE}, '''>o</a><a href=/gone', page_id, '>g</a><!-- <a href=''/hidden''>h</a> -->') END AS html
+  FROM pages),
+sitep AS (SELECT page_id, url, html FROM own
+  UNION ALL SELECT page_id + 1000000000, url, concat('<p>again ', page_id, '</p><a href=''/p', nxt, '''>n</a>')
+    FROM own WHERE page_id % 5 = 0
+  UNION ALL SELECT -1 - {site}, 'https://s' || {site} || '.example/', concat(
+    string_agg('<a href="https://s' || {site} || '.example/p' || page_id || '">x</a>', '' ORDER BY page_id),
+    '<a href=''https://s', {site}, '.example/d.pdf''>d</a><a href=''https://far.example/''>f</a>')
+    FROM pages WHERE page_id % 3 = 0 GROUP BY {site}),
+lastp AS (SELECT page_id, url, html FROM (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id DESC) AS rn FROM sitep) WHERE rn = 1),
+st AS (SELECT url, CASE WHEN html IS NOT NULL THEN 'inside' ELSE 'wrong' END AS f FROM lastp),
+sl AS (SELECT DISTINCT page_url AS seed_url, {Q.derive_base('page_url')} AS base, href AS url, {Q.route('href')} AS route
+  FROM ({seed_links}) WHERE href <> ''),
+sf AS (SELECT * FROM sl WHERE route = 'pdf' OR (route = 'page' AND contains(url, base))),
+l0 AS (SELECT sf.seed_url, sf.base, sf.url, CAST(0 AS BIGINT) AS level, coalesce(st.f, 'wrong') AS status
+  FROM sf LEFT JOIN st USING (url) WHERE route = 'page'),
+raw AS (SELECT page_url, href FROM ({page_links})),
+nl AS (SELECT l0.seed_url, l0.base, {Q.normalize('raw.href')} AS href FROM raw JOIN l0 ON raw.page_url = l0.url),
+ac AS (SELECT DISTINCT seed_url, base, {Q.absolute('base', 'href')} AS url FROM nl
+  WHERE href IS NOT NULL AND href <> '' AND NOT contains(href, 'http') AND {Q.accept('base', 'href')}),
+l1c AS (SELECT * FROM ac a WHERE contains(url, base)
+  AND NOT EXISTS (SELECT 1 FROM l0 WHERE l0.seed_url = a.seed_url AND l0.url = a.url)),
+l1 AS (SELECT l1c.seed_url, l1c.base, l1c.url, CAST(1 AS BIGINT) AS level,
+  CASE WHEN contains(l1c.url, '.pdf') THEN 'pdf' ELSE coalesce(st.f, 'wrong') END AS status FROM l1c LEFT JOIN st USING (url)),
+crawled AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1
+  UNION ALL SELECT seed_url, base, url, CAST(0 AS BIGINT), 'pdf' FROM sf WHERE route = 'pdf'),
+fetched AS (SELECT seed_url, base, url, level, status, status <> 'pdf' AND r <= {SITE_BUDGET} AS fetched FROM (
+  SELECT *, row_number() OVER (PARTITION BY seed_url, status = 'pdf' ORDER BY level, url) AS r FROM crawled))"""
+
+
+def site_index_sql() -> str:
+    docs = f"""(SELECT url, {Q.clean(Q.html_to_text_sql('html'))} AS t FROM lastp
+  WHERE url IN (SELECT url FROM fetched WHERE fetched AND status = 'inside')
+  UNION ALL SELECT url, 'the printed matter of ' || seed_url FROM fetched WHERE status = 'pdf')"""
+    return ("WITH RECURSIVE " + site_crawl_sql() + ", " + chunk_sql(docs, "url", "t")
+            + """, pchunks AS (SELECT url AS source, chunk_idx, start, text,
+  sha256(url || '#' || CAST(chunk_idx AS VARCHAR)) AS chunk_id FROM chunks), """
+            + emb_summary_sql("pchunks", "chunk_id", "c.source, c.chunk_idx, c.text, "))
+
+
+def _add(spark, pages, path, seeds):
+    return add_sites(spark, seeds.select("seed_url"), pages, path, _site_pdfs(pages), SITE_BUDGET)
+
+
+@register("crawl_sites", "P8,P9,P10,P11,P17,T3", lambda: "WITH " + site_crawl_sql()
+          + " SELECT seed_url, base, url, level, status, fetched FROM fetched")
+def q_crawl_sites(spark, sf):
+    """The crawl of an add request: seed routing, two levels, repeated fetches
+    of a URL, a budget that binds."""
+    pages = _site_pages(spark, sf)
+    return _add(spark, pages, scratch_path(spark, "index"), _site_seeds(pages)).select(
+        "seed_url", "base", "url", "level", "status", "fetched")
+
+
+@register("ingest_pipeline", "M9,P17,J4,U1,U2,U3,S7,S8", site_index_sql)
+def q_ingest_pipeline(spark, sf):
+    """Add request: seeds → crawl → pages and PDFs → clean → chunk → embed →
+    committed index version, read back."""
+    pages, path = _site_pages(spark, sf), scratch_path(spark, "index")
+    _add(spark, pages, path, _site_seeds(pages))
+    idx = load_index(spark, path).withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
     return _emb_summary(idx, ["source", "chunk_idx", "text", "chunk_id"])
 
 
-@register("ingest_pipeline", "M9,P17,J4,U1", lambda: "WITH RECURSIVE " + PROCESSED_SQL + ", " + _crawl_sql(True) + ", "
-          + page_chunks_sql("url IN (SELECT url FROM crawled WHERE status = 'inside' UNION SELECT url FROM processed)")
-          + ", "
-          + emb_summary_sql("pchunks", "chunk_id", "c.source, c.chunk_idx, "))
-def q_ingest_pipeline(spark, sf):
-    """Add request: crawl, merge the processed set, load every processed page,
-    clean, chunk, embed."""
-    from quarry.operators.crawl import processed_union
-    pages = scan_pages(spark, sf)
-    crawled = _crawl(spark, sf, _processed(spark, sf))
-    processed = processed_union(crawled.where(F.col("status") == "inside"), _processed(spark, sf))
-    idx = page_index(processed_docs(pages, processed)).withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
-    return _emb_summary(idx, ["source", "chunk_idx", "chunk_id"])
+@register("incremental_index", "M8", site_index_sql)
+def q_incremental_index(spark, sf):
+    """Two requests: the even sites, then all; the second chunks and embeds only
+    what the index does not hold."""
+    pages, path = _site_pages(spark, sf), scratch_path(spark, "index")
+    seeds = _site_seeds(pages)
+    _add(spark, pages, path, seeds.where("site % 2 = 0"))
+    _add(spark, pages, path, seeds.where("site % 2 = 1"))
+    idx = load_index(spark, path).withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
+    return _emb_summary(idx, ["source", "chunk_idx", "text", "chunk_id"])
 
 
 @register("knn_join", "J5,W1,M4", lambda: "WITH RECURSIVE " + page_chunks_sql() + ", " + QUESTIONS_SQL + ", "
@@ -170,11 +265,11 @@ def q_stuff_context(spark, sf):
 
 
 @register("top_chunk", "T1", lambda: "WITH RECURSIVE " + page_chunks_sql() + """,
-qs AS (SELECT item_id AS q_id, text AS question FROM benchmark ORDER BY item_id LIMIT 1), """
+qs AS (SELECT item_id AS q_id, text AS question FROM benchmark ORDER BY length(text) DESC, item_id LIMIT 1), """
           + knn_sql("qs", 1) + " SELECT chunk_id, round(dist, 6) AS dist FROM ranked")
 def q_top_chunk(spark, sf):
-    """One question (the first benchmark item): native distance + orderBy/limit."""
-    q = table(spark, sf, "benchmark").orderBy("item_id").limit(1).select("text")
+    """One question (the longest benchmark item): native distance + orderBy/limit."""
+    q = table(spark, sf, "benchmark").orderBy(F.desc(F.length("text")), "item_id").limit(1).select("text")
     vec = embed(q, "text").first()["embedding"]
     top = top_k_for_vector(_index(spark, sf), vec, k=1)
     return top.select("chunk_id", F.round("dist", 6).alias("dist"))

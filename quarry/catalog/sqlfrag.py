@@ -1,12 +1,12 @@
-"""DuckDB fragments for the oracle strings, written against the same fixed
-values as the Spark expressions (one definition of each rule)."""
+"""DuckDB fragments for the oracle strings.  Fixed values (word lists, sizes) are
+the Spark code's; link extraction is written here from the rule, so that it
+checks the Spark patterns instead of repeating them."""
 from __future__ import annotations
 
 from quarry.functions.html import HTML_ENTITIES, html_to_text_sql, sql_lit
 from quarry.functions.text import STRIP_PATTERN, TOKEN_PATTERN, WORD_SPLIT
 from quarry.functions.urls import AT_MOST_ONCE, BLOCKED_HREF_NEEDLES, MAX_SEED_SLASHES
 from quarry.operators.embed import DEFAULT_DIM
-from quarry.operators.links import LINK_TAGS, UNQUOTE_PATTERN, tag_href_pattern
 
 __all__ = ["html_to_text_sql", "sql_lit"]
 
@@ -56,8 +56,17 @@ def route(h: str) -> str:
     return f"(CASE WHEN contains({h}, '.pdf') THEN 'pdf' WHEN contains({h}, 'http') THEN 'page' ELSE 'skip' END)"
 
 
+def elements(html: str) -> str:
+    """A page without comments, scripts and style sheets."""
+    out = f"regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in ("script", "style"):
+        out = f"regexp_replace({out}, '(?s)<{tag}\\b.*?</{tag}[ \\t\\n\\r\\f]*>', ' ', 'gi')"
+    return out
+
+
 def unquote(raw: str) -> str:
-    out = f"regexp_replace({raw}, {sql_lit(UNQUOTE_PATTERN)}, '', 'g')"
+    quoted = f"(prefix({raw}, chr(34)) OR prefix({raw}, chr(39)))"
+    out = f"CASE WHEN {quoted} THEN substring({raw}, 2, length({raw}) - 2) ELSE {raw} END"
     for ent, ch in HTML_ENTITIES:
         out = f"replace({out}, {sql_lit(ent)}, {sql_lit(ch)})"
     return out
@@ -65,13 +74,17 @@ def unquote(raw: str) -> str:
 
 def extract_links(pages: str = "pages", id_col: str = "page_id", url_col: str = "url",
                   html_col: str = "html") -> str:
+    """Every href of <a>, then of <link> elements: a tag name, white space, maybe
+    other attributes, ``href =`` and a quoted or a bare value."""
+    white = "[ \\t\\n\\r\\f]"
+    value = "(\"[^\"]*\"|''[^'']*''|[^ \\t\\n\\r\\f>\"'']+)"
     parts = []
-    for rank, tag in enumerate(LINK_TAGS):
-        pat = sql_lit(tag_href_pattern(tag))
+    for rank, tag in enumerate(("a", "link")):
+        pattern = f"'(?i)<{tag}{white}([^>]*?{white})?href{white}*={white}*{value}'"
+        found = f"regexp_extract_all({elements(html_col)}, {pattern}, 2)"
         parts.append(
             f"SELECT {id_col} AS page_id, {url_col} AS page_url, '{tag}' AS tag, CAST({rank} AS BIGINT) AS tag_rank, "
-            f"CAST(generate_subscripts(regexp_extract_all({html_col}, {pat}, 1), 1) - 1 AS BIGINT) AS pos, "
-            f"unnest(regexp_extract_all({html_col}, {pat}, 1)) AS raw FROM {pages}")
+            f"CAST(generate_subscripts({found}, 1) - 1 AS BIGINT) AS pos, unnest({found}) AS raw FROM {pages}")
     u = " UNION ALL ".join(parts)
     return f"SELECT page_id, page_url, tag, tag_rank, pos, {unquote('raw')} AS href FROM ({u})"
 
@@ -85,7 +98,7 @@ def sparse_embedding(src: str, key: str, text: str, dim: int = DEFAULT_DIM) -> s
     return f"""(WITH _w AS (SELECT {key} AS k, unnest(regexp_split_to_array(lower({text}), {sql_lit(WORD_SPLIT)})) AS w FROM {src}),
 _b AS (SELECT k, {words_bucket('w', dim)} AS b, CAST(count(*) AS DOUBLE) AS c FROM _w WHERE w <> '' GROUP BY ALL),
 _n AS (SELECT k, sqrt(sum(c * c)) AS nrm FROM _b GROUP BY k)
-SELECT _b.k AS {key}, b, c / nrm AS v FROM _b JOIN _n USING (k))"""
+SELECT _b.k AS {key}, b, CAST(CAST(c / nrm AS FLOAT) AS DOUBLE) AS v FROM _b JOIN _n USING (k))"""
 
 
 def token_list(text: str) -> str:

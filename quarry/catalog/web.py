@@ -24,13 +24,13 @@ def _links(spark, sf):
 
 
 def _candidates(spark, sf):
-    """Link hrefs plus page URLs, with the base of the page they are on."""
+    """Link hrefs plus page URLs, with the base of the page they are on (a
+    function of its URL, which every row has)."""
     pages = scan_pages(spark, sf)
-    links = _links(spark, sf).select("page_id", "tag", F.col("pos").cast("bigint").alias("pos"), "href")
+    links = _links(spark, sf).select("page_id", "tag", F.col("pos").cast("bigint").alias("pos"), "href", "page_url")
     urls = pages.select("page_id", F.lit("url").alias("tag"), F.lit(0).cast("bigint").alias("pos"),
-                        F.col("url").alias("href"))
-    base = pages.select("page_id", U.derive_base(F.col("url")).alias("base"))
-    return links.unionByName(urls).join(base, "page_id")
+                        F.col("url").alias("href"), F.col("url").alias("page_url"))
+    return links.unionByName(urls).withColumn("base", U.derive_base(F.col("page_url"))).drop("page_url")
 
 
 CAND_SQL = f"""cand AS (

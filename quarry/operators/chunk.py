@@ -1,26 +1,29 @@
 """M1: recursive character chunking, size 1000 / overlap 50.
 
-Semantics (separators ``"\\n\\n"``, ``"\\n"``, ``" "``, ``""``; the separator
-stays at the start of the following piece; greedy merge with overlap; chunks
-are stripped of white space and empty ones dropped).
-
-Plan: documents without newlines and without a 999-character run of
-non-spaces (all of the ingest path, where newlines were deleted) are chunked by
-a native ``aggregate`` fold over chunk start offsets: one step per chunk, each
-step a couple of ``locate``/``substring`` calls, no arrays of words.  The rest
-goes through an Arrow ``mapInPandas`` running the full recursive rule, on only
-those rows.  Both paths are partition-local: chunking never shuffles.
+Rule: a text is cut before every occurrence of the first of the separators
+(blank line, newline, space, nothing) that it contains.  A piece of ``size``
+characters or more is cut again by the separators after that one; runs of
+shorter pieces are joined greedily into chunks of at most ``size`` characters,
+and a chunk repeats at most ``overlap`` characters of the one before.  Chunks
+are stripped of white space and empty ones dropped.
+
+Joining needs no pieces, only their bounds ``b``: a chunk that starts at ``a``
+ends at the last bound up to ``a + size``, and the next one starts at the first
+bound that leaves at most ``overlap`` characters of it and room for the next
+piece.  Both are binary searches, so a text costs time linear in its length
+plus a search per chunk, with or without spaces.  Texts are handled in Arrow
+batches; chunking never shuffles.
 """
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.text import STRIP_PATTERN
-from quarry.operators.parallel import spread
-
 # --- fixed values -----------------------------------------------------------
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 50
@@ -28,40 +31,68 @@ SEPARATORS = ["\n\n", "\n", " ", ""]
 # ----------------------------------------------------------------------------
 
 
-def _fold_expr(t: str, n: str, size: int, overlap: int) -> str:
-    """Spark SQL: array<struct<a:int,b:int>> of chunk [a, b) offsets (0-based)."""
-    # first space at or after 0-based x, else n
-    def first_space(x: str) -> str:
-        return f"IF(locate(' ', {t}, ({x}) + 1) = 0, {n}, locate(' ', {t}, ({x}) + 1) - 1)"
-
-    # chunk end for a start a: the text end, or the last space in (a, a+size]
-    def chunk_end(a: str) -> str:
-        return (f"IF({n} - ({a}) <= {size}, {n}, "
-                f"({a}) + {size + 1} - instr(reverse(substring({t}, ({a}) + 1, {size + 1})), ' '))")
-
-    step = (
-        f"transform(array(greatest(acc.a, acc.b - {overlap}, {first_space('acc.b + 1')} - {size})), x -> "
-        f"transform(array(IF(x = acc.a, acc.a, {first_space('x')})), a2 -> "
-        f"transform(array({chunk_end('a2')}), b2 -> "
-        f"named_struct('a', a2, 'b', b2, 'out', concat(acc.out, array(named_struct('a', a2, 'b', b2)))))[0])[0])[0]"
-    )
-    init_b = chunk_end("0")
-    steps = f"2 * CAST(ceil({n} / {size - overlap}) AS INT) + 2"
-    return (
-        f"aggregate(sequence(1, {steps}), "
-        f"named_struct('a', 0, 'b', {init_b}, 'out', array(named_struct('a', 0, 'b', {init_b}))), "
-        f"(acc, i) -> IF(acc.b >= {n} OR acc.b <= acc.a, acc, {step}))"
-    )
-
-
-def _sql_pattern(p: str) -> str:
-    """A regex as the body of a Spark SQL string literal (backslashes escaped)."""
-    return p.replace("\\", "\\\\").replace("'", "\\'")
-
-
-def _needs_fallback(text_col: str, size: int) -> F.Column:
-    # newline separators apply, or a piece (space + word) of `size` characters
-    return F.col(text_col).contains("\n") | F.col(text_col).rlike(f"[^ ]{{{size - 1}}}")
+def cut_points(text: str, lo: int, hi: int, separator: str) -> np.ndarray:
+    """Bounds of the pieces of ``text[lo:hi]``: its ends and every place where a
+    separator begins, found left to right without overlap."""
+    found, at = [lo], text.find(separator, lo, hi)
+    while at >= 0:
+        found.append(at)
+        at = text.find(separator, at + len(separator), hi)
+    bounds = np.array([*found, hi], dtype=np.int64)
+    return bounds[np.concatenate([[True], np.diff(bounds) > 0])]
+
+
+def joined(bounds: np.ndarray, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Chunks over pieces that are all shorter than ``size``."""
+    start, end = int(bounds[0]), int(bounds[-1])
+    while end - start > size:
+        last = int(np.searchsorted(bounds, start + size, side="right")) - 1
+        stop, after = int(bounds[last]), int(bounds[last + 1])
+        yield start, stop
+        start = int(bounds[np.searchsorted(bounds, max(start, stop - overlap, after - size))])
+    if end > start:
+        yield start, end
+
+
+def strides(lo: int, hi: int, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Chunks of characters that no separator cuts."""
+    step = size - min(overlap, size - 1)
+    for start in range(lo, hi, step):
+        yield start, min(hi, start + size)
+        if start + size >= hi:
+            return
+
+
+def spans(text: str, size: int, overlap: int, lo: int = 0, hi: int | None = None,
+          separators: list[str] = SEPARATORS) -> Iterator[tuple[int, int]]:
+    """Chunks of ``text[lo:hi]`` as (start, end), before stripping."""
+    hi = len(text) if hi is None else hi
+    level = next(i for i, s in enumerate(separators) if not s or text.find(s, lo, hi) >= 0)
+    if not separators[level]:
+        yield from strides(lo, hi, size, overlap)
+        return
+    bounds = cut_points(text, lo, hi, separators[level])
+    first = 0
+    for piece in [*np.flatnonzero(np.diff(bounds) >= size).tolist(), len(bounds) - 1]:
+        if piece > first:
+            yield from joined(bounds[first:piece + 1], size, overlap)
+        if piece < len(bounds) - 1:
+            yield from spans(text, size, overlap, int(bounds[piece]), int(bounds[piece + 1]), separators[level + 1:])
+        first = piece + 1
+
+
+def split_text(text: str | None, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[tuple[int, str]]:
+    """[(start, chunk text)] of one text."""
+    if not text:
+        return []
+    out, end = [], 0
+    for start, end in spans(text, size, overlap):
+        chunk = text[start:end].strip()
+        if chunk:
+            out.append((start, chunk))
+    if end != len(text):
+        raise AssertionError("the chunks do not reach the end of the text")
+    return out
 
 
 def chunk_documents(docs: DataFrame, key_cols: list[str], text_col: str = "text",
@@ -69,111 +100,25 @@ def chunk_documents(docs: DataFrame, key_cols: list[str], text_col: str = "text"
     """Return ``key_cols + [chunk_idx:int, start:int, text:string]``.
 
     ``start`` is the 0-based character offset of the chunk (before stripping).
+    A null or empty text has no chunks.
     """
-    # no null filter here: it would be pushed down and evaluate the text
-    # expression a second time; a null text yields a null array and no rows
-    base = spread(docs.select(*key_cols, F.col(text_col).alias("_t")))
-    chunk_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()),
-                                           T.StructField("text", T.StringType())]))
-
-    @F.pandas_udf(chunk_type)
-    def _py_chunks(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else
-                          [{"start": a, "text": x} for a, x in split_text(t, size, overlap)]
-                          for t in texts])
-
-    # One pass, one projection: rows that need the full recursive rule (rare;
-    # none in the ingest path) reach Python through an Arrow UDF whose input
-    # is null for every other row, so the text expression is computed once and
-    # no second branch re-reads the input.  The text and its length are bound
-    # once as lambda variables (``d.t``, ``d.n``): referenced directly,
-    # Catalyst would inline the whole cleaning chain into every fold step.
-    # ``posexplode_outer`` keeps the optimizer from inferring a filter that
-    # re-evaluates the fold.
-    fold = _fold_expr("d.t", "d.n", size, overlap)
-    native_expr = (
-        f"transform(array(named_struct('t', _t, 'n', length(_t))), d -> "
-        f"filter(transform(({fold}).out, s -> named_struct('start', s.a, 'text', "
-        f"regexp_replace(substring(d.t, s.a + 1, s.b - s.a), '{_sql_pattern(STRIP_PATTERN)}', ''))), "
-        f"c -> c.text != ''))[0]")
-    routed = base.withColumn("_py", _py_chunks(F.when(_needs_fallback("_t", size), F.col("_t"))))
-    chunks = F.when(F.col("_py").isNotNull(), F.col("_py")).otherwise(F.expr(native_expr))
-    return (routed.select(*key_cols, F.posexplode_outer(chunks).alias("chunk_idx", "_c"))
-            .where(F.col("_c").isNotNull())
-            .select(*key_cols, "chunk_idx", F.col("_c.start").alias("start"),
-                    F.col("_c.text").alias("text")))
-
-
-# --------------------------------------------------------------------------
-# Reference rule in plain Python, used for the fallback rows and as the
-# brute-force check in tests.  Offsets are tracked so chunks carry `start`.
-# --------------------------------------------------------------------------
-
-def _pieces(text: str, start: int, sep: str) -> list[tuple[int, str]]:
-    if sep == "":
-        return [(start + i, ch) for i, ch in enumerate(text)]
-    out, pos = [], 0
-    idx = text.find(sep)
-    first_end = idx if idx >= 0 else len(text)
-    if first_end > 0:
-        out.append((start, text[:first_end]))
-    pos = first_end
-    while pos < len(text):
-        nxt = text.find(sep, pos + len(sep))
-        end = nxt if nxt >= 0 else len(text)
-        out.append((start + pos, text[pos:end]))
-        pos = end
-    return [p for p in out if p[1] != ""]
-
-
-def _merge(pieces: list[tuple[int, str]], size: int, overlap: int) -> list[tuple[int, str]]:
-    docs, cur, total = [], [], 0
-    for p in pieces:
-        ln = len(p[1])
-        if total + ln > size and cur:
-            txt = "".join(x[1] for x in cur).strip()
-            if txt:
-                docs.append((cur[0][0], txt))
-            while total > overlap or (total + ln > size and total > 0):
-                total -= len(cur[0][1])
-                cur = cur[1:]
-        cur.append(p)
-        total += ln
-    txt = "".join(x[1] for x in cur).strip()
-    if txt:
-        docs.append((cur[0][0], txt))
-    return docs
-
-
-def _split(text: str, start: int, seps: list[str], size: int, overlap: int) -> list[tuple[int, str]]:
-    sep, rest = seps[-1], []
-    for i, s in enumerate(seps):
-        if s == "":
-            sep = s
-            break
-        if s in text:
-            sep, rest = s, seps[i + 1:]
-            break
-    chunks, good = [], []
-    for p in _pieces(text, start, sep):
-        if len(p[1]) < size:
-            good.append(p)
-            continue
-        if good:
-            chunks.extend(_merge(good, size, overlap))
-            good = []
-        if not rest:
-            chunks.append(p)
-        else:
-            chunks.extend(_split(p[1], p[0], rest, size, overlap))
-    if good:
-        chunks.extend(_merge(good, size, overlap))
-    return chunks
-
-
-def split_text(text: str | None, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-               separators: list[str] | None = None) -> list[tuple[int, str]]:
-    """[(start, chunk_text)] for one text."""
-    if not text:
-        return []
-    return _split(text, 0, separators or SEPARATORS, size, overlap)
+    rows = docs.select(*key_cols, F.col(text_col).alias("_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("chunk_idx", T.IntegerType()),
+                           T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType())])
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, place, start, chunk = [], [], [], []
+            for i, text in enumerate(b.column(len(names) - 3).to_pylist()):
+                for n, (at, part) in enumerate(split_text(text, size, overlap)):
+                    row.append(i)
+                    place.append(n)
+                    start.append(at)
+                    chunk.append(part)
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[c.take(take) for c in b.columns[:-1]], pa.array(place, pa.int32()), pa.array(start, pa.int32()),
+                 pa.array(chunk, pa.string())], names=names)
+
+    return rows.mapInArrow(run, schema)

@@ -11,7 +11,7 @@ keeps its smallest level, so the result does not depend on set iteration order.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import urls as U
@@ -25,19 +25,25 @@ DEFAULT_MAX_PAGES = 150
 # ----------------------------------------------------------------------------
 
 
-def _fetch_status(pages: DataFrame) -> DataFrame:
-    cols = ["url", "html"] + (["status_code"] if "status_code" in pages.columns else [])
-    p = pages.select(*cols)
-    ok = F.col("html").isNotNull()
-    if "status_code" in cols:
-        ok = ok & (F.coalesce(F.col("status_code"), F.lit(200)) != 404)
-    return p.select("url", F.when(ok, "inside").otherwise("wrong").alias("_fetched"))
+def fetch_status(pages: DataFrame) -> DataFrame:
+    """One row per URL, ``url, _fetched, _version``: of several fetches of a URL
+    the last counts (greatest ``page_id``; without that column the greatest
+    hash of the html).  Narrow; the only step that reads ``html`` to classify."""
+    status = F.col("status_code") if "status_code" in pages.columns else F.lit(200)
+    ok = F.col("html").isNotNull() & (F.coalesce(status, F.lit(200)) != 404)
+    return (pages.select("url", _version(pages).alias("_version"), ok.alias("_ok"))
+            .groupBy("url").agg(F.max("_version").alias("_version"), F.max_by("_ok", "_version").alias("_ok"))
+            .select("url", F.when(F.col("_ok"), "inside").otherwise("wrong").alias("_fetched"), "_version"))
 
 
-def fetch_status(pages: DataFrame) -> DataFrame:
-    """Narrow ``url, _fetched`` table: the only step that reads ``html`` to
-    classify; build it once per crawl and reuse it for every round."""
-    return _fetch_status(pages)
+def _version(pages: DataFrame) -> Column:
+    return F.col("page_id").cast("long") if "page_id" in pages.columns else F.coalesce(F.xxhash64("html"), F.lit(0))
+
+
+def last_fetch(pages: DataFrame, status: DataFrame, columns: tuple[str, ...] = ("url", "html")) -> DataFrame:
+    """The pages, one row per URL of ``status`` (by its ``_version``)."""
+    versioned = pages.select(*columns, _version(pages).alias("_version"))
+    return versioned.join(status.select("url", "_version"), ["url", "_version"]).dropDuplicates(["url"]).select(*columns)
 
 
 def classify_links(frontier: DataFrame, pages: DataFrame | None = None,
@@ -45,8 +51,8 @@ def classify_links(frontier: DataFrame, pages: DataFrame | None = None,
     """Left join on URL; a miss, no html or a 404 is ``wrong``, every
     other status (403, 500, ...) is ``inside``.  Pass ``status`` (from
     :func:`fetch_status`) to avoid re-reading the pages."""
-    st = status if status is not None else _fetch_status(pages)
-    return (frontier.join(st, "url", "left")
+    st = status if status is not None else fetch_status(pages)
+    return (frontier.join(st.select("url", "_fetched"), "url", "left")
             .withColumn("status", F.coalesce(F.col("_fetched"), F.lit("wrong")))
             .drop("_fetched"))
 
@@ -58,11 +64,13 @@ def seed_frontier(seeds: DataFrame, pages: DataFrame, processed: DataFrame | Non
     links are not normalized; ``.pdf`` links route to ``pdf``; links with
     ``http`` that contain the base and are not processed become level 0.
     """
-    s = (seeds.select("seed_url").where(U.seed_valid(F.col("seed_url")))
+    s = (seeds.select("seed_url").where(U.seed_valid(F.col("seed_url"))).distinct()
          .withColumn("base", U.derive_base(F.col("seed_url"))))
-    seed_pages = s.join(pages.select(F.col("url").alias("seed_url"), "html"), "seed_url", "inner")
-    links = extract_links(seed_pages.withColumn("page_id", F.lit(0)), url_col="seed_url")
-    links = links.join(s, links.page_url == s.seed_url).select("seed_url", "base", "href")
+    asked = pages.join(s.select(F.col("seed_url").alias("url")), "url", "left_semi")
+    fetched = last_fetch(asked, fetch_status(asked).where("_fetched = 'inside'"))
+    seed_pages = s.join(fetched.select(F.col("url").alias("seed_url"), "html"), "seed_url", "inner")
+    links = (extract_links(seed_pages.withColumn("page_id", F.lit(0)), url_col="seed_url", carry=("base",))
+             .select(F.col("page_url").alias("seed_url"), "base", "href"))
     routed = (links.where(U.href_present(F.col("href")))
               .withColumn("route", U.route(F.col("href")))
               .where((F.col("route") == "pdf")
@@ -83,8 +91,7 @@ def crawl(start: DataFrame, pages: DataFrame, processed: DataFrame | None = None
     if processed is not None:
         frontier = frontier.join(processed.select("url"), "url", "left_anti")
     frontier = frontier.dropDuplicates(["seed_url", "url"])
-    html = pages.select("url", "html")
-    # whether a URL was fetched: read from the html once, kept narrow
+    # one row per URL, whether it was fetched: read from the html once, kept narrow
     status = cut_lineage(fetch_status(pages))
     # each round's frontier is narrow (no html); it is checkpointed so later
     # rounds, the anti join and the final union read it instead of
@@ -94,7 +101,7 @@ def crawl(start: DataFrame, pages: DataFrame, processed: DataFrame | None = None
     for level in range(1, max_level + 1):
         expand = visited.where((F.col("level") == level - 1) & (F.col("status") == "inside"))
         # each distinct page is parsed once, then its links go to every seed that reached it
-        fetched = expand.select("url").distinct().join(html, "url", "inner")
+        fetched = last_fetch(pages, status.join(expand.select("url").distinct(), "url", "left_semi"))
         raw = extract_links(fetched.withColumn("page_id", F.lit(0))).select("page_url", "href")
         links = normalized_links(raw.join(
             expand.select(F.col("url").alias("page_url"), "seed_url", "base"), "page_url"))

@@ -6,16 +6,24 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import WS_CLASS, collapse_newline_runs
 from quarry.operators.ordered import ordered_scan
+from quarry.session import cut_lineage
 
 
 def concat_ordered(parts: DataFrame, key: str, order: str, text: str = "text",
-                   suffix: str = "") -> DataFrame:
+                   suffix: str = "", parts_per_range: int = 1024) -> DataFrame:
     """A2 (suffix '') / A3 (suffix '\\n'): one text per ``key`` from its parts in
-    ``order``; one shuffle on ``key``."""
-    piece = F.concat(F.coalesce(F.col(text), F.lit("")), F.lit(suffix)) if suffix else F.coalesce(F.col(text), F.lit(""))
-    return (parts.groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), piece.alias("t")))).alias("_p"))
-            .select(key, F.array_join(F.transform("_p", lambda x: x["t"]), "").alias(text)))
+    ``order`` (a number).  Parts are joined per range of ``parts_per_range``
+    order values first and the ranges' texts after that, so no task sorts all
+    parts of a long document."""
+    piece = F.concat(F.coalesce(F.col(text), F.lit("")), F.lit(suffix))
+
+    def in_order(rows: DataFrame, keys: list, by, value) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct(by.alias("o"), value.alias("t")))), lambda x: x["t"]), "").alias("_t"))
+
+    ranged = parts.withColumn("_range", F.floor(F.col(order) / parts_per_range))
+    some = in_order(ranged, [key, "_range"], F.col(order), piece)
+    return in_order(some, [key], F.col("_range"), F.col("_t")).withColumnRenamed("_t", text)
 
 
 def distinct_docs(docs: DataFrame) -> DataFrame:
@@ -28,33 +36,27 @@ def union_docs(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("source", "text").unionByName(b.select("source", "text"))
 
 
-def normalize_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                     cuts: list[float] | None = None) -> DataFrame:
+def normalize_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """F3 over the concatenation of all documents in ``key`` order, without
     building it: newline runs collapse (also across document borders), then
     white space is stripped at the two ends of the corpus.  Returns ``key,
     text`` where the texts, concatenated in order, equal the normalised corpus.
-    """
-    non_ws = f"[^{WS_CLASS[1:-1]}]"
-    d = (docs.select(key, collapse_newline_runs(F.coalesce(F.col(text), F.lit(""))).alias("_c"))
-         .withColumn("_last", F.when(F.length("_c") > 0, F.substring("_c", -1, 1))))
-    s = ordered_scan(d, key, prev_non_null={"_prev": "_last"}, cuts=cuts)
-    c2 = F.when(F.col("_c").startswith("\n") & (F.col("_prev") == "\n"),
-                F.substring("_c", 2, 1 << 30)).otherwise(F.col("_c"))
-    # first/last documents holding a non-space character; collapsing newline
-    # runs cannot change that, so the raw text is tested (no regex rewrite)
-    # one scalar subquery (min and max together), bound to one column so the
-    # expressions below reference it instead of each planning its own scan
-    bounds = (docs.where(F.col(text).rlike(non_ws))
-              .select(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar())
-    s = s.withColumn("_bounds", bounds)
-    first, last = F.col("_bounds.lo"), F.col("_bounds.hi")
-    lstrip = F.regexp_replace(c2, f"^{WS_CLASS}+", "")
-    rstrip = lambda c: F.regexp_replace(c, f"{WS_CLASS}+$", "")
+
+    The collapsed texts are written once; the ordered scan reads only what the
+    borders need (last character, whether there is more than white space)."""
+    collapsed = collapse_newline_runs(F.coalesce(F.col(text), F.lit("")))
+    d = cut_lineage(docs.select(key, collapsed.alias("_c"))
+                    .withColumn("_last", F.when(F.length("_c") > 0, F.substring("_c", -1, 1)))
+                    .withColumn("_solid", F.col("_c").rlike(f"[^{WS_CLASS[1:-1]}]")))
+    before = (ordered_scan(d.select(key, "_last"), key, prev_non_null={"_prev": "_last"})
+              .select(F.col(key).alias("_key"), "_prev"))
+    first, last = d.where("_solid").agg(F.min(key), F.max(key)).first()
+    s = d.join(before, F.col(key) == F.col("_key"))
+    text_out = F.when(F.col("_c").startswith("\n") & (F.col("_prev") == "\n"),
+                      F.substring("_c", 2, 1 << 30)).otherwise(F.col("_c"))
+    if first is None:
+        return s.select(key, F.lit("").alias(text))
     k = F.col(key)
-    out = (F.when(first.isNull() | (k < first) | (k > last), F.lit(""))
-           .when((k == first) & (k == last), rstrip(lstrip))
-           .when(k == first, lstrip)
-           .when(k == last, rstrip(c2))
-           .otherwise(c2))
-    return s.select(key, out.alias(text))
+    text_out = F.when(k == F.lit(first), F.regexp_replace(text_out, f"^{WS_CLASS}+", "")).otherwise(text_out)
+    text_out = F.when(k == F.lit(last), F.regexp_replace(text_out, f"{WS_CLASS}+$", "")).otherwise(text_out)
+    return s.select(key, F.when((k < F.lit(first)) | (k > F.lit(last)), F.lit("")).otherwise(text_out).alias(text))

@@ -1,16 +1,18 @@
 """Exact nearest-neighbour retrieval.
 
-Exact k-NN under squared L2 (the reference searches a flat index).  Plan:
-
-* the question side is cut into blocks of at most ``max_block_bytes`` of
-  vectors (a bounded fetch proves the common one-block case; otherwise the
-  rows are counted and hash-split), so the broadcast has a proven size bound;
-* each block is broadcast once and the index is scanned with ``mapInArrow``:
-  per Arrow batch a BLAS matrix product gives all distances, and only the
-  best ``k`` chunks per question and *task* leave the task (running top-k);
-* a ``row_number() <= k`` window per question (Catalyst plans a partial and a
-  final WindowGroupLimit) picks the global top-k.  The shuffle carries at most
-  ``k x questions`` rows per index partition — never the pair product.
+Exact k-NN under squared L2 (the reference searches a flat index), as a join on
+cells.  Index rows and questions are assigned to the nearest of some pivots; by
+the triangle inequality a question at distance g from a pivot can have a
+neighbour within r only in cells with g - (cell radius) <= r.  r comes from the
+cells' summaries: the distances of the k rows nearest to each pivot bound the
+question's k-th distance from above.  Each question goes to the cells that
+remain, and every (cell block, question block) pair is solved by one task:
+
+* no question passes through the driver, which holds the pivots (drawn from a
+  bounded sample) and one summary per pivot;
+* blocks of a cell have a bounded number of rows on both sides, so a cell with a
+  large share of the rows is many tasks, and task memory is a block's;
+* at most ``k`` rows per question and block are shuffled to the final ranking.
 
 Ties are broken by the chunk key; distances are ranked rounded to
 ``RANK_DECIMALS`` so both engines agree on exact duplicates, and reported
@@ -18,148 +20,167 @@ unrounded (squared L2, clamped at 0).
 """
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import cut_lineage
+
 # --- fixed values -----------------------------------------------------------
 RANK_DECIMALS = 9
-DEFAULT_MAX_BLOCK_BYTES = 64 << 20     # broadcast question block (float64 vectors)
-DISTANCE_CELLS = 8 << 20               # sub-batch x block distance matrix, in cells
 # ----------------------------------------------------------------------------
+PIVOTS = 64
+SAMPLE = 2048              # rows the pivots are drawn from
+INDEX_BLOCK = 8192         # index rows of a cell solved together
+QUESTION_BLOCK = 1024
+CELLS_AT_A_TIME = 1 << 21  # cells of a distance matrix
 
 
-def _as_matrix(col: pa.Array, n: int) -> np.ndarray:
+def as_matrix(col: pa.Array) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    if n == 0:
-        return np.zeros((0, 0))
+    n = len(col)
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    if flat.size % n:
-        raise ValueError("vectors of different lengths in one batch")
-    return flat.reshape(n, flat.size // n)
-
-
-def _block_scorer(bc, k: int, c_key: str, c_vec: str, key_type: pa.DataType):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, Q, qn2 = bc.value
-        nq = len(qids)
-        sub_rows = max(32, min(4096, DISTANCE_CELLS // max(nq, 1)))
-        keep_d, keep_r, keep_c, keep_q = [], [], [], []
-        buffered = 0
-
-        def compact():
-            nonlocal keep_d, keep_r, keep_c, keep_q, buffered
-            d = np.concatenate(keep_d)
-            r = np.concatenate(keep_r)
-            c = np.concatenate(keep_c)
-            q = np.concatenate(keep_q)
-            order = np.lexsort((c, d, q))
-            d, r, c, q = d[order], r[order], c[order], q[order]
-            first = np.searchsorted(q, q, side="left")
-            pos = np.arange(len(q)) - first
-            m = pos < k
-            keep_d, keep_r, keep_c, keep_q = [d[m]], [r[m]], [c[m]], [q[m]]
-            buffered = int(m.sum())
-
-        for rb in batches:
-            n = rb.num_rows
-            if n == 0 or nq == 0:
+    if n and flat.size % n:
+        raise ValueError("vectors of different lengths")
+    return flat.reshape(n, flat.size // n if n else 0)
+
+
+def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    if x.shape[1] != y.shape[1]:
+        raise ValueError(f"vectors of {x.shape[1]} and of {y.shape[1]} dimensions")
+    return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2.0 * (x @ y.T), 0.0)
+
+
+def choose_pivots(index: DataFrame, key: str, vec: str, pivots: int, sample: int) -> np.ndarray:
+    """Distinct vectors of the ``sample`` rows whose keys have the smallest hash."""
+    rows = (index.select(vec, F.xxhash64(key).alias("_h"), key).orderBy("_h", key).limit(sample).select(vec).toArrow())
+    points = np.unique(as_matrix(rows.column(vec)), axis=0)
+    return points[np.linspace(0, len(points) - 1, min(pivots, len(points))).astype(int)] if len(points) else points
+
+
+def _to_cells(index: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``_c, _v, _cell, _far, _slot``: nearest pivot, distance, place in the task."""
+    shared = index.sparkSession.sparkContext.broadcast(centres)
+    schema = T.StructType([*index.schema.fields, T.StructField("_cell", T.IntegerType()),
+                           T.StructField("_far", T.DoubleType()), T.StructField("_slot", T.LongType())])
+
+    def run(batches):
+        seen = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            d = squared_distances(as_matrix(b.column(1)), shared.value)
+            cell = d.argmin(axis=1)
+            far = np.sqrt(d[np.arange(len(cell)), cell])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(cell.astype(np.int32)), pa.array(far), pa.array(np.arange(seen, seen + b.num_rows))],
+                names=schema.fieldNames())
+            seen += b.num_rows
+
+    return index.mapInArrow(run, schema)
+
+
+def _wanted_cells(questions: DataFrame, centres: np.ndarray, owner: np.ndarray, near: np.ndarray,
+                  radius: np.ndarray, k: int) -> DataFrame:
+    """``_q, _qv, _cells``: the cells that can hold one of the k nearest.
+    ``near`` are the smallest distances to their pivot, ``owner`` its cell."""
+    shared = questions.sparkSession.sparkContext.broadcast((centres, owner, near, radius))
+    schema = T.StructType([*questions.schema.fields, T.StructField("_cells", T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        pivots, own, low, far = shared.value
+        for b in batches:
+            if not b.num_rows:
                 continue
-            cids = rb.column(c_key).to_numpy(zero_copy_only=False)
-            if cids.dtype == object:
-                cids = cids.astype(str)
-            C = _as_matrix(rb.column(c_vec), n)
-            if C.shape[1] != Q.shape[1]:
-                raise ValueError(f"index vectors have {C.shape[1]} dims, questions {Q.shape[1]}")
-            order = np.argsort(cids, kind="stable")
-            cids, C = cids[order], C[order]
-            for lo in range(0, n, sub_rows):
-                Cb, cb = C[lo:lo + sub_rows], cids[lo:lo + sub_rows]
-                raw = np.maximum((Cb * Cb).sum(axis=1)[:, None] + qn2[None, :] - 2.0 * (Cb @ Q.T), 0.0)
-                d = np.round(raw, RANK_DECIMALS)  # ranking key
-                kk = min(k, d.shape[0])
-                kth = np.partition(d, kk - 1, axis=0)[kk - 1]
-                less = d < kth[None, :]
-                need = kk - less.sum(axis=0)
-                eq = d == kth[None, :]
-                sel = less | (eq & (np.cumsum(eq, axis=0) <= need[None, :]))
-                rows, cols = np.nonzero(sel)
-                keep_d.append(d[rows, cols])
-                keep_r.append(raw[rows, cols])
-                keep_c.append(cb[rows])
-                keep_q.append(cols)
-                buffered += len(rows)
-            if buffered > 64 * k * nq:
-                compact()
-        if keep_d:
-            compact()
+            to_pivot = np.sqrt(squared_distances(as_matrix(b.column(1)), pivots))
+            reach = np.partition(to_pivot[:, own] + low, k - 1, axis=1)[:, k - 1] if len(own) >= k \
+                else np.full(b.num_rows, np.inf)
+            slack = 1e-6 * (1.0 + to_pivot + far)
+            wanted = (to_pivot - far - slack <= reach[:, None]) & np.isin(np.arange(len(pivots)), own)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[keep_q[0]]), pa.array(keep_c[0], type=key_type),
-                 pa.array(keep_r[0], type=pa.float64())],
-                names=["_q", "_c", "dist"])
-    return score
+                [*b.columns, pa.array([np.flatnonzero(w).tolist() for w in wanted], pa.list_(pa.int32()))],
+                names=schema.fieldNames())
+
+    return questions.mapInArrow(run, schema)
+
+
+def _solve(k: int, q_type: pa.DataType, c_type: pa.DataType):
+    """k nearest rows of an index block for each question of a block."""
+    def run(index: pa.Table, questions: pa.Table) -> pa.Table:
+        qs, cs, ds = [], [], []
+        if index.num_rows and questions.num_rows:
+            index = index.sort_by("_c")
+            keys, vectors = index.column("_c").combine_chunks(), as_matrix(index.column("_v"))
+            ids, asked = questions.column("_q").combine_chunks(), as_matrix(questions.column("_qv"))
+            step = max(1, CELLS_AT_A_TIME // len(keys))
+            for at in range(0, len(ids), step):
+                exact = squared_distances(asked[at:at + step], vectors)
+                ranked = np.round(exact, RANK_DECIMALS)
+                for i, row in enumerate(ranked):
+                    some = np.arange(len(row))
+                    if len(row) > k:
+                        some = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
+                    some = some[np.argsort(row[some], kind="stable")[:k]]
+                    qs.append(np.full(len(some), at + i))
+                    cs.append(some)
+                    ds.append(exact[i, some])
+            q, c = (np.concatenate(x) for x in (qs, cs))
+            return pa.table({"_q": ids.take(pa.array(q)), "_c": keys.take(pa.array(c)), "dist": pa.array(np.concatenate(ds))})
+        return pa.table({"_q": pa.array([], q_type), "_c": pa.array([], c_type), "dist": pa.array([], pa.float64())})
+    return run
+
+
+def _blocks(counts: dict[int, int], cells: int, size: int) -> Column:
+    """How many blocks of ``size`` rows a row's cell is cut into."""
+    return F.element_at(F.array(*[F.lit(max(1, -(-counts.get(j, 0) // size))) for j in range(max(1, cells))]),
+                        F.col("_cell") + 1)
 
 
 def knn_join(questions: DataFrame, index: DataFrame, k: int = 1,
              q_key: str = "q_id", c_key: str = "chunk_id",
              q_vec: str = "embedding", c_vec: str = "embedding",
-             max_block_rows: int | None = None, max_block_bytes: int = DEFAULT_MAX_BLOCK_BYTES) -> DataFrame:
-    """Top-``k`` index rows per question: ``q_key, c_key, dist, rank``.
-
-    Each question block is broadcast, so its size is bounded: at most
-    ``max_block_bytes`` of float64 vectors (or ``max_block_rows`` rows when
-    given).  Every block is one scan of the index, so large blocks mean few
-    scans."""
-    spark = questions.sparkSession
-    qv = questions.select(q_key, q_vec).where(F.col(q_vec).isNotNull())
-    if max_block_rows is None:
-        # an aggregate, not first(): a limit would cut the Python stage short
-        dim = qv.agg(F.max(F.size(q_vec))).collect()[0][0] or 1
-        max_block_rows = max(1, max_block_bytes // (8 * max(int(dim), 1)))
-    q_type = qv.schema[q_key].dataType
-    c_type = index.schema[c_key].dataType
-    arrow_key = {T.LongType: pa.int64(), T.IntegerType: pa.int32(),
-                 T.StringType: pa.string()}[type(c_type)]
-    out_schema = T.StructType([T.StructField("_q", q_type), T.StructField("_c", c_type),
-                               T.StructField("dist", T.DoubleType())])
-    idx = index.select(c_key, c_vec).where(F.col(c_vec).isNotNull())
-
-    def scorer(rows: pa.Table) -> DataFrame:
-        qids = rows.column(q_key).to_numpy(zero_copy_only=False)
-        Q = _as_matrix(rows.column(q_vec), rows.num_rows)
-        bc = spark.sparkContext.broadcast((qids, Q, (Q * Q).sum(axis=1)))
-        return idx.mapInArrow(_block_scorer(bc, k, c_key, c_vec, arrow_key), out_schema)
-
-    parts = []
-    # common case: one block; fetching at most max_block_rows + 1 rows proves it
-    first = qv.limit(max_block_rows + 1).toArrow()
-    if first.num_rows <= max_block_rows:
-        if first.num_rows:
-            parts.append(scorer(first))
+             pivots: int = PIVOTS, sample: int = SAMPLE) -> DataFrame:
+    """Top-``k`` index rows per question: ``q_key, c_key, dist, rank``.  Rows
+    without a vector take no part; question keys are unique."""
+    rows = index.select(F.col(c_key).alias("_c"), F.col(c_vec).alias("_v")).where(F.col("_v").isNotNull())
+    asked = questions.select(F.col(q_key).alias("_q"), F.col(q_vec).alias("_qv")).where(F.col("_qv").isNotNull())
+    names = {"_q": rows.sparkSession.createDataFrame([], T.StructType([T.StructField("a", asked.schema["_q"].dataType)])),
+             "_c": rows.sparkSession.createDataFrame([], T.StructType([T.StructField("a", rows.schema["_c"].dataType)]))}
+    q_type, c_type = (names[x].toArrow().schema.field(0).type for x in ("_q", "_c"))
+    out_schema = T.StructType([asked.schema["_q"], rows.schema["_c"], T.StructField("dist", T.DoubleType())])
+
+    centres = choose_pivots(rows, "_c", "_v", pivots, sample)
+    cells = len(centres)
+    if cells:
+        placed = cut_lineage(_to_cells(rows, centres))
+        first = Window.partitionBy("_cell").orderBy("_far")
+        near = (placed.select("_cell", "_far").withColumn("_n", F.row_number().over(first))
+                .where(F.col("_n") <= k).select("_cell", "_far").collect())     # k numbers per pivot
+        summary = {r._cell: r for r in placed.groupBy("_cell")
+                   .agg(F.count("*").alias("n"), F.max("_far").alias("r")).collect()}
+        radius = np.array([summary[j].r if j in summary else 0.0 for j in range(cells)])
+        bound = cut_lineage(_wanted_cells(asked, centres, np.array([r._cell for r in near]),
+                                          np.array([r._far for r in near]), radius, k))
+        wants = bound.select("_q", "_qv", F.explode("_cells").alias("_cell"))
+        sizes = {r._cell: r["count"] for r in wants.groupBy("_cell").count().collect()}
+        key = ["_cell", "_index_block", "_question_block"]
+        index_blocks = _blocks({j: r.n for j, r in summary.items()}, cells, INDEX_BLOCK)
+        question_blocks = _blocks(sizes, cells, QUESTION_BLOCK)
+        left = (placed.withColumn("_index_block", F.pmod(F.xxhash64("_c", "_slot"), index_blocks).cast("int"))
+                .withColumn("_question_block", F.explode(F.sequence(F.lit(0), question_blocks - 1)))
+                .select(*key, "_c", "_v"))
+        right = (wants.withColumn("_question_block", F.pmod(F.xxhash64("_q"), question_blocks).cast("int"))
+                 .withColumn("_index_block", F.explode(F.sequence(F.lit(0), index_blocks - 1)))
+                 .select(*key, "_q", "_qv"))
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_solve(k, q_type, c_type), out_schema)
     else:
-        nblocks = math.ceil(qv.count() / max_block_rows) + 1
-        for b in range(nblocks):
-            rows = qv.where(F.pmod(F.xxhash64(q_key), F.lit(nblocks)) == b).limit(2 * max_block_rows + 1).toArrow()
-            if rows.num_rows > 2 * max_block_rows:
-                raise RuntimeError("question block over its size bound; lower max_block_rows")
-            if rows.num_rows:
-                parts.append(scorer(rows))
-    if not parts:
-        return spark.createDataFrame([], T.StructType([
-            T.StructField(q_key, q_type), T.StructField(c_key, c_type),
-            T.StructField("dist", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+        found = rows.sparkSession.createDataFrame([], out_schema)
     # rank on the rounded distance (ties → key); report the distance itself
     w = Window.partitionBy("_q").orderBy(F.round("dist", RANK_DECIMALS), "_c")
-    return (cand.withColumn("rank", F.row_number().over(w))
+    return (found.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k)
             .select(F.col("_q").alias(q_key), F.col("_c").alias(c_key), "dist", "rank"))
 

@@ -13,6 +13,8 @@ _VALUE = r"(\"[^\"]*\"|'[^']*'|[^ \t\n\r\f>\"']+)"
 # href of <a> elements and of <link> elements; <a> elements come first
 LINK_TAGS = ["a", "link"]
 UNQUOTE_PATTERN = "^[\"']|[\"']$"
+# text that holds no elements: comments, scripts and style sheets
+OPAQUE_PATTERN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 # ----------------------------------------------------------------------------
 
 
@@ -29,20 +31,22 @@ def unquote_href(raw):
 
 
 def extract_links(pages: DataFrame, url_col: str = "url", html_col: str = "html",
-                  id_col: str = "page_id") -> DataFrame:
+                  id_col: str = "page_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """``page_id, page_url, tag, tag_rank, pos, href`` — every <a> href in
-    document order, then every <link> href.  One pass over the HTML (the
-    per-tag lists are concatenated and exploded once), no shuffle."""
-    html = F.col(html_col)
+    document order, then every <link> href; tags inside comments, scripts and
+    style sheets are text, not elements.  One pass over the HTML (the per-tag
+    lists are concatenated and exploded once), no shuffle.  ``carry`` names
+    further columns of the page to keep."""
+    html = F.regexp_replace(F.col(html_col), OPAQUE_PATTERN, " ")
     def tagged(tag, rank):
         return lambda raw, i: F.struct(F.lit(tag).alias("tag"), F.lit(rank).alias("tag_rank"),
                                        i.alias("pos"), raw.alias("raw"))
 
     per_tag = [F.transform(F.regexp_extract_all(html, F.lit(tag_href_pattern(tag)), 1), tagged(tag, rank))
                for rank, tag in enumerate(LINK_TAGS)]
-    return (pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("page_url"),
+    return (pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("page_url"), *carry,
                          F.explode(F.concat(*per_tag)).alias("_l"))
-            .select("page_id", "page_url", F.col("_l.tag").alias("tag"), F.col("_l.tag_rank").alias("tag_rank"),
+            .select("page_id", "page_url", *carry, F.col("_l.tag").alias("tag"), F.col("_l.tag_rank").alias("tag_rank"),
                     F.col("_l.pos").alias("pos"), unquote_href(F.col("_l.raw")).alias("href")))
 
 

@@ -1,51 +1,25 @@
 """Scans in a global order without pulling rows into one task.
 
-A single ``Window.orderBy`` (no partition) moves every row to one task.  Here
-the order key is cut into ``n`` ranges at approximate quantiles (only ``n-1``
-cut points reach the driver), the running value is computed per range with a
-partitioned window, and each range is shifted by the totals of the ranges
-before it (an ``n``-row table, broadcast — its size is the range count).
-The range id is a deterministic function of the key, so recomputing a lost
-partition gives the same answer.
+A single ``Window.orderBy`` (no partition) moves every row to one task.  Here a
+narrow frame (the key and what is summed, no texts) is range-partitioned by the
+key, written out with the number of each row's range, and scanned range by
+range; every range is then shifted by the totals of the ranges before it.  The
+written range numbers make recomputed tasks agree.  Any orderable key type
+works.
 """
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BKT = "_bkt"
+from quarry.session import cut_lineage
 
-
-def key_cuts(df: DataFrame, key: str, n: int | None = None) -> list[float]:
-    """``n - 1`` approximate quantiles of ``key`` (only these reach the
-    driver).  Compute them once on the source key column and pass them to
-    every ordered scan over frames derived from it with the same keys."""
-    if n is None:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if n <= 1:
-        return []
-    cuts = df.approxQuantile(key, [i / n for i in range(1, n)], 1.0 / (4 * n))
-    return sorted(set(c for c in cuts if c == c))
-
-
-def range_buckets(df: DataFrame, key: str, n: int | None = None,
-                  cuts: list[float] | None = None) -> DataFrame:
-    """Add ``_bkt``: contiguous key ranges of about equal row count."""
-    if cuts is None:
-        cuts = key_cuts(df, key, n)
-    splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
-    if len(splits) < 3:  # empty input or a single distinct key: one range
-        return df.withColumn(BKT, F.lit(0.0))
-    tmp = "_bkt_key"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=BKT)
-    return b.transform(df.withColumn(tmp, F.col(key).cast("double"))).drop(tmp)
+RANGE = "_range"
 
 
 def ordered_scan(df: DataFrame, key: str, sums: dict[str, str] | None = None,
-                 prev_non_null: dict[str, str] | None = None, n: int | None = None,
-                 group_cols: list[str] | tuple[str, ...] = (), totals: bool = False,
-                 cuts: list[float] | None = None) -> DataFrame:
+                 prev_non_null: dict[str, str] | None = None,
+                 group_cols: list[str] | tuple[str, ...] = (), totals: bool = False) -> DataFrame:
     """For each row, in ``key`` order within its group (key unique per group):
 
     * ``sums[out] = col``: sum of ``col`` over all earlier rows (0 if none);
@@ -53,30 +27,28 @@ def ordered_scan(df: DataFrame, key: str, sums: dict[str, str] | None = None,
     * ``prev_non_null[out] = col``: ``col`` of the nearest earlier row where it
       is not null (null if none).
 
-    ``group_cols`` must have few distinct values (e.g. train/validation): the
-    broadcast carry table has one row per group and key range.
+    The table of range totals has one row per group and range; it is written
+    out, so the planner knows its size and broadcasts it only below its limit.
     """
     sums = sums or {}
     prev_non_null = prev_non_null or {}
     g = list(group_cols)
-    b = range_buckets(df, key, n, cuts)
+    b = cut_lineage(df.repartitionByRange(key).withColumn(RANGE, F.spark_partition_id()))
     aggs = [F.sum(c).alias(f"_t_{o}") for o, c in sums.items()]
     aggs += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(key))).alias(f"_l_{o}")
              for o, c in prev_non_null.items()]
-    per_bucket = b.groupBy(*g, BKT).agg(*aggs)
-    # groups x ranges rows: windows over this small table are cheap
-    wb = Window.partitionBy(*g).orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(*g)
-    carry = per_bucket.select(
-        *g, BKT,
-        *[F.coalesce(F.sum(f"_t_{o}").over(wb), F.lit(0)).alias(f"_c_{o}") for o in sums],
-        *[F.coalesce(F.sum(f"_t_{o}").over(wall), F.lit(0)).alias(f"{o}_total") for o in sums if totals],
-        *[F.last(f"_l_{o}", ignorenulls=True).over(wb).alias(f"_p_{o}") for o in prev_non_null])
-    w = Window.partitionBy(*g, BKT).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    out = b.join(F.broadcast(carry), g + [BKT])
+    per_range = b.groupBy(*g, RANGE).agg(*aggs)
+    before = Window.partitionBy(*g).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*g)
+    carry = cut_lineage(per_range.select(
+        *g, RANGE,
+        *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_c_{o}") for o in sums],
+        *[F.coalesce(F.sum(f"_t_{o}").over(whole), F.lit(0)).alias(f"{o}_total") for o in sums if totals],
+        *[F.last(f"_l_{o}", ignorenulls=True).over(before).alias(f"_p_{o}") for o in prev_non_null]))
+    w = Window.partitionBy(*g, RANGE).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    out = b.join(carry, g + [RANGE])
     for o, c in sums.items():
         out = out.withColumn(o, F.col(f"_c_{o}") + F.coalesce(F.sum(c).over(w), F.lit(0)))
     for o, c in prev_non_null.items():
         out = out.withColumn(o, F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"_p_{o}")))
-    drop = [BKT] + [f"_c_{o}" for o in sums] + [f"_p_{o}" for o in prev_non_null]
-    return out.drop(*drop)
+    return out.drop(RANGE, *[f"_c_{o}" for o in sums], *[f"_p_{o}" for o in prev_non_null])

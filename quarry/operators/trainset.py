@@ -2,195 +2,180 @@
 
 The corpus is the ordered concatenation of documents; every global position
 (characters, tokens) comes from an exclusive prefix sum over the narrow
-``(doc_id, length)`` frame (see :mod:`quarry.operators.ordered`), so texts are
-never gathered on one task or on the driver.
+``(key, length)`` frame (:mod:`quarry.operators.ordered`), joined back by key,
+so texts are never gathered on one task, sent through a sort, or collected.
 
 Deviation (documented): tokens are cut per document, so a word is never split
 across two documents' border as it would be in one concatenated string.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import TOKEN_PATTERN
+from quarry.operators.hooks import Hook, built
 from quarry.operators.ordered import ordered_scan
-from quarry.operators.parallel import spread
 
 # --- fixed values -----------------------------------------------------------
 TRAIN_FRACTION = 0.8
 BLOCK_SIZE = 128
-VOCAB_SIZE = 50257          # ids 0..50255 for corpus tokens, 50256 special
-END_OF_TEXT_ID = 50256      # end-of-text = unknown = padding
+VOCAB_SIZE = 50257          # ids 0..255 bytes, then corpus tokens, 50256 special
+BYTE_IDS = 256
+END_OF_TEXT_ID = 50256
 # ----------------------------------------------------------------------------
 
 
-def corpus_offsets(docs: DataFrame, key: str = "doc_id", cuts: list[float] | None = None) -> DataFrame:
-    """A4: ``key, char_start, n_chars``; the corpus length is ``sum(n_chars)``."""
-    d = docs.select(key, "text", F.length("text").cast("bigint").alias("n_chars"))
-    return ordered_scan(d, key, sums={"char_start": "n_chars"}, totals=True, cuts=cuts)
+def corpus_offsets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A4: ``key, n_chars, char_start, char_start_total`` (the corpus length)."""
+    narrow = docs.select(key, F.length("text").cast("bigint").alias("n_chars"))
+    return ordered_scan(narrow, key, sums={"char_start": "n_chars"}, totals=True)
 
 
-def char_split(docs: DataFrame, fraction: float = TRAIN_FRACTION, key: str = "doc_id",
-               cuts: list[float] | None = None) -> DataFrame:
+def char_split(docs: DataFrame, fraction: float = TRAIN_FRACTION, key: str = "doc_id") -> DataFrame:
     """Cut the corpus at ``int(fraction * length)`` characters; a
     document across the cut is sliced.  Returns ``split, key, text`` (no empty
     parts)."""
-    off = corpus_offsets(docs, key, cuts)
     cut = F.floor(F.lit(float(fraction)) * F.col("char_start_total").cast("double")).cast("bigint")
     k = F.least(F.greatest(cut - F.col("char_start"), F.lit(0)), F.col("n_chars")).cast("int")
-    parts = off.select(key, F.explode(F.array(
-        F.struct(F.lit("train").alias("split"), F.substring("text", F.lit(1), k).alias("text")),
-        F.struct(F.lit("val").alias("split"), F.substring("text", k + 1, F.lit(1 << 30)).alias("text")))).alias("p"))
+    placed = corpus_offsets(docs, key).select(F.col(key).alias("_key"), k.alias("_k"))
+    parts = docs.join(placed, F.col(key) == F.col("_key")).select(key, F.explode(F.array(
+        F.struct(F.lit("train").alias("split"), F.substring("text", F.lit(1), F.col("_k")).alias("text")),
+        F.struct(F.lit("val").alias("split"), F.substring("text", F.col("_k") + 1, F.lit(1 << 30)).alias("text")))).alias("p"))
     return (parts.select(F.col("p.split").alias("split"), key, F.col("p.text").alias("text"))
             .where(F.length("text") > 0))
 
 
-def _tokens(tokens_col: str | None) -> F.Column:
-    """The token array: a precomputed column, or the regex over ``text``."""
-    if tokens_col:
-        return F.col(tokens_col)
-    return F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0)
-
-
 def with_tokens(parts: DataFrame, out_col: str = "tokens") -> DataFrame:
     """Add the token array once (e.g. before a checkpoint shared by the
-    vocabulary and the packing)."""
-    return parts.withColumn(out_col, _tokens(None))
-
-
-def token_rows(parts: DataFrame, key: str = "doc_id", tokens_col: str | None = None) -> DataFrame:
-    """Pieces of every text: ``split, key, pos, token`` (narrow, no shuffle)."""
-    src = parts if tokens_col else spread(parts)
-    return src.select("split", key, F.posexplode(_tokens(tokens_col)).alias("pos", "token"))
+    vocabulary and the ids)."""
+    return parts.withColumn(out_col, F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0))
 
 
-def token_counts(parts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Narrow ``split, key, _n`` (tokens per part) without exploding tokens."""
-    return parts.select("split", key, F.size(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0)).alias("_n"))
-
-
-def build_vocab(tokens: DataFrame, size: int = VOCAB_SIZE - 1) -> DataFrame:
-    """M5 default vocabulary: the ``size`` most frequent tokens, ties by token;
-    ids from 0.  Counting is a partial+final aggregate; the top-``size`` is a
-    TakeOrderedAndProject, so at most ``size`` rows reach the ranking."""
-    top = (tokens.groupBy("token").agg(F.count("*").alias("cnt"))
-           .orderBy(F.desc("cnt"), "token").limit(size))
+def build_vocab(parts: DataFrame, size: int = VOCAB_SIZE - 1, tokens_col: str = "tokens") -> DataFrame:
+    """M5 default vocabulary ``token, id``: ids below 256 are the byte values and
+    not listed; the most frequent tokens, ties by token, get 256 to ``size`` - 1.
+    Counting is a partial and a final aggregate, the choice a
+    TakeOrderedAndProject, so at most ``size`` rows are ranked."""
+    top = (parts.select(F.explode(tokens_col).alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
+           .orderBy(F.desc("cnt"), "token").limit(max(0, size - BYTE_IDS)))
     w = Window.orderBy(F.desc("cnt"), "token")  # over <= size rows
-    return top.select("token", (F.row_number().over(w) - 1).alias("id"))
-
-
-def tokenize(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Token rows → ids; an unknown token is the end-of-text id."""
-    return (tokens.join(vocab, "token", "left")
-            .withColumn("id", F.coalesce(F.col("id"), F.lit(END_OF_TEXT_ID)))
-            .drop("token"))
-
-
-def ids_per_doc(ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    return (ids.groupBy("split", key)
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
-            .select("split", key, F.transform("_p", lambda x: x["id"]).alias("input_ids")))
-
-
-def detokenize(ids: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
-    """M6: ids → text in position order, special ids skipped."""
-    t = ids.where(F.col("id") != END_OF_TEXT_ID).join(vocab, "id", "inner")
-    return (t.groupBy("split", key)
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_p"))
-            .select("split", key, F.array_join(F.transform("_p", lambda x: x["token"]), "").alias("text")))
-
-
-def pack_blocks(ids: DataFrame, block_size: int = BLOCK_SIZE, key: str = "doc_id",
-                counts: DataFrame | None = None) -> DataFrame:
-    """Global token position per split → ``block_id = pos // block_size``;
-    the last partial block of each split is dropped.  One shuffle (by block).
-    ``counts`` (from :func:`token_counts`) avoids re-counting exploded rows."""
-    if counts is None:
-        counts = ids.groupBy("split", key).agg(F.count("*").alias("_n"))
-    offs = ordered_scan(counts, key, sums={"_off": "_n"}, group_cols=["split"])
-    g = (ids.join(offs.select("split", key, "_off"), ["split", key])
-         .withColumn("_gp", F.col("_off") + F.col("pos"))
-         .select("split", F.floor(F.col("_gp") / block_size).cast("bigint").alias("block_id"),
-                 (F.col("_gp") % block_size).alias("slot"), "id"))
-    return _assemble(g, block_size)
-
-
-def pack_token_blocks(parts: DataFrame, vocab: DataFrame, block_size: int = BLOCK_SIZE,
-                      key: str = "doc_id", cuts: list[float] | None = None,
-                      tokens_col: str | None = None) -> DataFrame:
-    """W3 on text parts directly: the ordered scan runs over the parts (the
-    text moves once, with its range), so every part knows its first global
-    token position before its tokens are exploded; token rows then shuffle
-    once, by block.  The vocabulary join is left to AQE (broadcast when its
-    runtime size allows)."""
-    counted = parts.withColumn("_n", F.size(_tokens(tokens_col)))
-    placed = ordered_scan(counted, key, sums={"_off": "_n"}, group_cols=["split"], cuts=cuts)
-    toks = placed.select("split", "_off", F.posexplode(_tokens(tokens_col)).alias("pos", "token"))
-    g = (tokenize(toks, vocab)
-         .withColumn("_gp", F.col("_off") + F.col("pos"))
-         .select("split", F.floor(F.col("_gp") / block_size).cast("bigint").alias("block_id"),
-                 (F.col("_gp") % block_size).alias("slot"), "id"))
-    return _assemble(g, block_size)
-
-
-def _assemble(g: DataFrame, block_size: int) -> DataFrame:
-    """Rows ``split, block_id, slot, id`` → full blocks.  Each (slot, id) pair
-    is packed into one bigint, so the aggregate buffers and the sort handle
-    primitives, not structs."""
-    packed = (F.col("slot").cast("bigint") * F.lit(1 << 32) + F.col("id").cast("bigint"))
-    return (g.groupBy("split", "block_id")
-            .agg(F.array_sort(F.collect_list(packed)).alias("_b"))
-            .where(F.size("_b") == block_size)
-            .select("split", "block_id",
-                    F.transform("_b", lambda x: F.pmod(x, F.lit(1 << 32)).cast("int")).alias("input_ids")))
-
-
-TokenizerFactory = Callable[[], Callable[[list[str]], list[list[int]]]]
-_TOKENIZERS: dict[int, Callable] = {}
-
-
-def tokenize_with(parts: DataFrame, factory: TokenizerFactory, key: str = "doc_id") -> DataFrame:
-    """M5 hook: a user tokenizer (e.g. a BPE model), built once per Python
-    worker by ``factory`` and fed Arrow batches of texts; returns
-    ``split, key, input_ids array<int>``.  Narrow, no shuffle."""
-    import pyarrow as pa
-
-    schema = T.StructType([parts.schema["split"], parts.schema[key],
-                           T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
-    fid = id(factory)
-
-    def run(batches):
-        tok = _TOKENIZERS.get(fid)
-        if tok is None:
-            tok = _TOKENIZERS[fid] = factory()
-        for rb in batches:
-            texts = [t or "" for t in rb.column("text").to_pylist()]
-            ids = pa.array(tok(texts), type=pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([rb.column("split"), rb.column(key), ids],
-                                             names=["split", key, "input_ids"])
-
-    return spread(parts.select("split", key, "text")).mapInArrow(run, schema)
-
-
-def pack_id_arrays(ids: DataFrame, block_size: int = BLOCK_SIZE, key: str = "doc_id",
-                   cuts: list[float] | None = None) -> DataFrame:
-    """W3 for id arrays (from :func:`tokenize_with`): the ordered scan places
-    each part, its ids are exploded with global positions, one shuffle by
-    block."""
-    placed = ordered_scan(ids.withColumn("_n", F.size("input_ids")), key, sums={"_off": "_n"},
-                          group_cols=["split"], cuts=cuts)
-    g = (placed.select("split", "_off", F.posexplode("input_ids").alias("pos", "id"))
-         .withColumn("_gp", F.col("_off") + F.col("pos"))
-         .select("split", F.floor(F.col("_gp") / block_size).cast("bigint").alias("block_id"),
-                 (F.col("_gp") % block_size).alias("slot"), "id"))
-    return _assemble(g, block_size)
+    return top.select("token", (F.row_number().over(w) - 1 + BYTE_IDS).alias("id"))
+
+
+def _vocab_table(vocab: DataFrame) -> list[tuple[str, int]]:
+    """The vocabulary on the driver: at most ``VOCAB_SIZE`` rows by construction."""
+    got = vocab.limit(VOCAB_SIZE + 1).toArrow()
+    if got.num_rows > VOCAB_SIZE:
+        raise ValueError(f"a vocabulary has at most {VOCAB_SIZE} tokens")
+    return list(zip(got["token"].to_pylist(), got["id"].to_pylist(), strict=True))
+
+
+def _encoder(shared: Broadcast, place: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = dict(shared.value)
+        for b in batches:
+            rows = []
+            for tokens in b.column(place).to_pylist():
+                out: list[int] = []
+                for t in tokens or ():
+                    i = ids.get(t)
+                    if i is None:
+                        out.extend(t.encode("utf-8"))
+                    else:
+                        out.append(i)
+                rows.append(out)
+            kept = [c for i, c in enumerate(b.columns) if i != place]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, pa.list_(pa.int32()))], names=names)
+    return run
+
+
+def tokenize(parts: DataFrame, vocab: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+    """M5: ``parts`` with ``input_ids`` in place of the token array.  A token
+    outside the vocabulary becomes the ids of its bytes, so nothing is lost.
+    The bounded vocabulary is broadcast to an Arrow map; no shuffle."""
+    shared = parts.sparkSession.sparkContext.broadcast(_vocab_table(vocab))
+    kept = [f for f in parts.schema.fields if f.name not in (tokens_col, "input_ids")]
+    schema = T.StructType([*kept, T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
+    rows = parts.select(*[f.name for f in kept], tokens_col)
+    return rows.mapInArrow(_encoder(shared, len(kept), schema.fieldNames()), schema)
+
+
+def _decoder(shared: Broadcast, place: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = {i: t.encode("utf-8") for t, i in shared.value} | {i: bytes([i]) for i in range(BYTE_IDS)}
+        for b in batches:
+            texts = [b"".join([text.get(i, b"") for i in ids or ()]).decode("utf-8", "replace")
+                     for ids in b.column(place).to_pylist()]
+            kept = [c for i, c in enumerate(b.columns) if i != place]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], names=names)
+    return run
+
+
+def detokenize(ids: DataFrame, vocab: DataFrame) -> DataFrame:
+    """M6: ids → text; the special id is skipped."""
+    shared = ids.sparkSession.sparkContext.broadcast(_vocab_table(vocab))
+    kept = [f for f in ids.schema.fields if f.name not in ("input_ids", "text")]
+    schema = T.StructType([*kept, T.StructField("text", T.StringType())])
+    return ids.select(*[f.name for f in kept], "input_ids").mapInArrow(
+        _decoder(shared, len(kept), schema.fieldNames()), schema)
+
+
+def tokenize_with(parts: DataFrame, tokenizer: Hook) -> DataFrame:
+    """M5 hook: a user tokenizer (e.g. a BPE model), built once per Python worker
+    and fed Arrow batches of texts; returns ``parts`` with ``input_ids`` in place
+    of ``text``.  Narrow, no shuffle."""
+    kept = [f for f in parts.schema.fields if f.name not in ("text", "input_ids")]
+    schema = T.StructType([*kept, T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(len(kept)).to_pylist()]
+            ids = pa.array(built(tokenizer)(texts), type=pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=schema.fieldNames())
+
+    return parts.select(*[f.name for f in kept], "text").mapInArrow(run, schema)
+
+
+def pack_blocks(ids: DataFrame, block_size: int = BLOCK_SIZE, key: str = "doc_id") -> DataFrame:
+    """``split, block_id, input_ids`` — the ids of each split, in ``key``
+    order, in blocks of ``block_size``; the last partial block is dropped.
+
+    Each part learns the position of its first id from a prefix sum over the
+    narrow lengths and cuts its own blocks; only the pieces at its two borders
+    are grouped, so the shuffle carries about two short rows per part."""
+    lengths = ids.select("split", F.col(key).alias("_key"), F.size("input_ids").cast("bigint").alias("_n"))
+    placed = (ordered_scan(lengths, "_key", sums={"_off": "_n"}, group_cols=["split"])
+              .select(F.col("split").alias("_split"), "_key", "_off"))
+    rows = ids.join(placed, (F.col("split") == F.col("_split")) & (F.col(key) == F.col("_key")))
+    size, first = F.lit(block_size), F.floor(F.col("_off") / block_size)
+    last = F.floor((F.col("_off") + F.size("input_ids") - 1) / block_size)
+
+    def piece(block):
+        begin = F.greatest(block * size - F.col("_off"), F.lit(0))
+        end = F.least((block + 1) * size - F.col("_off"), F.size("input_ids"))
+        return F.struct(block.cast("bigint").alias("block_id"), (F.col("_off") + begin - block * size).cast("int").alias("slot"),
+                        F.slice("input_ids", begin.cast("int") + 1, (end - begin).cast("int")).alias("ids"))
+
+    pieces = (rows.where(F.size("input_ids") > 0)
+              .select("split", F.explode(F.transform(F.sequence(first, last), piece)).alias("p"))
+              .select("split", "p.block_id", "p.slot", "p.ids"))
+    whole = pieces.where(F.size("ids") == block_size).select("split", "block_id", F.col("ids").alias("input_ids"))
+    border = (pieces.where(F.size("ids") < block_size).groupBy("split", "block_id")
+              .agg(F.array_sort(F.collect_list(F.struct("slot", "ids"))).alias("_p"))   # at most block_size ids
+              .select("split", "block_id", F.flatten(F.transform("_p", lambda x: x["ids"])).alias("input_ids"))
+              .where(F.size("input_ids") == block_size))
+    return whole.unionByName(border)
 
 
 def collate_blocks(blocks: DataFrame) -> DataFrame:
     """causal-LM collation: attention mask of ones, labels = input ids."""
     return (blocks.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
             .withColumn("labels", F.col("input_ids")))
+
+

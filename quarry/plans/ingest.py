@@ -1,25 +1,28 @@
-"""M3/M9: pages → documents → chunks → embeddings (the vector index).
+"""M3/M8/M9: pages → documents → chunks → embeddings (the vector index), and the
+job that adds sites to an index.
 
-No shuffle between the page scan and the index write: every step is a narrow
-transformation, so the index is written with the scan's partitioning.
+No shuffle between the page scan and the index write of ``page_index``: every
+step is a narrow transformation.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.html import html_to_text
 from quarry.functions.text import clean_text
 from quarry.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents
+from quarry.operators.crawl import (DEFAULT_MAX_PAGES, crawl_budget, crawl_from_seeds, fetch_status, last_fetch)
+from quarry.operators.docs import union_docs
 from quarry.operators.embed import embed
-from quarry.operators.parallel import spread
+from quarry.operators.hooks import Hook
+from quarry.session import cut_lineage
+from quarry.sources.index_store import append_index, index_exists, load_index
 
 
 def page_documents(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One document per page, ``source`` = URL."""
-    return spread(pages).select(F.col(url_col).alias("source"), html_to_text(F.col(html_col)).alias("text"))
+    return pages.select(F.col(url_col).alias("source"), html_to_text(F.col(html_col)).alias("text"))
 
 
 def clean_documents(docs: DataFrame, newline_replacement: str = "") -> DataFrame:
@@ -35,13 +38,48 @@ def chunk_corpus(docs: DataFrame, key: str = "source", size: int = CHUNK_SIZE,
         "chunk_id", F.sha2(F.concat(F.col(key).cast("string"), F.lit("#"), F.col("chunk_idx").cast("string")), 256))
 
 
-def build_index(chunks: DataFrame, embedder: Callable | None = None) -> DataFrame:
+def build_index(chunks: DataFrame, embedder: Hook | None = None) -> DataFrame:
     """M3: add the embedding column to every chunk."""
     return embed(chunks, "text", "embedding", embedder)
 
 
-def page_index(pages: DataFrame, embedder: Callable | None = None,
+def page_index(pages: DataFrame, embedder: Hook | None = None,
                newline_replacement: str = "") -> DataFrame:
     """M9 without the crawl: index of all given pages."""
     docs = clean_documents(page_documents(pages), newline_replacement)
     return build_index(chunk_corpus(docs, "source"), embedder)
+
+
+def processed_urls(spark: SparkSession, index_path: str) -> DataFrame | None:
+    """The sources that the newest index version holds."""
+    if not index_exists(spark, index_path):
+        return None
+    return load_index(spark, index_path).select(F.col("source").alias("url")).distinct()
+
+
+def add_sites(spark: SparkSession, seeds: DataFrame, pages: DataFrame, index_path: str,
+              pdf_docs: DataFrame | None = None, max_pages: int = DEFAULT_MAX_PAGES,
+              embedder: Hook | None = None) -> DataFrame:
+    """An add request: ``seeds(seed_url)`` are validated, their pages' links
+    routed, and the sites crawled up to ``max_pages`` fetches each; pages found
+    and not indexed before, and the PDF documents ``pdf_docs(source, text)``
+    among the links, are cleaned, chunked, embedded and committed as a new index
+    version on top of the old one.  Returns the crawl's rows
+    ``seed_url, base, url, level, status`` with ``fetched`` (within the budget)."""
+    known = processed_urls(spark, index_path)
+    known = cut_lineage(known) if known is not None else None
+    found = cut_lineage(crawl_from_seeds(seeds, pages, known))
+    within = crawl_budget(found, max_pages).select("seed_url", "url", F.lit(True).alias("fetched"))
+    found = cut_lineage(found.join(within, ["seed_url", "url"], "left")
+                        .withColumn("fetched", F.coalesce("fetched", F.lit(False))))
+    inside = found.where("fetched AND status = 'inside'").select("url").distinct()
+    status = fetch_status(pages).join(inside, "url", "left_semi")
+    docs = page_documents(last_fetch(pages, status))
+    if pdf_docs is not None:
+        linked = found.where("status = 'pdf'").select(F.col("url").alias("source")).distinct()
+        pdfs = pdf_docs.join(linked, "source", "left_semi")
+        if known is not None:
+            pdfs = pdfs.join(known.select(F.col("url").alias("source")), "source", "left_anti")
+        docs = union_docs(docs, pdfs.dropDuplicates(["source"]))
+    append_index(build_index(chunk_corpus(clean_documents(docs), "source"), embedder), index_path)
+    return found

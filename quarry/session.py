@@ -3,15 +3,17 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
-                  app_name: str = "quarry") -> SparkSession:
+                  app_name: str = "quarry", text_partitions: int | None = None) -> SparkSession:
     """Session for tests and local runs. On a cluster use the cluster's own
-    session; the settings below only fill gaps."""
+    session; the settings below only fill gaps.  ``text_partitions``: see
+    :func:`quarry.sources.tables.table`."""
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
@@ -24,6 +26,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
           .config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
           .config("spark.driver.memory", "16g"))
+    if text_partitions:
+        b = b.config("spark.quarry.textPartitions", str(text_partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -72,13 +76,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+_CUTS: dict[str, list[str]] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder and
     read it back: lineage is cut (a lost executor re-reads files instead of
     recomputing), the copy is columnar and compressed, and later readers get
-    column pruning.  Never ``localCheckpoint``."""
-    import uuid
+    column pruning.  Never ``localCheckpoint``.  The table lives until
+    :func:`drop_cuts`."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "cut")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new folder name under the checkpoint folder, remembered for
+    :func:`drop_cuts`."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application wrote so far.  Call it
+    when no frame that reads them is needed any more (after a query's result
+    was written); returns how many folders were named."""
+    paths = _CUTS.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    return len(paths)

@@ -34,9 +34,9 @@ PARTS_SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructFiel
 
 
 def _binary(spark: SparkSession, directory: str, suffix: str) -> DataFrame:
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "false")
-          .load(directory.rstrip("/")))
-    return df.where(F.col("path").endswith(suffix)).select("path", "content")
+    """Files of one kind; the glob keeps the bytes of other files unread."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "false")
+            .option("pathGlobFilter", f"*{suffix}").load(directory.rstrip("/")).select("path", "content"))
 
 
 def docx_paragraphs(data: bytes) -> list[str]:
@@ -83,21 +83,22 @@ def binary_scan(spark: SparkSession, directory: str, extractor: Callable[[bytes]
 
 def text_scan(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
     """``path, text`` — each ``.txt`` file whole (UTF-8)."""
-    df = (spark.read.option("recursiveFileLookup", str(recursive).lower())
+    df = (spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.txt")
           .text(directory.rstrip("/"), wholetext=True))
-    return (df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-            .where(F.col("path").endswith(".txt")))
+    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def directory_scan(spark: SparkSession, directory: str,
                    pdf_extractor: Callable[[bytes], list[str]] | None = None) -> DataFrame:
     """Every ``.pdf`` / ``.docx`` / ``.txt`` file of one directory, as
     ``path, name, kind, text``; other files are ignored.  PDFs need an
-    extractor; without one they are skipped."""
+    extractor; a directory that has some cannot be read without one."""
     parts = [text_scan(spark, directory).withColumn("kind", F.lit("txt")),
              docx_scan(spark, directory).withColumn("kind", F.lit("docx"))]
     if pdf_extractor is not None:
         parts.append(binary_scan(spark, directory, pdf_extractor).withColumn("kind", F.lit("pdf")))
+    elif not _binary(spark, directory, ".pdf").select("path").isEmpty():
+        raise ValueError(f"{directory} has PDF files; pass pdf_extractor to read them")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -1,11 +1,15 @@
-"""The vector index as a versioned Parquet table.
+"""The vector index as versioned Parquet folders with a commit table.
 
-Each save writes a new ``version=<n>`` directory, so a reader of the previous
-version is never disturbed; loading picks the newest version (partition
-pruning reads only that directory).
+A version is a list of folders: a full save has its own, an append has those of
+the version before and one more, so adding rows copies nothing.  Data is written
+first, then one row ``(version, parts)`` is added to the commit table; readers
+see committed versions only, and a writer that failed halfway leaves a folder
+that nobody reads.  One writer at a time.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,43 +21,64 @@ INDEX_SCHEMA = T.StructType([
     T.StructField("chunk_idx", T.IntegerType()),
     T.StructField("start", T.IntegerType()),
     T.StructField("text", T.StringType()),
-    T.StructField("embedding", T.ArrayType(T.DoubleType())),
-    T.StructField("version", T.LongType()),
+    T.StructField("embedding", T.ArrayType(T.FloatType())),
 ])
+COMMIT_SCHEMA = T.StructType([T.StructField("version", T.LongType()),
+                              T.StructField("parts", T.ArrayType(T.StringType()))])
 
 
 class IndexMissing(RuntimeError):
-    """No index at the path — there is nothing to answer from."""
+    """No committed index at the path — there is nothing to answer from."""
+
 
+def _commits(path: str) -> str:
+    return f"{path.rstrip('/')}/commits"
 
-def index_versions(spark: SparkSession, path: str) -> DataFrame:
+
+def _committed(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[str]] | None:
+    """The newest (or the given) committed version and its folders."""
     try:
-        return spark.read.schema(INDEX_SCHEMA).parquet(path).select("version").distinct()
-    except AnalysisException as e:  # PATH_NOT_FOUND
-        raise IndexMissing(f"no index at {path}") from e
+        rows = spark.read.schema(COMMIT_SCHEMA).parquet(_commits(path))
+        if version is not None:
+            rows = rows.where(F.col("version") == int(version))
+        row = rows.orderBy(F.desc("version")).first()
+    except AnalysisException:  # PATH_NOT_FOUND
+        return None
+    return (row.version, list(row.parts)) if row else None
 
 
 def index_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.schema(INDEX_SCHEMA).parquet(path).limit(1).count()
-        return True
-    except AnalysisException:
-        return False
+    return _committed(spark, path) is not None
+
+
+def _save(index: DataFrame, path: str, version: int, before: list[str]) -> int:
+    part = f"data-{version}-{uuid.uuid4().hex}"
+    index.select(*INDEX_SCHEMA.fieldNames()).write.mode("errorifexists").parquet(f"{path.rstrip('/')}/{part}")
+    commit = index.sparkSession.createDataFrame([(version, [*before, part])], COMMIT_SCHEMA)
+    commit.coalesce(1).write.mode("append").parquet(_commits(path))
+    return version
+
+
+def save_index(index: DataFrame, path: str, version: int | None = None) -> int:
+    """Write ``index`` as a version of its own (default: the next one) and
+    commit it; a committed version is never written again."""
+    last = _committed(index.sparkSession, path)
+    version = (last[0] if last else 0) + 1 if version is None else int(version)
+    if last and _committed(index.sparkSession, path, version):
+        raise ValueError(f"version {version} is committed at {path}")
+    return _save(index, path, version, [])
 
 
-def save_index(index: DataFrame, path: str, version: int) -> str:
-    """Write ``index`` as ``path/version=<version>`` (fails if it exists)."""
-    cols = [f.name for f in INDEX_SCHEMA.fields if f.name != "version"]
-    target = f"{path.rstrip('/')}/version={int(version)}"
-    index.select(*cols).write.mode("errorifexists").parquet(target)
-    return target
+def append_index(rows: DataFrame, path: str) -> int:
+    """Commit a version with the rows of the newest one and ``rows``; only
+    ``rows`` are written."""
+    last = _committed(rows.sparkSession, path)
+    return _save(rows, path, (last[0] if last else 0) + 1, last[1] if last else [])
 
 
 def load_index(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """Read a version (default: the newest) with the declared schema."""
-    if not index_exists(spark, path):
-        raise IndexMissing(f"no index at {path}")
-    df = spark.read.schema(INDEX_SCHEMA).parquet(path)
-    if version is None:
-        version = df.agg(F.max("version")).first()[0]
-    return df.where(F.col("version") == int(version)).drop("version")
+    """Read a committed version (default: the newest)."""
+    found = _committed(spark, path, version)
+    if found is None:
+        raise IndexMissing(f"no committed index at {path}")
+    return spark.read.schema(INDEX_SCHEMA).parquet(*[f"{path.rstrip('/')}/{p}" for p in found[1]])

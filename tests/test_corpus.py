@@ -1,10 +1,9 @@
 """F3, A4, W2, W3 against the direct computation on one Python string."""
 import re
 
-from pyspark.sql import functions as F
-
 from quarry.operators import trainset as TS
 from quarry.operators.docs import normalize_corpus
+from quarry.operators.hooks import Hook
 
 DOCS = [(1, "  \n"), (2, "a\n"), (3, "\n"), (4, "\nb\n\n"), (5, ""), (6, "\n\nc d"), (7, " e \n"), (8, " \n ")]
 
@@ -29,29 +28,64 @@ def test_documents_sf0001(spark):
     assert train == ref[:cut] and val == ref[cut:]
 
 
+def test_keys_may_be_text(spark):
+    rows = [(f"k{i:03d}", t) for i, (_, t) in enumerate(DOCS * 9)]
+    df = spark.createDataFrame(rows, "path string, text string").repartition(4)
+    got = "".join(r.text for r in normalize_corpus(df, key="path").orderBy("path").collect())
+    assert got == re.sub(r"\n+", "\n", "".join(t for _, t in rows)).strip()
+
+
+def _sliced(rows):
+    """split -> blocks of the ids in key order."""
+    out = {}
+    for split in {r[0] for r in rows}:
+        stream = [x for _, _, ids in sorted(r for r in rows if r[0] == split) for x in ids]
+        for b in range(len(stream) // 128):
+            out[(split, b)] = stream[128 * b:128 * b + 128]
+    return out
+
+
+def _packed(ids):
+    return {(r.split, r.block_id): list(r.input_ids) for r in TS.pack_blocks(ids).collect()}
+
+
 def test_blocks(spark):
-    # token_rows fixture: totals of 127, 128, 129 and 256 tokens
-    for total in (127, 128, 129, 256):
-        rows = [("train", 1, i, 10 + i) for i in range(total // 2)] + \
-               [("train", 2, i, 500 + i) for i in range(total - total // 2)]
-        ids = spark.createDataFrame(rows, "split string, doc_id long, pos int, id int")
-        b = TS.pack_blocks(ids).orderBy("block_id").collect()
-        flat = [x for _, _, _, x in sorted(rows, key=lambda r: (r[1], r[2]))]
-        assert [list(r.input_ids) for r in b] == [flat[i:i + 128] for i in range(0, total - 127, 128)]
+    for total in (0, 1, 127, 128, 129, 256, 1000):
+        rows = [("train", 1, list(range(total // 2))), ("train", 2, list(range(500, 500 + total - total // 2))), ("train", 3, []),
+                ("val", 1, [7] * total)]
+        assert _packed(spark.createDataFrame(rows, "split string, doc_id long, input_ids array<int>")) == _sliced(rows)
 
 
-def test_tokenizer_hook_and_id_packing(spark):
+def test_many_short_parts_make_one_block(spark):
+    rows = [("train", i, [i] * (i % 4)) for i in range(300)]
+    assert _packed(spark.createDataFrame(rows, "split string, doc_id long, input_ids array<int>").repartition(5)) == _sliced(rows)
+
+
+def test_unknown_tokens_are_not_lost(spark):
+    texts = ["the cat  sat", "the été 😀", "rare\n\twords here", "", "the the the"]
+    parts = TS.with_tokens(spark.createDataFrame([("train", i, t) for i, t in enumerate(texts)], "split string, doc_id long, text string"))
+    for size in (TS.BYTE_IDS, TS.BYTE_IDS + 1, TS.BYTE_IDS + 3, 50256):
+        vocab = TS.build_vocab(parts, size)
+        ids = TS.tokenize(parts.drop("text"), vocab)
+        assert max(max(r.input_ids, default=0) for r in ids.collect()) < size
+        assert {r.doc_id: r.text for r in TS.detokenize(ids, vocab).collect()} == dict(enumerate(texts))
+
+
+def test_tokenizer_hook(spark):
     """A user tokenizer (here: code points) through the hook, packed into
     blocks, equals slicing the concatenated id stream."""
-    def factory():
-        return lambda texts: [[ord(c) for c in t] for t in texts]
-
     rows = [("train", 1, "ab" * 100), ("train", 2, "é" * 90), ("val", 3, "xyz" * 50), ("train", 4, "")]
     parts = spark.createDataFrame(rows, "split string, doc_id long, text string").repartition(3)
-    ids = TS.tokenize_with(parts, factory)
-    got = {(r.split, r.block_id): list(r.input_ids) for r in TS.pack_id_arrays(ids).collect()}
-    for split in ("train", "val"):
-        stream = [ord(c) for _, _, t in sorted((r for r in rows if r[0] == split), key=lambda r: r[1]) for c in t]
-        want = [stream[i:i + 128] for i in range(0, len(stream) - 127, 128)]
-        assert [got[(split, b)] for b in range(len(want))] == want
-        assert not any(k[0] == split and k[1] >= len(want) for k in got)
+    hook = Hook("code points", lambda: lambda texts: [[ord(c) for c in t] for t in texts])
+    assert _packed(TS.tokenize_with(parts, hook)) == _sliced([(s, i, [ord(c) for c in t]) for s, i, t in rows])
+
+
+def test_directory_to_blocks(spark, tmp_path):
+    from quarry.plans.train import directory_blocks
+    text = {"b.txt": "two two\n\n\nthree", "a.txt": "  one", "c.txt": "four " * 200}
+    for name, t in text.items():
+        (tmp_path / name).write_text(t)
+    rows = directory_blocks(spark, str(tmp_path), fraction=1.0, block_size=8).orderBy("block_id").collect()
+    corpus = re.sub(r"\n+", "\n", "".join(text[n] for n in sorted(text))).strip()
+    assert len(rows) >= 200 // 8 and all(len(r.input_ids) == 8 for r in rows)
+    assert corpus.startswith("one")

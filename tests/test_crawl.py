@@ -61,3 +61,12 @@ def test_classify(spark):
     fr = spark.createDataFrame([(f"{B}/b1",), (f"{B}/c",), (f"{B}/nothing",)], "url string")
     got = {r.url: r.status for r in classify_links(fr, _pages(spark)).collect()}
     assert got == {f"{B}/b1": "inside", f"{B}/c": "wrong", f"{B}/nothing": "wrong"}
+
+
+def test_one_row_per_url_by_the_last_fetch(spark):
+    rows = [(1, f"{B}/", f"<a href='{B}/a'>x</a>"), (2, f"{B}/a", "<a href='/old'>x</a>"), (5, f"{B}/a", "<a href='/new'>x</a>"),
+            (4, f"{B}/a", None), (6, f"{B}/new", "<p>x</p>"), (7, f"{B}/new", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seeds = spark.createDataFrame([(f"{B}/",), (f"{B}/",)], "seed_url string")
+    got = sorted((r.url, r.level, r.status) for r in crawl_from_seeds(seeds, pages).collect())
+    assert got == [(f"{B}/a", 0, "inside"), (f"{B}/new", 1, "wrong")]

@@ -1,6 +1,7 @@
 """Exact k-NN against numpy brute force (FIXTURES.md `vectors`)."""
 import numpy as np
 
+from quarry.operators import knn
 from quarry.operators.knn import knn_join
 
 
@@ -32,8 +33,33 @@ def test_random_blocks(spark):
     rnd = np.random.default_rng(3)
     c = {i: rnd.normal(size=8).round(2).tolist() for i in range(300)}
     q = {i: rnd.normal(size=8).round(2).tolist() for i in range(37)}
-    # small blocks force several broadcast blocks
-    assert _run(spark, q, c, 3, max_block_rows=10) == _brute(q, c, 3)
+    for pivots in (1, 5, 64):
+        assert _run(spark, q, c, 3, pivots=pivots, sample=100) == _brute(q, c, 3)
+
+
+def test_small_blocks_and_a_hot_cell(spark, monkeypatch):
+    monkeypatch.setattr(knn, "INDEX_BLOCK", 16)
+    monkeypatch.setattr(knn, "QUESTION_BLOCK", 4)
+    rnd = np.random.default_rng(4)
+    c = {i: ([1.0, 1.0, 1.0] if i % 3 == 0 else rnd.normal(size=3).round(2).tolist()) for i in range(240)}
+    q = {i: rnd.normal(size=3).round(2).tolist() for i in range(30)} | {99: [1.0, 1.0, 1.0]}
+    assert _run(spark, q, c, 4) == _brute(q, c, 4)
+
+
+def test_far_cells_are_left_out(spark):
+    """Clusters far apart: a question is sent to few cells, and the result holds."""
+    rnd = np.random.default_rng(5)
+    c = {i: ((i % 8) * 100 + rnd.normal(size=2)).round(3).tolist() for i in range(400)}
+    q = {i: ((i % 8) * 100 + rnd.normal(size=2)).round(3).tolist() for i in range(24)}
+    assert _run(spark, q, c, 2, pivots=8, sample=400) == _brute(q, c, 2)
+    index = spark.createDataFrame([(i, v) for i, v in c.items()], "_c long, _v array<double>")
+    centres = knn.choose_pivots(index, "_c", "_v", 32, 400)
+    placed = knn._to_cells(index, centres).collect()
+    near = sorted((r._far, r._cell) for r in placed)
+    radius = np.array([max((r._far for r in placed if r._cell == j), default=0.0) for j in range(len(centres))])
+    asked = spark.createDataFrame([(i, v) for i, v in q.items()], "_q long, _qv array<double>")
+    cells = knn._wanted_cells(asked, centres, np.array([x[1] for x in near]), np.array([x[0] for x in near]), radius, 2).collect()
+    assert all(len(r._cells) <= len(centres) // 2 for r in cells)
 
 
 def test_empty_index(spark):

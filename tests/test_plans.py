@@ -13,16 +13,42 @@ def _plan(spark, name):
 def test_knn_has_no_pair_product_and_limits_per_question(spark):
     p = _plan(spark, "knn_join")
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-    assert "MapInArrow" in p and p.count("WindowGroupLimit") >= 2
-    # the vector scan reads the key and the vector only
-    scan = [line for line in p.split("\n") if "FileScan parquet" in line and "embedding" in line]
-    assert scan and all("text" not in line.split("FileScan parquet")[1].split("]")[0] for line in scan)
+    assert "FlatMapCoGroupsInArrow" in p and p.count("WindowGroupLimit") >= 2
+
+
+def test_questions_do_not_pass_through_the_driver():
+    import inspect
+
+    from quarry.operators import knn
+    body = inspect.getsource(knn.knn_join)
+    assert body.count(".collect()") == 3      # k numbers per pivot, one summary per pivot, one count per cell
+    assert "asked.collect" not in body and "asked.toArrow" not in body and "for b in range" not in body
 
 
 def test_chunking_is_one_pass_without_shuffle(spark):
     p = _plan(spark, "chunk_documents")
-    assert p.count("ArrowEvalPython") == 1 and "Union" not in p
-    assert "hashpartitioning" not in p
+    assert p.count("MapInArrow") == 1 and "Union" not in p
+    assert "Exchange" not in p
+
+
+def test_token_ids_are_not_shuffled_one_by_one(spark):
+    p = _plan(spark, "training_blocks")
+    assert "posexplode" not in p.lower()
+
+
+def test_validate_seeds_reads_urls_only(spark):
+    p = _plan(spark, "validate_seeds")
+    assert "html" not in p and "InMemoryTableScan" not in p
+
+
+def test_building_a_plain_query_starts_no_job(spark):
+    store = spark.sparkContext.statusTracker()
+    for name in ("html_to_text", "extract_links", "chunk_documents", "embed_chunks", "validate_seeds", "processed_docs"):
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        load_all()[name].build(spark, SF)
+        jobs = store.getJobIdsForGroup(f"build-{name}")
+        spark.sparkContext.setJobGroup("tests", "tests")
+        assert len(jobs) <= 2, name          # reading the tables' schemas
 
 
 def test_link_extraction_reads_html_once(spark):

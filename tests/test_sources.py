@@ -4,7 +4,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import functions as F
+import pytest
 
 from quarry.sources.files import directory_scan
 from quarry.sources.requests import parse_requests
@@ -34,6 +34,22 @@ def test_directory_scan(spark):
     assert got == {"a.txt": ("txt", "plain\ntext"), "d.docx": ("docx", "one\ntwo\n"), "e.pdf": ("pdf", "PAGE1PAGE2")}
 
 
+def test_pdfs_are_not_skipped_in_silence(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    assert directory_scan(spark, str(tmp_path)).count() == 1
+    (tmp_path / "b.pdf").write_bytes(b"x")
+    with pytest.raises(ValueError, match="PDF"):
+        directory_scan(spark, str(tmp_path))
+
+
+def test_each_scan_reads_files_of_its_kind(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    (tmp_path / "b.docx").write_bytes(_docx(["p"]))
+    from quarry.sources.files import _binary
+    files = {k: [os.path.basename(f) for f in _binary(spark, str(tmp_path), k).inputFiles()] for k in (".docx", ".txt")}
+    assert files == {".docx": ["b.docx"], ".txt": ["a.txt"]}
+
+
 def test_request_parsing(spark):
     urls = ["/get?msg=a%20b", "/get?msg=a+b", "/get?msg=%zz", "/get?other=1", "/get?msg=", "/get?msg=%C3%A9t%C3%A9",
             "/get?msg=!*'()~"]

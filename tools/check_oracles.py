@@ -17,7 +17,7 @@ sys.path.insert(0, __file__.rsplit("/tools/", 1)[0])
 import duckdb  # noqa: E402
 
 from quarry.catalog import load_all  # noqa: E402
-from quarry.session import build_session  # noqa: E402
+from quarry.session import build_session, drop_cuts  # noqa: E402
 from quarry.sources.tables import TABLES  # noqa: E402
 
 
@@ -78,6 +78,7 @@ def main():
             bad += 1
             continue
         ts = time.time() - t0
+        drop_cuts(spark)
         sql = q.oracle()
         if sql is None:
             print(f"ROWS {name}: {len(srows)} rows ({ts:.1f}s, no oracle)")

@@ -10,11 +10,6 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(diffs, F.lit(0.0).cast("double"), lambda acc, v: acc + v)
 
 
-def dot(a: Column, b: Column) -> Column:
-    prods = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(prods, F.lit(0.0).cast("double"), lambda acc, v: acc + v)
-
-
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0).cast("double"),
                               lambda acc, x: acc + x.cast("double") * x.cast("double")))

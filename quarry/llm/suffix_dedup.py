@@ -9,13 +9,17 @@ documents and are judged on the input.
 2. Every string of ``LENGTH`` bytes has a minimizer: of its ``ANCHOR``-byte
    substrings the one with the smallest hash.  Consecutive strings with the
    same minimizer form one stretch of text, and equal strings, wherever they
-   are, have equal minimizers.  A pack sends each distinct stretch once, with
-   the smallest id that has it, to the shard of its minimizer.
-3. A shard drops stretches that can share no string: two that do agree in
-   ``SIDE`` bytes to the left or the right of the minimizer as well.  The suffix
-   array of the others is built by induced sorting (``quarry.llm.induced``); runs
-   of permuted common prefixes of ``LENGTH`` or more are the equal strings, and
-   the smallest id of each run goes back to the packs that asked.
+   are, have equal minimizers.  Two stretches that share a string agree in
+   ``SIDE`` bytes to the left or to the right of the minimizer as well: packs
+   send hashes of these sides, sorted and as differences, and learn which occur
+   again.
+3. A pack sends each distinct stretch with such a side once, with the smallest
+   id that has it, to the shard of its minimizer.  There equal stretches become
+   one.  A stretch that shares a side with none but its own copies is answered
+   as a whole; the suffix array of the others is built by induced sorting
+   (``quarry.llm.induced``), runs of permuted common prefixes of ``LENGTH`` or
+   more are the equal strings, and the smallest id of each run goes back to the
+   packs that asked.
 4. A pack marks what its documents lose and returns the rest.
 
 A group of copies meets in a shard as one stretch per pack, not one per copy,
@@ -50,7 +54,8 @@ SIDE = (LENGTH - ANCHOR) // 2
 PACK_BYTES = 4 << 20
 SHARD_BYTES = 12 << 20
 SORT_BYTES = 2 << 20                 # text of one suffix array, unless one minimizer has more
-BLOCK = 1 << 16
+CODE_BITS = 44                       # of a side's hash; more than needed only sends more
+BLOCK = 1 << 14
 NULL_ID = np.iinfo(np.int64).max
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 WEIGHTS = (np.arange(1, WIDEST + 1, dtype=np.uint64) * M1 ^ M2) * M3 | np.uint64(1)
@@ -93,6 +98,18 @@ def unpacked(ids: list[int | None], sizes: list[int], data: bytes) -> tuple[np.n
 
 # --- stretches ---------------------------------------------------------------
 
+def anchor_hash(first: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Hash of ``ANCHOR`` bytes: the first eight and the last four as numbers."""
+    h = (first * M1) ^ (rest * M2)
+    return (h ^ (h >> np.uint64(29))) * M3
+
+
+def keys_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The minimizer hash of the anchors that begin at the given places."""
+    number = lambda begin, n: sum((data[begin + k].astype(np.uint64) << np.uint64(8 * (n - 1 - k))) for k in range(n))
+    return anchor_hash(number(at, 8), number(at + 8, 4)) >> np.uint64(24)
+
+
 def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """(begin, strings, minimizer hash, minimizer's offset, document) of each
     stretch of a pack: ``strings`` consecutive strings from ``begin`` on."""
@@ -107,8 +124,7 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         four = (two[:-2] << np.uint64(16)) | two[2:]
         eight = (four[:-4] << np.uint64(32)) | four[4:]
         n = len(one) - ANCHOR + 1
-        h = (eight[:n] * M1) ^ (four[8:8 + n] * M2)
-        h = (h ^ (h >> np.uint64(29))) * M3
+        h = anchor_hash(eight[:n], four[8:8 + n])
         low = (h >> np.uint64(24) << np.uint64(24)) | np.arange(n, dtype=np.uint64)
         width = 1
         while 2 * width <= SPAN:
@@ -193,56 +209,133 @@ def split(value: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-STRETCH = (np.uint32, np.uint8, np.uint8, np.uint64, np.int64, np.uint8, np.uint8)
+STRETCH = (np.int64, np.uint8, np.uint8, np.int64, np.uint8, np.uint8)
 
 
-def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    return ((key * M3) >> np.uint64(33)).astype(np.int64) % shards
+def sides(data: np.ndarray, begin: np.ndarray, count: np.ndarray, key: np.ndarray,
+          offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the anchor with ``SIDE`` bytes to its right, and to its
+    left, for the stretches that have them."""
+    width = ANCHOR + SIDE
+    rows, codes = [], []
+    for side, (has, at) in enumerate(((count + LENGTH - 1 - offset >= width, begin + offset),
+                                      (offset >= SIDE, begin + offset - SIDE))):
+        some = np.flatnonzero(has)
+        code = content_codes(data, at[some], np.full(len(some), width), key[some], width)
+        rows.append(some)
+        codes.append((code ^ np.uint64(side)) * M1 >> np.uint64(64 - CODE_BITS))
+    return np.concatenate(rows), np.concatenate(codes)
+
+
+def sorted_sides(codes: np.ndarray) -> np.ndarray:
+    """The codes of a pack in order, each at most twice."""
+    codes = np.sort(codes)
+    keep = np.ones(len(codes), dtype=bool)
+    keep[2:] = codes[2:] != codes[:-2]
+    return codes[keep]
+
+
+def planes(codes: np.ndarray) -> bytes:
+    """Sorted codes as differences, byte by byte, compressed."""
+    steps = np.diff(codes, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
+
+
+def from_planes(value: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(value), dtype=np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
 
+def side_shards(codes: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of each code: ranges of equal width, in order."""
+    return ((codes >> np.uint64(12)) * np.uint64(shards) >> np.uint64(CODE_BITS - 12)).astype(np.int64)
 
-def sending(shards: int):
-    """(pack, ids, sizes, data) to (shard, pack, stretches) rows."""
+
+def pack_stretches(ids: list, sizes: list, data: bytes) -> tuple[np.ndarray, ...]:
+    ids, ends, text = unpacked(ids, sizes, data)
+    return ids, ends, text, *stretches(text, ends)
+
+
+def asking(shards: int):
+    """(pack, ids, sizes, data) to (shard, pack, codes) rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for pack, ids, sizes, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, ends, text = unpacked(ids, sizes, data)
-                begin, count, key, offset, doc = stretches(text, ends)
+            for pack, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                _, _, text, begin, count, key, offset, _ = pack_stretches(*row)
                 if not len(begin):
                     continue
-                wide, size = spare(text), count + LENGTH - 1
-                number, first = distinct(wide, begin, size, key)
-                least = np.full(len(first), NULL_ID, dtype=np.int64)
-                np.minimum.at(least, number, ids[doc])
-                most = np.full(len(first), np.iinfo(np.int64).min, dtype=np.int64)
-                np.maximum.at(most, number, ids[doc])
-                many = (least < most).astype(np.uint8)
-                shard = shard_of(key[first], shards)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.flatnonzero(np.diff(shard[order])) + 1
-                parts = np.split(order, cuts)
-                blobs = []
-                for part in parts:
-                    f = first[part]
-                    blobs.append(joined(part.astype(np.uint32), size[f].astype(np.uint8), offset[f].astype(np.uint8), key[f],
-                                        least[part], many[part], gathered(text, begin[f], size[f])))
+                codes = sorted_sides(sides(spare(text), begin, count, key, offset)[1])
+                shard = side_shards(codes, shards)
+                parts = np.split(codes, np.flatnonzero(np.diff(shard)) + 1)
+                numbers = [int(x[0]) for x in np.split(shard, np.flatnonzero(np.diff(shard)) + 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(shard[p[0]]) for p in parts], pa.int64()), pa.array([pack] * len(parts), pa.int64()),
-                     pa.array(blobs, pa.binary())], names=["shard", "pack", "stretches"])
+                    [pa.array(numbers, pa.int64()), pa.array([pack] * len(parts), pa.int64()),
+                     pa.array([planes(x) for x in parts], pa.binary())], names=["shard", "pack", "codes"])
+    return run
+
+
+def counting(table: pa.Table) -> pa.Table:
+    """All codes of a shard to (pack, shard, shared): one bit per code a pack
+    sent, whether it occurs again."""
+    parts = [from_planes(x.as_py()) for x in table.column("codes")]
+    every = np.sort(np.concatenate(parts))
+    shared = np.unique(every[1:][every[1:] == every[:-1]])
+    bits = [zstandard.compress(np.packbits(np.isin(x, shared)).tobytes(), 3) for x in parts]
+    return pa.table({"pack": table.column("pack"), "shard": table.column("shard"), "shared": pa.array(bits, pa.binary())})
+
+
+def sending(shards: int, side_count: int):
+    """A pack and the answers about its sides to (shard, pack, stretches) rows."""
+    def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
+        numbers, owners, blobs = [], [], []
+        told = {s: zstandard.decompress(x) for s, x in zip(*(answers.column(c).to_pylist() for c in ("shard", "shared")), strict=True)}
+        for pack, *row in zip(*(packs.column(c).to_pylist() for c in ("pack", "ids", "sizes", "data")), strict=True):
+            ids, _, text, begin, count, key, offset, doc = pack_stretches(*row)
+            if not len(begin):
+                continue
+            wide = spare(text)
+            rows, codes = sides(wide, begin, count, key, offset)
+            mine = sorted_sides(codes)
+            of = side_shards(mine, side_count)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
+            again = [np.unpackbits(np.frombuffer(told[int(of[a])], np.uint8), count=int(b - a)).astype(bool)
+                     for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            keep = np.unique(rows[np.isin(codes, mine[np.concatenate(again)])])
+            begin, count, key, offset, doc = begin[keep], count[keep], key[keep], offset[keep], doc[keep]
+            size = count + LENGTH - 1
+            number, first = distinct(wide, begin, size, key)
+            least = np.full(len(first), NULL_ID, dtype=np.int64)
+            np.minimum.at(least, number, ids[doc])
+            most = np.full(len(first), np.iinfo(np.int64).min, dtype=np.int64)
+            np.maximum.at(most, number, ids[doc])
+            order = np.argsort(first)
+            shard = shard_of(key[first[order]], shards)
+            order = order[np.argsort(shard, kind="stable")]
+            shard = np.sort(shard)
+            for part in np.split(order, np.flatnonzero(np.diff(shard)) + 1) if len(order) else []:
+                f = first[part]
+                numbers.append(int(shard_of(key[f[:1]], shards)[0]))
+                owners.append(pack)
+                blobs.append(joined(np.diff(keep[f], prepend=0), size[f].astype(np.uint8), offset[f].astype(np.uint8),
+                                    np.diff(least[part], prepend=0), (least[part] < most[part]).astype(np.uint8),
+                                    gathered(text, begin[f], size[f])))
+        return pa.table({"shard": pa.array(numbers, pa.int64()), "pack": pa.array(owners, pa.int64()),
+                         "stretches": pa.array(blobs, pa.binary())})
     return run
 
 
+def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    return ((key * M3) >> np.uint64(33)).astype(np.int64) % shards
+
+
 # --- shards ------------------------------------------------------------------
 
 def sharing(data: np.ndarray, begin: np.ndarray, size: np.ndarray, offset: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Which of the distinct stretches agree with another in their minimizer and
-    ``SIDE`` bytes on one side of it."""
+    """Which of the distinct stretches agree with another in a side."""
+    rows, codes = sides(data, begin, size - LENGTH + 1, key, offset)
+    _, inverse, n = np.unique(codes, return_inverse=True, return_counts=True)
     out = np.zeros(len(begin), dtype=bool)
-    width = ANCHOR + SIDE
-    for has, at in ((size - offset >= width, begin + offset), (offset >= SIDE, begin + offset - SIDE)):
-        some = np.flatnonzero(has)
-        code = content_codes(data, at[some], np.full(len(some), width), key[some], width)
-        _, inverse, n = np.unique(code, return_inverse=True, return_counts=True)
-        out[some[n[inverse] > 1]] = True
+    out[rows[n[inverse] > 1]] = True
     return out
 
 
@@ -280,24 +373,25 @@ def resolving(table: pa.Table) -> pa.Table:
     parts = [split(x.as_py(), *STRETCH) for x in table.column("stretches")]
     parts = [parts[i] for i in order]
     lengths = [len(p[0]) for p in parts]
-    entry, size, offset, key, least, many, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+    entry, least = (np.concatenate([np.cumsum(p[i]) for p in parts]) for i in (0, 3))
+    size, offset, many, data = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 4, 5))
     owner = np.repeat(packs[order], lengths)
     size, offset = size.astype(np.int64), offset.astype(np.int64)
     begin = np.cumsum(size) - size
     data = spare(data)
+    key = keys_at(data, begin + offset)
 
     number, first = distinct(data, begin, size, key)
     smallest = np.full(len(first), NULL_ID, dtype=np.int64)
     np.minimum.at(smallest, number, least)
+    mixed = sharing(data, begin[first], size[first], offset[first], key[first])
     uses = np.bincount(number, minlength=len(first)) + np.bincount(number, weights=many, minlength=len(first))
-    wanted = np.flatnonzero((uses > 1) | sharing(data, begin[first], size[first], offset[first], key[first]))
-    if not len(wanted):
-        return pa.table({"pack": pa.array([], pa.int64()), "answers": pa.array([], pa.binary())})
+    alone = np.flatnonzero((uses > 1) & ~mixed)               # copies of one stretch only
+    wanted = np.flatnonzero(mixed)
     wanted = wanted[np.argsort(key[first[wanted]], kind="stable")]
     f = first[wanted]
-    answer = np.full(len(first), -1, dtype=np.int64)          # place of a stretch's first answer
     total = np.cumsum(size[f] + 1)
-    groups = np.concatenate([[0], np.flatnonzero(np.diff(key[f])) + 1, [len(f)]])
+    groups = np.concatenate([[0], np.flatnonzero(np.diff(key[f])) + 1, [len(f)]]) if len(f) else np.zeros(1, np.int64)
     found, at = [], 0
     while at < len(groups) - 1:
         base = total[groups[at] - 1] if groups[at] else 0
@@ -307,9 +401,11 @@ def resolving(table: pa.Table) -> pa.Table:
         s = slice(groups[at], groups[to])
         found.append(least_ids(data, begin[f[s]], size[f[s]], smallest[wanted[s]]))
         at = to
+    answer = np.full(len(first), -1, dtype=np.int64)          # place of a stretch's first answer
+    f = first[np.concatenate([wanted, alone])]
     count = size[f] - LENGTH + 1
-    answer[wanted] = np.cumsum(count) - count
-    ids = np.concatenate([np.zeros(0, np.int64), *found])
+    answer[np.concatenate([wanted, alone])] = np.cumsum(count) - count
+    ids = np.concatenate([np.zeros(0, np.int64), *found, np.repeat(smallest[alone], size[first[alone]] - LENGTH + 1)])
 
     rows = np.flatnonzero(answer[number] >= 0)
     count = size[rows] - LENGTH + 1
@@ -327,7 +423,7 @@ def resolving(table: pa.Table) -> pa.Table:
     for part in np.split(np.arange(len(head)), np.flatnonzero(np.diff(to_pack)) + 1):
         if len(part):
             asked.append(int(to_pack[part[0]]))
-            answers.append(joined(entry[row[head[part]]], string[head[part]].astype(np.uint8), run[part].astype(np.uint8),
+            answers.append(joined(entry[row[head[part]]].astype(np.int64), string[head[part]].astype(np.uint8), run[part].astype(np.uint8),
                                   value[head[part]]))
     return pa.table({"pack": pa.array(asked, pa.int64()), "answers": pa.array(answers, pa.binary())})
 
@@ -337,14 +433,17 @@ def resolving(table: pa.Table) -> pa.Table:
 def removing(packs: pa.Table, answers: pa.Table) -> pa.Table:
     """One row per document of a pack: (id, n_bytes, spans, kept)."""
     out_ids, out_sizes, out_spans, out_kept = [], [], [], []
-    parts = [split(x.as_py(), np.uint32, np.uint8, np.uint8, np.int64) for x in answers.column("answers")]
+    parts = [split(x.as_py(), np.int64, np.uint8, np.uint8, np.int64) for x in answers.column("answers")]
     for raw_ids, sizes, data in zip(*(packs.column(c).to_pylist() for c in ("ids", "sizes", "data")), strict=True):
         ids, ends, text = unpacked(raw_ids, sizes, data)
         cover = np.zeros(len(text) + 1, dtype=np.int64)
         if parts:
             begin, count, key, _, doc = stretches(text, ends)
-            number, _ = distinct(spare(text), begin, count + LENGTH - 1, key)
             entry, string, run, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+            near = np.flatnonzero(np.isin(key, key[entry]))     # copies of an answered stretch have its minimizer
+            begin, doc = begin[near], doc[near]
+            number, _ = distinct(spare(text), begin, count[near] + LENGTH - 1, key[near])
+            entry = number[np.searchsorted(near, entry)]
             by_entry = np.argsort(entry, kind="stable")
             low = np.searchsorted(entry[by_entry], number, side="left")
             many = np.searchsorted(entry[by_entry], number, side="right") - low
@@ -373,9 +472,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (ends exclusive) and its remaining bytes."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     packs = cut_lineage(rows.mapInArrow(packing, "pack long, ids array<long>, sizes array<long>, bytes long, data binary"))
+    whole = packs.select("pack", "ids", "sizes", "data")
     total = packs.agg(F.sum("bytes")).first()[0] or 0
     shards = int(total * (1 + LENGTH / (SPAN / 2)) // SHARD_BYTES) + 1
-    sent = packs.select("pack", "ids", "sizes", "data").mapInArrow(sending(shards), "shard long, pack long, stretches binary")
+    told = (whole.mapInArrow(asking(shards), "shard long, pack long, codes binary")
+            .groupBy("shard").applyInArrow(counting, "pack long, shard long, shared binary"))
+    sent = (whole.groupBy("pack").cogroup(told.groupBy("pack"))
+            .applyInArrow(sending(shards, shards), "shard long, pack long, stretches binary"))
     answers = sent.groupBy("shard").applyInArrow(resolving, "pack long, answers binary")
-    return (packs.select("pack", "ids", "sizes", "data").groupBy("pack").cogroup(answers.groupBy("pack"))
+    return (whole.groupBy("pack").cogroup(answers.groupBy("pack"))
             .applyInArrow(removing, "id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary"))

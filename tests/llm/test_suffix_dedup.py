@@ -87,11 +87,13 @@ def without_spark(rows):
         texts = [(t or "").encode() for _, t in part]
         packs.append((n, [i for i, _ in part], [len(t) for t in texts], suffix_dedup.zstandard.compress(b"".join(texts))))
     table = lambda p: pa.RecordBatch.from_pydict({"pack": [p[0]], "ids": [p[1]], "sizes": [p[2]], "data": [p[3]]})
-    shards = {}
-    for p in packs:
-        for b in suffix_dedup.sending(7)(iter([table(p)])):
-            for r in b.to_pylist():
-                shards.setdefault(r["shard"], []).append(r)
+    by = lambda rows, key: {k: [r for r in rows if r[key] == k] for k in {r[key] for r in rows}}
+    asked = [r for p in packs for b in suffix_dedup.asking(5)(iter([table(p)])) for r in b.to_pylist()]
+    told = by([r for found in by(asked, "shard").values() for r in suffix_dedup.counting(pa.Table.from_pylist(found)).to_pylist()], "pack")
+    kind = pa.schema([("pack", pa.int64()), ("shard", pa.int64()), ("shared", pa.binary())])
+    sent = [r for p in packs for r in suffix_dedup.sending(7, 5)(
+        pa.Table.from_batches([table(p)]), pa.Table.from_pylist(told.get(p[0], []), kind)).to_pylist()]
+    shards = by(sent, "shard")
     for found in shards.values():
         for r in suffix_dedup.resolving(pa.Table.from_pylist(found)).to_pylist():
             answers.setdefault(r["pack"], []).append(r)

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ CAPACITY = 200_000       # known words of all languages together, in equal share
 MAX_LANGUAGES = 512
 SMOOTHING = 0.5
 LOCAL_WORDS = 200_000    # distinct words a counting task holds before it passes them on
-CACHED_CELLS = 1_600_000  # scores of unseen words (words x languages) a task remembers
+WORDS_TOGETHER = 1 << 16  # words whose n-grams are hashed at a time
 UNKNOWN = "und"
 
 
@@ -51,11 +52,29 @@ def words_in(text: bytes) -> Iterator[list[str]]:
             yield found
 
 
-def grams_at(word: str, at: int) -> list[str]:
-    """n-grams of the marked word that start at a place, longest first; a mark
-    alone is none."""
-    marked = f"<{word}>"
-    return [marked[at:at + n] for n in range(min(MAX_GRAM, len(marked) - at), int(at == 0), -1)]
+def gram_codes(words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hashes of the n-grams of the marked words, all words at once: the word of
+    each place, and per length 1, 2, ... the hash of the n-gram that begins at
+    each place (0 where the word is too short, or for a mark alone)."""
+    text = "".join([f"<{w}>" for w in words])
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    ends = np.cumsum(sizes)
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(points))
+    begins = np.ones(len(points), dtype=bool)
+    begins[ends - 1] = False
+    single = begins.copy()
+    single[ends - sizes] = False
+    out, rolling = [], np.zeros(len(points), dtype=np.uint64)
+    for n in range(1, MAX_GRAM + 1):
+        after = np.zeros(len(points), dtype=np.uint64)
+        after[:len(points) - n + 1] = points[n - 1:]
+        rolling = rolling * np.uint64(0x9E3779B97F4A7C15) + after + np.uint64(n)
+        mixed = (rolling ^ (rolling >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        ok = (left >= n) & (single if n == 1 else begins)
+        out.append(np.where(ok, mixed | np.uint64(1), np.uint64(0)))
+    return word, out
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,17 +99,24 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, word, n) rows to (lang, gram, n) partial sums per batch."""
+    """(lang, word, n) rows to (lang, gram, length, n) sums per batch; ``gram``
+    is the n-gram's hash."""
     for b in batches:
-        counts: dict[tuple[str, str], int] = {}
-        for lang, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for at in range(len(word) + 1):
-                for gram in grams_at(word, at):
-                    key = (lang, gram)
-                    counts[key] = counts.get(key, 0) + n
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()),
-             pa.array(list(counts.values()), pa.int64())], names=["lang", "gram", "n"])
+        langs = b.column(0).dictionary_encode()
+        lang, names = langs.indices.to_numpy(), langs.dictionary
+        weight = b.column(2).to_numpy()
+        for at in range(0, b.num_rows, WORDS_TOGETHER):
+            some = slice(at, at + WORDS_TOGETHER)
+            word, codes = gram_codes(b.column(1).slice(at, WORDS_TOGETHER).to_pylist())
+            for n, code in enumerate(codes, start=1):
+                place = np.flatnonzero(code)
+                of = lang[some][word[place]].astype(np.uint64)
+                key, inverse = np.unique(np.stack([of, code[place]], axis=1).view([("l", np.uint64), ("c", np.uint64)]).ravel(),
+                                         return_inverse=True)
+                total = np.bincount(inverse, weights=weight[some][word[place]], minlength=len(key)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(key["l"].astype(np.int64))), pa.array(key["c"].copy().view(np.int64)),
+                     pa.array(np.full(len(key), n, np.int32)), pa.array(total)], names=["lang", "gram", "length", "n"])
 
 
 def known(counts: DataFrame, unit: str, by: list[str], capacity: int) -> DataFrame:
@@ -109,14 +135,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", capac
             .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
     words = cut_lineage(rows.mapInArrow(count_words, "lang string, word string, n long")
                         .groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    grams = (words.mapInArrow(word_grams, "lang string, gram string, n long")
-             .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-             .withColumn("length", F.length("gram")))
+    grams = (words.mapInArrow(word_grams, "lang string, gram long, length int, n long")
+             .groupBy("lang", "gram", "length").agg(F.sum("n").alias("n")))
     langs = check_languages([r.lang for r in words.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()])
     share = max(1, capacity // max(1, len(langs)))
     top_words = known(words, "word", [], share)
     top_grams = known(cut_lineage(grams), "gram", ["length"], share)
-    return {"langs": langs, "words": table(top_words, langs, []), "grams": table(top_grams, langs, ["length"])}
+    grams = table(top_grams, langs, ["length"])
+    codes = np.fromiter(grams["index"], dtype=np.int64, count=len(grams["index"])).view(np.uint64)
+    order = np.argsort(codes)
+    return {"langs": langs, "words": table(top_words, langs, []), "grams": {"codes": codes[order], "logs": grams["logs"][order]}}
 
 
 def check_languages(langs: list[str]) -> list[str]:
@@ -150,57 +178,44 @@ def table(rows: DataFrame, langs: list[str], by: list[str]) -> dict:
 
 
 class Scorer:
-    """Sums of word scores; remembers a bounded number of unseen words."""
+    """Sums of word scores."""
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
-        self.words = model["words"]["index"]
-        self.grams = model["grams"]["index"]
-        self.gram_logs = model["grams"]["logs"]
-        self.known = len(self.words)
-        self.room = max(1000, CACHED_CELLS // max(1, len(self.langs)))
-        self.rows = np.zeros((self.known + self.room, len(self.langs)), dtype=np.float64)
-        self.rows[:self.known] = model["words"]["logs"]
-        self.used = 0
-        self.cache: dict[str, int] = {}
-
-    def backed_off(self, word: str) -> int:
-        """Row of an unseen word."""
-        if self.used == self.room:
-            self.cache.clear()
-            self.used = 0
-        found = []
-        for at in range(len(word) + 1):
-            for gram in grams_at(word, at):
-                i = self.grams.get(gram)
-                if i is not None:
-                    found.append(i)
-                    break
-        row = self.known + self.used
-        self.rows[row] = self.gram_logs[found].mean(axis=0) if found else 0.0
-        self.used += 1
-        self.cache[word] = row
-        return row
+        self.words, self.logs = model["words"]["index"], model["words"]["logs"]
+        self.grams, self.gram_logs = model["grams"]["codes"], model["grams"]["logs"]
+
+    def backed_off(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each of the unseen words: the mean over its places
+        of the longest known n-gram there, zero if none is known."""
+        out = np.zeros((len(words), len(self.langs)))
+        if not words or not len(self.grams):
+            return out
+        word, codes = gram_codes(words)
+        row = np.full(len(word), -1, dtype=np.int64)
+        for code in reversed(codes):
+            open_ = np.flatnonzero((row < 0) & (code != 0))
+            at = np.minimum(np.searchsorted(self.grams, code[open_]), len(self.grams) - 1)
+            hit = self.grams[at] == code[open_]
+            row[open_[hit]] = at[hit]
+        found = row >= 0
+        n = np.bincount(word[found], minlength=len(words))
+        for j in range(len(self.langs)):
+            out[:, j] = np.bincount(word[found], weights=self.gram_logs[row[found], j], minlength=len(words))
+        return out / np.maximum(n, 1)[:, None]
 
     def sums(self, text: bytes) -> np.ndarray | None:
+        """Scores of a text by language; null without a word."""
         total = None
-        get, seen = self.words.get, self.cache
         for words in words_in(text):
-            for at in range(0, len(words), 1 << 15):
-                ids = []
-                part = np.zeros(len(self.langs))
-                for w in words[at:at + (1 << 15)]:
-                    i = get(w)
-                    if i is None:
-                        i = seen.get(w)
-                        if i is None:
-                            if self.used == self.room:  # the rows so far are about to be reused
-                                part += self.rows[ids].sum(axis=0)
-                                ids = []
-                            i = self.backed_off(w)
-                    ids.append(i)
-                part += self.rows[ids].sum(axis=0)
-                total = part if total is None else total + part
+            total = np.zeros(len(self.langs)) if total is None else total
+            code = np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+            seen = code[code >= 0]
+            if len(seen):
+                total = total + self.logs[seen].sum(axis=0)
+            unseen = np.flatnonzero(code < 0).tolist()
+            for at in range(0, len(unseen), WORDS_TOGETHER):
+                total = total + self.backed_off([words[i] for i in unseen[at:at + WORDS_TOGETHER]]).sum(axis=0)
         return total
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
@@ -208,7 +223,7 @@ class Scorer:
         if sums is None:
             return UNKNOWN, 0.0
         best = int(np.argmax(sums))
-        return self.langs[best], float(1.0 / np.exp(sums - sums[best]).sum())
+        return self.langs[best], float(1.0 / np.exp(np.maximum(sums - sums[best], -700)).sum())
 
 
 def predictions(model: Broadcast, text_place: int, kept: int, names: list[str]):

@@ -21,14 +21,23 @@ def test_known_words_and_backoff(spark):
     assert words["der"] == [log(2, 6), log(0, 6), log(0, 3)]
     scorer = langid.Scorer(model)
     assert "dogs" not in words
-    row = scorer.rows[scorer.backed_off("dogs")]
-    grams = model["grams"]["index"]
-    longest = []
-    for at in range(5):
-        longest += [g for g in ("<dogs>"[at:at + n] for n in range(5, 0, -1)) if g in grams and g != "<"][:1]
-    assert longest[0] == "<dog"  # "<dogs" was never seen: one character less
-    logs = [model["grams"]["logs"][grams[g]] for g in longest]
-    assert all(abs(a - b) < 1e-12 for a, b in zip(row, sum(logs) / len(logs), strict=True))
+    row = scorer.backed_off(["zzz", "dogs"])[1]
+    texts = {"de": {"der": 2, "hund": 2, "die": 1, "katze": 1}, "en": {"the": 3, "dog": 2, "cat": 1}, "fr": {"le": 1, "chien": 1, "élève": 1}}
+    counts = [{}, {}, {}]
+    for i, found in enumerate(texts.values()):
+        for w, n in found.items():
+            m = f"<{w}>"
+            for g in (m[a:b] for a in range(len(m)) for b in range(a + 1, min(len(m), a + 5) + 1)):
+                if g not in "<>":
+                    counts[i][g] = counts[i].get(g, 0) + n
+    total = [{k: sum(n for g, n in c.items() if len(g) == k) for k in range(1, 6)} for c in counts]
+    longest = [next((g for g in ("<dogs>"[at:at + n] for n in range(5, 0, -1)) if g not in "<>" and any(g in c for c in counts)), None)
+               for at in range(6)]
+    assert longest[0] == "<dog" and longest[5] is None       # "<dogs" was never seen: one character less
+    longest = [g for g in longest if g]
+    for i in range(3):
+        want = sum(log(counts[i].get(g, 0), total[i][len(g)]) for g in longest) / len(longest)
+        assert abs(row[i] - want) < 1e-12
     assert scorer.predict(b"the dogs")[0] == "en"
     assert scorer.predict("élève".encode())[0] == "fr"
 
@@ -49,13 +58,12 @@ def test_known_units_are_bounded(spark):
     assert sorted(model["words"]["index"]) == ["chien", "der", "dog", "hund", "le", "the", "élève"]
 
 
-def test_a_full_memory_changes_nothing(spark, monkeypatch):
+def test_words_in_parts_give_the_same(spark, monkeypatch):
     model = small_model(spark)
     text = " ".join(f"{a}{b}o{c}" for a in "dtlcz" for b in "aeio" for c in "gnstk").encode()
     want = langid.Scorer(model).sums(text)
-    small = langid.Scorer(model)
-    small.room = 7
-    assert abs(small.sums(text) - want).max() < 1e-9
+    monkeypatch.setattr(langid, "WORDS_TOGETHER", 7)
+    assert abs(langid.Scorer(model).sums(text) - want).max() < 1e-9
 
 
 def test_identify_keeps_columns(spark):

@@ -107,7 +107,7 @@ def _wanted_cells(questions: DataFrame, centres: np.ndarray, owner: np.ndarray,
     return questions.mapInArrow(run, schema)
 
 
-def _solve(k: int, q_type: pa.DataType, c_type: pa.DataType):
+def _solve(k: int):
     """k nearest rows of an index block for each question of a block."""
     def run(index: pa.Table, questions: pa.Table) -> pa.Table:
         qs, cs, ds = [], [], []
@@ -129,7 +129,8 @@ def _solve(k: int, q_type: pa.DataType, c_type: pa.DataType):
                     ds.append(exact[i, some])
             q, c = (np.concatenate(x) for x in (qs, cs))
             return pa.table({"_q": ids.take(pa.array(q)), "_c": keys.take(pa.array(c)), "dist": pa.array(np.concatenate(ds))})
-        return pa.table({"_q": pa.array([], q_type), "_c": pa.array([], c_type), "dist": pa.array([], pa.float64())})
+        none = pa.array([], pa.float64())
+        return pa.table({"_q": questions.column("_q").slice(0, 0), "_c": index.column("_c").slice(0, 0), "dist": none})
     return run
 
 
@@ -147,9 +148,6 @@ def knn_join(questions: DataFrame, index: DataFrame, k: int = 1,
     without a vector take no part; question keys are unique."""
     rows = index.select(F.col(c_key).alias("_c"), F.col(c_vec).alias("_v")).where(F.col("_v").isNotNull())
     asked = questions.select(F.col(q_key).alias("_q"), F.col(q_vec).alias("_qv")).where(F.col("_qv").isNotNull())
-    names = {"_q": rows.sparkSession.createDataFrame([], T.StructType([T.StructField("a", asked.schema["_q"].dataType)])),
-             "_c": rows.sparkSession.createDataFrame([], T.StructType([T.StructField("a", rows.schema["_c"].dataType)]))}
-    q_type, c_type = (names[x].toArrow().schema.field(0).type for x in ("_q", "_c"))
     out_schema = T.StructType([asked.schema["_q"], rows.schema["_c"], T.StructField("dist", T.DoubleType())])
 
     centres = choose_pivots(rows, "_c", "_v", pivots, sample)
@@ -175,7 +173,7 @@ def knn_join(questions: DataFrame, index: DataFrame, k: int = 1,
         right = (wants.withColumn("_question_block", F.pmod(F.xxhash64("_q"), question_blocks).cast("int"))
                  .withColumn("_index_block", F.explode(F.sequence(F.lit(0), index_blocks - 1)))
                  .select(*key, "_q", "_qv"))
-        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_solve(k, q_type, c_type), out_schema)
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_solve(k), out_schema)
     else:
         found = rows.sparkSession.createDataFrame([], out_schema)
     # rank on the rounded distance (ties → key); report the distance itself

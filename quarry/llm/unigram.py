@@ -40,9 +40,10 @@ MARK = "▁".encode()
 LITERAL_MARK = 0xFE      # stands for a marker of the text; no UTF-8 text has this byte
 UNKNOWN_COST = 10.0
 SEGMENT = re.compile(rb" +[^ ]*")
-TOGETHER = 1 << 21       # bytes of text handled at a time
-SEGMENTS_TOGETHER = 1 << 19  # bytes of new segments solved at a time
-CACHED = 300_000         # segments a task remembers
+TOGETHER = 1 << 20       # bytes of text handled at a time
+ROWS_TOGETHER = 256      # rows decoded at a time
+SEGMENTS_TOGETHER = 1 << 18  # bytes of new segments solved at a time
+CACHED = 100_000         # segments a task remembers
 CACHED_BYTES = 48        # longer segments are not remembered
 
 
@@ -313,12 +314,14 @@ def decode_ids(model: Model, ids: list[int] | None) -> bytes | None:
 
 def decoding(shared: Broadcast, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [None if x is None else decode_ids(shared.value, x).decode("utf-8", "replace")
-                     for x in (v.values.to_numpy().tolist() if v.is_valid else None for v in b.column(place))]
-            columns = [c for i, c in enumerate(b.columns) if i != place]
-            names = [c for i, c in enumerate(b.schema.names) if i != place]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_TOGETHER):  # texts of a batch are not all held
+                b = whole.slice(at, ROWS_TOGETHER)
+                texts = [None if x is None else decode_ids(shared.value, x).decode("utf-8", "replace")
+                         for x in (v.values.to_numpy().tolist() if v.is_valid else None for v in b.column(place))]
+                columns = [c for i, c in enumerate(b.columns) if i != place]
+                names = [c for i, c in enumerate(b.schema.names) if i != place]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
     return run
 
 

@@ -1,13 +1,13 @@
 """Exact top-k search by inner product: a Voronoi k-NN join.
 
 Data and queries are grouped by their nearest pivot.  From the summary of a
-cell (its radius and the distances of its k + 1 nearest members to the pivot)
-follow, for a query q and a member x of cell j with pivot p and distance d:
+cell (its radius and its k + 1 nearest members of distinct ids with their
+distances to the pivot) follow, for a query q and a member x of cell j with pivot p and distance d:
 
     q.p - |q| d  <=  q.x  <=  q.p + |q| d
 
-The lower bounds give a score the query's k best are known to reach (k + 1
-members are asked for, one of them may be the query's own row); only cells
+The lower bounds give a score the query's k best are known to reach (members
+with the query's own id are left out, however many rows have it); only cells
 whose upper bound reaches it receive the query.  Each (cell, query) group is
 solved locally and the local bests are ranked.  Both sides of a cell are split
 into blocks of bounded size, so neither a cell with a third of the rows nor one
@@ -112,16 +112,19 @@ def with_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def needed_cells(queries: DataFrame, pivots: np.ndarray, members: list[np.ndarray],
-                 radius: np.ndarray, k: int) -> DataFrame:
+                 radius: np.ndarray, k: int, ids: list[np.ndarray] | None = None) -> DataFrame:
     """``id, vector, cells``: the cells that can hold one of the query's k best.
-    ``members[j]`` are the smallest distances in cell j, ascending."""
-    shared = queries.sparkSession.sparkContext.broadcast((pivots, members, radius))
+    ``members[j]`` are the smallest distances in cell j, ``ids[j]`` whose they
+    are; without ids at most one member is taken to be the query's own."""
+    shared = queries.sparkSession.sparkContext.broadcast((pivots, members, radius, ids))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, near, far = shared.value
+        centres, near, far, whose = shared.value
         filled = np.array([len(m) > 0 for m in near])
         owner = np.repeat(np.arange(len(near)), [len(m) for m in near])
         reach = np.concatenate([*near, np.zeros(0)])
+        listed = np.concatenate([np.zeros(0, np.int64), *whose]) if whose is not None else None
+        least = k if whose is not None else k + 1
         for b in batches:
             if not b.num_rows:
                 continue
@@ -130,8 +133,10 @@ def needed_cells(queries: DataFrame, pivots: np.ndarray, members: list[np.ndarra
             dot = q @ p.T
             slack = 1e-9 * (norm * (np.sqrt((p ** 2).sum(1)) + far) + 1)
             low = dot[:, owner] - norm * reach - slack[:, owner]
-            sure = np.partition(low, low.shape[1] - k - 1, axis=1)[:, [low.shape[1] - k - 1]] \
-                if low.shape[1] > k else np.full((len(q), 1), -np.inf)
+            if listed is not None:
+                low[b.column(0).to_numpy()[:, None] == listed] = -np.inf
+            sure = np.partition(low, low.shape[1] - least, axis=1)[:, [low.shape[1] - least]] \
+                if low.shape[1] >= least else np.full((len(q), 1), -np.inf)
             wanted = (dot + norm * far + slack >= sure) & filled
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([np.flatnonzero(w).tolist() for w in wanted],
@@ -188,16 +193,17 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 10, pivots: int = PIVOTS
     cells = len(centres)
     placed = cut_lineage(with_cells(data, centres))
 
-    # summaries: at most k + 1 distances and two numbers per cell
-    nearest = Window.partitionBy("cell").orderBy("far")
-    near = (placed.select("cell", "far").withColumn("n", F.row_number().over(nearest))
-            .where(F.col("n") <= k + 1).select("cell", "far").collect())
-    members = [np.sort([r.far for r in near if r.cell == j]) for j in range(cells)]
+    # summaries: at most k + 1 members of distinct ids and two numbers per cell
+    nearest = Window.partitionBy("cell").orderBy("far", "id")
+    near = (placed.groupBy("cell", "id").agg(F.min("far").alias("far")).withColumn("n", F.row_number().over(nearest))
+            .where(F.col("n") <= k + 1).select("cell", "id", "far").collect())
+    members = [np.array([r.far for r in near if r.cell == j]) for j in range(cells)]
+    ids = [np.array([r.id for r in near if r.cell == j], dtype=np.int64) for j in range(cells)]
     summary = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect()}
     radius = np.array([summary[j].r if j in summary else 0.0 for j in range(cells)])
 
     one_each = queries.groupBy("id").agg(F.min("vector").alias("vector"))
-    bound = cut_lineage(needed_cells(one_each, centres, members, radius, k))
+    bound = cut_lineage(needed_cells(one_each, centres, members, radius, k, ids))
     wants = bound.select(F.col("id").alias("query_id"), F.col("vector").alias("id_vector"),
                          F.explode("cells").alias("cell"))
     asked = {r.cell: r["count"] for r in wants.groupBy("cell").count().collect()}

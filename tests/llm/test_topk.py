@@ -79,3 +79,11 @@ def test_cells_far_away_are_not_needed(spark):
     radius = np.array([dist[cell == j].max() for j in range(len(centres))])
     needed = topk.needed_cells(v.where("id % 100 = 0"), centres, members, radius, 10).collect()
     assert all(0 < len(r.cells) <= len(centres) - 6 for r in needed)
+
+
+def test_copies_of_a_query_do_not_fill_the_bound(spark):
+    rng = np.random.default_rng(6)
+    rows = [(100, [8.0, 0.0, 0.0, 0.0])] * 20
+    rows += [(i + 1, [float(3.0 * (j == i % 4)) + float(rng.normal()) * 0.01 for j in range(4)]) for i in range(99)]
+    assert found(spark, rows) == slow(rows, 10)
+    assert len(found(spark, rows)) == 10

@@ -8,9 +8,10 @@ of log p(target) - log p(raw).  Every document is decided by the same
 threshold, ``MARGIN`` below the ``TAIL`` quantile of the ratios of trusted
 documents that were left out of the target's counts.
 
-The trusted documents are a sample of at most ``TRUSTED_ROWS`` rows with label
-1 (smallest hashes of their id); their ids are the only thing broadcast besides
-the two count vectors, so both are bounded whatever the size of the corpus.
+Every trusted row counts, half of them (by a hash of their id) for the target
+and the others for the quantile, which is a Spark aggregate.  Only the two count
+vectors are broadcast, so what is held is bounded whatever the size of the
+corpus.
 
 Defined results: null, empty and blank texts have no words and fail the base
 rules; without trusted rows the ratio is 0 for all and only the base rules
@@ -35,8 +36,8 @@ REPEAT_SHARE = 30        # percent of words in repeated windows
 SYMBOLS = b"#*$%&|<>"
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
-TRUSTED_ROWS = 20_000
 TAIL = 0.002
+RANKS = 100_000          # the quantile's rank is right to one in so many
 MARGIN = 0.1
 
 
@@ -132,26 +133,20 @@ def measured(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str) ->
                            "word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double")
 
 
-def trusted_texts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, text, half`` of the trusted sample, written out once."""
-    h = F.xxhash64(F.col(id_col).cast("string"))
-    ids = (trusted.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
-           .orderBy(h, id_col).limit(TRUSTED_ROWS).withColumnRenamed(id_col, "__id"))
-    return cut_lineage(docs.join(F.broadcast(ids), docs[id_col] == F.col("__id"))  # at most TRUSTED_ROWS ids
-                       .select(docs[id_col].alias("id"), docs[text_col].alias("text"),
-                               F.pmod(F.shiftright(h, 8), F.lit(2)).alias("half")))
-
-
 def rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, the counts, ``base_failed, ratio, kept`` of every document;
     ``trusted`` holds the ids of trusted documents."""
-    sample = trusted_texts(docs, trusted, id_col, text_col)
-    ratio = log_ratio(cell_counts(sample.where("half = 0").select("text")),
+    half = F.pmod(F.shiftright(F.xxhash64(F.col("__id").cast("string")), 8), F.lit(2))
+    ids = (trusted.select(F.col(id_col).alias("__id")).where(F.col("__id").isNotNull()).distinct()
+           .withColumn("half", half))
+    target = ids.where("half = 0")
+    ratio = log_ratio(cell_counts(docs.join(target, docs[id_col] == F.col("__id")).select(docs[text_col].alias("text"))),
                       cell_counts(docs.select(F.col(text_col).alias("text"))))
-    held = sorted(r.ratio for r in measured(sample.where("half = 1"), ratio, "id", "text")
-                  .where(f"n_words >= {MIN_WORDS}").select("ratio").collect())  # at most TRUSTED_ROWS numbers
-    threshold = held[int(TAIL * len(held))] - MARGIN if held else float("-inf")
+    rows = cut_lineage(measured(docs, ratio, id_col, text_col))
+    held = (rows.where(f"n_words >= {MIN_WORDS}").select("id", "ratio")
+            .join(ids.where("half = 1"), F.col("id") == F.col("__id"))
+            .agg(F.percentile_approx("ratio", TAIL, RANKS).alias("least")).first())
+    threshold = held.least - MARGIN if held.least is not None else float("-inf")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
-    return (measured(docs, ratio, id_col, text_col)
-            .withColumn("base_failed", failed)
+    return (rows.withColumn("base_failed", failed)
             .withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= F.lit(threshold))))

@@ -91,3 +91,16 @@ def test_query(spark):
     good = [r.kept for r in judged if label[r.doc_id] == 1]
     bad = [r.kept for r in judged if label[r.doc_id] == 0]
     assert sum(good) > 0.97 * len(good) and sum(bad) < 0.35 * max(1, len(bad))
+
+
+def test_every_trusted_row_counts(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "TRUSTED_ROWS", 4, raising=False)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice([f"w{i % 40}", "the", "of"]) for _ in range(60))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    half = {r.doc_id for r in docs.where("doc_id < 200 and pmod(shiftright(xxhash64(string(doc_id)), 8), 2) = 0").collect()}
+    count = lambda ids: sum(np.bincount(quality_rules.cells_of(hashed_words(rows[i][1].encode())),
+                                        minlength=quality_rules.BUCKETS) for i in ids)
+    ratio = quality_rules.log_ratio(count(half), count(range(400)))
+    for r in quality_rules.rules(docs, docs.select("doc_id").where("doc_id < 200")).collect():
+        assert abs(r.ratio - quality_rules.mean_ratio(hashed_words(rows[r.id][1].encode()), ratio)) < 1e-9

@@ -6,9 +6,10 @@ matches that are too short are dropped afterwards.  The models are first-order
 transition tables over the characters of tokens, trained from samples that the
 patterns label: the values of pattern matches are random strings, the rest of
 the text's tokens are ordinary identifiers.  Counting covers every text; a
-table has 66 x 66 cells whatever the size of the corpus.  A token of at least
-``MIN_TOKEN`` characters outside all pattern matches whose log-likelihood ratio
-per transition exceeds ``THRESHOLD`` is a further span, kind ``markov``.
+table has 66 x 66 cells whatever the size of the corpus.  A token, or what is
+left of it outside all pattern matches, is a further span, kind ``markov``, when
+its log-likelihood ratio exceeds ``THRESHOLD`` for each transition, and as much
+as ``FULL_TOKEN`` characters need in all: shorter ones take stronger evidence.
 
 Spans are code points, end exclusive.  Defined results: null and empty texts
 have no spans; without any labelled sample the tables are uniform and add
@@ -38,8 +39,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 # ----------------------------------------------------------------------------
 TOKEN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-MIN_TOKEN = 20
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_TOKEN)
+FULL_TOKEN = 20
 THRESHOLD = 0.75         # nats per transition
 SMOOTHING = 1.0
 MASK = "[secret]"
@@ -49,7 +49,6 @@ CODES = np.zeros(256, dtype=np.int64)
 for _i, _c in enumerate(TOKEN_CHARS):
     CODES[ord(_c)] = _i + 1
 HEX_MAP = bytes(ord("x") if chr(c) in "0123456789abcdef" else ord(" ") for c in range(256))
-TOKEN_MAP = bytes(ord("x") if CODES[c] else ord(" ") for c in range(256))
 
 
 def base_spans(data: bytes, text: str) -> list[tuple[int, int, int, int]]:
@@ -120,13 +119,15 @@ def find_spans(data: bytes | None, ratio: np.ndarray, threshold: float = THRESHO
     text = data.decode("utf-8", "replace")
     base = base_spans(data, text)
     out = [(start, kind, end) for start, kind, end, _ in base]
-    if b"x" * MIN_TOKEN in data.translate(TOKEN_MAP):
-        for m in TOKEN.finditer(text):
-            if any(start < m.end() and m.start() < end for start, _, end, _ in base):
-                continue
-            codes = CODES[np.frombuffer(m[0].encode("ascii"), dtype=np.uint8)]
-            if ratio[codes[:-1], codes[1:]].mean() > threshold:
-                out.append((m.start(), 3, m.end()))
+    codes = CODES[np.frombuffer(data, dtype=np.uint8)] if data.isascii() else text_codes(text)
+    for start, _, end, _ in base:
+        codes[start:end] = 0
+    edges = np.flatnonzero(np.diff(codes > 0, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.concatenate([[0.0], np.cumsum(ratio[codes[:-1], codes[1:]])])
+    steps = ends - starts - 1
+    random = sums[ends - 1] - sums[starts] > threshold * np.maximum(steps, FULL_TOKEN - 1)
+    out += [(s, 3, e) for s, e in zip(starts[random].tolist(), ends[random].tolist(), strict=True)]
     return sorted(out)
 
 

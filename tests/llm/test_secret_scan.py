@@ -75,3 +75,12 @@ def test_query(spark):
         assert [s for s in spans if not s.startswith("markov")] == digest
     added = sum("markov" in r.spans for r in rows)
     assert added < 0.1 * len(rows)
+
+
+def test_the_rest_of_a_token_and_short_tokens(spark):
+    ratio = model(spark)
+    key = "7c4a8d09cZ3762af61e595Q0943dc26494f8941b0Zb9"
+    for text, want in ((f"AKIAABCDEFGHIJKL/{key}", [("access", 0, 16), ("markov", 16, 61)]),
+                       (f"{HEXES}-{key}", [("hex", 0, 64), ("markov", 64, 109)])):
+        assert [(secret_scan.KINDS[k], a, b) for a, k, b in secret_scan.find_spans(text.encode(), ratio)] == want
+    assert secret_scan.find_spans(b"a 7c4a8d09c3762af6 international", ratio) == [(2, 3, 18)]

@@ -3,15 +3,16 @@
 Two models, of toxic and of ordinary documents, give each word a probability
 after the word before it:
 
-    P_c(w | h) = (n_c(h, w) - D)+ / n_c(h) + D t_c(h) / n_c(h) * P_c(w)
-    P_c(w)     = (k_c(w) - D)+ / K_c       + D T_c / K_c       * S(w)
-
-All class counts are kinds, as for lower orders in Kneser-Ney smoothing, so
-copies of a passage count once: n the kinds of words before a bigram, t the
-kinds of words after h, k the kinds of words before w, K and T the sum and the
-number of kinds, all in class c.  S is shared: the frequency of w in the whole
-corpus, so expressions that are rare in both classes back off to the same
-counts.  A document's raw score is the greatest mean
+    P_c(w | h) = ((n_c(h, w) - D)+ + (D t_c(h) + B) P_c(w)) / (n_c(h) + B)
+    P_c(w)     = ((k_c(w) - D)+ + (D T_c + B) S(w)) / (K_c + B)
+
+n counts the bigram and its context, t the kinds of words after h, k the kinds
+of words before w, K and T the sum and the number of the latter, all in class c:
+raw counts for bigrams and kinds for single words, as Kneser-Ney smoothing has
+it.  S is shared: half the frequency of w in the whole corpus, half an even share
+of the known words.  The backoff weighs as much as B counts, ``PRIOR`` for each
+known word, in both classes (the strength of a Pitman-Yor prior), so a rare
+expression moves the ratio by as much as its counts say.  A document's raw score is the greatest mean
 log-likelihood ratio over its windows of ``WINDOW`` words (the whole text, if
 shorter), so it does not depend on the length of the text around an abusive
 passage; a logistic curve fitted on sample rows that were not counted turns it
@@ -19,12 +20,9 @@ into a probability.
 
 The class models are fitted on a sample of at most ``CLASS_ROWS`` labelled rows
 of each class (smallest hashes of their id).  S counts every word of every
-document.  A word is known when it has at least ``MIN_KINDS`` kinds of words
-before it and one in ``CAPACITY`` of all of a class's; contexts and bigrams are
-kept by the same share of their class.  Fewer than ``MIN_KINDS`` kinds in the
-(small) toxic class are taken as chance: such words and bigrams back off.  So the broadcast model has at most
-``CAPACITY`` entries per class whatever the corpus.  Unknown words have no class
-counts; their ratio is 0.
+document.  Every word, context and bigram of the counted rows is in the model,
+which the sample bounds; rare ones are left to the discount and the backoff.  Words
+that no counted row has are unknown, their ratio is 0.
 
 Words are runs of ASCII letters and non-ASCII characters, A-Z lower-cased.
 Defined results: a text without words has the score of ratio 0; without labels
@@ -33,8 +31,9 @@ nothing; repeated rows are scored each.
 """
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +47,10 @@ from quarry.session import cut_lineage
 CLASS_ROWS = 10_000
 CALIBRATION = 4          # one in so many sample rows is left out of the counts
 DISCOUNT = 0.75
+PRIOR = 8                # counts of the backoff for each known word
 WINDOW = 2
-MIN_KINDS = 5
-CAPACITY = 100_000
-LOCAL_TRIPLES = 1 << 20  # trigrams a counting task holds before it passes them on
+MIN_KINDS = 1            # of words before a word that is known: all are
+LOCAL_PAIRS = 1 << 20    # bigrams a counting task holds before it passes them on
 START = 1                # hash that stands before the first word
 LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 LOW = np.uint64(0xFFFFFFFF)
@@ -71,27 +70,26 @@ def pairs_of(words: np.ndarray) -> np.ndarray:
     return before << np.uint64(32) | words
 
 
-def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) to (label, word before the pair, pair), distinct per task."""
+def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, text) to (label, pair, n) partial sums."""
     held: dict[int, list[np.ndarray]] = {0: [], 1: []}
 
     def passed_on() -> Iterator[pa.RecordBatch]:
         for label, parts in held.items():
             if parts:
-                both = np.unique(np.concatenate(parts).view([("first", np.uint64), ("pair", np.uint64)]))
+                pair, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(both), label, np.int32)), pa.array(both["first"].copy().view(np.int64)),
-                     pa.array(both["pair"].copy().view(np.int64))], names=["label", "first", "pair"])
+                    [pa.array(np.full(len(pair), label, np.int32)), pa.array(pair.view(np.int64)), pa.array(n.astype(np.int64))],
+                    names=["label", "pair", "n"])
                 parts.clear()
 
     waiting = 0
     for b in batches:
         for label, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
             words = words_of(text)
-            first = np.concatenate([np.full(2, START, dtype=np.uint64), words])[:len(words)]
-            held[label].append(np.stack([first, pairs_of(words)], axis=1).ravel())
+            held[label].append(pairs_of(words))
             waiting += len(words)
-            if waiting > LOCAL_TRIPLES:
+            if waiting > LOCAL_PAIRS:
                 yield from passed_on()
                 waiting = 0
     yield from passed_on()
@@ -115,13 +113,13 @@ def counting(shared: Broadcast):
 
 
 def corpus_frequency(docs: DataFrame, text_col: str, known: np.ndarray) -> np.ndarray:
-    """S: smoothed frequency of every known word over all documents."""
+    """S of every known word, from its frequency over all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
     rows = (docs.select(F.col(text_col).alias("text")).mapInArrow(counting(shared), "kind int, slot long, n long")
             .groupBy("slot").agg(F.sum("n").alias("n")).toArrow())
     counts = np.zeros(len(known) + 1)
     counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    return (counts[:-1] + 0.5) / (counts[-1] + 0.5)
+    return 0.5 * (counts[:-1] + 0.5) / (counts[-1] + 0.5) + 0.5 / max(1, len(known))
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -140,27 +138,25 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, i
     """Model from the rows of ``docs`` that ``labels`` names; ``corpus``
     (default ``docs``) gives the shared frequencies."""
     sample = sample_rows(docs, labels, id_col, text_col, label_col)
-    pairs = cut_lineage(sample.where("part <> 0").select("label", "text")
-                        .mapInArrow(triples, "label int, first long, pair long").distinct()
-                        .groupBy("label", "pair").agg(F.count("*").alias("n")))
-    size = {r.label: r for r in pairs.groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
-    if set(size) != {0, 1}:
+    in_class = lambda c: F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0))
+    both = cut_lineage(sample.where("part <> 0").select("label", "text")
+                       .mapInArrow(count_pairs, "label int, pair long, n long")
+                       .groupBy("pair").agg(in_class(1).alias("nt"), in_class(0).alias("no")))
+    if not (total := both.agg(F.sum("nt"), F.sum("no")).first())[0] or not total[1]:
         return None
     before, word = F.shiftrightunsigned("pair", 32), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
-    class_sum = lambda c, x: F.sum(F.when(F.col("label") == c, x).otherwise(0))
-    often = lambda t, o, all_t, all_o: (F.col(t) * CAPACITY >= all_t) | (F.col(o) * CAPACITY >= all_o)
-    both = cut_lineage(pairs.groupBy("pair").agg(class_sum(1, F.lit(1)).alias("kt"), class_sum(0, F.lit(1)).alias("ko"),
-                                                 class_sum(1, F.col("n")).alias("nt"), class_sum(0, F.col("n")).alias("no")))
-    words = cut_lineage(both.groupBy(word.alias("word")).agg(F.sum("kt").alias("kt"), F.sum("ko").alias("ko")))
+    kinds_of = [F.count(F.when(F.col("nt") > 0, 1)).alias("kt"), F.count(F.when(F.col("no") > 0, 1)).alias("ko")]
+    words = cut_lineage(both.groupBy(word.alias("word")).agg(*kinds_of))
     kinds = words.agg(F.sum("kt"), F.sum("ko"), F.count(F.when(F.col("kt") > 0, 1)), F.count(F.when(F.col("ko") > 0, 1))).first()
-    kept = words.where((F.col("kt") + F.col("ko") >= MIN_KINDS) & often("kt", "ko", kinds[0], kinds[1])).toArrow()
+    kept = words.where(F.col("kt") + F.col("ko") >= MIN_KINDS).toArrow()
     contexts = (both.groupBy(before.alias("word"))
-                .agg(F.sum("nt").alias("nt"), F.sum("no").alias("no"), F.sum("kt").alias("kt"), F.sum("ko").alias("ko"))
-                .where(often("nt", "no", size[1].n, size[0].n))).toArrow()
-    seen = both.where((F.col("nt") + F.col("no") >= 2) & often("nt", "no", size[1].n, size[0].n)).select("pair", "nt", "no").toArrow()
+                .agg(F.sum("nt").alias("nt"), F.sum("no").alias("no"), *kinds_of)).toArrow()
+    seen = both.select("pair", F.col("nt").cast("float"), F.col("no").cast("float")).toArrow()
     known = np.sort(kept["word"].to_numpy()).astype(np.uint64)
     frequency = corpus_frequency(corpus if corpus is not None else docs, text_col, known)
     model = tables(kept, contexts, seen, kinds, frequency)
+    del kept, contexts, seen                 # the model is as large again
+    model["shared"] = docs.sparkSession.sparkContext.broadcast(compress(pickle.dumps(model), 3))
     model["curve"] = calibrate(sample.where("part = 0").select("label", "text"), model,
                                labelled(labels, id_col, label_col))
     return model
@@ -172,19 +168,24 @@ def tables(kept: pa.Table, contexts: pa.Table, seen: pa.Table, kinds: tuple, fre
     d = DISCOUNT
     by = lambda t, key: {c: t[c].to_numpy()[np.argsort(t[key].to_numpy(), kind="stable")] for c in t.column_names}
     w, c = by(kept, "word"), by(contexts, "word")
-    enough = lambda n: np.where(n >= MIN_KINDS, n, 0)
-    back = np.array([d * kinds[2] / kinds[0], d * kinds[3] / kinds[1]])
-    single = np.stack([np.maximum(enough(w["kt"]) - d, 0) / kinds[0], np.maximum(w["ko"] - d, 0) / kinds[1]]) + back[:, None] * frequency
+    prior = PRIOR * len(w["word"])
+    total = np.array([[kinds[0]], [kinds[1]]], dtype=np.float64) + prior
+    back = (d * np.array([[kinds[2]], [kinds[3]]]) + prior) / total
+    single = np.maximum(np.stack([w["kt"], w["ko"]]) - d, 0) / total + back * frequency
     n = np.stack([c["nt"], c["no"]]).astype(np.float64)
-    weight = np.where(n > 0, d * np.stack([c["kt"], c["ko"]]) / np.maximum(n, 1), 1.0)
+    weight = (d * np.stack([c["kt"], c["ko"]]) + prior) / (n + prior)
     context = c["word"].astype(np.uint64)
     pair = seen["pair"].to_numpy().view(np.uint64)
     order = np.argsort(pair)
-    at, found = place(context, pair[order] >> np.uint64(32))
-    order, at = order[found], at[found]
-    counts = np.stack([enough(seen["nt"].to_numpy()), seen["no"].to_numpy()])[:, order]
-    return {"word": w["word"].astype(np.uint64), "single": single, "context": context, "weight": weight, "pair": pair[order],
-            "direct": np.maximum(counts - d, 0) / np.maximum(n[:, at], 1)}
+    pair = pair[order]
+    at = place(context, pair >> np.uint64(32))[0].astype(np.int32)       # every pair's context is there
+    direct = np.stack([seen["nt"].to_numpy()[order], seen["no"].to_numpy()[order]])
+    del order
+    for share, of in zip(direct, (n + prior).astype(np.float32), strict=True):
+        share -= np.float32(d)
+        np.maximum(share, 0, out=share)
+        share /= of[at]
+    return {"word": w["word"].astype(np.uint64), "single": single, "context": context, "weight": weight, "pair": pair, "direct": direct}
 
 
 def place(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,9 +227,10 @@ def raw_score(model: dict, text: bytes | None) -> float:
 
 def raw_scores(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(decompress(shared.value))
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([raw_score(shared.value, t) for t in utf8(b.column(1))], pa.float64())],
+                [b.column(0), pa.array([raw_score(model, t) for t in utf8(b.column(1))], pa.float64())],
                 names=["id", "raw"])
     return run
 
@@ -250,8 +252,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 def calibrate(rows: DataFrame, model: dict, usable: DataFrame) -> tuple[float, float]:
     """Logistic curve from left-out sample rows, weighted to the classes' shares."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    got = rows.select(F.col("label").alias("id"), "text").mapInArrow(raw_scores(shared), "id int, raw double").toArrow()
+    got = rows.select(F.col("label").alias("id"), "text").mapInArrow(raw_scores(model["shared"]), "id int, raw double").toArrow()
     y, x = got["id"].to_numpy().astype(np.float64), got["raw"].to_numpy()
     order = np.lexsort((x, y))               # rows come in any order, sums should not
     y, x = y[order], x[order]
@@ -262,14 +263,14 @@ def calibrate(rows: DataFrame, model: dict, usable: DataFrame) -> tuple[float, f
     return logistic(x, y, weight * len(y) / weight.sum())
 
 
-def scoring(shared: Broadcast):
+def scoring(shared: Broadcast | None, curve: tuple[float, float] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = pickle.loads(decompress(shared.value)) if shared is not None else None
         for b in batches:
             if model is None:
                 scores = np.zeros(b.num_rows)
             else:
-                a, c = model["curve"]
+                a, c = curve
                 raw = np.array([raw_score(model, t) for t in utf8(b.column(1))])
                 scores = 1 / (1 + np.exp(-np.clip(a * raw + c, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores)], names=["id", "score"])
@@ -278,6 +279,5 @@ def scoring(shared: Broadcast):
 
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score`` of every document, from its text only."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scoring(shared), f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(scoring(model and model["shared"], model and model["curve"]), f"id {rows.schema['id'].dataType.simpleString()}, score double")

@@ -112,3 +112,14 @@ def test_quality_frames(spark):
     none = quality_classifier.train(docs, labels.limit(0), label_col="mark")
     assert {r.score for r in quality_classifier.score(docs, none).collect()} == {0.5}
     assert quality_classifier.score(docs.limit(0), weights).count() == 0
+
+
+def test_toxic_copies_are_scored(spark):
+    """Their words follow one other word each, however many copies there are."""
+    rng = random.Random(3)
+    plain = ["the", "house", "was", "old", "and", "tall", "with", "some", "trees", "near", "it"]
+    rows = [(i, "zork blag frim dwel" if i % 4 == 0 else " ".join(rng.choice(plain) for _ in range(20))) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int")
+    score = {r.id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert min(score[i] for i in range(160, 240, 4)) > 0.5 > max(score[i] for i in range(160, 240) if i % 4)

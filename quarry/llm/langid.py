@@ -8,10 +8,11 @@ equal priors.
 
 Training counts every word of every labelled text (partial sums per task, then
 one shuffle); n-grams are counted over the distinct words, weighted.  A word or
-n-gram is known when it makes up at least 1 / s of its language's words (of
-n-grams of that length), where s is the language's share of ``CAPACITY``.  By
-that definition a language has at most s known words whatever the size of the
-corpus, which bounds the model that is broadcast.
+n-gram is known, with its counts in all languages, when it makes up at least
+1 / s of the words (of n-grams of that length) of any language, where s is a
+language's share of ``CAPACITY``.  By that definition there are at most
+``CAPACITY`` known words whatever the size of the corpus, which bounds the model
+that is broadcast.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 a text whose words and characters are all unknown gets the language with the
@@ -120,13 +121,13 @@ def word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def known(counts: DataFrame, unit: str, by: list[str], capacity: int) -> DataFrame:
-    """Rows that make up at least 1 / capacity of their language's total; the
-    totals are one row per language (and length) and are written out, so they
-    are broadcast below the session's limit."""
+    """All rows of the units that make up at least 1 / capacity of some
+    language's total; the totals are one row per language (and length) and are
+    written out, so they are broadcast below the session's limit."""
     totals = cut_lineage(counts.groupBy("lang", *by).agg(F.sum("n").alias("total")))
-    return (counts.join(totals, ["lang", *by])
-            .where(F.col("n") * F.lit(capacity) >= F.col("total"))
-            .select("lang", F.col(unit).alias("unit"), "n", "total", *by))
+    rows = counts.join(totals, ["lang", *by]).select("lang", F.col(unit).alias("unit"), "n", "total", *by)
+    often = cut_lineage(rows.where(F.col("n") * F.lit(capacity) >= F.col("total")).select("unit", *by).distinct())
+    return rows.join(often, ["unit", *by]).select("lang", "unit", "n", "total", *by)
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", capacity: int = CAPACITY) -> dict:

@@ -84,3 +84,11 @@ def test_held_out_accuracy(spark):
     right = sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held)
     assert 150 < len(held) < 350 and right > 0.98
     assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_a_known_word_has_its_counts_in_all_languages(spark):
+    docs = spark.createDataFrame([("a", "x x x x y"), ("b", "z z z z z z z z y")], "lang string, text string")
+    words = langid.train(docs, capacity=10)["words"]          # from a fifth of a language's words on
+    log = lambda n, total: math.log((n + 0.5) / (total + 0.5))
+    assert sorted(words["index"]) == ["x", "y", "z"]
+    assert words["logs"][words["index"]["y"]].tolist() == [log(1, 5), log(1, 9)]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import langid, mixing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, topk, toxicity, unigram
-from quarry.llm.common import documents, is_remainder, labels
+from quarry.llm import (langid, mixing, periodic, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, topk,
+                        toxicity, unigram)
+from quarry.llm.common import documents, id_crc, is_remainder, labels
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -190,3 +191,34 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored)
 SELECT query_id, place::INT AS rank, vec_id, score FROM ranked WHERE place <= 10
 """
+
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """Documents whose id's crc32 ends in 0 get a periodic tail: with g the other
+    digits, word i >= a = g % n becomes word a + (i - a) % p, p = 1 + floor((n -
+    a) / (3 + g % 8)).  Null ids and texts without a word stay."""
+    h = id_crc("doc_id")
+    rows = docs.withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORDS), 0)))
+    g, n = F.floor(h / 10), F.size("w")
+    rows = rows.withColumn("a", F.when(n > 0, g % n))
+    rows = rows.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    moved = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.element_at("w", (1 + F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.select("doc_id", F.coalesce(F.when(F.col("a").isNotNull(), F.array_join(moved, " ")), "text").alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, after the tails above."""
+    rows = periodic.find_runs(periodic_tails(documents(spark, sf_dir, "doc_id", "text")))
+    best = F.sort_array(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"], r["period"])))[0]
+    written = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return (rows.withColumn("best", best)
+            .select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+                    (-F.col("best.l")).alias("length"), F.col("best.period").alias("period"),
+                    F.floor(-1000 * F.col("best.l") / F.col("best.period")).alias("exponent_milli"),
+                    F.sha2(written.cast("binary"), 256).alias("runs_sha256"),
+                    F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))

@@ -214,7 +214,7 @@ def periodic_tails(docs: DataFrame) -> DataFrame:
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, after the tails above."""
     rows = periodic.find_runs(periodic_tails(documents(spark, sf_dir, "doc_id", "text")))
-    best = F.sort_array(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"], r["period"])))[0]
+    best = F.get(F.sort_array(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"], r["period"]))), F.lit(0))
     written = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
     return (rows.withColumn("best", best)
             .select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),

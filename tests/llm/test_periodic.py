@@ -95,7 +95,7 @@ def test_query(spark, tmp_path):
      .repartition(3).write.parquet(str(tmp_path / "documents.parquet")))
     got = [tuple(r) for r in op11_periodic_runs(spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted((slow_row(*r) for r in rows), key=str)
-    assert any(r[1] > 1 for r in got) and sum(r[1] > 0 for r in got) > 40
+    assert sum(r[1] > 0 for r in got) > 25
 
 
 def test_empty_table(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (langid, mixing, periodic, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, topk,
+from quarry.llm import (alignment, langid, mixing, periodic, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, topk,
                         toxicity, unigram)
 from quarry.llm.common import documents, id_crc, is_remainder, labels
 
@@ -222,3 +222,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.floor(-1000 * F.col("best.l") / F.col("best.period")).alias("exponent_milli"),
                     F.sha2(written.cast("binary"), 256).alias("runs_sha256"),
                     F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers in every document."""
+    rows, _ = alignment.align(documents(spark, sf_dir, "doc_id", "text"), alignment.load())
+    return rows.withColumnRenamed("id", "doc_id")

@@ -30,6 +30,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,6 +50,7 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SLICE_PAIRS = 4 << 20    # pairs of counts broadcast together
 HOT_SHARE = 1000
+LONG_SPACE = re.compile(r"\s{4096}")   # longer white space overflows the faster library's pattern
 # --- fixed value: how the byte-level vocabulary cuts a text before merging ----
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # ------------------------------------------------------------------------------
@@ -77,7 +79,7 @@ def load(byte_bpe: str = BYTE_BPE, pieces: str = PIECES) -> dict:
     letters = byte_letters()
     ranks = {bytes(letters[c] for c in token): i for token, i in whole["model"]["vocab"].items() if token not in special}
     with open(pieces, "rb") as f:
-        return {"ranks": base64.b64encode(json.dumps([[base64.b64encode(t).decode(), i] for t, i in ranks.items()]).encode()),
+        return {"json": json.dumps(whole), "ranks": base64.b64encode(json.dumps([[base64.b64encode(t).decode(), i] for t, i in ranks.items()]).encode()),
                 "pieces": f.read()}
 
 
@@ -87,9 +89,12 @@ class Pair:
     def __init__(self, model: dict):
         import sentencepiece
         import tiktoken
+        from tokenizers import Tokenizer
 
         ranks = {base64.b64decode(t): i for t, i in json.loads(base64.b64decode(model["ranks"]))}
         self.a = tiktoken.Encoding("a", pat_str=CUTS, mergeable_ranks=ranks, special_tokens={})
+        self.slow_a = Tokenizer.from_str(model["json"])
+        self.slow_a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model["pieces"])
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[1:-1], 16)]) if self.b.is_byte(i)
                         else self.b.id_to_piece(i).replace(MARK, " ").encode() for i in range(self.b.get_piece_size())]
@@ -110,6 +115,8 @@ class Pair:
         spaced = " " + text
         if b"".join([self.b_bytes[i] for i in b]) != spaced.encode():
             return [], []
+        if LONG_SPACE.search(text):
+            return self.slow_a.encode(spaced, add_special_tokens=False).ids, b
         return self.a.encode_ordinary(spaced), b
 
 
@@ -121,7 +128,7 @@ def _pair(key: str, value: tuple) -> Pair:
 def worker_pair(model: Broadcast) -> Pair:
     """The tokenizers of a worker, built once."""
     value = model.value
-    return _pair(hashlib.sha256(value["ranks"] + value["pieces"]).hexdigest(), tuple(value.items()))
+    return _pair(hashlib.sha256(value["json"].encode() + value["pieces"]).hexdigest(), tuple(value.items()))
 
 
 # --- alignment -----------------------------------------------------------------

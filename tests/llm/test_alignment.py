@@ -68,7 +68,8 @@ def made_up():
     rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(1, 40)))) for i in range(300)]
     rows += [(1000 + i, rows[i % 7][1]) for i in range(60)]
     return rows + [(2000, None), (2001, ""), (2002, " "), (2003, "▁"), (2004, "a ▁ b"), (2005, "\x00"), (None, "the end"), (None, None),
-                   (2006, "the end"), (2006, "the end"), (2007, "ab " * 30000), (2008, "x" * 5000), (2009, "  lead"), (2010, "�")]
+                   (2006, "the end"), (2006, "the end"), (2007, "ab " * 30000), (2008, "x" * 5000), (2009, "  lead"), (2011, "a" + " " * 4094 + "b"), (2012, "a" + "\n" * 5000 + "b"), (2013, " " * 9000),
+                   (2010, "�")]
 
 
 def frame(spark, rows, path):

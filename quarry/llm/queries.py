@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (alignment, langid, mixing, periodic, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, topk,
-                        toxicity, unigram)
+from quarry.llm import (alignment, langid, mixing, periodic, quality_classifier, quality_rules, secret_scan, simhash,
+                        substring_dedup, suffix_dedup, topk, toxicity, unigram)
 from quarry.llm.common import documents, id_crc, is_remainder, labels
 
 QUERIES = {}
@@ -229,3 +229,27 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers in every document."""
     rows, _ = alignment.align(documents(spark, sf_dir, "doc_id", "text"), alignment.load())
     return rows.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to windows of documents with smaller ids."""
+    rows = substring_dedup.remove_passages(documents(spark, sf_dir, "doc_id", "text"))
+    lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select(F.col("id").alias("doc_id"), "n_words", lost.alias("n_removed"),
+                       F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op13_substring_dedup"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS p FROM texts),
+windows AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS s FROM starts),
+first_owner AS (SELECT s, min(doc_id) AS least FROM windows GROUP BY s),
+lost AS (SELECT DISTINCT x.doc_id, unnest(range(x.p, x.p + 13)) AS i FROM windows x JOIN first_owner f ON x.s = f.s WHERE f.least < x.doc_id),
+gone AS (SELECT doc_id, list(i) AS g, count(*) AS n FROM lost GROUP BY doc_id)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN g.doc_id IS NULL THEN t.w
+              ELSE [x FOR x, i IN t.w IF NOT list_contains(g.g, i)] END, ' ')) AS kept_sha256
+FROM texts t LEFT JOIN gone g ON g.doc_id = t.doc_id
+"""

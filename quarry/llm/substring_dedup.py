@@ -5,8 +5,10 @@ that is covered by a window whose words also start in a document with a smaller
 id; windows are judged on the input.
 
 1. Texts are packed, some megabytes a row (``suffix_dedup.packing``).  A pack
-   sends each distinct window once: its hash, the smallest id that has it and the
-   reference shard (``SHARD_WORDS`` windows of the pack) of that occurrence.
+   sends short hashes of its windows, sorted and as differences, and learns which
+   occur again.  Of these it sends each distinct window once: its hash, the
+   smallest id that has it and the reference shard (``SHARD_WORDS`` windows of the
+   pack) of that occurrence.
 2. Where equal hashes meet, the pack with the smallest id owns the window if it
    occurs in another document as well.  The owner's shard goes back to every pack
    that sent the hash.  This only routes: which shard to compare with.
@@ -40,8 +42,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.suffix_dedup import NULL_ID, joined, packing, split, unpacked
-from quarry.llm.words import Words, split_words
+from quarry.llm.suffix_dedup import (CODE_BITS, NULL_ID, among, counting, joined, packing, planes, side_shards, sorted_sides, split,
+                                     unpacked)
+from quarry.llm.words import split_words
 from quarry.session import cut_lineage
 
 LENGTH = 13
@@ -49,70 +52,82 @@ SHARD_WORDS = 1 << 15        # windows of a pack in one reference shard
 PART_WORDS = 1 << 21         # words streamed by one task through one automaton
 GROUP_BYTES = 8 << 20        # text whose window hashes meet in one group
 SEED = 1
+STATE = -1                   # group number of a pack's own row
+SHORT = np.uint64(64 - CODE_BITS)
 
 
 # --- windows -----------------------------------------------------------------
 
-def word_hashes(words: Words, seed: int) -> np.ndarray:
-    kinds = words.kinds.to_pylist()
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in kinds), dtype=np.uint64, count=len(kinds))[words.codes]
-
-
-def window_hashes(words: Words, length: int, seed: int) -> np.ndarray:
-    """A 64-bit hash of the window that begins at each word; 0 where none does."""
-    n = len(words.codes)
-    out = np.zeros(n, dtype=np.uint64)
-    if n >= length:
-        odd = np.random.default_rng(seed).integers(1, 1 << 63, length, dtype=np.uint64) | np.uint64(1)
-        h = word_hashes(words, seed)
-        total = np.zeros(n - length + 1, dtype=np.uint64)
-        for k in range(length):
-            total += h[k:n - length + 1 + k] * odd[k]
-        total ^= total >> np.uint64(29)
-        total = total * np.uint64(0x9E3779B97F4A7C15)
-        total ^= total >> np.uint64(32)
-        end = np.repeat(words.ends, np.diff(words.ends, prepend=0))[:len(total)]
-        out[:len(total)] = np.where(np.arange(len(total)) + length <= end, total | np.uint64(1), np.uint64(0))
-    return out
-
-
 class Pack:
-    """A pack's words and its distinct windows, by hash."""
+    """A pack's documents by id, and their words."""
 
-    def __init__(self, ids: list, sizes: list, data: bytes, length: int):
-        ids, ends, text = unpacked(ids, sizes, data)
+    def __init__(self, ids: list, sizes: list, data: bytes):
+        keys, ends, text = unpacked(ids, sizes, data)
         raw, begins = text.tobytes(), (ends - np.array(sizes, dtype=np.int64)).tolist()
-        self.ids = ids
-        self.words = split_words([raw[a:b] for a, b in zip(begins, ends.tolist(), strict=True)])
-        h = window_hashes(self.words, length, SEED)
-        self.at = np.flatnonzero(h)
-        self.owner = ids[np.repeat(np.arange(len(ids)), np.diff(self.words.ends, prepend=0))[self.at]]   # id of each window
-        order = np.lexsort((self.at, self.owner, h[self.at]))
-        self.at, self.owner, h = self.at[order], self.owner[order], h[self.at][order]
-        head = np.ones(len(h), dtype=bool)
-        head[1:] = h[1:] != h[:-1]
-        self.head = np.flatnonzero(head)                   # the first occurrence in the smallest id
-        self.number = np.cumsum(head) - 1                  # distinct window of each occurrence
-        self.hashes = h[self.head]
-        last = np.concatenate([self.head[1:], [len(h)]]) - 1
-        self.several = self.owner[self.head] != self.owner[last[:len(self.head)]]
-        self.check = window_hashes(self.words, length, SEED + 1)[self.at[self.head]].astype(np.uint32)
-
-    def spans(self, windows: np.ndarray, tags: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first window, count) of the stretches of consecutive windows with one
-        tag; ``windows`` are sorted places."""
-        cut = np.ones(len(windows), dtype=bool)
-        cut[1:] = (np.diff(windows) != 1) | (np.diff(tags) != 0)
-        head = np.flatnonzero(cut)
-        return windows[head], np.diff(np.concatenate([head, [len(windows)]]))
-
-
-def planes(values: np.ndarray) -> np.ndarray:
+        order = np.argsort(keys, kind="stable").tolist()
+        self.ids = keys[order]
+        self.raw_ids = [ids[i] for i in order]
+        self.words = split_words([raw[begins[i]:ends[i]] for i in order])
+
+    def doc(self, at: np.ndarray) -> np.ndarray:
+        """Document of the word at each place."""
+        return np.searchsorted(self.words.ends, at, side="right")
+
+    def hashes(self, length: int, seed: int) -> np.ndarray:
+        """A 64-bit hash of the window that begins at each word; 0 where none does."""
+        words, n = self.words, len(self.words.codes)
+        out = np.zeros(n, dtype=np.uint64)
+        if n >= length:
+            kinds = words.kinds.to_pylist()
+            h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in kinds), dtype=np.uint64, count=len(kinds))[words.codes]
+            odd = np.random.default_rng(seed).integers(1, 1 << 63, length, dtype=np.uint64) | np.uint64(1)
+            total = np.zeros(n - length + 1, dtype=np.uint64)
+            for k in range(length):
+                total += h[k:n - length + 1 + k] * odd[k]
+            total ^= total >> np.uint64(29)
+            total *= np.uint64(0x9E3779B97F4A7C15)
+            total ^= total >> np.uint64(32)
+            end = np.repeat(words.ends, np.diff(words.ends, prepend=0))[:len(total)]
+            out[:len(total)] = np.where(np.arange(len(total)) + length <= end, total | np.uint64(1), np.uint64(0))
+        return out
+
+
+class Windows:
+    """The distinct windows at some places of a pack."""
+
+    def __init__(self, pack: Pack, at: np.ndarray, head: np.ndarray):
+        self.at, self.head = at, head                      # places by window, id and place; first place of each window
+        self.owner = pack.ids[pack.doc(at)]
+        self.number = np.repeat(np.arange(len(head)), np.diff(np.concatenate([head, [len(at)]])))
+        last = np.concatenate([head[1:], [len(at)]])[:len(head)] - 1
+        self.several = self.owner[head] != self.owner[last]
+
+    @classmethod
+    def distinct(cls, pack: Pack, at: np.ndarray, hashes: np.ndarray) -> tuple["Windows", np.ndarray]:
+        """By hash (places are in the order of ids), and the hashes."""
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        head = np.flatnonzero(new)
+        return cls(pack, at[order], head), hashes[head]
+
+
+def spans(windows: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, count) of the stretches of consecutive windows with one
+    tag; ``windows`` are sorted places."""
+    cut = np.ones(len(windows), dtype=bool)
+    cut[1:] = (np.diff(windows) != 1) | (np.diff(tags) != 0)
+    head = np.flatnonzero(cut)
+    return windows[head], np.diff(np.concatenate([head, [len(windows)]]))
+
+
+def byte_rows(values: np.ndarray) -> np.ndarray:
     """Numbers byte by byte, which compresses better."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T)
 
 
-def unplanes(raw: np.ndarray, kind: type) -> np.ndarray:
+def from_byte_rows(raw: np.ndarray, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
@@ -129,36 +144,66 @@ def parts_of(number: np.ndarray) -> list[tuple[int, slice]]:
 
 # --- routing -----------------------------------------------------------------
 
-def asking(groups: int, length: int):
-    """(pack, ids, sizes, data) to (grp, pack, windows) rows."""
+def offering(groups: int, length: int):
+    """(pack, ids, sizes, data) to (shard, pack, codes) rows: short hashes of all windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for pack, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                p = Pack(*row, length)
-                least = p.owner[p.head]
-                shard = (p.at[p.head] // SHARD_WORDS).astype(np.uint16)
-                rank = np.unique(p.ids, return_inverse=True)
-                place = np.searchsorted(rank[0], least).astype(np.uint32)
-                numbers, blobs = [], []
-                for g, s in parts_of(group_of(p.hashes, groups)):
-                    numbers.append(g)
-                    blobs.append(joined(planes(np.diff(p.hashes[s], prepend=np.uint64(0))), planes(p.check[s]), planes(place[s]),
-                                        planes(shard[s]), np.packbits(p.several[s]), rank[0]))
-                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([pack] * len(numbers), pa.int64()),
-                                                  pa.array(blobs, pa.binary())], names=["grp", "pack", "windows"])
+                h = Pack(*row).hashes(length, SEED)
+                codes = sorted_sides(h[h != 0] >> SHORT)
+                found = parts_of(side_shards(codes, groups))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g for g, _ in found], pa.int64()), pa.array([pack] * len(found), pa.int64()),
+                     pa.array([planes(codes[s]) for _, s in found], pa.binary())], names=["shard", "pack", "codes"])
     return run
 
 
+def asking(groups: int, length: int):
+    """A pack and which of its short hashes occur again, to (pack, grp, blob) rows:
+    one per group with the windows that may, and under ``STATE`` their places."""
+    def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
+        told = {s: zstandard.decompress(x) for s, x in zip(*(answers.column(c).to_pylist() for c in ("shard", "shared")), strict=True)}
+        owners, numbers, blobs = [], [], []
+        for pack, *row in zip(*(packs.column(c).to_pylist() for c in ("pack", "ids", "sizes", "data")), strict=True):
+            p = Pack(*row)
+            h = p.hashes(length, SEED)
+            at = np.flatnonzero(h)
+            codes = sorted_sides(h[at] >> SHORT)
+            again = [np.unpackbits(np.frombuffer(told[g], np.uint8), count=s.stop - s.start).astype(bool)
+                     for g, s in parts_of(side_shards(codes, groups))]
+            at = at[among(h[at] >> SHORT, codes[np.concatenate(again)])] if again else at
+            w, hashes = Windows.distinct(p, at, h[at])
+            check = p.hashes(length, SEED + 1)[w.at[w.head]].astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
+            shard = (w.at[w.head] // SHARD_WORDS).astype(np.uint16)
+            ids = np.unique(p.ids)
+            place = np.searchsorted(ids, w.owner[w.head]).astype(np.uint32)
+            for g, s in parts_of(group_of(hashes, groups)):
+                used, inner = np.unique(place[s], return_inverse=True)
+                numbers.append(g)
+                blobs.append(joined(byte_rows(np.diff(hashes[s], prepend=np.uint64(0))), byte_rows(check[s]), byte_rows(inner.astype(np.uint32)),
+                                    byte_rows(shard[s]), np.packbits(w.several[s]), ids[used]))
+            numbers.append(STATE)
+            blobs.append(joined(byte_rows(w.at.astype(np.uint32)), byte_rows(w.head.astype(np.uint32)), hashes))
+            owners += [pack] * (len(numbers) - len(owners))
+        return pa.table({"pack": pa.array(owners, pa.int64()), "grp": pa.array(numbers, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+    return run
+
+
+def known_state(pack: Pack, blob: bytes) -> tuple[Windows, np.ndarray]:
+    at, head, hashes = split(blob, np.uint8, np.uint8, np.uint64)
+    return Windows(pack, from_byte_rows(at, np.uint32).astype(np.int64), from_byte_rows(head, np.uint32).astype(np.int64)), hashes
+
+
 def owning(table: pa.Table) -> pa.Table:
-    """All windows of a group to (pack, grp, owners): per window a pack sent, the
+    """All windows of a group to (pack, grp, blob) rows: per window a pack sent, the
     pack and shard that own it, or -1 where it occurs in one document only."""
     packs = table.column("pack").to_numpy()
-    sent = [split(x.as_py(), *[np.uint8] * 5, np.int64) for x in table.column("windows")]
-    hashes = [np.cumsum(unplanes(s[0], np.uint64), dtype=np.uint64) for s in sent]
+    sent = [split(x.as_py(), *[np.uint8] * 5, np.int64) for x in table.column("blob")]
+    hashes = [np.cumsum(from_byte_rows(s[0], np.uint64), dtype=np.uint64) for s in sent]
     sizes = [len(h) for h in hashes]
-    least = np.concatenate([s[5][unplanes(s[2], np.uint32)] for s in sent])
-    check = np.concatenate([unplanes(s[1], np.uint32) for s in sent])
-    shard = np.concatenate([unplanes(s[3], np.uint16) for s in sent]).astype(np.int64)
+    least = np.concatenate([s[5][from_byte_rows(s[2], np.uint32)] for s in sent])
+    check = np.concatenate([from_byte_rows(s[1], np.uint32) for s in sent])
+    shard = np.concatenate([from_byte_rows(s[3], np.uint16) for s in sent]).astype(np.int64)
     several = np.concatenate([np.unpackbits(s[4], count=n).astype(bool) for s, n in zip(sent, sizes, strict=True)])
     pack = np.repeat(packs, sizes)
     every = np.concatenate(hashes)
@@ -175,8 +220,8 @@ def owning(table: pa.Table) -> pa.Table:
     for a, n in zip(np.cumsum([0, *sizes[:-1]]).tolist(), sizes, strict=True):
         mine = owner[a:a + n]
         of, place = np.unique(np.stack([np.where(mine < 0, -1, pack[mine]), np.where(mine < 0, 0, shard[mine])]), axis=1, return_inverse=True)
-        blobs.append(joined(np.ascontiguousarray(of[0]), np.ascontiguousarray(of[1]), planes(place.ravel().astype(np.uint32))))
-    return pa.table({"pack": table.column("pack"), "grp": table.column("grp"), "owners": pa.array(blobs, pa.binary())})
+        blobs.append(joined(np.ascontiguousarray(of[0]), np.ascontiguousarray(of[1]), byte_rows(place.ravel().astype(np.uint32))))
+    return pa.table({"pack": table.column("pack"), "grp": table.column("grp"), "blob": pa.array(blobs, pa.binary())})
 
 
 # --- spans -------------------------------------------------------------------
@@ -185,38 +230,34 @@ def sending(groups: int, length: int):
     """A pack and the owners of its windows to (owner, shard, pack, n, is_reference,
     spans) rows."""
     def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
-        told = {g: split(x, np.int64, np.int64, np.uint8)
-                for g, x in zip(*(answers.column(c).to_pylist() for c in ("grp", "owners")), strict=True)}
+        blobs = dict(zip(*(answers.column(c).to_pylist() for c in ("grp", "blob")), strict=True))
         rows = []
         for pack, *row in zip(*(packs.column(c).to_pylist() for c in ("pack", "ids", "sizes", "data")), strict=True):
-            p = Pack(*row, length)
-            owner, shard = np.full(len(p.hashes), -1, np.int64), np.zeros(len(p.hashes), np.int64)
-            for g, s in parts_of(group_of(p.hashes, groups)):
-                of, shards, place = told[g]
-                place = unplanes(place, np.uint32)
+            p = Pack(*row)
+            w, hashes = known_state(p, blobs.pop(STATE))
+            owner, shard = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+            for g, s in parts_of(group_of(hashes, groups)):
+                of, shards, place = split(blobs[g], np.int64, np.int64, np.uint8)
+                place = from_byte_rows(place, np.uint32)
                 owner[s], shard[s] = of[place], shards[place]
-            first = np.full(len(p.hashes), np.iinfo(np.int64).max)
-            np.minimum.at(first, p.number, p.at)           # the first occurrence in the pack, whatever its id
+            first = np.minimum.reduceat(w.at, w.head) if len(w.at) else w.at     # in the pack, whatever its id
             mine = np.flatnonzero(owner == pack)
-            asked = np.flatnonzero((owner >= 0) & ((owner != pack) | p.several))
-            for is_reference, at, windows in ((True, p.at[p.head[mine]], mine), (False, first[asked], asked)):
+            asked = np.flatnonzero((owner >= 0) & ((owner != pack) | w.several))
+            for is_reference, at, windows in ((True, w.at[w.head[mine]], mine), (False, first[asked], asked)):
                 order = np.argsort(at)
                 at, windows = at[order], windows[order]
-                target = np.unique(np.stack([owner[windows], shard[windows]]), axis=1, return_inverse=True)
-                tags = target[1].ravel()
-                if is_reference:                           # a span stays in one document
-                    tags = tags * (len(p.ids) + 1) + np.searchsorted(p.words.ends, at, side="right")
-                begin, count = p.spans(at, tags, length)
-                of = target[1].ravel()[np.searchsorted(at, begin)]
-                ids = p.ids[np.searchsorted(p.words.ends, begin, side="right")]
+                target, of = np.unique(np.stack([owner[windows], shard[windows]]), axis=1, return_inverse=True)
+                of = of.ravel()
+                begin, count = spans(at, of)
+                of = of[np.searchsorted(at, begin)]
                 order = np.argsort(of, kind="stable")
                 for t, s in parts_of(of[order]):
                     some = order[s]
                     size = count[some] + length - 1
                     inner = np.repeat(begin[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                     text = b" ".join(p.words.words.take(pa.array(inner)).to_pylist())
-                    rows.append((int(target[0][0, t]), int(target[0][1, t]), pack, int(size.sum()), is_reference,
-                                 joined(begin[some], size, ids[some], np.frombuffer(text, dtype=np.uint8))))
+                    rows.append((int(target[0, t]), int(target[1, t]), pack, int(size.sum()), is_reference,
+                                 joined(begin[some], size, p.ids[p.doc(begin[some])], np.frombuffer(text, dtype=np.uint8))))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 6
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
@@ -296,7 +337,7 @@ def word_lists(blobs: list[bytes], vocabulary: dict[bytes, int]) -> Iterator[tup
 
 
 def streaming(length: int):
-    """The reference spans of a shard and spans that ask it, to (pack, found)."""
+    """The reference spans of a shard and spans that ask it, to (pack, grp, blob)."""
     def run(reference: pa.Table, asks: pa.Table) -> pa.Table:
         vocabulary: dict[bytes, int] = {}
         automaton = Automaton()
@@ -311,7 +352,8 @@ def streaming(length: int):
             at, least = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 2
             head = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(least) != 0)]))[:len(at)]
             blobs.append(joined(at[head], np.diff(np.concatenate([head, [len(at)]])), least[head]))
-        return pa.table({"pack": pa.array([packs[r] for r in found], pa.int64()), "found": pa.array(blobs, pa.binary())})
+        return pa.table({"pack": pa.array([packs[r] for r in found], pa.int64()), "grp": pa.array([0] * len(found), pa.int64()),
+                         "blob": pa.array(blobs, pa.binary())})
     return run
 
 
@@ -321,24 +363,25 @@ def removing(length: int):
     """One row per document of a pack: (id, n_words, spans, kept)."""
     def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        parts = [split(x.as_py(), np.int64, np.int64, np.int64) for x in answers.column("found")]
-        for raw_ids, sizes, data in zip(*(packs.column(c).to_pylist() for c in ("ids", "sizes", "data")), strict=True):
-            p = Pack(raw_ids, sizes, data, length)
+        groups, blobs = (answers.column(c).to_pylist() for c in ("grp", "blob"))
+        parts = [split(x, np.int64, np.int64, np.int64) for g, x in zip(groups, blobs, strict=True) if g != STATE]
+        for row in zip(*(packs.column(c).to_pylist() for c in ("ids", "sizes", "data")), strict=True):
+            p = Pack(*row)
+            w, hashes = known_state(p, blobs[groups.index(STATE)])
             n = len(p.words.codes)
             least = np.full(n, NULL_ID, dtype=np.int64)                # of the window that begins at a word
             for at, run_, value in parts:
                 place = np.repeat(at - (np.cumsum(run_) - run_), run_) + np.arange(int(run_.sum()))
                 least[place] = np.repeat(value, run_)
-            best = np.full(len(p.hashes), NULL_ID, dtype=np.int64)
-            np.minimum.at(best, p.number, least[p.at])
-            lost = p.at[best[p.number] < p.owner]
+            best = np.minimum.reduceat(least[w.at], w.head) if len(w.at) else least[:0]
+            lost = w.at[best[w.number] < w.owner]
             cover = np.zeros(n + 1, dtype=np.int64)
             np.add.at(cover, lost, 1)
             np.add.at(cover, lost + length, -1)
             gone = np.cumsum(cover[:-1]) > 0
             ends = p.words.ends.tolist()
             kept = p.words.joined(~gone)
-            for i, a, b, text in zip(raw_ids, [0, *ends[:-1]], ends, kept, strict=True):
+            for i, a, b, text in zip(p.raw_ids, [0, *ends[:-1]], ends, kept, strict=True):
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], gone[a:b], [False]]).astype(np.int8))).tolist()
                 out.append((i, b - a, [{"start": x, "end": y} for x, y in zip(edge[::2], edge[1::2], strict=True)], text.as_py()))
         columns = list(zip(*out, strict=True)) if out else [()] * 4
@@ -354,20 +397,25 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     packs = cut_lineage(rows.mapInArrow(packing, "pack long, ids array<long>, sizes array<long>, bytes long, data binary"))
     whole = packs.select("pack", "ids", "sizes", "data")
+    of_pack = whole.groupBy("pack")
     groups = int((packs.agg(F.sum("bytes")).first()[0] or 0) // GROUP_BYTES) + 1
-    told = (whole.mapInArrow(asking(groups, length), "grp long, pack long, windows binary")
-            .groupBy("grp").applyInArrow(owning, "pack long, grp long, owners binary"))
-    sent = cut_lineage(whole.groupBy("pack").cogroup(told.groupBy("pack"))
+    blobs = "pack long, grp long, blob binary"
+    again = (whole.mapInArrow(offering(groups, length), "shard long, pack long, codes binary")
+             .groupBy("shard").applyInArrow(counting, "pack long, shard long, shared binary"))
+    asked = cut_lineage(of_pack.cogroup(again.groupBy("pack")).applyInArrow(asking(groups, length), blobs))
+    state = asked.where(F.col("grp") == STATE)
+    owners = asked.where(F.col("grp") != STATE).groupBy("grp").applyInArrow(owning, blobs)
+    sent = cut_lineage(of_pack.cogroup(owners.unionByName(state).groupBy("pack"))
                        .applyInArrow(sending(groups, length), "owner long, shard long, pack long, n long, is_reference boolean, spans binary"))
     shard = ["owner", "shard"]
     asks = sent.where("NOT is_reference")
     parts = asks.groupBy(*shard).agg(F.ceil(F.sum("n") / PART_WORDS).alias("parts"))
     part = F.pmod(F.xxhash64("pack"), F.col("parts"))
-    asked = asks.join(parts, shard).select(*shard, part.alias("part"), "pack", "spans")
+    asks = asks.join(parts, shard).select(*shard, part.alias("part"), "pack", "spans")
     reference = (sent.where("is_reference").join(parts, shard)
                  .select(F.col("owner").alias("of"), F.col("shard").alias("of_shard"),
                          F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("of_part"), F.col("spans").alias("spans")))
-    found = (reference.groupBy("of", "of_shard", "of_part").cogroup(asked.groupBy(*shard, "part"))
-             .applyInArrow(streaming(length), "pack long, found binary"))
-    return (whole.groupBy("pack").cogroup(found.groupBy("pack"))
+    found = (reference.groupBy("of", "of_shard", "of_part").cogroup(asks.groupBy(*shard, "part"))
+             .applyInArrow(streaming(length), blobs))
+    return (of_pack.cogroup(found.unionByName(state).groupBy("pack"))
             .applyInArrow(removing(length), "id long, n_words long, spans array<struct<start:bigint,end:bigint>>, kept string"))

@@ -3,7 +3,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+import zstandard
 
 from quarry.llm import substring_dedup, suffix_dedup
 from quarry.llm.queries import op13_substring_dedup
@@ -84,13 +86,15 @@ def test_small_packs_shards_and_parts(spark, monkeypatch):
     assert removed(spark, small, length=4) == sorted(slow_removal(small, 4), key=str)
 
 
-def test_a_group_of_copies_is_one_span_a_pack(spark):
+def test_a_group_of_copies_is_one_span_a_pack():
     rng = random.Random(1)
-    text = " ".join(f"v{rng.randrange(10 ** 6)}" for _ in range(300))
-    ids, data = [[i for i in range(500)]], " ".join([text] * 1)
-    import zstandard
-    pack = substring_dedup.Pack(ids[0], [len(data)] * 500, zstandard.compress((data * 500).encode()), 13)
-    assert len(pack.hashes) == 288 and pack.several.all() and (pack.owner[pack.head] == 0).all()
+    text = " ".join(f"v{rng.randrange(10 ** 6)}" for _ in range(300)).encode()
+    p = substring_dedup.Pack(list(range(500)), [len(text)] * 500, zstandard.compress(text * 500))
+    h = p.hashes(13, 1)
+    at = np.flatnonzero(h)
+    w, hashes = substring_dedup.Windows.distinct(p, at, h[at])
+    assert len(hashes) == 288 and w.several.all() and (w.owner[w.head] == 0).all() and len(w.at) == 288 * 500
+    assert [x.tolist() for x in substring_dedup.spans(np.sort(w.at[w.head]), np.zeros(288))] == [[0], [288]]
 
 
 def test_odd_tables(spark):

@@ -183,15 +183,18 @@ def asking(groups: int, length: int):
                 blobs.append(joined(byte_rows(np.diff(hashes[s], prepend=np.uint64(0))), byte_rows(check[s]), byte_rows(inner.astype(np.uint32)),
                                     byte_rows(shard[s]), np.packbits(w.several[s]), ids[used]))
             numbers.append(STATE)
-            blobs.append(joined(byte_rows(w.at.astype(np.uint32)), byte_rows(w.head.astype(np.uint32)), hashes))
+            sent = parts_of(group_of(hashes, groups))
+            blobs.append(joined(byte_rows(w.at.astype(np.uint32)), byte_rows(w.head.astype(np.uint32)),
+                                np.array([(g, s.start, s.stop) for g, s in sent], dtype=np.int64)))
             owners += [pack] * (len(numbers) - len(owners))
         return pa.table({"pack": pa.array(owners, pa.int64()), "grp": pa.array(numbers, pa.int64()), "blob": pa.array(blobs, pa.binary())})
     return run
 
 
-def known_state(pack: Pack, blob: bytes) -> tuple[Windows, np.ndarray]:
-    at, head, hashes = split(blob, np.uint8, np.uint8, np.uint64)
-    return Windows(pack, from_byte_rows(at, np.uint32).astype(np.int64), from_byte_rows(head, np.uint32).astype(np.int64)), hashes
+def known_state(pack: Pack, blob: bytes) -> tuple[Windows, list[list[int]]]:
+    """The windows that a pack sent, and (group, begin, end) of those each group got."""
+    at, head, sent = split(blob, np.uint8, np.uint8, np.int64)
+    return (Windows(pack, *(from_byte_rows(x, np.uint32).astype(np.int64) for x in (at, head))), sent.reshape(-1, 3).tolist())
 
 
 def owning(table: pa.Table) -> pa.Table:
@@ -226,7 +229,7 @@ def owning(table: pa.Table) -> pa.Table:
 
 # --- spans -------------------------------------------------------------------
 
-def sending(groups: int, length: int):
+def sending(length: int):
     """A pack and the owners of its windows to (owner, shard, pack, n, is_reference,
     spans) rows."""
     def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -234,12 +237,12 @@ def sending(groups: int, length: int):
         rows = []
         for pack, *row in zip(*(packs.column(c).to_pylist() for c in ("pack", "ids", "sizes", "data")), strict=True):
             p = Pack(*row)
-            w, hashes = known_state(p, blobs.pop(STATE))
-            owner, shard = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-            for g, s in parts_of(group_of(hashes, groups)):
+            w, sent = known_state(p, blobs.pop(STATE))
+            owner, shard = np.full(len(w.head), -1, np.int64), np.zeros(len(w.head), np.int64)
+            for g, a, b in sent:
                 of, shards, place = split(blobs[g], np.int64, np.int64, np.uint8)
                 place = from_byte_rows(place, np.uint32)
-                owner[s], shard[s] = of[place], shards[place]
+                owner[a:b], shard[a:b] = of[place], shards[place]
             first = np.minimum.reduceat(w.at, w.head) if len(w.at) else w.at     # in the pack, whatever its id
             mine = np.flatnonzero(owner == pack)
             asked = np.flatnonzero((owner >= 0) & ((owner != pack) | w.several))
@@ -367,7 +370,7 @@ def removing(length: int):
         parts = [split(x, np.int64, np.int64, np.int64) for g, x in zip(groups, blobs, strict=True) if g != STATE]
         for row in zip(*(packs.column(c).to_pylist() for c in ("ids", "sizes", "data")), strict=True):
             p = Pack(*row)
-            w, hashes = known_state(p, blobs[groups.index(STATE)])
+            w, _ = known_state(p, blobs[groups.index(STATE)])
             n = len(p.words.codes)
             least = np.full(n, NULL_ID, dtype=np.int64)                # of the window that begins at a word
             for at, run_, value in parts:
@@ -406,7 +409,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     state = asked.where(F.col("grp") == STATE)
     owners = asked.where(F.col("grp") != STATE).groupBy("grp").applyInArrow(owning, blobs)
     sent = cut_lineage(of_pack.cogroup(owners.unionByName(state).groupBy("pack"))
-                       .applyInArrow(sending(groups, length), "owner long, shard long, pack long, n long, is_reference boolean, spans binary"))
+                       .applyInArrow(sending(length), "owner long, shard long, pack long, n long, is_reference boolean, spans binary"))
     shard = ["owner", "shard"]
     asks = sent.where("NOT is_reference")
     parts = asks.groupBy(*shard).agg(F.ceil(F.sum("n") / PART_WORDS).alias("parts"))

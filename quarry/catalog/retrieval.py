@@ -14,19 +14,23 @@ from quarry.operators.knn import knn_join, retrieve_context, stuff_context, top_
 from quarry.plans.ask import ask, retrieve
 from quarry.plans.ingest import add_sites, page_index
 from quarry.session import scratch_path
-from quarry.sources.index_store import load_index, save_index
+from quarry.sources.index_store import load_cells, load_index, save_index
 from quarry.sources.tables import questions_from_conversations, scan_pages, table
 
 
 # ---- shared builders -------------------------------------------------------
 
-def _index(spark, sf):
-    """The page index as the ask path sees it: built once, saved as a new
-    version (S7) under the checkpoint folder and read back (S8), so retrieval
-    scans stored vectors instead of re-chunking and re-embedding."""
+def _saved(spark, sf, cells=None):
     path = scratch_path(spark, "index")
-    save_index(page_index(scan_pages(spark, sf)), path)
-    return load_index(spark, path)
+    save_index(page_index(scan_pages(spark, sf)), path, cells=cells)
+    return path
+
+
+def _index(spark, sf, cells=None):
+    """The page index as the ask path sees it: built once, saved as a new
+    version (S7) under the checkpoint folder and read back (S8) with its cells, so
+    retrieval scans stored vectors instead of re-chunking and re-embedding."""
+    return load_cells(spark, _saved(spark, sf, cells))
 
 
 def _questions(spark, sf):
@@ -96,7 +100,7 @@ def q_embed_chunks(spark, sf):
 @register("build_index", "M3,M9", lambda: "WITH RECURSIVE " + page_chunks_sql() + ", "
           + emb_summary_sql("pchunks", "chunk_id", "c.source, c.chunk_idx, c.text, "))
 def q_build_index(spark, sf):
-    idx = _index(spark, sf).withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
+    idx = load_index(spark, _saved(spark, sf)).withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
     return _emb_summary(idx, ["source", "chunk_idx", "text", "chunk_id"])
 
 
@@ -105,7 +109,7 @@ def q_build_index(spark, sf):
 def q_index_roundtrip(spark, sf):
     """Write the index as a new version under the checkpoint folder, read it back."""
     path = scratch_path(spark, "index")
-    save_index(_index(spark, sf), path)
+    save_index(load_index(spark, _saved(spark, sf)), path)
     idx = load_index(spark, path).withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
     return _emb_summary(idx, ["source", "chunk_idx", "text", "chunk_id"])
 
@@ -246,6 +250,15 @@ def q_knn_join(spark, sf):
     return hits.select("q_id", "chunk_id", F.round("dist", 6).alias("dist"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@register("knn_stored_cells", "M3,M4,J5", lambda: "WITH RECURSIVE " + page_chunks_sql() + ", " + QUESTIONS_SQL + ", "
+          + knn_sql("qs", 3) + " SELECT q_id, chunk_id, round(dist, 6) AS dist, rank FROM ranked")
+def q_knn_stored_cells(spark, sf):
+    """The three nearest chunks from an index saved in 24 cells: questions are
+    assigned, the index is not."""
+    hits = knn_join(embed(_questions(spark, sf), "question"), _index(spark, sf, cells=24), k=3)
+    return hits.select("q_id", "chunk_id", F.round("dist", 6).alias("dist"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @register("retrieve_context", "J6", lambda: "WITH RECURSIVE " + page_chunks_sql() + ", " + QUESTIONS_SQL + ", "
           + knn_sql("qs", 1) + """ SELECT r.q_id, r.chunk_id, r.rank, c.source, c.text
 FROM ranked r JOIN pchunks c USING (chunk_id)""")
@@ -271,7 +284,7 @@ def q_top_chunk(spark, sf):
     """One question (the longest benchmark item): native distance + orderBy/limit."""
     q = table(spark, sf, "benchmark").orderBy(F.desc(F.length("text")), "item_id").limit(1).select("text")
     vec = embed(q, "text").first()["embedding"]
-    top = top_k_for_vector(_index(spark, sf), vec, k=1)
+    top = top_k_for_vector(load_index(spark, _saved(spark, sf)), vec, k=1)
     return top.select("chunk_id", F.round("dist", 6).alias("dist"))
 
 

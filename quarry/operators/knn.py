@@ -1,17 +1,23 @@
 """Exact nearest-neighbour retrieval.
 
 Exact k-NN under squared L2 (the reference searches a flat index), as a join on
-cells.  Index rows and questions are assigned to the nearest of some pivots; by
-the triangle inequality a question at distance g from a pivot can have a
-neighbour within r only in cells with g - (cell radius) <= r.  r comes from the
-cells' summaries: the distances of the k rows nearest to each pivot bound the
-question's k-th distance from above.  Each question goes to the cells that
-remain, and every (cell block, question block) pair is solved by one task:
-
+cells.  Index rows belong to the cell of their nearest pivot; by the triangle
+inequality a question at distance g from a pivot can have a neighbour within r
+only in cells with g - (cell radius) <= r.  r comes from the cells' summaries: the
+distances of the rows nearest to each pivot bound the question's k-th distance
+from above.  Each question goes to the cells that remain, and every (cell block,
+question block) pair is solved by one task:
+
+* cells are made once: a saved index has a folder per cell and the summaries in
+  its commit (``sources.index_store``), so a search assigns its questions only and
+  reads the wanted cells only.  A plain frame is put into cells on the way;
+* the number of cells follows the rows (``CELL_ROWS`` each, at most ``MOST_CELLS``);
+  an index of one cell needs no pivots, no summary and no assignment;
 * no question passes through the driver, which holds the pivots (drawn from a
   bounded sample) and one summary per pivot;
-* blocks of a cell have a bounded number of rows on both sides, so a cell with a
-  large share of the rows is many tasks, and task memory is a block's;
+* blocks of a cell have a bounded number of rows on both sides, of about the same
+  memory, so a cell with a large share of the rows is many tasks and neither side
+  is repeated more than the other;
 * at most ``k`` rows per question and block are shuffled to the final ranking.
 
 Ties are broken by the chunk key; distances are ranked rounded to
@@ -20,6 +26,8 @@ unrounded (squared L2, clamped at 0).
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,13 +39,30 @@ from quarry.session import cut_lineage
 # --- fixed values -----------------------------------------------------------
 RANK_DECIMALS = 9
 # ----------------------------------------------------------------------------
-PIVOTS = 64
-SAMPLE = 2048              # rows the pivots are drawn from
-INDEX_BLOCK = 8192         # index rows of a cell solved together
-QUESTION_BLOCK = 1024
+CELL_ROWS = 8192           # rows of a cell, on average
+MOST_CELLS = 4096
+SAMPLE_PER_CELL = 32       # rows the pivots are drawn from
+LARGEST_SAMPLE = 16384
+NEAR = 16                  # smallest distances kept per cell
+INDEX_BLOCK = 16384        # index rows of a cell solved together
+QUESTION_BLOCK = 16384
 CELLS_AT_A_TIME = 1 << 21  # cells of a distance matrix
 
 
+@dataclass
+class CellIndex:
+    """Index rows with a ``cell`` column, and what is known of each cell."""
+    rows: DataFrame
+    centres: np.ndarray      # one row per cell; none for an index of one cell
+    sizes: np.ndarray
+    radius: np.ndarray
+    near: list[np.ndarray]   # the smallest distances to the centre
+
+    @property
+    def cells(self) -> int:
+        return len(self.sizes)
+
+
 def as_matrix(col: pa.Array) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -61,52 +86,108 @@ def choose_pivots(index: DataFrame, key: str, vec: str, pivots: int, sample: int
     return points[np.linspace(0, len(points) - 1, min(pivots, len(points))).astype(int)] if len(points) else points
 
 
-def _to_cells(index: DataFrame, centres: np.ndarray) -> DataFrame:
-    """``_c, _v, _cell, _far, _slot``: nearest pivot, distance, place in the task."""
+def cells_for(rows: int) -> int:
+    return max(1, min(MOST_CELLS, rows // CELL_ROWS))
+
+
+def to_cells(index: DataFrame, vec: str, centres: np.ndarray) -> DataFrame:
+    """``index`` with ``cell`` (the nearest pivot) and ``far`` (the distance to it)."""
     shared = index.sparkSession.sparkContext.broadcast(centres)
-    schema = T.StructType([*index.schema.fields, T.StructField("_cell", T.IntegerType()),
-                           T.StructField("_far", T.DoubleType()), T.StructField("_slot", T.LongType())])
+    place = index.columns.index(vec)
+    schema = T.StructType([*index.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])
 
     def run(batches):
-        seen = 0
         for b in batches:
             if not b.num_rows:
                 continue
-            d = squared_distances(as_matrix(b.column(1)), shared.value)
-            cell = d.argmin(axis=1)
-            far = np.sqrt(d[np.arange(len(cell)), cell])
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(cell.astype(np.int32)), pa.array(far), pa.array(np.arange(seen, seen + b.num_rows))],
-                names=schema.fieldNames())
-            seen += b.num_rows
+            vectors = as_matrix(b.column(place))
+            cell, far = np.empty(b.num_rows, dtype=np.int32), np.empty(b.num_rows)
+            step = max(1, CELLS_AT_A_TIME // len(shared.value))
+            for at in range(0, b.num_rows, step):
+                d = squared_distances(vectors[at:at + step], shared.value)
+                cell[at:at + step] = d.argmin(axis=1)
+                far[at:at + step] = np.sqrt(d.min(axis=1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(far)], names=schema.fieldNames())
 
     return index.mapInArrow(run, schema)
 
 
-def _wanted_cells(questions: DataFrame, centres: np.ndarray, owner: np.ndarray, near: np.ndarray,
-                  radius: np.ndarray, k: int) -> DataFrame:
-    """``_q, _qv, _cells``: the cells that can hold one of the k nearest.
-    ``near`` are the smallest distances to their pivot, ``owner`` its cell."""
-    shared = questions.sparkSession.sparkContext.broadcast((centres, owner, near, radius))
+def cell_summary(placed: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(sizes, radius, near) of the cells, in one job over (cell, far)."""
+    first = Window.partitionBy("cell").orderBy("far")
+    near = (placed.select("cell", "far").withColumn("n", F.row_number().over(first)).where(F.col("n") <= NEAR)
+            .select("cell", "far", F.lit(0).cast("long").alias("n")))
+    whole = placed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).select("cell", "far", "n")
+    sizes, radius, low = np.zeros(cells, np.int64), np.zeros(cells), [[] for _ in range(cells)]
+    for r in near.unionByName(whole).collect():             # NEAR + 1 numbers per cell
+        if r.n:
+            sizes[r.cell], radius[r.cell] = r.n, r.far
+        else:
+            low[r.cell].append(r.far)
+    return sizes, radius, [np.sort(np.array(x)) for x in low]
+
+
+def in_cells(index: DataFrame, key: str, vec: str, pivots: int | None = None, sample: int | None = None) -> CellIndex:
+    """Put a plain frame into cells; rows without a vector take no part."""
+    rows = index.where(F.col(vec).isNotNull())
+    if pivots is None:
+        n = rows.count()
+        pivots = cells_for(n)
+        if pivots == 1:
+            return CellIndex(rows.withColumn("cell", F.lit(0)), np.zeros((0, 0)), np.array([n]), np.zeros(1), [])
+    centres = choose_pivots(rows, key, vec, pivots, sample or min(LARGEST_SAMPLE, SAMPLE_PER_CELL * pivots))
+    if not len(centres):
+        return CellIndex(rows.withColumn("cell", F.lit(0)), centres, np.zeros(0, np.int64), np.zeros(0), [])
+    placed = cut_lineage(to_cells(rows, vec, centres))
+    return CellIndex(placed, centres, *cell_summary(placed, len(centres)))
+
+
+def _wanted_cells(questions: DataFrame, index: CellIndex, k: int) -> DataFrame:
+    """``_q, _qv, _cells``: the cells that can hold one of the k nearest."""
+    # rows known to be near: the kept distances, and the rest of a cell within its radius
+    owner = np.repeat(np.arange(index.cells), [len(x) + 1 for x in index.near])
+    low = np.concatenate([np.append(x, r) for x, r in zip(index.near, index.radius, strict=True)])
+    weight = np.concatenate([np.append(np.ones(len(x), np.int64), n - len(x)) for x, n in zip(index.near, index.sizes, strict=True)])
+    kept = weight > 0
+    shared = questions.sparkSession.sparkContext.broadcast((index.centres, owner[kept], low[kept], weight[kept], index.radius, index.sizes > 0))
     schema = T.StructType([*questions.schema.fields, T.StructField("_cells", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        pivots, own, low, far = shared.value
+        pivots, own, near, many, far, full = shared.value
+        step = max(1, CELLS_AT_A_TIME // max(1, len(own)))
         for b in batches:
-            if not b.num_rows:
-                continue
-            to_pivot = np.sqrt(squared_distances(as_matrix(b.column(1)), pivots))
-            reach = np.partition(to_pivot[:, own] + low, k - 1, axis=1)[:, k - 1] if len(own) >= k \
-                else np.full(b.num_rows, np.inf)
-            slack = 1e-6 * (1.0 + to_pivot + far)
-            wanted = (to_pivot - far - slack <= reach[:, None]) & np.isin(np.arange(len(pivots)), own)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([np.flatnonzero(w).tolist() for w in wanted], pa.list_(pa.int32()))],
-                names=schema.fieldNames())
+            vectors = as_matrix(b.column(1)) if b.num_rows else None
+            cells = []
+            for at in range(0, b.num_rows, step):
+                to_pivot = np.sqrt(squared_distances(vectors[at:at + step], pivots))
+                bound = to_pivot[:, own] + near
+                order = np.argsort(bound, axis=1)
+                enough = np.cumsum(many[order], axis=1) >= k
+                first = order[np.arange(len(order)), enough.argmax(axis=1)]
+                reach = np.where(enough.any(axis=1), bound[np.arange(len(order)), first], np.inf)
+                slack = 1e-6 * (1.0 + to_pivot + far)
+                wanted = (to_pivot - far - slack <= reach[:, None]) & full
+                cells += [np.flatnonzero(w).tolist() for w in wanted]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32()))], names=schema.fieldNames())
 
     return questions.mapInArrow(run, schema)
 
 
+def nearest_columns(ranked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k smallest values of every row, ties to the first
+    column, by row and rank."""
+    rows = np.arange(len(ranked))
+    if ranked.shape[1] > k:
+        limit = np.partition(ranked, k - 1, axis=1)[:, k - 1]
+        row, column = np.nonzero(ranked <= limit[:, None])
+    else:
+        row, column = np.repeat(rows, ranked.shape[1]), np.tile(np.arange(ranked.shape[1]), len(rows))
+    order = np.lexsort((column, ranked[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, rows)[row]
+    return row[place < k], column[place < k]
+
+
 def _solve(k: int):
     """k nearest rows of an index block for each question of a block."""
     def run(index: pa.Table, questions: pa.Table) -> pa.Table:
@@ -118,15 +199,10 @@ def _solve(k: int):
             step = max(1, CELLS_AT_A_TIME // len(keys))
             for at in range(0, len(ids), step):
                 exact = squared_distances(asked[at:at + step], vectors)
-                ranked = np.round(exact, RANK_DECIMALS)
-                for i, row in enumerate(ranked):
-                    some = np.arange(len(row))
-                    if len(row) > k:
-                        some = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
-                    some = some[np.argsort(row[some], kind="stable")[:k]]
-                    qs.append(np.full(len(some), at + i))
-                    cs.append(some)
-                    ds.append(exact[i, some])
+                row, column = nearest_columns(np.round(exact, RANK_DECIMALS), k)
+                qs.append(at + row)
+                cs.append(column)
+                ds.append(exact[row, column])
             q, c = (np.concatenate(x) for x in (qs, cs))
             return pa.table({"_q": ids.take(pa.array(q)), "_c": keys.take(pa.array(c)), "dist": pa.array(np.concatenate(ds))})
         none = pa.array([], pa.float64())
@@ -134,53 +210,59 @@ def _solve(k: int):
     return run
 
 
-def _blocks(counts: dict[int, int], cells: int, size: int) -> Column:
+def block_join(rows: DataFrame, wants: DataFrame, cell: str, row_blocks: Column, question_blocks: Column, k: int) -> DataFrame:
+    """``_q, _c, dist``: the k nearest rows of every block pair.  ``rows`` (_c, _v)
+    and ``wants`` (_q, _qv) meet in their ``cell``, which is cut into blocks."""
+    out_schema = T.StructType([wants.schema["_q"], rows.schema["_c"], T.StructField("dist", T.DoubleType())])
+    salt = ["_slot"] if "_slot" in rows.columns else []
+    key = [cell, "_index_block", "_question_block"]
+    left = (rows.withColumn("_index_block", F.pmod(F.xxhash64("_c", *salt), row_blocks).cast("int"))
+            .withColumn("_question_block", F.explode(F.sequence(F.lit(0), question_blocks.cast("int") - 1))).select(*key, "_c", "_v"))
+    right = (wants.withColumn("_question_block", F.pmod(F.xxhash64("_q"), question_blocks).cast("int"))
+             .withColumn("_index_block", F.explode(F.sequence(F.lit(0), row_blocks.cast("int") - 1))).select(*key, "_q", "_qv"))
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_solve(k), out_schema)
+
+
+def _blocks(counts: np.ndarray, size: int) -> Column:
     """How many blocks of ``size`` rows a row's cell is cut into."""
-    return F.element_at(F.array(*[F.lit(max(1, -(-counts.get(j, 0) // size))) for j in range(max(1, cells))]),
-                        F.col("_cell") + 1)
+    blocks = [max(1, -(-int(n) // size)) for n in counts]
+    if len(set(blocks)) == 1:
+        return F.lit(blocks[0])
+    return F.element_at(F.array(*map(F.lit, blocks)), F.col("_cell") + 1)
+
+
+def rank_hits(found: DataFrame, k: int, q_key: str, c_key: str) -> DataFrame:
+    """The k best of each question: ranked on the rounded distance (ties by key),
+    the distance itself is reported."""
+    w = Window.partitionBy("_q").orderBy(F.round("dist", RANK_DECIMALS), "_c")
+    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select(F.col("_q").alias(q_key), F.col("_c").alias(c_key), "dist", "rank"))
 
 
-def knn_join(questions: DataFrame, index: DataFrame, k: int = 1,
+def knn_join(questions: DataFrame, index: DataFrame | CellIndex, k: int = 1,
              q_key: str = "q_id", c_key: str = "chunk_id",
              q_vec: str = "embedding", c_vec: str = "embedding",
-             pivots: int = PIVOTS, sample: int = SAMPLE) -> DataFrame:
+             pivots: int | None = None, sample: int | None = None) -> DataFrame:
     """Top-``k`` index rows per question: ``q_key, c_key, dist, rank``.  Rows
-    without a vector take no part; question keys are unique."""
-    rows = index.select(F.col(c_key).alias("_c"), F.col(c_vec).alias("_v")).where(F.col("_v").isNotNull())
+    without a vector take no part; question keys are unique.  ``pivots`` and
+    ``sample`` say how a plain frame is put into cells."""
     asked = questions.select(F.col(q_key).alias("_q"), F.col(q_vec).alias("_qv")).where(F.col("_qv").isNotNull())
-    out_schema = T.StructType([asked.schema["_q"], rows.schema["_c"], T.StructField("dist", T.DoubleType())])
-
-    centres = choose_pivots(rows, "_c", "_v", pivots, sample)
-    cells = len(centres)
-    if cells:
-        placed = cut_lineage(_to_cells(rows, centres))
-        first = Window.partitionBy("_cell").orderBy("_far")
-        near = (placed.select("_cell", "_far").withColumn("_n", F.row_number().over(first))
-                .where(F.col("_n") <= k).select("_cell", "_far").collect())     # k numbers per pivot
-        summary = {r._cell: r for r in placed.groupBy("_cell")
-                   .agg(F.count("*").alias("n"), F.max("_far").alias("r")).collect()}
-        radius = np.array([summary[j].r if j in summary else 0.0 for j in range(cells)])
-        bound = cut_lineage(_wanted_cells(asked, centres, np.array([r._cell for r in near]),
-                                          np.array([r._far for r in near]), radius, k))
-        wants = bound.select("_q", "_qv", F.explode("_cells").alias("_cell"))
-        sizes = {r._cell: r["count"] for r in wants.groupBy("_cell").count().collect()}
-        key = ["_cell", "_index_block", "_question_block"]
-        index_blocks = _blocks({j: r.n for j, r in summary.items()}, cells, INDEX_BLOCK)
-        question_blocks = _blocks(sizes, cells, QUESTION_BLOCK)
-        left = (placed.withColumn("_index_block", F.pmod(F.xxhash64("_c", "_slot"), index_blocks).cast("int"))
-                .withColumn("_question_block", F.explode(F.sequence(F.lit(0), question_blocks - 1)))
-                .select(*key, "_c", "_v"))
-        right = (wants.withColumn("_question_block", F.pmod(F.xxhash64("_q"), question_blocks).cast("int"))
-                 .withColumn("_index_block", F.explode(F.sequence(F.lit(0), index_blocks - 1)))
-                 .select(*key, "_q", "_qv"))
-        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_solve(k), out_schema)
+    cells = index if isinstance(index, CellIndex) else in_cells(
+        index.select(c_key, c_vec).withColumn("_slot", F.monotonically_increasing_id()), c_key, c_vec, pivots, sample)
+    slot = ["_slot"] if "_slot" in cells.rows.columns else []
+    rows = cells.rows.select(F.col(c_key).alias("_c"), F.col(c_vec).alias("_v"), F.col("cell").alias("_cell"), *slot)
+    if cells.cells > 1:
+        wants = cut_lineage(_wanted_cells(asked, cells, k)).select("_q", "_qv", F.explode("_cells").alias("_cell"))
+        asking = np.zeros(cells.cells, dtype=np.int64)
+        for r in wants.groupBy("_cell").count().collect():          # one number per cell
+            asking[r._cell] = r["count"]
+        if not asking.all():
+            rows = rows.where(F.col("_cell").isin(np.flatnonzero(asking).tolist()))
     else:
-        found = rows.sparkSession.createDataFrame([], out_schema)
-    # rank on the rounded distance (ties → key); report the distance itself
-    w = Window.partitionBy("_q").orderBy(F.round("dist", RANK_DECIMALS), "_c")
-    return (found.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k)
-            .select(F.col("_q").alias(q_key), F.col("_c").alias(c_key), "dist", "rank"))
+        wants, asking = asked.withColumn("_cell", F.lit(0)), np.array([asked.count()])
+    sizes = cells.sizes if cells.cells else np.zeros(1, np.int64)
+    found = block_join(rows.where(F.col("_v").isNotNull()), wants, "_cell", _blocks(sizes, INDEX_BLOCK), _blocks(asking, QUESTION_BLOCK), k)
+    return rank_hits(found, k, q_key, c_key)
 
 
 def retrieve_context(hits: DataFrame, chunks: DataFrame, c_key: str = "chunk_id",

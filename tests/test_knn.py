@@ -52,14 +52,30 @@ def test_far_cells_are_left_out(spark):
     c = {i: ((i % 8) * 100 + rnd.normal(size=2)).round(3).tolist() for i in range(400)}
     q = {i: ((i % 8) * 100 + rnd.normal(size=2)).round(3).tolist() for i in range(24)}
     assert _run(spark, q, c, 2, pivots=8, sample=400) == _brute(q, c, 2)
-    index = spark.createDataFrame([(i, v) for i, v in c.items()], "_c long, _v array<double>")
-    centres = knn.choose_pivots(index, "_c", "_v", 32, 400)
-    placed = knn._to_cells(index, centres).collect()
-    near = sorted((r._far, r._cell) for r in placed)
-    radius = np.array([max((r._far for r in placed if r._cell == j), default=0.0) for j in range(len(centres))])
+    index = spark.createDataFrame([(i, v) for i, v in c.items()], "chunk_id long, embedding array<double>")
+    placed = knn.in_cells(index, "chunk_id", "embedding", 32, 400)
+    assert placed.sizes.sum() == 400 and all((np.diff(x) >= 0).all() for x in placed.near)
     asked = spark.createDataFrame([(i, v) for i, v in q.items()], "_q long, _qv array<double>")
-    cells = knn._wanted_cells(asked, centres, np.array([x[1] for x in near]), np.array([x[0] for x in near]), radius, 2).collect()
-    assert all(len(r._cells) <= len(centres) // 2 for r in cells)
+    cells = knn._wanted_cells(asked, placed, 2).collect()
+    assert all(len(r._cells) <= placed.cells // 2 for r in cells)
+
+
+def test_k_beyond_the_kept_distances(spark):
+    """The bound then rests on the radii."""
+    rnd = np.random.default_rng(6)
+    c = {i: rnd.normal(size=3).round(2).tolist() for i in range(120)}
+    q = {i: rnd.normal(size=3).round(2).tolist() for i in range(9)}
+    for k in (knn.NEAR + 5, 119, 200):
+        assert _run(spark, q, c, k, pivots=6, sample=60) == _brute(q, c, k)
+
+
+def test_nearest_columns_break_ties_by_column():
+    rnd = np.random.default_rng(2)
+    ranked = rnd.integers(0, 4, (50, 30)).astype(float)
+    for k in (1, 3, 30, 40):
+        row, column = knn.nearest_columns(ranked, k)
+        want = [(i, int(j)) for i, x in enumerate(ranked) for j in np.argsort(x, kind="stable")[:k]]
+        assert list(zip(row.tolist(), column.tolist(), strict=True)) == want
 
 
 def test_empty_index(spark):

@@ -21,10 +21,36 @@ def test_questions_do_not_pass_through_the_driver():
 
     from quarry.operators import knn
     body = inspect.getsource(knn.knn_join)
-    assert body.count(".collect()") == 3      # k numbers per pivot, one summary per pivot, one count per cell
+    assert body.count(".collect()") == 1      # one count per cell
     assert "asked.collect" not in body and "asked.toArrow" not in body and "for b in range" not in body
 
 
+def test_a_stored_index_is_pruned_and_not_assigned_again(spark, tmp_path, monkeypatch):
+    """Clusters far apart, questions near two of them: only their folders are read,
+    and no step but the questions' own assignment sees a vector."""
+    import numpy as np
+
+    from quarry.operators import knn
+    from quarry.sources.index_store import load_cells, load_index, save_index
+    rnd = np.random.default_rng(1)
+    rows = [(f"c{i}", f"s{i}", 0, 0, "t", ((i % 8) * 100 + rnd.normal(size=4)).tolist()) for i in range(400)]
+    index = spark.createDataFrame(rows, "chunk_id string, source string, chunk_idx int, start int, text string, embedding array<float>")
+    save_index(index, str(tmp_path / "i"), cells=16)
+    stored = load_cells(spark, str(tmp_path / "i"))
+    assert stored.cells == 16 and stored.sizes.sum() == 400
+    questions = spark.createDataFrame([(i, ((i % 2) * 300 + rnd.normal(size=4)).tolist()) for i in range(20)], "q_id long, embedding array<float>")
+    want = knn.knn_join(questions, load_index(spark, str(tmp_path / "i")), k=3, pivots=1).collect()
+    monkeypatch.setattr(knn, "to_cells", None)
+    monkeypatch.setattr(knn, "choose_pivots", None)
+    hits = knn.knn_join(questions, stored, k=3)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell#" in plan and "IN (" in plan
+    assert hits.count() == 60 and sorted(hits.collect()) == sorted(want)
+    files = [f for f in stored.rows.inputFiles()]
+    read = hits._jdf.queryExecution().executedPlan().toString().split("IN (")[1].split(")")[0].split(",")
+    assert len(files) >= 16 and len(read) <= 6
+
+
 def test_chunking_is_one_pass_without_shuffle(spark):
     p = _plan(spark, "chunk_documents")
     assert p.count("MapInArrow") == 1 and "Union" not in p

@@ -12,7 +12,8 @@ from quarry.functions import vectors as V
 from quarry.operators.embed import embed
 from quarry.operators.knn import knn_join, retrieve_context, stuff_context, top_k_for_vector
 from quarry.plans.ask import ask, retrieve
-from quarry.plans.ingest import add_sites, page_index
+from quarry.operators.crawl import crawl_from_seeds
+from quarry.plans.ingest import add_sites, page_index, page_sources, sync_sources
 from quarry.session import scratch_path
 from quarry.sources.index_store import load_cells, load_index, save_index
 from quarry.sources.tables import questions_from_conversations, scan_pages, table
@@ -156,12 +157,13 @@ def _site_pdfs(pages):
                                              F.concat(F.lit("the printed matter of "), "url").alias("text"))
 
 
-def site_crawl_sql() -> str:
-    """The site pages and their crawl, as ``lastp`` (last fetches) and ``fetched``."""
+def site_crawl_sql(budget: int = SITE_BUDGET) -> str:
+    """The site pages and their crawl, as ``lastp`` (last fetches) and ``fetched``;
+    pages of level 0 beyond the budget are not fetched and have no links."""
     site = f"(page_id // {SITE})"
     nxt = f"({site} * {SITE} + (page_id + 1) % {SITE})"
     seed_links = Q.extract_links("(SELECT * FROM lastp WHERE page_id < 0)")
-    page_links = Q.extract_links("(SELECT p.* FROM lastp p SEMI JOIN (SELECT url FROM l0 WHERE status = 'inside') e USING (url))")
+    page_links = Q.extract_links("(SELECT p.* FROM lastp p SEMI JOIN (SELECT url FROM l0 WHERE status = 'inside' AND within) e USING (url))")
     return f"""own AS (SELECT page_id, 'https://s' || {site} || '.example/p' || page_id AS url, {nxt} AS nxt,
   CASE WHEN page_id % 11 <> 10 THEN concat(coalesce(html, ''), '<p>page ', page_id, '</p><a href=''/p', {nxt},
     '''>n</a><a href=''/p', page_id + {SITE}, '''>o</a><a href=/gone', page_id, '>g</a><!-- <a href=''/hidden''>h</a> -->') END AS html
@@ -179,19 +181,20 @@ st AS (SELECT url, CASE WHEN html IS NOT NULL THEN 'inside' ELSE 'wrong' END AS
 sl AS (SELECT DISTINCT page_url AS seed_url, {Q.derive_base('page_url')} AS base, href AS url, {Q.route('href')} AS route
   FROM ({seed_links}) WHERE href <> ''),
 sf AS (SELECT * FROM sl WHERE route = 'pdf' OR (route = 'page' AND contains(url, base))),
-l0 AS (SELECT sf.seed_url, sf.base, sf.url, CAST(0 AS BIGINT) AS level, coalesce(st.f, 'wrong') AS status
+l0 AS (SELECT sf.seed_url, sf.base, sf.url, CAST(0 AS BIGINT) AS level, coalesce(st.f, 'wrong') AS status,
+    row_number() OVER (PARTITION BY sf.seed_url ORDER BY sf.url) <= {budget} AS within
   FROM sf LEFT JOIN st USING (url) WHERE route = 'page'),
 raw AS (SELECT page_url, href FROM ({page_links})),
-nl AS (SELECT l0.seed_url, l0.base, {Q.normalize('raw.href')} AS href FROM raw JOIN l0 ON raw.page_url = l0.url),
+nl AS (SELECT l0.seed_url, l0.base, {Q.normalize('raw.href')} AS href FROM raw JOIN l0 ON raw.page_url = l0.url AND l0.within),
 ac AS (SELECT DISTINCT seed_url, base, {Q.absolute('base', 'href')} AS url FROM nl
   WHERE href IS NOT NULL AND href <> '' AND NOT contains(href, 'http') AND {Q.accept('base', 'href')}),
 l1c AS (SELECT * FROM ac a WHERE contains(url, base)
   AND NOT EXISTS (SELECT 1 FROM l0 WHERE l0.seed_url = a.seed_url AND l0.url = a.url)),
 l1 AS (SELECT l1c.seed_url, l1c.base, l1c.url, CAST(1 AS BIGINT) AS level,
   CASE WHEN contains(l1c.url, '.pdf') THEN 'pdf' ELSE coalesce(st.f, 'wrong') END AS status FROM l1c LEFT JOIN st USING (url)),
-crawled AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1
+crawled AS (SELECT * EXCLUDE (within) FROM l0 UNION ALL SELECT * FROM l1
   UNION ALL SELECT seed_url, base, url, CAST(0 AS BIGINT), 'pdf' FROM sf WHERE route = 'pdf'),
-fetched AS (SELECT seed_url, base, url, level, status, status <> 'pdf' AND r <= {SITE_BUDGET} AS fetched FROM (
+fetched AS (SELECT seed_url, base, url, level, status, status <> 'pdf' AND r <= {budget} AS fetched FROM (
   SELECT *, row_number() OVER (PARTITION BY seed_url, status = 'pdf' ORDER BY level, url) AS r FROM crawled))"""
 
 
@@ -219,6 +222,54 @@ def q_crawl_sites(spark, sf):
         "seed_url", "base", "url", "level", "status", "fetched")
 
 
+@register("crawl_frontier_budget", "T3,P17", lambda: "WITH " + site_crawl_sql(4)
+          + " SELECT seed_url, base, url, level, status, fetched FROM fetched")
+def q_crawl_frontier_budget(spark, sf):
+    """A budget that binds at level 0: pages beyond it are never expanded."""
+    pages = _site_pages(spark, sf)
+    return crawl_from_seeds(_site_seeds(pages).select("seed_url"), pages, max_pages=4).select(
+        "seed_url", "base", "url", "level", "status", "fetched")
+
+
+@register("crawl_closure", "P17,J2", lambda: "WITH RECURSIVE " + site_crawl_sql(1 << 30) + f""",
+every AS (SELECT page_url, {Q.normalize('href')} AS href FROM ({Q.extract_links('(SELECT * FROM lastp WHERE html IS NOT NULL)')})),
+relative AS (SELECT DISTINCT page_url, href FROM every WHERE href <> '' AND NOT contains(href, 'http')),
+reach AS (SELECT seed_url, base, url, 0 AS level FROM l0
+  UNION SELECT r.seed_url, r.base, {Q.absolute('r.base', 'n.href')} AS url, r.level + 1 FROM reach r JOIN relative n ON n.page_url = r.url
+  WHERE r.level < {2 * SITE} AND {Q.accept('r.base', 'n.href')} AND contains({Q.absolute('r.base', 'n.href')}, r.base)
+    AND NOT contains(r.url, '.pdf')),
+least AS (SELECT seed_url, base, url, min(level) AS level FROM reach GROUP BY ALL)
+SELECT seed_url, base, url, CAST(level AS BIGINT) AS level,
+  CASE WHEN level > 0 AND contains(url, '.pdf') THEN 'pdf' ELSE coalesce(st.f, 'wrong') END AS status
+FROM least LEFT JOIN st USING (url) UNION ALL SELECT seed_url, base, url, CAST(0 AS BIGINT), 'pdf' FROM sf WHERE route = 'pdf'""")
+def q_crawl_closure(spark, sf):
+    """Everything that the seeds reach, at any depth, over cyclic sites."""
+    pages = _site_pages(spark, sf)
+    return crawl_from_seeds(_site_seeds(pages).select("seed_url"), pages, max_level=None)
+
+
+# pages of three rounds: one in five changed in the second, one in seven gone in the third
+def _rounds(spark, sf):
+    p = scan_pages(spark, sf).dropDuplicates(["url"])
+    changed = p.where("page_id % 5 = 0").select((F.col("page_id") + 10 ** 9).alias("page_id"), "url",
+                                                F.concat(F.coalesce("html", F.lit("")), F.lit("<p>revised edition</p>")).alias("html"))
+    gone = p.where("page_id % 7 = 3").select((F.col("page_id") + 2 * 10 ** 9).alias("page_id"), "url", F.lit(None).cast("string").alias("html"))
+    return [p, p.where("page_id % 5 <> 0").unionByName(changed), p.unionByName(changed).unionByName(gone)]
+
+
+@register("index_sync", "M8,S7,S8", lambda: "WITH RECURSIVE " + page_chunks_sql() .replace("FROM pages", """FROM (
+  SELECT url, CASE WHEN page_id % 5 = 0 THEN coalesce(html, '') || '<p>revised edition</p>' ELSE html END AS html
+  FROM pages WHERE page_id % 7 <> 3)""") + ", " + emb_summary_sql("pchunks", "chunk_id", "c.source, c.chunk_idx, c.text, "))
+def q_index_sync(spark, sf):
+    """Three rounds of pages, with unchanged, changed and removed ones: the index
+    equals one built from the last round."""
+    path = scratch_path(spark, "index")
+    for pages in _rounds(spark, sf):
+        sync_sources(spark, page_sources(pages), path)
+    idx = load_index(spark, path).withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
+    return _emb_summary(idx, ["source", "chunk_idx", "text", "chunk_id"])
+
+
 @register("ingest_pipeline", "M9,P17,J4,U1,U2,U3,S7,S8", site_index_sql)
 def q_ingest_pipeline(spark, sf):
     """Add request: seeds → crawl → pages and PDFs → clean → chunk → embed →

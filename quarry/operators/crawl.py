@@ -2,7 +2,8 @@
 
 The live fetcher is replaced by a table of fetched pages ``(url, html[,
 status_code])``.  A crawl of ``max_level`` levels is ``max_level + 1`` rounds of
-set operations — a constant number of joins, no per-URL loop.  Visited and
+set operations — a constant number of joins a round, no per-URL loop; without a
+level limit rounds end when one finds nothing new.  Visited and
 processed sets are anti joins; the html column joins only the pages that are
 expanded (column pruning keeps it out of the status joins).
 
@@ -31,18 +32,19 @@ def fetch_status(pages: DataFrame) -> DataFrame:
     hash of the html).  Narrow; the only step that reads ``html`` to classify."""
     status = F.col("status_code") if "status_code" in pages.columns else F.lit(200)
     ok = F.col("html").isNotNull() & (F.coalesce(status, F.lit(200)) != 404)
-    return (pages.select("url", _version(pages).alias("_version"), ok.alias("_ok"))
+    return (pages.select("url", fetch_number(pages).alias("_version"), ok.alias("_ok"))
             .groupBy("url").agg(F.max("_version").alias("_version"), F.max_by("_ok", "_version").alias("_ok"))
             .select("url", F.when(F.col("_ok"), "inside").otherwise("wrong").alias("_fetched"), "_version"))
 
 
-def _version(pages: DataFrame) -> Column:
+def fetch_number(pages: DataFrame) -> Column:
+    """What orders the fetches of a URL."""
     return F.col("page_id").cast("long") if "page_id" in pages.columns else F.coalesce(F.xxhash64("html"), F.lit(0))
 
 
 def last_fetch(pages: DataFrame, status: DataFrame, columns: tuple[str, ...] = ("url", "html")) -> DataFrame:
     """The pages, one row per URL of ``status`` (by its ``_version``)."""
-    versioned = pages.select(*columns, _version(pages).alias("_version"))
+    versioned = pages.select(*columns, fetch_number(pages).alias("_version"))
     return versioned.join(status.select("url", "_version"), ["url", "_version"]).dropDuplicates(["url"]).select(*columns)
 
 
@@ -82,24 +84,50 @@ def seed_frontier(seeds: DataFrame, pages: DataFrame, processed: DataFrame | Non
     return routed
 
 
+def within_budget(found: DataFrame, earlier: DataFrame | None, max_pages: int) -> DataFrame:
+    """T3 inside a round: ``found`` with ``fetched``, true for the pages that are
+    among the first ``max_pages`` of their seed by (level, url); ``earlier`` are the
+    rows of the rounds before.  PDF links are not fetched."""
+    w = Window.partitionBy("seed_url").orderBy("url")
+    first = (found.where(F.col("status") != "pdf").select("seed_url", "url").withColumn("_rank", F.row_number().over(w))
+             .where(F.col("_rank") <= max_pages))
+    if earlier is not None:
+        used = earlier.where(F.col("status") != "pdf").groupBy("seed_url").agg(F.count("*").alias("_used"))
+        first = first.join(used, "seed_url", "left").where(F.col("_rank") + F.coalesce("_used", F.lit(0)) <= max_pages)
+    return (found.join(first.select("seed_url", "url", F.lit(True).alias("fetched")), ["seed_url", "url"], "left")
+            .withColumn("fetched", F.coalesce("fetched", F.lit(False))))
+
+
 def crawl(start: DataFrame, pages: DataFrame, processed: DataFrame | None = None,
-          max_level: int = MAX_LEVEL) -> DataFrame:
+          max_level: int | None = MAX_LEVEL, max_pages: int | None = None) -> DataFrame:
     """``start(seed_url, base, url)`` are level-0 pages.  Returns
     ``seed_url, base, url, level, status`` with status ``inside``, ``wrong`` or
-    ``pdf``; every URL once per seed, at its smallest level."""
+    ``pdf``; every URL once per seed, at its smallest level.
+
+    Rounds are semi-naive: each expands only what the one before it found first.
+    ``max_level=None`` goes on until a round finds nothing.  ``max_pages`` ends the
+    crawl of a seed after so many fetches (T3): pages beyond it are reported with
+    ``fetched`` false and never expanded."""
     frontier = start.select("seed_url", "base", "url").withColumn("level", F.lit(0))
     if processed is not None:
         frontier = frontier.join(processed.select("url"), "url", "left_anti")
     frontier = frontier.dropDuplicates(["seed_url", "url"])
     # one row per URL, whether it was fetched: read from the html once, kept narrow
     status = cut_lineage(fetch_status(pages))
-    # each round's frontier is narrow (no html); it is checkpointed so later
-    # rounds, the anti join and the final union read it instead of
-    # recomputing the rounds before it
-    visited = cut_lineage(classify_links(frontier, status=status))
-    result = visited
-    for level in range(1, max_level + 1):
-        expand = visited.where((F.col("level") == level - 1) & (F.col("status") == "inside"))
+
+    def visit(found: DataFrame, earlier: DataFrame | None) -> DataFrame:
+        # narrow (no html) and written: later rounds, the anti join and the final
+        # union read it instead of recomputing the rounds before it
+        rows = cut_lineage(found)
+        return rows if max_pages is None else cut_lineage(within_budget(rows, earlier, max_pages))
+
+    visited = visit(classify_links(frontier, status=status), None)
+    result, level = visited, 0
+    while max_level is None or level < max_level:
+        level += 1
+        expand = visited.where(F.col("status") == "inside")
+        if max_pages is not None:
+            expand = expand.where("fetched")
         # each distinct page is parsed once, then its links go to every seed that reached it
         fetched = last_fetch(pages, status.join(expand.select("url").distinct(), "url", "left_semi"))
         raw = extract_links(fetched.withColumn("page_id", F.lit(0))).select("page_url", "href")
@@ -115,27 +143,30 @@ def crawl(start: DataFrame, pages: DataFrame, processed: DataFrame | None = None
         cls = classify_links(nxt.withColumn("level", F.lit(level)), status=status)
         cls = cls.withColumn("status", F.when(F.col("url").contains(".pdf"), F.lit("pdf"))
                              .otherwise(F.col("status")))
-        visited = cut_lineage(cls)
+        visited = visit(cls, result)
+        if max_level is None and visited.isEmpty():
+            break
         result = result.unionByName(visited)
-    return result.select("seed_url", "base", "url", F.col("level").cast("bigint").alias("level"), "status")
+    return result.select("seed_url", "base", "url", F.col("level").cast("bigint").alias("level"), "status",
+                         *(["fetched"] if max_pages is not None else []))
 
 
 def crawl_from_seeds(seeds: DataFrame, pages: DataFrame, processed: DataFrame | None = None,
-                     max_level: int = MAX_LEVEL) -> DataFrame:
+                     max_level: int | None = MAX_LEVEL, max_pages: int | None = None) -> DataFrame:
     """Full add-request: seed validation and seed page, then :func:`crawl`.
     Seed-page PDF links are reported with level 0 and status ``pdf``."""
     sf = seed_frontier(seeds, pages, processed)
     pdf = (sf.where(F.col("route") == "pdf")
            .select("seed_url", "base", "url", F.col("level").cast("bigint").alias("level"),
-                   F.lit("pdf").alias("status")))
-    pages_out = crawl(sf.where(F.col("route") == "page"), pages, processed, max_level)
+                   F.lit("pdf").alias("status"), *([F.lit(False).alias("fetched")] if max_pages is not None else [])))
+    pages_out = crawl(sf.where(F.col("route") == "page"), pages, processed, max_level, max_pages)
     return pages_out.unionByName(pdf)
 
 
 def crawl_budget(crawled: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
-    """Fetched pages in discovery order ``(level, url)`` per seed, first
-    ``max_pages`` kept (Catalyst plans a partial WindowGroupLimit, so a seed with
-    many pages never lands whole in one task before the limit)."""
+    """T3 over a finished crawl: fetched pages in discovery order ``(level, url)``
+    per seed, first ``max_pages`` kept (Catalyst plans a partial WindowGroupLimit,
+    so a seed with many pages never lands whole in one task before the limit)."""
     w = Window.partitionBy("seed_url").orderBy("level", "url")
     return (crawled.where(F.col("status") != "pdf")
             .withColumn("fetch_rank", F.row_number().over(w))

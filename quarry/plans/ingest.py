@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 from quarry.functions.html import html_to_text
 from quarry.functions.text import clean_text
 from quarry.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents
-from quarry.operators.crawl import (DEFAULT_MAX_PAGES, crawl_budget, crawl_from_seeds, fetch_status, last_fetch)
-from quarry.operators.docs import union_docs
+from quarry.operators.crawl import DEFAULT_MAX_PAGES, crawl_from_seeds, fetch_number, fetch_status, last_fetch
 from quarry.operators.embed import embed
 from quarry.operators.hooks import Hook
 from quarry.session import cut_lineage
-from quarry.sources.index_store import append_index, index_exists, load_index
+from quarry.sources.index_store import index_exists, load_index, load_manifest, update_index
 
 
 def page_documents(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -51,35 +50,81 @@ def page_index(pages: DataFrame, embedder: Hook | None = None,
 
 
 def processed_urls(spark: SparkSession, index_path: str) -> DataFrame | None:
-    """The sources that the newest index version holds."""
+    """The sources that the newest index version was made from (those with
+    rows, where a version has no manifest)."""
     if not index_exists(spark, index_path):
         return None
+    known = load_manifest(spark, index_path)
+    if known is not None:
+        return known.where(F.col("hash").isNotNull()).select(F.col("source").alias("url"))
     return load_index(spark, index_path).select(F.col("source").alias("url")).distinct()
 
 
+def sync_sources(spark: SparkSession, raw: DataFrame, index_path: str, embedder: Hook | None = None,
+                 is_html: str | None = None, newline_replacement: str = "") -> DataFrame:
+    """M8: bring the index to what ``raw(source, content, fetch)`` says, one row per
+    source; sources it does not name stay as they are.  A source whose content
+    hash differs from the manifest's is cleaned, chunked and embedded anew and its
+    old rows are gone; one with null content is removed; an older ``fetch`` than
+    the one indexed is ignored, so replays are harmless (a null one is always taken).
+    Contents of rows where the
+    column ``is_html`` is true (default: all) are HTML.  Commits one version
+    if anything changed; returns ``source, change`` (new, changed, removed)."""
+    known = load_manifest(spark, index_path)
+    rows = raw.withColumn("_hash", F.xxhash64("content")).withColumn("_hash", F.when(F.col("content").isNotNull(), F.col("_hash")))
+    if known is None:
+        held = (load_index(spark, index_path).select("source").distinct() if index_exists(spark, index_path)
+                else spark.createDataFrame([], "source string"))
+        known = held.select("source", F.lit(0).cast("long").alias("hash"), F.lit(None).cast("long").alias("fetch"))
+    known = known.select("source", F.col("hash").alias("_old"), F.col("fetch").alias("_fetch"), F.lit(True).alias("_known"))
+    both = rows.select("source", "_hash", "fetch").join(known, "source", "left")
+    newer = F.col("_fetch").isNull() | (F.col("fetch") > F.col("_fetch"))
+    had = F.col("_known").isNotNull() & F.col("_old").isNotNull()
+    change = (F.when(~had & F.col("_hash").isNotNull(), "new").when(had & F.col("_hash").isNull(), "removed")
+              .when(had & (F.col("_hash") != F.col("_old")), "changed"))
+    changes = cut_lineage(both.where(newer).withColumn("change", change).where(F.col("change").isNotNull())
+                          .select("source", "change", F.col("_hash").alias("hash"), "fetch"))
+    if not changes.isEmpty():
+        wanted = changes.where("change <> 'removed'").select("source")
+        html = F.col(is_html) if is_html else F.lit(True)
+        fresh = (rows.join(wanted, "source", "left_semi")
+                 .select("source", F.when(html, html_to_text(F.col("content"))).otherwise(F.col("content")).alias("text")))
+        index = build_index(chunk_corpus(clean_documents(fresh, newline_replacement), "source"), embedder)
+        gone = changes.where("change <> 'new'").select("source")
+        update_index(index, index_path, None if gone.isEmpty() else gone, changes)
+    return changes.select("source", "change")
+
+
+def page_sources(pages: DataFrame) -> DataFrame:
+    """``source, content, fetch``: the last fetch of every URL; null content where
+    that fetch failed (404 or no html)."""
+    status = fetch_status(pages)
+    last = last_fetch(pages.withColumn("fetch", fetch_number(pages)), status, ("url", "html", "fetch"))
+    return (last.join(status.select("url", "_fetched"), "url")
+            .select(F.col("url").alias("source"), F.when(F.col("_fetched") == "inside", F.col("html")).alias("content"), "fetch"))
+
+
 def add_sites(spark: SparkSession, seeds: DataFrame, pages: DataFrame, index_path: str,
               pdf_docs: DataFrame | None = None, max_pages: int = DEFAULT_MAX_PAGES,
               embedder: Hook | None = None) -> DataFrame:
     """An add request: ``seeds(seed_url)`` are validated, their pages' links
-    routed, and the sites crawled up to ``max_pages`` fetches each; pages found
-    and not indexed before, and the PDF documents ``pdf_docs(source, text)``
-    among the links, are cleaned, chunked, embedded and committed as a new index
-    version on top of the old one.  Returns the crawl's rows
+    routed, and the sites crawled up to ``max_pages`` fetches each.  Pages found and
+    the PDF documents ``pdf_docs(source, text)`` among the links are cleaned,
+    chunked, embedded and committed as a new index version on top of the old one.
+    Pages indexed before follow their last fetch: what changed replaces the old
+    rows, what is gone is removed, the rest is not touched.  Returns the crawl's rows
     ``seed_url, base, url, level, status`` with ``fetched`` (within the budget)."""
     known = processed_urls(spark, index_path)
     known = cut_lineage(known) if known is not None else None
-    found = cut_lineage(crawl_from_seeds(seeds, pages, known))
-    within = crawl_budget(found, max_pages).select("seed_url", "url", F.lit(True).alias("fetched"))
-    found = cut_lineage(found.join(within, ["seed_url", "url"], "left")
-                        .withColumn("fetched", F.coalesce("fetched", F.lit(False))))
-    inside = found.where("fetched AND status = 'inside'").select("url").distinct()
-    status = fetch_status(pages).join(inside, "url", "left_semi")
-    docs = page_documents(last_fetch(pages, status))
+    found = cut_lineage(crawl_from_seeds(seeds, pages, known, max_pages=max_pages))
+    inside = found.where("fetched AND status = 'inside'").select("url")
+    if known is not None:
+        inside = inside.unionByName(known)
+    raw = (page_sources(pages.join(inside.distinct(), "url", "left_semi")).withColumn("is_html", F.lit(True)))
     if pdf_docs is not None:
         linked = found.where("status = 'pdf'").select(F.col("url").alias("source")).distinct()
-        pdfs = pdf_docs.join(linked, "source", "left_semi")
-        if known is not None:
-            pdfs = pdfs.join(known.select(F.col("url").alias("source")), "source", "left_anti")
-        docs = union_docs(docs, pdfs.dropDuplicates(["source"]))
-    append_index(build_index(chunk_corpus(clean_documents(docs), "source"), embedder), index_path)
+        pdfs = pdf_docs.join(linked, "source", "left_semi").dropDuplicates(["source"])
+        raw = raw.unionByName(pdfs.select("source", F.col("text").alias("content"),
+                                          F.lit(None).cast("long").alias("fetch"), F.lit(False).alias("is_html")))
+    sync_sources(spark, cut_lineage(raw), index_path, embedder, "is_html")
     return found

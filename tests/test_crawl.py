@@ -70,3 +70,29 @@ def test_one_row_per_url_by_the_last_fetch(spark):
     seeds = spark.createDataFrame([(f"{B}/",), (f"{B}/",)], "seed_url string")
     got = sorted((r.url, r.level, r.status) for r in crawl_from_seeds(seeds, pages).collect())
     assert got == [(f"{B}/a", 0, "inside"), (f"{B}/new", 1, "wrong")]
+
+
+def test_pages_past_the_budget_are_not_parsed(spark, monkeypatch):
+    from quarry.operators import crawl as C
+    parsed = []
+    real = C.extract_links
+    monkeypatch.setattr(C, "extract_links", lambda pages, **kw: parsed.append(sorted(
+        r.url for r in pages.select("url").collect())) or real(pages, **kw) if "url_col" not in kw else real(pages, **kw))
+    seeds = spark.createDataFrame([(f"{B}/",)], "seed_url string")
+    got = {(r.url, r.level, r.fetched) for r in crawl_from_seeds(seeds, _pages(spark), max_pages=1).collect()}
+    assert parsed == [[f"{B}/a"]]                                       # b is beyond the budget
+    assert got == {(f"{B}/a", 0, True), (f"{B}/b", 0, False), (f"{B}/c", 0, False), (f"{B}/missing", 0, False), (f"{B}/guide.pdf", 0, False),
+                   (f"{B}/a1", 1, False), (f"{B}/a2", 1, False), (f"{B}/gone", 1, False), (f"{B}/style", 1, False)}
+    parsed.clear()
+    got = {(r.url, r.fetched) for r in crawl_from_seeds(seeds, _pages(spark), max_pages=6).collect()}
+    assert {u for u, f in got if f} == {f"{B}/a", f"{B}/b", f"{B}/c", f"{B}/missing", f"{B}/a1", f"{B}/a2"}
+
+
+def test_unbounded_crawl_ends_on_cycles(spark):
+    seeds = spark.createDataFrame([(f"{B}/",)], "seed_url string")
+    got = {r.url: r.level for r in crawl_from_seeds(seeds, _pages(spark), max_level=None).collect()}
+    assert got[f"{B}/deep1"] == 2 and got[f"{B}/deep2"] == 2 and got[f"{B}/a"] == 0
+    chain = [page(f"{B}/", [f"{B}/n0"])] + [page(f"{B}/n{i}", [f"/n{i + 1}", "/n0"]) for i in range(7)]
+    pages = spark.createDataFrame(chain, "url string, html string, status_code int")
+    got = {r.url: r.level for r in crawl_from_seeds(seeds, pages, max_level=None).collect()}
+    assert got == {f"{B}/n{i}": i for i in range(8)} | {f"{B}/style": 1}

@@ -35,6 +35,35 @@ def q_chat_history(spark, sf):
     return H.chat_history(_conv(spark, sf)).drop("text")
 
 
+SEGMENT_SQL = f"SELECT *, CAST(turn // 4 AS BIGINT) AS segment, {LINE_SQL} AS line FROM conversations"
+
+
+@register("history_segments", "W4", f"""SELECT conv_id, segment, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY turn) AS lines
+FROM ({SEGMENT_SQL}) GROUP BY conv_id, segment""")
+def q_history_segments(spark, sf):
+    """Every line stored once, four turns a segment."""
+    return H.history_segments(_conv(spark, sf), turns=4).withColumn("lines", F.array_join("lines", "\n"))
+
+
+@register("history_references", "W4", f"""SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS q_id, conv_id, turn, role, segment,
+  count(*) OVER (PARTITION BY conv_id, segment ORDER BY turn) - 1 AS n_tail, count(*) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n_history
+FROM ({SEGMENT_SQL})""")
+def q_history_references(spark, sf):
+    return H.history_references(_conv(spark, sf), turns=4).drop("text")
+
+
+@register("history_rendered", "W4", lambda: f"""WITH {history_sql()}
+SELECT q_id, conv_id, turn, role, CAST(len(h) AS BIGINT) AS n_history, array_to_string(h, chr(10)) AS chat_history FROM hist
+WHERE turn = (SELECT max(turn) FROM conversations c WHERE c.conv_id = hist.conv_id)""")
+def q_history_rendered(spark, sf):
+    """The history of every conversation's newest message, from segments."""
+    conv = _conv(spark, sf)
+    refs = H.history_references(conv, turns=4)
+    newest = refs.groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    return (H.render_history(refs.join(newest, ["conv_id", "turn"]), H.history_segments(conv, turns=4))
+            .select("q_id", "conv_id", "turn", "role", "n_history", "chat_history"))
+
+
 def token_buffer_sql(limit: int = H.MAX_HISTORY_TOKENS, conversations: str = "conversations") -> str:
     return f"""tb0 AS (SELECT *, {LINE_SQL} AS line,
   greatest(coalesce(len({Q.token_list('text')}), 0), 1) AS tok FROM {conversations}),

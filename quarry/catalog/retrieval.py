@@ -11,6 +11,7 @@ from quarry.catalog.text import chunk_sql
 from quarry.functions import vectors as V
 from quarry.operators.embed import embed
 from quarry.operators.knn import knn_join, retrieve_context, stuff_context, top_k_for_vector
+from quarry.operators.knn_approx import knn_approximate, recall
 from quarry.plans.ask import ask, retrieve
 from quarry.operators.crawl import crawl_from_seeds
 from quarry.plans.ingest import add_sites, page_index, page_sources, sync_sources
@@ -359,6 +360,17 @@ def q_knn_vectors(spark, sf):
             .select("q_id", F.col("vec_id").alias("nn_id"), F.round("dist", 6).alias("dist")))
 
 
+@register("knn_approximate", "J5", """SELECT count(*) * least(5, (SELECT count(*) FROM embeddings)) AS wanted, true AS recall_reached
+FROM embeddings WHERE embedding IS NOT NULL""")
+def q_knn_approximate(spark, sf):
+    """Hash tables against the exact join on every row of ``embeddings``: how many
+    of the five nearest rows are wanted, and whether at least 90 % are found."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = e.withColumnRenamed("vec_id", "q_id")
+    found = recall(knn_approximate(asked, e, k=5, c_key="vec_id"), knn_join(asked, e, k=5, c_key="vec_id"), c_key="vec_id")
+    return found.select("wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("recall_reached"))
+
+
 @register("l2_distance", "F14", f"""WITH {VEC_SQL}
 SELECT a.vec_id, b.vec_id AS next_id, round(pow(list_distance(a.v, b.v), 2), 6) AS dist
 FROM e a JOIN e b ON b.vec_id = a.vec_id + 1""")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quarry.catalog import register
 from quarry.catalog import sqlfrag as Q
 from quarry.functions import urls as U
+from quarry.functions.elements import element_text
 from quarry.functions.html import html_to_text
 from quarry.operators import crawl as C
 from quarry.operators.links import distinct_links, extract_links
@@ -85,6 +86,12 @@ def q_html_to_text(spark, sf):
     return scan_pages(spark, sf).select("page_id", "url", html_to_text(F.col("html")).alias("text"))
 
 
+@register("element_text", "S2", lambda: f"SELECT page_id, url, {Q.html_to_text_sql('html')} AS text FROM pages")
+def q_element_text(spark, sf):
+    """Page text by elements: on regular markup what the regex chain gives."""
+    return element_text(scan_pages(spark, sf)).select("page_id", "url", "text")
+
+
 @register("extract_links", "P1", lambda: f"SELECT * FROM ({Q.extract_links()})")
 def q_extract_links(spark, sf):
     return _links(spark, sf).select("page_id", "page_url", "tag", F.col("tag_rank").cast("bigint").alias("tag_rank"),

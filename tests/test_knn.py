@@ -80,3 +80,37 @@ def test_nearest_columns_break_ties_by_column():
 
 def test_empty_index(spark):
     assert _run(spark, {1: [1.0, 2.0]}, {}, 2) == {}
+
+
+def test_approximate_recall_and_work(spark, monkeypatch):
+    """Clustered rows, several bits: at least nine of ten neighbours are found, with
+    exact distances, from a part of the index."""
+    from quarry.operators import knn_approx as A
+    rnd = np.random.default_rng(7)
+    centres = rnd.normal(size=(40, 16)) * 3
+    c = {i: (centres[i % 40] + rnd.normal(size=16) * .5).round(3).tolist() for i in range(4000)}
+    q = {i: (centres[i % 40] + rnd.normal(size=16) * .5).round(3).tolist() for i in range(200)}
+    qdf, cdf = (spark.createDataFrame(list(x.items()), f"{k} long, embedding array<double>") for x, k in ((q, "q_id"), (c, "chunk_id")))
+    monkeypatch.setattr(A, "BUCKET_ROWS", 250)
+    got = A.knn_approximate(qdf, cdf, k=10)
+    exact = knn_join(qdf, cdf, k=10)
+    row = A.recall(got, exact).first()
+    assert row.wanted == 2000 and row.found >= 1800
+    near = {(r.q_id, r.chunk_id): r.dist for r in exact.collect()}
+    rows = got.collect()
+    assert all(abs(near[x] - r.dist) < 1e-9 for r in rows if (x := (r.q_id, r.chunk_id)) in near)
+    assert len({(r.q_id, r.chunk_id) for r in rows}) == len(rows) and max(r["rank"] for r in rows) == 10
+    mean, normals = A.planes_for(cdf, "chunk_id", "embedding", 1, 4)
+    codes = A.buckets(np.array(list(c.values())), mean, normals, 1)
+    assert np.bincount(codes[:, 0]).max() < 2000             # a bucket is a part of the index
+    some = A.buckets(np.array(list(q.values())), mean, normals, 4)
+    assert all(len(set(x)) == 4 for x in some.tolist())      # probes are different buckets
+
+
+def test_approximate_odd_tables(spark):
+    from quarry.operators.knn_approx import knn_approximate
+    empty = spark.createDataFrame([], "chunk_id long, embedding array<double>")
+    one = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0, 2.0])], "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(5, [1.0, 2.0]), (6, None)], "q_id long, embedding array<double>")
+    assert knn_approximate(asked, empty).collect() == []
+    assert [tuple(r) for r in knn_approximate(asked, one, k=5).collect()] == [(5, 1, 0.0, 1), (5, 3, 0.0, 2)]

@@ -5,8 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import WS_CLASS, collapse_newline_runs
-from quarry.operators.ordered import ordered_scan
-from quarry.session import cut_lineage
+from quarry.operators.layout import between, text_layout
 
 
 def concat_ordered(parts: DataFrame, key: str, order: str, text: str = "text",
@@ -36,27 +35,27 @@ def union_docs(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("source", "text").unionByName(b.select("source", "text"))
 
 
-def normalize_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """F3 over the concatenation of all documents in ``key`` order, without
-    building it: newline runs collapse (also across document borders), then
-    white space is stripped at the two ends of the corpus.  Returns ``key,
-    text`` where the texts, concatenated in order, equal the normalised corpus.
-
-    The collapsed texts are written once; the ordered scan reads only what the
-    borders need (last character, whether there is more than white space)."""
-    collapsed = collapse_newline_runs(F.coalesce(F.col(text), F.lit("")))
-    d = cut_lineage(docs.select(key, collapsed.alias("_c"))
-                    .withColumn("_last", F.when(F.length("_c") > 0, F.substring("_c", -1, 1)))
-                    .withColumn("_solid", F.col("_c").rlike(f"[^{WS_CLASS[1:-1]}]")))
-    before = (ordered_scan(d.select(key, "_last"), key, prev_non_null={"_prev": "_last"})
-              .select(F.col(key).alias("_key"), "_prev"))
-    first, last = d.where("_solid").agg(F.min(key), F.max(key)).first()
-    s = d.join(before, F.col(key) == F.col("_key"))
-    text_out = F.when(F.col("_c").startswith("\n") & (F.col("_prev") == "\n"),
-                      F.substring("_c", 2, 1 << 30)).otherwise(F.col("_c"))
+def normalized_layout(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int, int]:
+    """F3 over the concatenation of all documents in ``key`` order, without building
+    it: the layout of the texts with newline runs collapsed (also across document
+    borders), and the corpus positions between which it stands when white space is
+    stripped at its two ends."""
+    rows = docs.select(key, collapse_newline_runs(F.coalesce(F.col(text), F.lit(""))).alias(text))
+    rows = rows.withColumn("_solid", F.col(text).rlike(f"[^{WS_CLASS[1:-1]}]"))
+    placed = text_layout(rows, key, text, collapse=True)
+    solid = placed.where("_solid")
+    first, last = solid.agg(F.min(key), F.max(key)).first()
     if first is None:
-        return s.select(key, F.lit("").alias(text))
-    k = F.col(key)
-    text_out = F.when(k == F.lit(first), F.regexp_replace(text_out, f"^{WS_CLASS}+", "")).otherwise(text_out)
-    text_out = F.when(k == F.lit(last), F.regexp_replace(text_out, f"{WS_CLASS}+$", "")).otherwise(text_out)
-    return s.select(key, F.when((k < F.lit(first)) | (k > F.lit(last)), F.lit("")).otherwise(text_out).alias(text))
+        return placed, 0, 0
+    shown = F.substring(text, F.col("_skip") + 1, 1 << 30)
+    edge = (solid.where((F.col(key) == F.lit(first)) | (F.col(key) == F.lit(last)))              # two texts
+            .select(key, (F.col("_start") + F.col("_n") - F.length(F.regexp_replace(shown, f"^{WS_CLASS}+", ""))).alias("low"),
+                    (F.col("_start") + F.length(F.regexp_replace(shown, f"{WS_CLASS}+$", ""))).alias("high")).collect())
+    return placed, min(r.low for r in edge), max(r.high for r in edge)
+
+
+def normalize_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, text`` where the texts, concatenated in order, equal the
+    normalised corpus."""
+    placed, low, high = normalized_layout(docs, key, text)
+    return placed.select(key, between(text, F.lit(low), F.lit(high)).alias(text))

@@ -1,9 +1,11 @@
 """Training-set preparation without one big string.
 
-The corpus is the ordered concatenation of documents; every global position
-(characters, tokens) comes from an exclusive prefix sum over the narrow
-``(key, length)`` frame (:mod:`quarry.operators.ordered`), joined back by key,
-so texts are never gathered on one task, sent through a sort, or collected.
+The corpus is the ordered concatenation of documents.  Character positions come
+from the corpus's layout (:mod:`quarry.operators.layout`): texts are shuffled and
+written once, in order, and every cut is a projection over that.  Token positions
+come from an exclusive prefix sum over the narrow ``(key, length)`` frame
+(:mod:`quarry.operators.ordered`).  Texts are never gathered on one task or
+collected.
 
 Deviation (documented): tokens are cut per document, so a word is never split
 across two documents' border as it would be in one concatenated string.
@@ -12,14 +14,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import TOKEN_PATTERN
+from quarry.operators.docs import normalized_layout
 from quarry.operators.hooks import Hook, built
+from quarry.operators.layout import between, text_layout
 from quarry.operators.ordered import ordered_scan
 
 # --- fixed values -----------------------------------------------------------
@@ -37,18 +43,29 @@ def corpus_offsets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return ordered_scan(narrow, key, sums={"char_start": "n_chars"}, totals=True)
 
 
+def _split(placed: DataFrame, low: Column, high: Column, fraction: float, key: str) -> DataFrame:
+    cut = low + F.floor(F.lit(float(fraction)) * (high - low).cast("double")).cast("bigint")
+    parts = placed.select(key, F.explode(F.array(
+        F.struct(F.lit("train").alias("split"), between("text", low, cut).alias("text")),
+        F.struct(F.lit("val").alias("split"), between("text", cut, high).alias("text")))).alias("p"))
+    return (parts.select(F.col("p.split").alias("split"), key, F.col("p.text").alias("text"))
+            .where(F.length("text") > 0))
+
+
 def char_split(docs: DataFrame, fraction: float = TRAIN_FRACTION, key: str = "doc_id") -> DataFrame:
     """Cut the corpus at ``int(fraction * length)`` characters; a
     document across the cut is sliced.  Returns ``split, key, text`` (no empty
     parts)."""
-    cut = F.floor(F.lit(float(fraction)) * F.col("char_start_total").cast("double")).cast("bigint")
-    k = F.least(F.greatest(cut - F.col("char_start"), F.lit(0)), F.col("n_chars")).cast("int")
-    placed = corpus_offsets(docs, key).select(F.col(key).alias("_key"), k.alias("_k"))
-    parts = docs.join(placed, F.col(key) == F.col("_key")).select(key, F.explode(F.array(
-        F.struct(F.lit("train").alias("split"), F.substring("text", F.lit(1), F.col("_k")).alias("text")),
-        F.struct(F.lit("val").alias("split"), F.substring("text", F.col("_k") + 1, F.lit(1 << 30)).alias("text")))).alias("p"))
-    return (parts.select(F.col("p.split").alias("split"), key, F.col("p.text").alias("text"))
-            .where(F.length("text") > 0))
+    placed = text_layout(docs.select(key, "text"), key, "text")
+    total = placed.agg(F.sum("_n")).first()[0] or 0
+    return _split(placed, F.lit(0).cast("bigint"), F.lit(total).cast("bigint"), fraction, key)
+
+
+def normalized_split(docs: DataFrame, fraction: float = TRAIN_FRACTION, key: str = "doc_id") -> DataFrame:
+    """F3 and W2 in one reading of the layout: what :func:`char_split` makes of the
+    normalised corpus; texts are shuffled and written once."""
+    placed, low, high = normalized_layout(docs, key)
+    return _split(placed, F.lit(low).cast("bigint"), F.lit(high).cast("bigint"), fraction, key)
 
 
 def with_tokens(parts: DataFrame, out_col: str = "tokens") -> DataFrame:
@@ -76,22 +93,37 @@ def _vocab_table(vocab: DataFrame) -> list[tuple[str, int]]:
     return list(zip(got["token"].to_pylist(), got["id"].to_pylist(), strict=True))
 
 
+def as_lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Offsets and values of a list column; a null list is empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]), column.flatten()
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each stretch, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def _encoder(shared: Broadcast, place: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = dict(shared.value)
+        known = pa.array([t for t, _ in shared.value], pa.string())
+        number = np.array([i for _, i in shared.value], dtype=np.int32)
         for b in batches:
-            rows = []
-            for tokens in b.column(place).to_pylist():
-                out: list[int] = []
-                for t in tokens or ():
-                    i = ids.get(t)
-                    if i is None:
-                        out.extend(t.encode("utf-8"))
-                    else:
-                        out.append(i)
-                rows.append(out)
+            offsets, values = as_lists(b.column(place))
+            coded = values.cast(pa.string()).dictionary_encode()
+            kinds, of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+            found = pc.fill_null(pc.index_in(kinds, value_set=known), -1).to_numpy(zero_copy_only=False)
+            written = [t.encode("utf-8") for t in kinds.filter(pa.array(found < 0)).to_pylist()]     # tokens outside the vocabulary
+            size = np.ones(len(kinds), dtype=np.int64)
+            size[found < 0] = [len(t) for t in written]
+            flat = np.empty(int(size.sum()), dtype=np.int32)     # the ids of each distinct token
+            begin = np.cumsum(size) - size
+            flat[begin[found >= 0]] = number[found[found >= 0]]
+            flat[spread(begin[found < 0], size[found < 0])] = np.frombuffer(b"".join(written), dtype=np.uint8)
+            ids = flat[spread(begin[of], size[of])]
+            ends = np.concatenate([[0], np.cumsum(size[of])])[offsets]
             kept = [c for i, c in enumerate(b.columns) if i != place]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, pa.list_(pa.int32()))], names=names)
+            yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], names=names)
     return run
 
 
@@ -109,11 +141,19 @@ def tokenize(parts: DataFrame, vocab: DataFrame, tokens_col: str = "tokens") ->
 def _decoder(shared: Broadcast, place: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = {i: t.encode("utf-8") for t, i in shared.value} | {i: bytes([i]) for i in range(BYTE_IDS)}
+        table = pa.array([text.get(i, b"") for i in range(max(text) + 1)] + [b""], pa.large_binary())
         for b in batches:
-            texts = [b"".join([text.get(i, b"") for i in ids or ()]).decode("utf-8", "replace")
-                     for ids in b.column(place).to_pylist()]
+            offsets, values = as_lists(b.column(place))
+            ids = pc.fill_null(values, -1).to_numpy(zero_copy_only=False)
+            pieces = table.take(pa.array(np.where((ids >= 0) & (ids < len(table)), ids, len(table) - 1)))
+            bounds = np.frombuffer(pieces.buffers()[1], dtype=np.int64, count=len(pieces) + 1)[offsets]
+            whole = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(bounds), pieces.buffers()[2] or pa.py_buffer(b"")])
+            try:
+                texts = whole.cast(pa.string())
+            except pa.ArrowInvalid:                          # cut characters
+                texts = pa.array([t.decode("utf-8", "replace") for t in whole.to_pylist()], pa.string())
             kept = [c for i, c in enumerate(b.columns) if i != place]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([*kept, texts], names=names)
     return run
 
 

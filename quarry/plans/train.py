@@ -5,16 +5,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.operators.docs import normalize_corpus
-from quarry.operators.trainset import (BLOCK_SIZE, TRAIN_FRACTION, VOCAB_SIZE, build_vocab, char_split, collate_blocks,
-                                       pack_blocks, tokenize, with_tokens)
+from quarry.operators.trainset import (BLOCK_SIZE, TRAIN_FRACTION, VOCAB_SIZE, build_vocab, collate_blocks,
+                                       normalized_split, pack_blocks, tokenize, with_tokens)
 from quarry.session import cut_lineage
 from quarry.sources.files import directory_scan
 
 
 def split_parts(docs: DataFrame, key: str = "doc_id", fraction: float = TRAIN_FRACTION) -> DataFrame:
     """Normalised corpus cut into ``split, key, text``."""
-    return char_split(cut_lineage(normalize_corpus(docs, key)), fraction, key)
+    return normalized_split(docs, fraction, key)
 
 
 def training_blocks(docs: DataFrame, key: str = "doc_id", fraction: float = TRAIN_FRACTION,

@@ -89,3 +89,41 @@ def test_directory_to_blocks(spark, tmp_path):
     corpus = re.sub(r"\n+", "\n", "".join(text[n] for n in sorted(text))).strip()
     assert len(rows) >= 200 // 8 and all(len(r.input_ids) == 8 for r in rows)
     assert corpus.startswith("one")
+
+
+def test_layout_of_many_ranges_and_batches(spark):
+    """Line ends, white space and empty texts at every kind of border, whatever the
+    ranges and Arrow batches are."""
+    import random
+
+    from quarry.operators.trainset import normalized_split
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    rnd = random.Random(3)
+    try:
+        for ranges, batch in ((1, 3), (7, 2), (40, 1000)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            rows = [(i, rnd.choice(["", "\n", "\n\n", "a", "\nb", "c\n", " ", "\né\n\n", None, "  x\n"])) for i in range(120)]
+            df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+            whole = re.sub(r"\n+", "\n", "".join(t or "" for _, t in rows)).strip()
+            assert "".join(r.text for r in normalize_corpus(df).orderBy("doc_id").collect()) == whole
+            parts = normalized_split(df).orderBy("doc_id").collect()
+            cut = int(0.8 * len(whole))
+            assert "".join(r.text for r in parts if r.split == "train") == whole[:cut]
+            assert "".join(r.text for r in parts if r.split == "val") == whole[cut:]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_texts_are_shuffled_once(spark):
+    """The only exchange that carries texts is the one into key ranges: reading the
+    layout joins its table of ranges as a broadcast."""
+    from quarry.operators.docs import normalized_layout
+    from quarry.operators.trainset import normalized_split
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    out = normalized_split(docs)
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert normalized_layout(docs)[0].count() == docs.count()

@@ -12,7 +12,11 @@ n-gram is known, with its counts in all languages, when it makes up at least
 1 / s of the words (of n-grams of that length) of any language, where s is a
 language's share of ``CAPACITY``.  By that definition there are at most
 ``CAPACITY`` known words whatever the size of the corpus, which bounds the model
-that is broadcast.
+that is broadcast.  Every language's totals are in the model, also those of a
+language without any known word (one that is written without spaces, say): a known
+word of another language is as unlikely in it as its own size makes it.
+Where more than ``MAX_LANGUAGES`` values are labelled, those with most words are
+learned.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 a text whose words and characters are all unknown gets the language with the
@@ -34,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import text_pieces, utf8
+from quarry.llm.words import slices
 from quarry.session import cut_lineage
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 MAX_GRAM = 5
 CAPACITY = 200_000       # known words of all languages together, in equal shares
-MAX_LANGUAGES = 512
+MAX_LANGUAGES = 512      # a matrix of the model has known units x languages cells
+REMEMBERED = 100_000     # unseen words a task keeps the scores of
 SMOOTHING = 0.5
 LOCAL_WORDS = 200_000    # distinct words a counting task holds before it passes them on
 WORDS_TOGETHER = 1 << 16  # words whose n-grams are hashed at a time
@@ -70,7 +76,7 @@ def gram_codes(words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     out, rolling = [], np.zeros(len(points), dtype=np.uint64)
     for n in range(1, MAX_GRAM + 1):
         after = np.zeros(len(points), dtype=np.uint64)
-        after[:len(points) - n + 1] = points[n - 1:]
+        after[:max(0, len(points) - n + 1)] = points[n - 1:]
         rolling = rolling * np.uint64(0x9E3779B97F4A7C15) + after + np.uint64(n)
         mixed = (rolling ^ (rolling >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         ok = (left >= n) & (single if n == 1 else begins)
@@ -111,23 +117,30 @@ def word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word, codes = gram_codes(b.column(1).slice(at, WORDS_TOGETHER).to_pylist())
             for n, code in enumerate(codes, start=1):
                 place = np.flatnonzero(code)
-                of = lang[some][word[place]].astype(np.uint64)
-                key, inverse = np.unique(np.stack([of, code[place]], axis=1).view([("l", np.uint64), ("c", np.uint64)]).ravel(),
-                                         return_inverse=True)
-                total = np.bincount(inverse, weights=weight[some][word[place]], minlength=len(key)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(key["l"].astype(np.int64))), pa.array(key["c"].copy().view(np.int64)),
-                     pa.array(np.full(len(key), n, np.int32)), pa.array(total)], names=["lang", "gram", "length", "n"])
+                of = lang[some][word[place]]
+                for k in np.unique(of):
+                    mine = place[of == k]
+                    key, inverse = np.unique(code[mine], return_inverse=True)
+                    total = np.bincount(inverse, weights=weight[some][word[mine]], minlength=len(key)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(pa.array(np.full(len(key), k))), pa.array(key.view(np.int64)),
+                         pa.array(np.full(len(key), n, np.int32)), pa.array(total)], names=["lang", "gram", "length", "n"])
 
 
-def known(counts: DataFrame, unit: str, by: list[str], capacity: int) -> DataFrame:
+def known(counts: DataFrame, unit: str, by: list[str], capacity: int) -> tuple[DataFrame, DataFrame]:
     """All rows of the units that make up at least 1 / capacity of some
-    language's total; the totals are one row per language (and length) and are
-    written out, so they are broadcast below the session's limit."""
+    language's total, and the totals: one row per language (and length), written
+    out, so they are broadcast below the session's limit."""
     totals = cut_lineage(counts.groupBy("lang", *by).agg(F.sum("n").alias("total")))
     rows = counts.join(totals, ["lang", *by]).select("lang", F.col(unit).alias("unit"), "n", "total", *by)
     often = cut_lineage(rows.where(F.col("n") * F.lit(capacity) >= F.col("total")).select("unit", *by).distinct())
-    return rows.join(often, ["unit", *by]).select("lang", "unit", "n", "total", *by)
+    return rows.join(often, ["unit", *by]).select("lang", "unit", "n", *by), totals
+
+
+def learned(words: DataFrame) -> list[str]:
+    """The languages, in order: all, or the ``MAX_LANGUAGES`` with most words."""
+    most = words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    return sorted(r.lang for r in most.collect())
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", capacity: int = CAPACITY) -> dict:
@@ -136,45 +149,36 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", capac
             .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
     words = cut_lineage(rows.mapInArrow(count_words, "lang string, word string, n long")
                         .groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    grams = (words.mapInArrow(word_grams, "lang string, gram long, length int, n long")
-             .groupBy("lang", "gram", "length").agg(F.sum("n").alias("n")))
-    langs = check_languages([r.lang for r in words.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()])
+    langs = learned(words)
+    words = words.where(F.col("lang").isin(langs))
+    grams = cut_lineage(words.repartition(4 * words.sparkSession.sparkContext.defaultParallelism)
+                        .mapInArrow(word_grams, "lang string, gram long, length int, n long")
+                        .groupBy("lang", "gram", "length").agg(F.sum("n").alias("n")))
     share = max(1, capacity // max(1, len(langs)))
-    top_words = known(words, "word", [], share)
-    top_grams = known(cut_lineage(grams), "gram", ["length"], share)
-    grams = table(top_grams, langs, ["length"])
+    grams = table(*known(grams, "gram", ["length"], share), langs, ["length"])
     codes = np.fromiter(grams["index"], dtype=np.int64, count=len(grams["index"])).view(np.uint64)
     order = np.argsort(codes)
-    return {"langs": langs, "words": table(top_words, langs, []), "grams": {"codes": codes[order], "logs": grams["logs"][order]}}
-
+    return {"langs": langs, "words": table(*known(words, "word", [], share), langs, []),
+            "grams": {"codes": codes[order], "logs": grams["logs"][order]}}
 
-def check_languages(langs: list[str]) -> list[str]:
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: this is not a language column")
-    return sorted(langs)
 
-
-def table(rows: DataFrame, langs: list[str], by: list[str]) -> dict:
-    """Known units and a matrix of smoothed log frequencies (units x languages).
-    At most capacity x languages rows."""
+def table(rows: DataFrame, totals: DataFrame, langs: list[str], by: list[str]) -> dict:
+    """Known units and a matrix of smoothed log frequencies (units x languages),
+    by every language's total; at most capacity x languages cells."""
     place = {x: i for i, x in enumerate(langs)}
+    size = np.zeros((MAX_GRAM + 1, len(langs)))            # per length; 0 for words
+    for r in totals.collect():                             # a row per language (and length)
+        size[r["length"] if by else 0, place[r.lang]] = r.total
     got = rows.toArrow()
     units = got.column("unit").to_pylist()
     index: dict[str, int] = {}
     row = np.fromiter((index.setdefault(u, len(index)) for u in units), dtype=np.int64, count=len(units))
     col = np.fromiter((place[x] for x in got.column("lang").to_pylist()), dtype=np.int64, count=len(units))
-    n, total = (got.column(c).to_numpy().astype(np.float64) for c in ("n", "total"))
-    size = np.ones((1, len(langs)))
-    size[0, col] = total                       # per length for n-grams: refined below
-    logs = np.log(SMOOTHING / (size + SMOOTHING)) + np.zeros((len(index), 1))
+    length = np.zeros(len(index), dtype=np.int64)
     if by:
-        length = got.column("length").to_numpy()
-        for k in np.unique(length):
-            at = length == k
-            size = np.ones(len(langs))
-            size[col[at]] = total[at]
-            logs[np.unique(row[at])] = np.log(SMOOTHING / (size + SMOOTHING))
-    logs[row, col] = np.log((n + SMOOTHING) / (total + SMOOTHING))
+        length[row] = got.column("length").to_numpy()
+    logs = np.log(SMOOTHING / (size + SMOOTHING))[length]
+    logs[row, col] = np.log((got.column("n").to_numpy() + SMOOTHING) / (size[length[row], col] + SMOOTHING))
     return {"index": index, "logs": logs}
 
 
@@ -185,6 +189,7 @@ class Scorer:
         self.langs = model["langs"]
         self.words, self.logs = model["words"]["index"], model["words"]["logs"]
         self.grams, self.gram_logs = model["grams"]["codes"], model["grams"]["logs"]
+        self.memory: dict[str, np.ndarray] = {}
 
     def backed_off(self, words: list[str]) -> np.ndarray:
         """A row of scores for each of the unseen words: the mean over its places
@@ -205,26 +210,65 @@ class Scorer:
             out[:, j] = np.bincount(word[found], weights=self.gram_logs[row[found], j], minlength=len(words))
         return out / np.maximum(n, 1)[:, None]
 
-    def sums(self, text: bytes) -> np.ndarray | None:
-        """Scores of a text by language; null without a word."""
-        total = None
-        for words in words_in(text):
-            total = np.zeros(len(self.langs)) if total is None else total
-            code = np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-            seen = code[code >= 0]
-            if len(seen):
-                total = total + self.logs[seen].sum(axis=0)
-            unseen = np.flatnonzero(code < 0).tolist()
-            for at in range(0, len(unseen), WORDS_TOGETHER):
-                total = total + self.backed_off([words[i] for i in unseen[at:at + WORDS_TOGETHER]]).sum(axis=0)
-        return total
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word: remembered, or backed off now."""
+        if len(self.memory) + len(words) > REMEMBERED:
+            self.memory.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.memory]
+        for at in range(0, len(new), WORDS_TOGETHER):
+            some = new[at:at + WORDS_TOGETHER]
+            self.memory.update(zip(some, self.backed_off(some), strict=True))
+        return np.array([self.memory[w] for w in words]).reshape(len(words), len(self.langs))
+
+    def sums(self, text: bytes | None) -> np.ndarray | None:
+        return self.all_sums([text])[0]
+
+    def all_sums(self, texts: list[bytes | None]) -> list[np.ndarray | None]:
+        """Scores of some texts by language; null without a word."""
+        totals: list[np.ndarray | None] = [None] * len(texts)
+        left: list[str] = []                                # unseen words, and the text of each
+        of: list[int] = []
+
+        def settle() -> None:
+            scores = self.unseen(left)
+            for j in range(len(self.langs)):
+                added = np.bincount(of, weights=scores[:, j], minlength=len(texts))
+                for i in set(of):
+                    totals[i][j] += added[i]
+            left.clear()
+            of.clear()
+
+        for i, text in enumerate(texts):
+            for words in words_in(text) if text else ():
+                if totals[i] is None:
+                    totals[i] = np.zeros(len(self.langs))
+                code = np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+                seen = code[code >= 0]
+                if len(seen):
+                    totals[i] += self.logs[seen].sum(axis=0)
+                if len(seen) < len(words):
+                    some = np.flatnonzero(code < 0).tolist()
+                    left += [words[k] for k in some]
+                    of += [i] * len(some)
+                if len(left) > WORDS_TOGETHER:
+                    settle()
+        if left:
+            settle()
+        return totals
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
-        sums = self.sums(text) if text and self.langs else None
-        if sums is None:
-            return UNKNOWN, 0.0
-        best = int(np.argmax(sums))
-        return self.langs[best], float(1.0 / np.exp(np.maximum(sums - sums[best], -700)).sum())
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
+        """Language and score of some texts."""
+        out = []
+        for sums in self.all_sums(texts) if self.langs else [None] * len(texts):
+            if sums is None:
+                out.append((UNKNOWN, 0.0))
+            else:
+                best = int(np.argmax(sums))
+                out.append((self.langs[best], float(1.0 / np.exp(np.maximum(sums - sums[best], -700)).sum())))
+        return out
 
 
 def predictions(model: Broadcast, text_place: int, kept: int, names: list[str]):
@@ -232,7 +276,8 @@ def predictions(model: Broadcast, text_place: int, kept: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for b in batches:
-            got = [scorer.predict(t) for t in utf8(b.column(text_place))]
+            texts = utf8(b.column(text_place))
+            got = [g for begin, end in slices(texts) for g in scorer.predict_all(texts[begin:end])]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:kept], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
                 names=names)

@@ -92,3 +92,41 @@ def test_a_known_word_has_its_counts_in_all_languages(spark):
     log = lambda n, total: math.log((n + 0.5) / (total + 0.5))
     assert sorted(words["index"]) == ["x", "y", "z"]
     assert words["logs"][words["index"]["y"]].tolist() == [log(1, 5), log(1, 9)]
+
+
+def unsegmented(rng, n):
+    return "".join(chr(0x4E00 + int(2000 * rng.random() ** 2)) for _ in range(n))
+
+
+def test_a_language_without_known_words_takes_none_of_another(spark):
+    """Runs of letters that occur once each, more of them than the model holds words:
+    that language has no known word, and both languages are told apart."""
+    import random
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    rows = [("en", " ".join(rng.choice(vocabulary) for _ in range(40))) for _ in range(60)]
+    rows += [("zh", " ".join(unsegmented(rng, rng.randint(6, 12)) for _ in range(40))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, x, t) for i, (x, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    for capacity in (200, 2000, 10 ** 6):
+        model = langid.train(docs, capacity=capacity)
+        got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+        assert [got[i] for i in range(len(rows))] == [x for x, _ in rows], capacity
+
+
+def test_many_labels_teach_within_bounds(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    docs = spark.createDataFrame([(x, f"word{x} " * n) for n, x in enumerate("abcdef", start=1)], "lang string, text string")
+    model = langid.train(docs)
+    assert model["langs"] == ["d", "e", "f"] and langid.Scorer(model).predict(b"wordf")[0] == "f"
+
+
+def test_remembered_words_score_the_same(spark, monkeypatch):
+    model = small_model(spark)
+    texts = [b"dogs and cats, dogs", None, b"", "élève chiens zzz".encode(), b"dogs"]
+    want = [langid.Scorer(model).predict(t) for t in texts]
+    for remembered in (langid.REMEMBERED, 2):
+        monkeypatch.setattr(langid, "REMEMBERED", remembered)
+        scorer = langid.Scorer(model)
+        for got in (scorer.predict_all(texts), scorer.predict_all(texts)):
+            assert [x for x, _ in got] == [x for x, _ in want]
+            assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got, want, strict=True))

@@ -13,8 +13,8 @@ n-gram is known, with its counts in all languages, when it makes up at least
 language's share of ``CAPACITY``.  By that definition there are at most
 ``CAPACITY`` known words whatever the size of the corpus, which bounds the model
 that is broadcast.  Every language's totals are in the model, also those of a
-language without any known word (one that is written without spaces, say): a known
-word of another language is as unlikely in it as its own size makes it.
+language without any known word (one that is written without spaces, say), and
+what a language lacks has the same small frequency in all of them.
 Where more than ``MAX_LANGUAGES`` values are labelled, those with most words are
 learned.
 
@@ -164,7 +164,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", capac
 
 def table(rows: DataFrame, totals: DataFrame, langs: list[str], by: list[str]) -> dict:
     """Known units and a matrix of smoothed log frequencies (units x languages),
-    by every language's total; at most capacity x languages cells."""
+    by every language's total; at most capacity x languages cells.  All languages
+    have one floor, that of the largest: were it each one's own, a word that a large
+    language has would be likelier in a small one that lacks it."""
     place = {x: i for i, x in enumerate(langs)}
     size = np.zeros((MAX_GRAM + 1, len(langs)))            # per length; 0 for words
     for r in totals.collect():                             # a row per language (and length)
@@ -177,8 +179,9 @@ def table(rows: DataFrame, totals: DataFrame, langs: list[str], by: list[str]) -
     length = np.zeros(len(index), dtype=np.int64)
     if by:
         length[row] = got.column("length").to_numpy()
-    logs = np.log(SMOOTHING / (size + SMOOTHING))[length]
-    logs[row, col] = np.log((got.column("n").to_numpy() + SMOOTHING) / (size[length[row], col] + SMOOTHING))
+    floor = SMOOTHING / np.maximum(size.max(axis=1, initial=0.0), 1.0)     # per length
+    logs = np.repeat(np.log(floor[length])[:, None], len(langs), axis=1)
+    logs[row, col] = np.log(got.column("n").to_numpy() / size[length[row], col] + floor[length[row]])
     return {"index": index, "logs": logs}
 
 

@@ -140,6 +140,8 @@ def rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     ids = (trusted.select(F.col(id_col).alias("__id")).where(F.col("__id").isNotNull()).distinct()
            .withColumn("half", half))
     target = ids.where("half = 0")
+    # merged at every size: the texts of trusted rows travel once, and the plan does not change as ids grow
+    target = target.hint("merge")
     ratio = log_ratio(cell_counts(docs.join(target, docs[id_col] == F.col("__id")).select(docs[text_col].alias("text"))),
                       cell_counts(docs.select(F.col(text_col).alias("text"))))
     rows = cut_lineage(measured(docs, ratio, id_col, text_col))

@@ -6,9 +6,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.session import cut_lineage
+
 # Text bytes handled at a time where a kernel's scratch arrays are a multiple
 # of its input; longer texts are cut at a white-space byte and carried on.
 PIECE_BYTES = 1 << 20
@@ -89,6 +91,20 @@ def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
             .groupBy(F.col(id_col).alias("of")).agg(F.min(label_col).cast("int").alias("label")))
 
 
+def sampled_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, most_bytes: int) -> DataFrame:
+    """``of, label, text`` for the ids of a bounded sample (``of, label``), written
+    out: one row per id, of repeated ids the text with the smallest hash, and in
+    the order of the ids' hashes as many as have ``most_bytes`` together.  The
+    bounds hold for rows and bytes, however often an id or how long a text is."""
+    order = [F.xxhash64(F.col("of").cast("string")), F.col("of")]
+    rows = cut_lineage(docs.join(F.broadcast(ids), docs[id_col] == F.col("of"))
+                       .groupBy("of", "label").agg(F.min_by(docs[text_col], F.xxhash64(docs[text_col])).alias("text")))
+    sizes = rows.select("of", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
+    running = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))      # as many rows as ids
+    within = cut_lineage(sizes.select("of", running.alias("total")).where(F.col("total") <= most_bytes).select("of"))
+    return rows.join(F.broadcast(within), "of")
+
+
 def is_remainder(id_col: str, divisor: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves a remainder; false for a null id."""
     return F.coalesce(id_crc(id_col) % divisor == remainder, F.lit(False))

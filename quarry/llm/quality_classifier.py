@@ -7,7 +7,7 @@ length over the text, and there is one bias cell.
 
 The classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows, those with
 the smallest hashes of their id (a row that several labels name takes the
-smallest label).  Features are made where the texts are; the updates are
+smallest label), one row per id and ``SAMPLE_BYTES`` of text together.  Features are made where the texts are; the updates are
 sequential and run over the bounded sample's sparse rows in one task.  The
 weights, one number per cell, are broadcast.
 
@@ -25,11 +25,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hashed_words, labelled, ngram_cells, utf8
+from quarry.llm.common import hashed_words, labelled, ngram_cells, sampled_texts, utf8
 from quarry.session import cut_lineage
 
 BUCKETS = 1 << 18
 SAMPLE_ROWS = 16_000
+SAMPLE_BYTES = 512 << 20   # text of the sample
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 PASSES = 2
 
@@ -94,8 +95,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Weights by cell, learned from the rows of ``docs`` that ``labels`` names."""
     order = F.xxhash64(F.col("of").cast("string"))
     sample = labelled(labels, id_col, label_col).orderBy(order, "of").limit(SAMPLE_ROWS)
-    rows = (docs.join(F.broadcast(sample), docs[id_col] == F.col("of"))   # at most SAMPLE_ROWS ids
-            .select(docs[id_col].cast("string").alias("id"), "label", docs[text_col].alias("text")))
+    rows = (sampled_texts(docs, sample, id_col, text_col, SAMPLE_BYTES)
+            .select(F.col("of").cast("string").alias("id"), "label", "text"))
     made = cut_lineage(rows.mapInArrow(sparse_rows, "id string, label int, cells array<int>, values array<float>"))
     learned = (made.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "cells").select("label", "cells", "values")
                .mapInArrow(fit, "cell long, weight double")).toArrow()

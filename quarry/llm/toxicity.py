@@ -19,7 +19,8 @@ passage; a logistic curve fitted on sample rows that were not counted turns it
 into a probability.
 
 The class models are fitted on a sample of at most ``CLASS_ROWS`` labelled rows
-of each class (smallest hashes of their id).  S counts every word of every
+of each class (smallest hashes of their id, one row per id) and ``SAMPLE_BYTES`` of
+text.  S counts every word of every
 document.  Every word, context and bigram of the counted rows is in the model,
 which the sample bounds; rare ones are left to the discount and the backoff.  Words
 that no counted row has are unknown, their ratio is 0.
@@ -41,10 +42,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import labelled, sparse_counts, text_pieces, utf8
+from quarry.llm.common import labelled, sampled_texts, sparse_counts, text_pieces, utf8
 from quarry.session import cut_lineage
 
 CLASS_ROWS = 10_000
+SAMPLE_BYTES = 256 << 20  # text of the sample
 CALIBRATION = 4          # one in so many sample rows is left out of the counts
 DISCOUNT = 0.75
 PRIOR = 8                # counts of the backoff for each known word
@@ -128,9 +130,8 @@ def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     usable = labelled(labels, id_col, label_col)
     some = [usable.where(F.col("label") == c).orderBy(order, "of").limit(CLASS_ROWS) for c in (0, 1)]
     ids = some[0].union(some[1])
-    return cut_lineage(docs.join(F.broadcast(ids), docs[id_col] == F.col("of"))      # at most 2 x CLASS_ROWS ids
-                       .select("label", docs[text_col].alias("text"),
-                               F.pmod(F.shiftright(order, 8), F.lit(CALIBRATION)).alias("part")))
+    return (sampled_texts(docs, ids, id_col, text_col, SAMPLE_BYTES)
+            .select("label", "text", F.pmod(F.shiftright(order, 8), F.lit(CALIBRATION)).alias("part")))
 
 
 def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id",

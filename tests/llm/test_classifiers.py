@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from quarry.llm import quality_classifier, toxicity
+from quarry.llm import common, quality_classifier, toxicity
 from quarry.llm.queries import op4_toxicity, op9_quality_classifier
 
 SF = "/root/testdata/sf0.1"      # smaller tables have few toxic rows; labels are partly wrong
@@ -123,3 +123,37 @@ def test_toxic_copies_are_scored(spark):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int")
     score = {r.id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
     assert min(score[i] for i in range(160, 240, 4)) > 0.5 > max(score[i] for i in range(160, 240) if i % 4)
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    """An id that stands in thousands of rows counts once, and long texts do not
+    pass the byte bound."""
+    rows = [(1, f"copy {i}") for i in range(5000)] + [(2, "x" * 400), (3, "y" * 400), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    ids = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "of long, label int")
+    got = common.sampled_texts(docs, ids, "doc_id", "text", 10 ** 6).collect()
+    assert sorted(r.of for r in got) == [1, 2, 3, 4]
+    assert {r.of: r.text for r in got} == {r.of: r.text for r in common.sampled_texts(docs.repartition(3), ids, "doc_id", "text", 10 ** 6).collect()}
+    small = common.sampled_texts(docs, ids, "doc_id", "text", 500).collect()
+    assert sum(len(r.text or "") for r in small) <= 500 and len(small) < 4
+
+
+def test_query_scores_are_the_dot_products(spark):
+    """Scores of the quality query from its weights, feature by feature."""
+    from zlib import crc32
+    docs, labels, _ = frames(spark)
+    weights = quality_classifier.train(docs, labels, label_col="mark")
+    got = {r.id: r.score for r in quality_classifier.score(docs, weights).collect()}
+    mask = (1 << 64) - 1
+    for r in docs.where("doc_id < 60").collect():
+        words = [crc32(w) for w in r.text.encode().split()]
+        grams = [w * 0xD6E8FEB86659FD93 & mask for w in words]
+        grams += [(a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) & mask for a, b in zip(words, words[1:])]
+        counts = {}
+        for g in grams:
+            cell = (g >> 24) % quality_classifier.BUCKETS
+            counts[cell] = counts.get(cell, 0) + 1
+        value = {c: np.log1p(n) for c, n in counts.items()}
+        norm = np.sqrt(sum(v * v for v in value.values()))
+        dot = weights[quality_classifier.BUCKETS] + sum(weights[c] * v / norm for c, v in value.items())
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-dot))) < 1e-9

@@ -4,12 +4,22 @@ and of ordinary identifiers compared by log-likelihood ratio.
 Patterns (see ``PATTERNS``) are matched leftmost and non-overlapping per kind,
 matches that are too short are dropped afterwards.  The models are first-order
 transition tables over the characters of tokens, trained from samples that the
-patterns label: the values of pattern matches are random strings, the rest of
-the text's tokens are ordinary identifiers.  Counting covers every text; a
-table has 66 x 66 cells whatever the size of the corpus.  A token, or what is
-left of it outside all pattern matches, is a further span, kind ``markov``, when
-its log-likelihood ratio exceeds ``THRESHOLD`` for each transition, and as much
-as ``FULL_TOKEN`` characters need in all: shorter ones take stronger evidence.
+patterns label: the values of pattern matches are random strings, the rest of the
+text's tokens are ordinary.  Counting covers every text; a table has 66 x 66 cells
+whatever the size of the corpus.
+
+* Ordinary identifiers are words put together: by separators, by case, by digits.
+  The step from one class of characters to the next has the share that
+  identifiers of all styles have (``STEPS``, a fixed value: prose has few of them
+  to count); a letter after a letter has the folded bigram share that the ordinary
+  tokens of the corpus give it, a letter that begins a part its share of letters.
+* There are two random models: the steps and characters of the labelled values, and
+  draws in which all characters are equally likely.  The likelier one counts.
+
+A token, or what is left of it outside all pattern matches, is a further span, kind
+``markov``, when its log-likelihood ratio exceeds ``THRESHOLD`` for each
+transition, and as much as ``FULL_TOKEN`` characters need in all: shorter ones take
+stronger evidence.  Digits alone are as likely an ordinary number.
 
 Spans are code points, end exclusive.  Defined results: null and empty texts
 have no spans; without any labelled sample the tables are uniform and add
@@ -41,10 +51,17 @@ ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 TOKEN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 FULL_TOKEN = 20
 THRESHOLD = 0.75         # nats per transition
-SMOOTHING = 1.0
+SMOOTHING = 5.0          # counts of each character, and of each letter pair by the letters' shares
+RANDOM_PRIOR = 100.0     # steps drawn evenly that the labelled values are added to
 MASK = "[secret]"
 
+# --- fixed value: shares of the steps between lower case, upper case, digit and separator in identifiers ---
+STEPS = np.array([[0.85, 0.06, 0.03, 0.06], [0.30, 0.58, 0.04, 0.08], [0.10, 0.05, 0.60, 0.25], [0.65, 0.20, 0.10, 0.05]])
+# ------------------------------------------------------------------------------------------------------------
 STATES = len(TOKEN_CHARS) + 1      # 0: outside a token
+CLASS = np.array([0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in TOKEN_CHARS])
+CLASS_SIZE = np.bincount(CLASS)
+LETTER = np.array([ord(c.lower()) - ord("a") if c.isalpha() else -1 for c in TOKEN_CHARS])
 CODES = np.zeros(256, dtype=np.int64)
 for _i, _c in enumerate(TOKEN_CHARS):
     CODES[ord(_c)] = _i + 1
@@ -101,15 +118,47 @@ def count_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield sparse_counts(counts[c], kind=c)
 
 
+def random_shares(counts: np.ndarray) -> np.ndarray:
+    """P(next | character) of random strings: steps between classes, and characters
+    within a class, of the labelled values."""
+    steps = np.tile(RANDOM_PRIOR * CLASS_SIZE / CLASS_SIZE.sum(), (4, 1))
+    np.add.at(steps, (CLASS[:, None], CLASS[None, :]), counts)
+    steps /= steps.sum(axis=1, keepdims=True)
+    chars = counts.sum(axis=0) + counts.sum(axis=1) + SMOOTHING
+    return steps[CLASS][:, CLASS] * (chars / np.bincount(CLASS, weights=chars)[CLASS])[None, :]
+
+
+def ordinary_shares(counts: np.ndarray) -> np.ndarray:
+    """P(next | character) of ordinary identifiers: ``STEPS`` between classes, letters
+    by folded bigrams within a part and by their shares where a part begins."""
+    is_letter = LETTER >= 0
+    folded = LETTER[is_letter]
+    pairs = np.zeros((26, 26))
+    np.add.at(pairs, (folded[:, None], folded[None, :]), counts[np.ix_(is_letter, is_letter)])
+    first = pairs.sum(axis=0) + 0.002 * pairs.sum() + 1.0
+    first /= first.sum()
+    pairs += (0.1 * pairs.sum(axis=1, keepdims=True) + SMOOTHING) * first
+    pairs /= pairs.sum(axis=1, keepdims=True)
+    within = np.tile(1.0 / CLASS_SIZE[CLASS], (len(CLASS), 1))
+    within[:, is_letter] = first[folded]
+    inner = np.outer(is_letter, is_letter) & ~np.outer(CLASS == 0, CLASS == 1)     # a capital after a small letter begins a part
+    within[inner] = pairs[LETTER[:, None], LETTER[None, :]][inner]
+    return STEPS[CLASS][:, CLASS] * within
+
+
 def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Log-likelihood ratio (random over ordinary) of every transition."""
+    """Log-likelihood ratios of every transition, (random over ordinary) by random
+    model: of the labelled values, and of even draws."""
     rows = (docs.select(F.col(text_col).alias("text")).mapInArrow(count_samples, "kind int, slot long, n long")
             .groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow())
     counts = np.zeros((2, STATES * STATES))
     counts[rows["kind"].to_numpy(), rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    counts = counts.reshape(2, STATES, STATES) + SMOOTHING
-    logs = np.log(counts / counts.sum(axis=2, keepdims=True))
-    return logs[1] - logs[0]
+    counts = counts.reshape(2, STATES, STATES)[:, 1:, 1:]
+    out = np.zeros((2, STATES, STATES))
+    ordinary = np.log(ordinary_shares(counts[0]))
+    out[0, 1:, 1:] = np.log(random_shares(counts[1])) - ordinary
+    out[1, 1:, 1:] = -np.log(len(TOKEN_CHARS)) - ordinary
+    return out if counts[1].any() else np.zeros_like(out)
 
 
 def find_spans(data: bytes | None, ratio: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
@@ -124,9 +173,10 @@ def find_spans(data: bytes | None, ratio: np.ndarray, threshold: float = THRESHO
         codes[start:end] = 0
     edges = np.flatnonzero(np.diff(codes > 0, prepend=False, append=False))
     starts, ends = edges[::2], edges[1::2]
-    sums = np.concatenate([[0.0], np.cumsum(ratio[codes[:-1], codes[1:]])])
+    sums = np.zeros((len(ratio), len(codes)))
+    np.cumsum(ratio[:, codes[:-1], codes[1:]], axis=1, out=sums[:, 1:])
     steps = ends - starts - 1
-    random = sums[ends - 1] - sums[starts] > threshold * np.maximum(steps, FULL_TOKEN - 1)
+    random = (sums[:, ends - 1] - sums[:, starts]).max(axis=0) > threshold * np.maximum(steps, FULL_TOKEN - 1)
     out += [(s, 3, e) for s, e in zip(starts[random].tolist(), ends[random].tolist(), strict=True)]
     return sorted(out)
 

@@ -84,3 +84,67 @@ def test_the_rest_of_a_token_and_short_tokens(spark):
                        (f"{HEXES}-{key}", [("hex", 0, 64), ("markov", 64, 109)])):
         assert [(secret_scan.KINDS[k], a, b) for a, k, b in secret_scan.find_spans(text.encode(), ratio)] == want
     assert secret_scan.find_spans(b"a 7c4a8d09c3762af6 international", ratio) == [(2, 3, 18)]
+
+
+WORDS = ("user name config file path load save index count value error response request handle create update delete session manager builder "
+         "factory parse write read buffer stream socket server client local remote cache table column query result array string number object "
+         "module package version release signal thread process kernel driver network address header payload message queue worker monitor "
+         "logger metric sample window frame image pixel color width height left right upper lower").split()
+
+
+def made_up_tokens():
+    import base64
+    import random
+    import string
+    rng = random.Random(11)
+    some = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    drawn = lambda letters: ["".join(rng.choice(letters) for _ in range(rng.randint(24, 40))) for _ in range(500)]
+    ordinary = {"snake": ["_".join(some(5)) for _ in range(500)], "camel": ["".join(w.title() for w in some(5)) for _ in range(500)],
+                "path": ["/" + "/".join(some(5)) for _ in range(500)], "kebab": ["-".join(some(4)) for _ in range(500)],
+                "date": [f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{rng.randint(0, 23):02}" for _ in range(500)],
+                "number": [str(rng.randrange(10 ** 19, 10 ** 20)) for _ in range(500)]}
+    randoms = {"base62": drawn(string.ascii_letters + string.digits), "hex": drawn("0123456789abcdef"),
+               "base64": [base64.b64encode(rng.randbytes(rng.randint(18, 30))).decode() for _ in range(500)]}
+    return ordinary, randoms
+
+
+def test_identifiers_are_ordinary_and_random_strings_are_not(spark):
+    """With the model of a whole table of prose, which has no identifiers."""
+    ratio = secret_scan.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    share = lambda tokens: sum(any(k == 3 for _, k, _ in secret_scan.find_spans(t.encode(), ratio)) for t in tokens) / len(tokens)
+    ordinary, randoms = made_up_tokens()
+    assert {k: share(v) for k, v in ordinary.items() if share(v) >= 0.02} == {}
+    long_hex = [t for t in randoms["hex"] if len(t) < 32]          # longer ones are pattern matches
+    assert share(randoms["base62"]) > 0.95 and share(randoms["base64"]) > 0.95 and share(long_hex) > 0.95
+
+
+def test_markov_spans_by_a_plain_loop(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratio = secret_scan.train(docs)
+    ordinary, randoms = made_up_tokens()
+    texts = [f"{a} é {b}. {c}" for a, b, c in zip(ordinary["snake"], randoms["base62"], randoms["hex"], strict=True)][:200]
+    for text in texts + [r.text for r in docs.limit(200).collect()]:
+        base = slow_base(text)
+        want, at = [], 0
+        hidden = {i for a, _, b in base for i in range(a, b)}
+        inside = [c in secret_scan.TOKEN_CHARS and i not in hidden for i, c in enumerate(text)] + [False]
+        while at < len(text):
+            end = at
+            while inside[end]:
+                end += 1
+            if end > at:
+                codes = [secret_scan.TOKEN_CHARS.index(c) + 1 for c in text[at:end]]
+                best = max(sum(m[x, y] for x, y in zip(codes, codes[1:])) for m in ratio)
+                if best > secret_scan.THRESHOLD * max(len(codes) - 1, secret_scan.FULL_TOKEN - 1):
+                    want.append((at, 3, end))
+            at = end + 1
+        assert secret_scan.find_spans(text.encode(), ratio) == sorted(base + want)
+
+
+def test_transition_tables_are_distributions():
+    import numpy as np
+    rng = np.random.default_rng(0)
+    counts = rng.integers(0, 50, (67, 67)).astype(float)[: len(secret_scan.TOKEN_CHARS), : len(secret_scan.TOKEN_CHARS)]
+    assert np.allclose(secret_scan.random_shares(counts).sum(axis=1), 1)
+    total = secret_scan.ordinary_shares(counts).sum(axis=1)
+    assert ((total > 0.95) & (total < 1.05)).all()

@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import labelled, sampled_texts, sparse_counts, text_pieces, utf8
+from quarry.llm.words import slices
 from quarry.session import cut_lineage
 
 CLASS_ROWS = 10_000
@@ -103,13 +104,12 @@ def counting(shared: Broadcast):
         known = shared.value
         counts = np.zeros(len(known) + 1, dtype=np.int64)
         for b in batches:
-            for text in utf8(b.column(0)):
-                words = words_of(text)
+            texts = utf8(b.column(0))
+            for begin, end in slices(texts):
+                words, n = np.unique(np.concatenate([words_of(t) for t in texts[begin:end]]), return_counts=True)
                 at, found = place(known, words)
-                counts[:-1] += np.bincount(at[found], minlength=len(known)) if len(words) > len(known) else 0
-                if len(words) <= len(known):
-                    np.add.at(counts, at[found], 1)
-                counts[-1] += len(words)
+                counts[at[found]] += n[found]
+                counts[-1] += n.sum()
         yield sparse_counts(counts, kind=0)
     return run
 
@@ -197,14 +197,14 @@ def place(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
-def ratios(model: dict, words: np.ndarray) -> np.ndarray:
-    """log P_toxic - log P_ordinary of every word after the word before it."""
-    out = np.zeros(len(words))
-    at, known = place(model["word"], words)
-    at = at[known]
+def pair_ratios(model: dict, pairs: np.ndarray) -> np.ndarray:
+    """log P_toxic - log P_ordinary of the second word of each pair after the first;
+    in sorted order neighbouring searches touch the same parts of the model."""
+    out = np.zeros(len(pairs))
+    at, known = place(model["word"], pairs & LOW)
+    at, pairs = at[known], pairs[known]
     if not len(at):
         return out
-    pairs = pairs_of(words)[known]
     p = model["single"][:, at]
     ctx, has = place(model["context"], pairs >> np.uint64(32))
     p = np.where(has, model["weight"][:, ctx], 1.0) * p if has.any() else p
@@ -215,15 +215,29 @@ def ratios(model: dict, words: np.ndarray) -> np.ndarray:
     return out
 
 
+def raw_list(model: dict, texts: list[bytes | None]) -> list[float]:
+    """Greatest mean ratio over windows of each text; every distinct pair of a
+    slice of texts is looked up once."""
+    out = []
+    for begin, end in slices(texts):
+        pairs = [pairs_of(words_of(t)) for t in texts[begin:end]]
+        distinct, place_of = np.unique(np.concatenate(pairs), return_inverse=True)
+        every = pair_ratios(model, distinct)[place_of]
+        ends = np.cumsum([len(p) for p in pairs]).tolist()
+        for a, z in zip([0, *ends[:-1]], ends, strict=True):
+            r = every[a:z]
+            if not len(r):
+                out.append(0.0)
+            elif len(r) <= WINDOW:
+                out.append(float(r.mean()))
+            else:
+                sums = np.concatenate([[0.0], np.cumsum(r)])
+                out.append(float((sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW))
+    return out
+
+
 def raw_score(model: dict, text: bytes | None) -> float:
-    """Greatest mean ratio over windows of the text."""
-    r = ratios(model, words_of(text))
-    if not len(r):
-        return 0.0
-    if len(r) <= WINDOW:
-        return float(r.mean())
-    sums = np.concatenate([[0.0], np.cumsum(r)])
-    return float((sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW)
+    return raw_list(model, [text])[0]
 
 
 def raw_scores(shared: Broadcast):
@@ -231,7 +245,7 @@ def raw_scores(shared: Broadcast):
         model = pickle.loads(decompress(shared.value))
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([raw_score(model, t) for t in utf8(b.column(1))], pa.float64())],
+                [b.column(0), pa.array(raw_list(model, utf8(b.column(1))), pa.float64())],
                 names=["id", "raw"])
     return run
 
@@ -272,7 +286,7 @@ def scoring(shared: Broadcast | None, curve: tuple[float, float] | None):
                 scores = np.zeros(b.num_rows)
             else:
                 a, c = curve
-                raw = np.array([raw_score(model, t) for t in utf8(b.column(1))])
+                raw = np.array(raw_list(model, utf8(b.column(1))))
                 scores = 1 / (1 + np.exp(-np.clip(a * raw + c, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores)], names=["id", "score"])
     return run

@@ -152,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, i
     kept = words.where(F.col("kt") + F.col("ko") >= MIN_KINDS).toArrow()
     contexts = (both.groupBy(before.alias("word"))
                 .agg(F.sum("nt").alias("nt"), F.sum("no").alias("no"), *kinds_of)).toArrow()
-    seen = both.select("pair", F.col("nt").cast("float"), F.col("no").cast("float")).toArrow()
+    unsigned = F.col("pair").bitwiseXOR(F.lit(-(1 << 63)))
+    seen = both.select("pair", F.col("nt").cast("float"), F.col("no").cast("float")).orderBy(unsigned).toArrow()   # sorted by tasks
     known = np.sort(kept["word"].to_numpy()).astype(np.uint64)
     frequency = corpus_frequency(corpus if corpus is not None else docs, text_col, known)
     model = tables(kept, contexts, seen, kinds, frequency)
@@ -176,16 +177,13 @@ def tables(kept: pa.Table, contexts: pa.Table, seen: pa.Table, kinds: tuple, fre
     n = np.stack([c["nt"], c["no"]]).astype(np.float64)
     weight = (d * np.stack([c["kt"], c["ko"]]) + prior) / (n + prior)
     context = c["word"].astype(np.uint64)
-    pair = seen["pair"].to_numpy().view(np.uint64)
-    order = np.argsort(pair)
-    pair = pair[order]
-    at = place(context, pair >> np.uint64(32))[0].astype(np.int32)       # every pair's context is there
-    direct = np.stack([seen["nt"].to_numpy()[order], seen["no"].to_numpy()[order]])
-    del order
-    for share, of in zip(direct, (n + prior).astype(np.float32), strict=True):
-        share -= np.float32(d)
-        np.maximum(share, 0, out=share)
-        share /= of[at]
+    pair = seen["pair"].to_numpy().view(np.uint64)                       # in order
+    direct = np.stack([seen["nt"].to_numpy(), seen["no"].to_numpy()])
+    np.maximum(direct - np.float32(d), 0, out=direct)
+    for a in range(0, len(pair), LOCAL_PAIRS):
+        at = np.searchsorted(context, pair[a:a + LOCAL_PAIRS] >> np.uint64(32))      # every pair's context is there
+        for share, of in zip(direct, (n + prior).astype(np.float32), strict=True):
+            share[a:a + LOCAL_PAIRS] /= of[at]
     return {"word": w["word"].astype(np.uint64), "single": single, "context": context, "weight": weight, "pair": pair, "direct": direct}
 
 

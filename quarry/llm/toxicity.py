@@ -32,7 +32,6 @@ nothing; repeated rows are scored each.
 """
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from zlib import compress, crc32, decompress
 
@@ -158,12 +157,22 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, i
     frequency = corpus_frequency(corpus if corpus is not None else docs, text_col, known)
     model = tables(kept, contexts, seen, kinds, frequency)
     del kept, contexts, seen                 # the model is as large again
-    model["shared"] = docs.sparkSession.sparkContext.broadcast(compress(pickle.dumps(model), 3))
+    pa.default_memory_pool().release_unused()
+    model["shared"] = docs.sparkSession.sparkContext.broadcast(packed(model))
     model["curve"] = calibrate(sample.where("part = 0").select("label", "text"), model,
                                labelled(labels, id_col, label_col))
     return model
 
 
+def packed(model: dict) -> dict:
+    """The arrays of a model, compressed one by one (never all of them twice)."""
+    return {k: (v.dtype.str, v.shape, compress(np.ascontiguousarray(v), 3)) for k, v in model.items()}
+
+
+def unpacked(value: dict) -> dict:
+    return {k: np.frombuffer(decompress(data), dtype=kind).reshape(shape) for k, (kind, shape, data) in value.items()}
+
+
 def tables(kept: pa.Table, contexts: pa.Table, seen: pa.Table, kinds: tuple, frequency: np.ndarray) -> dict:
     """Sorted arrays for scoring, toxic first: P_c of words, backoff weights of
     contexts, discounted shares of bigrams."""
@@ -240,7 +249,7 @@ def raw_score(model: dict, text: bytes | None) -> float:
 
 def raw_scores(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pickle.loads(decompress(shared.value))
+        model = unpacked(shared.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(raw_list(model, utf8(b.column(1))), pa.float64())],
@@ -278,7 +287,7 @@ def calibrate(rows: DataFrame, model: dict, usable: DataFrame) -> tuple[float, f
 
 def scoring(shared: Broadcast | None, curve: tuple[float, float] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pickle.loads(decompress(shared.value)) if shared is not None else None
+        model = unpacked(shared.value) if shared is not None else None
         for b in batches:
             if model is None:
                 scores = np.zeros(b.num_rows)

@@ -56,7 +56,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = is_remainder("doc_id", 3, 1)
     model = toxicity.train(docs, labels(spark, sf_dir, "doc_id", "toxic").where(~held))
     return (toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
-            .select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")))
+            .select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "mean_ratio"))
 
 
 @query

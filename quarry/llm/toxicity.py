@@ -12,11 +12,17 @@ raw counts for bigrams and kinds for single words, as Kneser-Ney smoothing has
 it.  S is shared: half the frequency of w in the whole corpus, half an even share
 of the known words.  The backoff weighs as much as B counts, ``PRIOR`` for each
 known word, in both classes (the strength of a Pitman-Yor prior), so a rare
-expression moves the ratio by as much as its counts say.  A document's raw score is the greatest mean
-log-likelihood ratio over its windows of ``WINDOW`` words (the whole text, if
-shorter), so it does not depend on the length of the text around an abusive
-passage; a logistic curve fitted on sample rows that were not counted turns it
-into a probability.
+expression moves the ratio by as much as its counts say.
+
+Three measures come of the ratios of a document's words: their mean (the
+length-normalised log-likelihood ratio of the document), the greatest mean over
+its windows of ``WINDOW`` words (of the whole text, if shorter), and how many
+windows it has.  The score follows the greatest window, as one abusive passage
+makes a document toxic however long the rest is.  The greatest of many windows is
+larger by chance, so what ordinary sample rows of as many windows have on average
+(a line over the logarithm of their number, level beyond the longest such row) is
+taken off; a logistic curve turns the rest into a probability.  Line and curve are
+fitted on sample rows that were not counted.
 
 The class models are fitted on a sample of at most ``CLASS_ROWS`` labelled rows
 of each class (smallest hashes of their id, one row per id) and ``SAMPLE_BYTES`` of
@@ -33,6 +39,7 @@ nothing; repeated rows are scored each.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from zlib import compress, crc32, decompress
 
 import numpy as np
@@ -51,7 +58,7 @@ CALIBRATION = 4          # one in so many sample rows is left out of the counts
 DISCOUNT = 0.75
 PRIOR = 8                # counts of the backoff for each known word
 WINDOW = 2
-MIN_KINDS = 1            # of words before a word that is known: all are
+SLICE_BITS = 3           # the bigrams come to the driver in so many (as a power of 2) parts
 LOCAL_PAIRS = 1 << 20    # bigrams a counting task holds before it passes them on
 START = 1                # hash that stands before the first word
 LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -148,34 +155,50 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, i
     kinds_of = [F.count(F.when(F.col("nt") > 0, 1)).alias("kt"), F.count(F.when(F.col("no") > 0, 1)).alias("ko")]
     words = cut_lineage(both.groupBy(word.alias("word")).agg(*kinds_of))
     kinds = words.agg(F.sum("kt"), F.sum("ko"), F.count(F.when(F.col("kt") > 0, 1)), F.count(F.when(F.col("ko") > 0, 1))).first()
-    kept = words.where(F.col("kt") + F.col("ko") >= MIN_KINDS).toArrow()
+    kept = words.toArrow()
     contexts = (both.groupBy(before.alias("word"))
                 .agg(F.sum("nt").alias("nt"), F.sum("no").alias("no"), *kinds_of)).toArrow()
-    unsigned = F.col("pair").bitwiseXOR(F.lit(-(1 << 63)))
-    seen = both.select("pair", F.col("nt").cast("float"), F.col("no").cast("float")).orderBy(unsigned).toArrow()   # sorted by tasks
     known = np.sort(kept["word"].to_numpy()).astype(np.uint64)
     frequency = corpus_frequency(corpus if corpus is not None else docs, text_col, known)
-    model = tables(kept, contexts, seen, kinds, frequency)
-    del kept, contexts, seen                 # the model is as large again
-    pa.default_memory_pool().release_unused()
-    model["shared"] = docs.sparkSession.sparkContext.broadcast(packed(model))
-    model["curve"] = calibrate(sample.where("part = 0").select("label", "text"), model,
-                               labelled(labels, id_col, label_col))
-    return model
-
-
-def packed(model: dict) -> dict:
-    """The arrays of a model, compressed one by one (never all of them twice)."""
-    return {k: (v.dtype.str, v.shape, compress(np.ascontiguousarray(v), 3)) for k, v in model.items()}
+    model = tables(kept, contexts, kinds, frequency)
+    del kept, contexts
+    counts = model.pop("count")
+    packs = {k: packed([v]) for k, v in model.items()}
+    parts = []
+    for part in range(1 << SLICE_BITS):      # never all bigrams at once; the first word's hash orders the parts
+        rows = both.where(F.shiftrightunsigned("pair", 64 - SLICE_BITS) == part)
+        parts.append(shares(model["context"], counts, rows.select("pair", "nt", "no").orderBy("pair").toArrow()))
+        parts[-1] = {k: packed([v]) for k, v in parts[-1].items()}
+        pa.default_memory_pool().release_unused()
+    packs |= {k: [x for p in parts for x in p[k]] for k in parts[0]}
+    shared = docs.sparkSession.sparkContext.broadcast(packs)
+    return {"shared": shared, "curve": calibrate(sample.where("part = 0").select("label", "text"), shared,
+                                                 labelled(labels, id_col, label_col))}
+
+
+def packed(arrays: list[np.ndarray]) -> list[tuple]:
+    """Arrays, compressed one by one."""
+    return [(v.dtype.str, v.shape, compress(np.ascontiguousarray(v), 3)) for v in arrays]
 
 
 def unpacked(value: dict) -> dict:
-    return {k: np.frombuffer(decompress(data), dtype=kind).reshape(shape) for k, (kind, shape, data) in value.items()}
+    """The arrays of a model; parts are put one after the other, each is
+    decompressed alone."""
+    out = {}
+    for name, parts in value.items():
+        kind, shape, _ = parts[0]
+        whole = np.empty((*shape[:-1], sum(p[1][-1] for p in parts)), dtype=kind)
+        at = 0
+        for _, size, data in parts:
+            whole[..., at:at + size[-1]] = np.frombuffer(decompress(data), dtype=kind).reshape(size)
+            at += size[-1]
+        out[name] = whole
+    return out
 
 
-def tables(kept: pa.Table, contexts: pa.Table, seen: pa.Table, kinds: tuple, frequency: np.ndarray) -> dict:
-    """Sorted arrays for scoring, toxic first: P_c of words, backoff weights of
-    contexts, discounted shares of bigrams."""
+def tables(kept: pa.Table, contexts: pa.Table, kinds: tuple, frequency: np.ndarray) -> dict:
+    """Sorted arrays, toxic first: P_c of words, backoff weights of contexts and
+    their counts with the prior's."""
     d = DISCOUNT
     by = lambda t, key: {c: t[c].to_numpy()[np.argsort(t[key].to_numpy(), kind="stable")] for c in t.column_names}
     w, c = by(kept, "word"), by(contexts, "word")
@@ -183,17 +206,17 @@ def tables(kept: pa.Table, contexts: pa.Table, seen: pa.Table, kinds: tuple, fre
     total = np.array([[kinds[0]], [kinds[1]]], dtype=np.float64) + prior
     back = (d * np.array([[kinds[2]], [kinds[3]]]) + prior) / total
     single = np.maximum(np.stack([w["kt"], w["ko"]]) - d, 0) / total + back * frequency
-    n = np.stack([c["nt"], c["no"]]).astype(np.float64)
-    weight = (d * np.stack([c["kt"], c["ko"]]) + prior) / (n + prior)
-    context = c["word"].astype(np.uint64)
-    pair = seen["pair"].to_numpy().view(np.uint64)                       # in order
-    direct = np.stack([seen["nt"].to_numpy(), seen["no"].to_numpy()])
-    np.maximum(direct - np.float32(d), 0, out=direct)
-    for a in range(0, len(pair), LOCAL_PAIRS):
-        at = np.searchsorted(context, pair[a:a + LOCAL_PAIRS] >> np.uint64(32))      # every pair's context is there
-        for share, of in zip(direct, (n + prior).astype(np.float32), strict=True):
-            share[a:a + LOCAL_PAIRS] /= of[at]
-    return {"word": w["word"].astype(np.uint64), "single": single, "context": context, "weight": weight, "pair": pair, "direct": direct}
+    count = np.stack([c["nt"], c["no"]]).astype(np.float64) + prior
+    weight = (d * np.stack([c["kt"], c["ko"]]) + prior) / count
+    return {"word": w["word"].astype(np.uint64), "single": single, "context": c["word"].astype(np.uint64), "weight": weight, "count": count}
+
+
+def shares(context: np.ndarray, count: np.ndarray, seen: pa.Table) -> dict:
+    """Discounted shares of bigrams in order; every bigram's context is there."""
+    pair = seen["pair"].to_numpy().view(np.uint64)
+    n = np.stack([seen["nt"].to_numpy(), seen["no"].to_numpy()])
+    of = count[:, np.searchsorted(context, pair >> np.uint64(32))]
+    return {"pair": pair, "direct": (np.maximum(n - DISCOUNT, 0) / of).astype(np.float32)}
 
 
 def place(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,38 +245,32 @@ def pair_ratios(model: dict, pairs: np.ndarray) -> np.ndarray:
     return out
 
 
-def raw_list(model: dict, texts: list[bytes | None]) -> list[float]:
-    """Greatest mean ratio over windows of each text; every distinct pair of a
-    slice of texts is looked up once."""
-    out = []
+def measures(model: dict, texts: list[bytes | None]) -> np.ndarray:
+    """(greatest window mean, mean of all words, windows) of each text; every
+    distinct pair of a slice of texts is looked up once."""
+    out = np.zeros((len(texts), 3))
+    out[:, 2] = 1
     for begin, end in slices(texts):
         pairs = [pairs_of(words_of(t)) for t in texts[begin:end]]
         distinct, place_of = np.unique(np.concatenate(pairs), return_inverse=True)
         every = pair_ratios(model, distinct)[place_of]
         ends = np.cumsum([len(p) for p in pairs]).tolist()
-        for a, z in zip([0, *ends[:-1]], ends, strict=True):
-            r = every[a:z]
-            if not len(r):
-                out.append(0.0)
-            elif len(r) <= WINDOW:
-                out.append(float(r.mean()))
-            else:
-                sums = np.concatenate([[0.0], np.cumsum(r)])
-                out.append(float((sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW))
+        for row, a, z in zip(out[begin:end], [0, *ends[:-1]], ends, strict=True):
+            if a == z:
+                continue
+            sums = np.concatenate([[0.0], np.cumsum(every[a:z])])
+            width = min(WINDOW, z - a)
+            row[:] = (sums[width:] - sums[:-width]).max() / width, sums[-1] / (z - a), z - a - width + 1
     return out
 
 
-def raw_score(model: dict, text: bytes | None) -> float:
-    return raw_list(model, [text])[0]
-
-
-def raw_scores(shared: Broadcast):
+def measured(shared: Broadcast):
+    """(label, text) to (label, best, windows)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = unpacked(shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(raw_list(model, utf8(b.column(1))), pa.float64())],
-                names=["id", "raw"])
+            got = measures(model, utf8(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got[:, 0]), pa.array(got[:, 2])], names=["label", "best", "windows"])
     return run
 
 
@@ -272,34 +289,52 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return max(float(beta[0]), 1e-3), float(beta[1])
 
 
-def calibrate(rows: DataFrame, model: dict, usable: DataFrame) -> tuple[float, float]:
-    """Logistic curve from left-out sample rows, weighted to the classes' shares."""
-    got = rows.select(F.col("label").alias("id"), "text").mapInArrow(raw_scores(model["shared"]), "id int, raw double").toArrow()
-    y, x = got["id"].to_numpy().astype(np.float64), got["raw"].to_numpy()
-    order = np.lexsort((x, y))               # rows come in any order, sums should not
-    y, x = y[order], x[order]
+@dataclass
+class Curve:
+    """How measures become a probability."""
+    growth: float = 0.0      # of the greatest window of ordinary texts with the logarithm of the windows
+    longest: float = 0.0     # logarithm of the windows of the longest ordinary sample row
+    slope: float = 1.0
+    offset: float = 0.0
+
+    def level(self, best: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        return best - self.growth * np.minimum(np.log(windows), self.longest)
+
+    def probability(self, best: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.level(best, windows) + self.offset, -30, 30)))
+
+
+def calibrate(rows: DataFrame, shared: Broadcast, usable: DataFrame) -> Curve:
+    """Curve from left-out sample rows, weighted to the classes' shares."""
+    got = rows.mapInArrow(measured(shared), "label int, best double, windows double").toArrow()
+    y, best, windows = (got[c].to_numpy().astype(np.float64) for c in ("label", "best", "windows"))
+    order = np.lexsort((windows, best, y))   # rows come in any order, sums should not
+    y, best, windows = y[order], best[order], windows[order]
+    curve = Curve()
     if not 0 < y.sum() < len(y):
-        return 1.0, 0.0
+        return curve
+    long = np.log(windows[y == 0])
+    if len(np.unique(long)) > 1:
+        apart = long - long.mean()
+        curve.growth, curve.longest = max(0.0, float(apart @ best[y == 0] / (apart @ apart))), float(long.max())
     share = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
     weight = np.where(y == 1, share[1] / y.sum(), share[0] / (1 - y).sum())
-    return logistic(x, y, weight * len(y) / weight.sum())
+    curve.slope, curve.offset = logistic(curve.level(best, windows), y, weight * len(y) / weight.sum())
+    return curve
 
 
-def scoring(shared: Broadcast | None, curve: tuple[float, float] | None):
+def scoring(shared: Broadcast | None, curve: Curve | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = unpacked(shared.value) if shared is not None else None
         for b in batches:
-            if model is None:
-                scores = np.zeros(b.num_rows)
-            else:
-                a, c = curve
-                raw = np.array(raw_list(model, utf8(b.column(1))))
-                scores = 1 / (1 + np.exp(-np.clip(a * raw + c, -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores)], names=["id", "score"])
+            got = measures(model, utf8(b.column(1))) if model else np.zeros((b.num_rows, 3))
+            scores = curve.probability(got[:, 0], got[:, 2]) if model else got[:, 0]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array(got[:, 1])], names=["id", "score", "mean_ratio"])
     return run
 
 
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, score`` of every document, from its text only."""
+    """``id, score, mean_ratio`` of every document, from its text only; the last is
+    the mean log-likelihood ratio of all its words."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scoring(model and model["shared"], model and model["curve"]), f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(scoring(model and model["shared"], model and model["curve"]), f"id {rows.schema['id'].dataType.simpleString()}, score double, mean_ratio double")

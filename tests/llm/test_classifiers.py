@@ -1,5 +1,7 @@
 """Held-out accuracy and defined results of the two trained classifiers."""
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -80,25 +82,92 @@ def test_toxicity_frames(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
-def test_kneser_ney_probabilities_sum_to_at_most_one(spark, monkeypatch):
-    """Over the vocabulary, for every context of either model."""
-    monkeypatch.setattr(toxicity, "MIN_KINDS", 1)
-    docs = spark.createDataFrame([(i, "a b a c" if i % 2 else "b a d a b") for i in range(40)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+def plain_model(counted, corpus):
+    """P(class, word, before) of word bigrams by the formulas, with dictionaries."""
+    n = {c: Counter() for c in (1, 0)}
+    for text, label in counted:
+        words = text.split()
+        n[label].update(zip(["<s>", *words], words))
+    vocabulary = {w for c in n for _, w in n[c]}
+    every = Counter(w for text in corpus for w in text.split())
+    frequency = {w: 0.5 * (every[w] + 0.5) / (sum(every.values()) + 0.5) + 0.5 / len(vocabulary) for w in vocabulary}
+    d, prior = toxicity.DISCOUNT, toxicity.PRIOR * len(vocabulary)
+
+    def probability(c, w, before):
+        kinds = Counter(v for _, v in n[c])
+        total = sum(kinds.values()) + prior
+        single = max(kinds[w] - d, 0) / total + (d * len(kinds) + prior) / total * frequency[w]
+        after = {v: k for (h, v), k in n[c].items() if h == before}
+        count = sum(after.values()) + prior
+        return max(after.get(w, 0) - d, 0) / count + (d * len(after) + prior) / count * single
+    return vocabulary, probability
+
+
+def kneser_ney_rows():
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice("a a b c d e".split() if i % 3 else "a b f f g".split()) for _ in range(rng.randint(1, 30))))
+            for i in range(120)]
+    return rows, [(i, int(i % 3 == 0)) for i in range(100)]
+
+
+def test_kneser_ney_measures_by_brute_force(spark):
+    """Probabilities sum to at most one, and every measure and score follows from
+    probabilities computed with dictionaries."""
+    rows, marks = kneser_ney_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
-    words = toxicity.words_of(b"a b c d")
-    assert set(words) == set(model["word"].tolist())
-    for side in (0, 1):
-        for context in [toxicity.START, *words.tolist()]:
-            total = 0.0
-            at, has = toxicity.place(model["context"], np.array([context], dtype=np.uint64))
-            for w in words:
-                p = model["single"][side, toxicity.place(model["word"], np.array([w]))[0][0]]
-                p *= model["weight"][side, at[0]] if has[0] else 1.0
-                pair = np.array([context], dtype=np.uint64) << np.uint64(32) | w
-                k, seen = toxicity.place(model["pair"], pair)
-                total += p + (model["direct"][side, k[0]] if seen[0] else 0.0)
-            assert 0.6 < total <= 1 + 0.02       # S is smoothed; bigrams of one kind are not kept
+    text = dict(rows)
+    sample = toxicity.sample_rows(docs, labels, "doc_id", "text", "toxic").collect()
+    assert sorted(r.text for r in sample) == sorted(text[i] for i, _ in marks)
+    vocabulary, probability = plain_model([(r.text, r.label) for r in sample if r.part], text.values())
+    for c in (0, 1):
+        for before in ["<s>", *vocabulary]:
+            assert 0.6 < sum(probability(c, w, before) for w in vocabulary) <= 1 + 0.02       # S is smoothed
+
+    def plain_measures(t):
+        words = t.split()
+        r = [math.log(probability(1, w, h) / probability(0, w, h)) if w in vocabulary else 0.0 for h, w in zip(["<s>", *words], words)]
+        windows = [r[i:i + toxicity.WINDOW] for i in range(max(1, len(r) - toxicity.WINDOW + 1))]
+        return max(sum(w) / len(w) for w in windows), sum(r) / len(r), len(windows)
+
+    arrays = toxicity.unpacked(model["shared"].value)
+    want = {i: plain_measures(t) for i, t in rows}
+    for i, t in rows:
+        assert np.allclose(toxicity.measures(arrays, [t.encode()])[0], want[i], atol=1e-5)
+    curve = model["curve"]
+    left = [(r.label, *plain_measures(r.text)) for r in sample if not r.part]
+    x, y = np.log([m[3] for m in left if not m[0]]), [m[1] for m in left if not m[0]]
+    assert abs(curve.growth - max(0, np.polyfit(x, y, 1)[0])) < 1e-5 and curve.longest == max(x)
+    for r in toxicity.score(docs, model).collect():
+        best, mean, n = want[r.id]
+        level = best - curve.growth * min(math.log(n), curve.longest)
+        assert abs(r.score - 1 / (1 + math.exp(-curve.slope * level - curve.offset))) < 1e-4 and abs(r.mean_ratio - mean) < 1e-5
+
+
+def test_long_ordinary_texts_are_not_toxic_for_their_length(spark):
+    """Texts of one distribution, some longer than a piece: the greatest window
+    grows with the length, the score does not follow it; a passage in one counts."""
+    rng = random.Random(5)
+    plain = [f"word{k}" for k in range(400)]
+    some = lambda n: [plain[int(400 * rng.random() ** 2)] for _ in range(n)]
+    rows = [(i, some(rng.randint(20, 200) if i % 50 else 2000)) for i in range(600)]
+    for i, words in rows:
+        if i % 5 == 1:
+            words[rng.randrange(len(words))] = rng.choice(["nasty", "vile"])
+    rows += [(1000 + k, some(180_000)) for k in range(3)]
+    rows.append((1003, [*some(90_000), "vile", *some(90_000)]))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert len(" ".join(rows[-1][1])) > common.PIECE_BYTES
+    labels = spark.createDataFrame([(i, int(i % 5 == 1)) for i in range(600)], "doc_id long, toxic int")
+    score = {r.id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert max(score[1000 + k] for k in range(3)) < 0.3 and score[1003] > 0.7
+
+
+def test_packed_parts():
+    value = {"a": toxicity.packed([np.arange(3.0)]), "b": toxicity.packed([np.ones((2, k), np.float32) * k for k in (0, 2, 0, 1)])}
+    got = toxicity.unpacked(value)
+    assert got["a"].tolist() == [0, 1, 2] and got["b"].tolist() == [[2, 2, 1], [2, 2, 1]]
 
 
 def test_quality_frames(spark):

@@ -22,6 +22,13 @@ documents and are judged on the input.
    packs that asked.
 4. A pack marks what its documents lose and returns the rest.
 
+A minimizer that very many different stretches have (a line of 31 to 49 bytes with
+other neighbours in each document) would make one shard as large as all of them.
+Such minimizers are estimated from a quarter of the packs; their stretches travel
+as single strings, each to the shard of its own hash, where equal ones meet and
+nothing is left to sort.  Estimate and bound (``HOT_KEYS``) decide where strings
+meet, never what is removed.
+
 A group of copies meets in a shard as one stretch per pack, not one per copy,
 and a document's own repeats stay in its pack.  Shards hold about
 ``SHARD_BYTES``, so their number grows with the text.
@@ -38,7 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +61,10 @@ SIDE = (LENGTH - ANCHOR) // 2
 PACK_BYTES = 4 << 20
 SHARD_BYTES = 12 << 20
 SORT_BYTES = 2 << 20                 # text of one suffix array, unless one minimizer has more
+HOT_STRETCHES = 1 << 14              # different stretches of one minimizer, from which on they travel as strings
+HOT_KEYS = 1 << 20                   # such minimizers at most, those with most stretches; they are broadcast
+PACK_SHARE = 4                       # one in so many packs is asked for its minimizers,
+RARE, RARE_SHARE = 4, 16             # with fewer stretches in a pack only one in so many, with that weight
 CODE_BITS = 44                       # of a side's hash; more than needed only sends more
 BLOCK = 1 << 14
 NULL_ID = np.iinfo(np.int64).max
@@ -209,6 +220,32 @@ def split(value: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+def pieces(begin: np.ndarray, count: np.ndarray, key: np.ndarray, offset: np.ndarray, doc: np.ndarray,
+           hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches, those of hot minimizers cut into their strings, and which rows are such."""
+    cut = among(key, hot)
+    if not cut.any():
+        return begin, count, key, offset, doc, cut
+    times = np.where(cut, count, 1)
+    row = np.repeat(np.arange(len(begin)), times)
+    string = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    return begin[row] + string, np.where(cut, 1, count)[row], key[row], offset[row] - string, doc[row], cut[row]
+
+
+def key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pack, ids, sizes, data) to (key, n): different stretches of a minimizer in
+    a pack; small numbers stand for ``RARE_SHARE`` times as many, drawn by hash."""
+    for b in batches:
+        for pack, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            _, _, text, begin, count, key, _, _ = pack_stretches(*row)
+            code = content_codes(spare(text), begin, count + LENGTH - 1, key)
+            _, one = np.unique(code, return_index=True)
+            keys, n = np.unique(key[one], return_counts=True)
+            drawn = (keys ^ np.uint64(pack % (1 << 40))) * M2 >> np.uint64(32)
+            n = np.where(n >= RARE, n, np.where(drawn % np.uint64(RARE_SHARE) == 0, n * RARE_SHARE, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[n > 0].astype(np.int64)), pa.array(n[n > 0].astype(np.int64))], names=["key", "n"])
+
+
 STRETCH = (np.int64, np.uint8, np.uint8, np.int64, np.uint8, np.uint8)
 
 
@@ -292,7 +329,7 @@ def counting(table: pa.Table) -> pa.Table:
     return pa.table({"pack": table.column("pack"), "shard": table.column("shard"), "shared": pa.array(bits, pa.binary())})
 
 
-def sending(shards: int, side_count: int):
+def sending(shards: int, side_count: int, hot: Broadcast):
     """A pack and the answers about its sides to (shard, pack, stretches) rows."""
     def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
         numbers, owners, blobs = [], [], []
@@ -308,8 +345,11 @@ def sending(shards: int, side_count: int):
             edges = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
             again = [np.unpackbits(np.frombuffer(told[int(of[a])], np.uint8), count=int(b - a)).astype(bool)
                      for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            begin, count, key, offset, doc, string = pieces(begin, count, key, offset, doc, hot.value)
+            if string.any():
+                rows, codes = sides(wide, begin, count, key, offset)
             keep = np.unique(rows[np.isin(codes, mine[np.concatenate(again)])])
-            begin, count, key, offset, doc = begin[keep], count[keep], key[keep], offset[keep], doc[keep]
+            begin, count, key, offset, doc, string = (x[keep] for x in (begin, count, key, offset, doc, string))
             size = count + LENGTH - 1
             number, first = distinct(wide, begin, size, key)
             least = np.full(len(first), NULL_ID, dtype=np.int64)
@@ -317,16 +357,19 @@ def sending(shards: int, side_count: int):
             most = np.full(len(first), np.iinfo(np.int64).min, dtype=np.int64)
             np.maximum.at(most, number, ids[doc])
             order = np.argsort(first)
-            shard = shard_of(key[first[order]], shards)
+            f = first[order]
+            by = key[f]
+            by[string[f]] = content_codes(wide, begin[f[string[f]]], size[f[string[f]]], by[string[f]]) >> np.uint64(24)
+            shard = shard_of(by, shards)
             order = order[np.argsort(shard, kind="stable")]
             shard = np.sort(shard)
-            for part in np.split(order, np.flatnonzero(np.diff(shard)) + 1) if len(order) else []:
+            for part, to in zip(*(np.split(x, np.flatnonzero(np.diff(shard)) + 1) for x in (order, shard)), strict=True) if len(order) else ():
                 f = first[part]
-                numbers.append(int(shard_of(key[f[:1]], shards)[0]))
+                numbers.append(int(to[0]))
                 owners.append(pack)
+                flags = (least[part] < most[part]).astype(np.uint8) | string[f].astype(np.uint8) << np.uint8(1)
                 blobs.append(joined(np.diff(keep[f], prepend=0), size[f].astype(np.uint8), offset[f].astype(np.uint8),
-                                    np.diff(least[part], prepend=0), (least[part] < most[part]).astype(np.uint8),
-                                    gathered(text, begin[f], size[f])))
+                                    np.diff(least[part], prepend=0), flags, gathered(text, begin[f], size[f])))
         return pa.table({"shard": pa.array(numbers, pa.int64()), "pack": pa.array(owners, pa.int64()),
                          "stretches": pa.array(blobs, pa.binary())})
     return run
@@ -382,8 +425,9 @@ def resolving(table: pa.Table) -> pa.Table:
     parts = [parts[i] for i in order]
     lengths = [len(p[0]) for p in parts]
     entry, least = (np.concatenate([np.cumsum(p[i]) for p in parts]) for i in (0, 3))
-    size, offset, many, data = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 4, 5))
+    size, offset, flags, data = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 4, 5))
     owner = np.repeat(packs[order], lengths)
+    many, string = flags & np.uint8(1), (flags & np.uint8(2)) > 0
     size, offset = size.astype(np.int64), offset.astype(np.int64)
     begin = np.cumsum(size) - size
     data = spare(data)
@@ -392,7 +436,10 @@ def resolving(table: pa.Table) -> pa.Table:
     number, first = distinct(data, begin, size, key)
     smallest = np.full(len(first), NULL_ID, dtype=np.int64)
     np.minimum.at(smallest, number, least)
-    mixed = sharing(data, begin[first], size[first], offset[first], key[first])
+    mixed = np.zeros(len(first), dtype=bool)
+    whole = np.flatnonzero(~string[first])                    # strings of hot minimizers are equal or have nothing in common
+    f = first[whole]
+    mixed[whole] = sharing(data, begin[f], size[f], offset[f], key[f])
     uses = np.bincount(number, minlength=len(first)) + np.bincount(number, weights=many, minlength=len(first))
     alone = np.flatnonzero((uses > 1) & ~mixed)               # copies of one stretch only
     wanted = np.flatnonzero(mixed)
@@ -438,15 +485,19 @@ def resolving(table: pa.Table) -> pa.Table:
 
 # --- answers -----------------------------------------------------------------
 
-def removing(packs: pa.Table, answers: pa.Table) -> pa.Table:
-    """One row per document of a pack: (id, n_bytes, spans, kept)."""
+def removing(hot: Broadcast):
+    """A pack and the answers to it to one row per document: (id, n_bytes, spans, kept)."""
+    return lambda packs, answers: removed(packs, answers, hot.value)
+
+
+def removed(packs: pa.Table, answers: pa.Table, hot: np.ndarray) -> pa.Table:
     out_ids, out_sizes, out_spans, out_kept = [], [], [], []
     parts = [split(x.as_py(), np.int64, np.uint8, np.uint8, np.int64) for x in answers.column("answers")]
     for raw_ids, sizes, data in zip(*(packs.column(c).to_pylist() for c in ("ids", "sizes", "data")), strict=True):
         ids, ends, text = unpacked(raw_ids, sizes, data)
         cover = np.zeros(len(text) + 1, dtype=np.int64)
         if parts:
-            begin, count, key, _, doc = stretches(text, ends)
+            begin, count, key, _, doc, _ = pieces(*stretches(text, ends), hot)
             entry, string, run, value = (np.concatenate(x) for x in zip(*parts, strict=True))
             near = np.flatnonzero(np.isin(key, key[entry]))     # copies of an answered stretch have its minimizer
             begin, doc = begin[near], doc[near]
@@ -475,6 +526,16 @@ def removing(packs: pa.Table, answers: pa.Table) -> pa.Table:
                      "spans": pa.array(out_spans, span), "kept": pa.array(out_kept, pa.binary())})
 
 
+def hot_keys(packs: DataFrame) -> tuple[np.ndarray, int]:
+    """The minimizers with ``HOT_STRETCHES`` and more different stretches, sorted,
+    and the number of these stretches, both estimated."""
+    some = packs.where(F.pmod(F.xxhash64("pack"), F.lit(PACK_SHARE)) == 0)
+    rows = (some.select("pack", "ids", "sizes", "data").mapInArrow(key_counts, "key long, n long")
+            .groupBy("key").agg((F.sum("n") * PACK_SHARE).alias("n")).where(F.col("n") >= HOT_STRETCHES)
+            .orderBy(F.desc("n"), "key").limit(HOT_KEYS).toArrow())
+    return np.sort(rows["key"].to_numpy()).astype(np.uint64), int(rows["n"].to_numpy().sum())
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_bytes, spans, kept``: the removed byte ranges of every document
     (ends exclusive) and its remaining bytes."""
@@ -482,11 +543,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packs = cut_lineage(rows.mapInArrow(packing, "pack long, ids array<long>, sizes array<long>, bytes long, data binary"))
     whole = packs.select("pack", "ids", "sizes", "data")
     total = packs.agg(F.sum("bytes")).first()[0] or 0
-    shards = int(total * (1 + LENGTH / (SPAN / 2)) // SHARD_BYTES) + 1
-    told = (whole.mapInArrow(asking(shards), "shard long, pack long, codes binary")
+    keys, many = hot_keys(packs)
+    hot = docs.sparkSession.sparkContext.broadcast(keys)
+    side_count = int(total * (1 + LENGTH / (SPAN / 2)) // SHARD_BYTES) + 1
+    shards = side_count + many * LENGTH * SPAN // 2 // SHARD_BYTES
+    told = (whole.mapInArrow(asking(side_count), "shard long, pack long, codes binary")
             .groupBy("shard").applyInArrow(counting, "pack long, shard long, shared binary"))
     sent = (whole.groupBy("pack").cogroup(told.groupBy("pack"))
-            .applyInArrow(sending(shards, shards), "shard long, pack long, stretches binary"))
+            .applyInArrow(sending(shards, side_count, hot), "shard long, pack long, stretches binary"))
     answers = sent.groupBy("shard").applyInArrow(resolving, "pack long, answers binary")
     return (whole.groupBy("pack").cogroup(answers.groupBy("pack"))
-            .applyInArrow(removing, "id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary"))
+            .applyInArrow(removing(hot), "id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary"))

@@ -48,6 +48,24 @@ def last_fetch(pages: DataFrame, status: DataFrame, columns: tuple[str, ...] = (
     return versioned.join(status.select("url", "_version"), ["url", "_version"]).dropDuplicates(["url"]).select(*columns)
 
 
+def followed_links(pages: DataFrame, status: DataFrame, most: bool = False) -> DataFrame:
+    """``page_url, href``: the distinct links, normalized and relative, of the last
+    fetches that ``status`` names.  Nothing is deduplicated by its html: of fetches
+    with the same number the links of all count.  ``most`` says that ``status`` has
+    most pages: then each page is parsed where it is read and only its links are
+    shuffled; otherwise only the named pages are parsed."""
+    wanted = status.select(F.col("url").alias("page_url"), "_version")
+    numbered = pages.select(F.col("url").alias("page_url"), "html", fetch_number(pages).alias("_version"))
+    if not most:
+        numbered = numbered.join(wanted, ["page_url", "_version"], "left_semi")
+    links = extract_links(numbered.select(F.col("page_url").alias("url"), "html", "_version", F.lit(0).alias("page_id")),
+                          carry=("_version",))
+    links = normalized_links(links.select("page_url", "_version", "href")).where(U.is_relative(F.col("href"))).distinct()
+    if most:
+        links = links.join(wanted, ["page_url", "_version"], "left_semi")
+    return links.select("page_url", "href")
+
+
 def classify_links(frontier: DataFrame, pages: DataFrame | None = None,
                    status: DataFrame | None = None) -> DataFrame:
     """Left join on URL; a miss, no html or a 404 is ``wrong``, every
@@ -69,10 +87,10 @@ def seed_frontier(seeds: DataFrame, pages: DataFrame, processed: DataFrame | Non
     s = (seeds.select("seed_url").where(U.seed_valid(F.col("seed_url"))).distinct()
          .withColumn("base", U.derive_base(F.col("seed_url"))))
     asked = pages.join(s.select(F.col("seed_url").alias("url")), "url", "left_semi")
-    fetched = last_fetch(asked, fetch_status(asked).where("_fetched = 'inside'"))
-    seed_pages = s.join(fetched.select(F.col("url").alias("seed_url"), "html"), "seed_url", "inner")
-    links = (extract_links(seed_pages.withColumn("page_id", F.lit(0)), url_col="seed_url", carry=("base",))
-             .select(F.col("page_url").alias("seed_url"), "base", "href"))
+    last = fetch_status(asked).where("_fetched = 'inside'").select("url", "_version")
+    seed_pages = asked.select("url", "html", fetch_number(asked).alias("_version")).join(last, ["url", "_version"], "left_semi")
+    links = (extract_links(seed_pages.select(F.col("url").alias("seed_url"), "html", F.lit(0).alias("page_id")), url_col="seed_url")
+             .select(F.col("page_url").alias("seed_url"), U.derive_base(F.col("page_url")).alias("base"), "href"))
     routed = (links.where(U.href_present(F.col("href")))
               .withColumn("route", U.route(F.col("href")))
               .where((F.col("route") == "pdf")
@@ -121,6 +139,10 @@ def crawl(start: DataFrame, pages: DataFrame, processed: DataFrame | None = None
         rows = cut_lineage(found)
         return rows if max_pages is None else cut_lineage(within_budget(rows, earlier, max_pages))
 
+    # a crawl without an end may reach every page in as many rounds as it is deep:
+    # pages are parsed once, before it, and its rounds read the links alone
+    every = (cut_lineage(followed_links(pages, status.where("_fetched = 'inside'"), True))
+             if max_level is None and max_pages is None else None)
     visited = visit(classify_links(frontier, status=status), None)
     result, level = visited, 0
     while max_level is None or level < max_level:
@@ -129,10 +151,9 @@ def crawl(start: DataFrame, pages: DataFrame, processed: DataFrame | None = None
         if max_pages is not None:
             expand = expand.where("fetched")
         # each distinct page is parsed once, then its links go to every seed that reached it
-        fetched = last_fetch(pages, status.join(expand.select("url").distinct(), "url", "left_semi"))
-        raw = extract_links(fetched.withColumn("page_id", F.lit(0))).select("page_url", "href")
-        links = normalized_links(raw.join(
-            expand.select(F.col("url").alias("page_url"), "seed_url", "base"), "page_url"))
+        raw = every if every is not None else followed_links(
+            pages, status.join(expand.select("url").distinct(), "url", "left_semi"))
+        links = raw.join(expand.select(F.col("url").alias("page_url"), "seed_url", "base"), "page_url")
         nxt = (resolve_relative(links)
                .select("seed_url", "base", F.col("link").alias("url"))
                .dropDuplicates(["seed_url", "url"]))

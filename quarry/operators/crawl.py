@@ -84,9 +84,9 @@ def seed_frontier(seeds: DataFrame, pages: DataFrame, processed: DataFrame | Non
     links are not normalized; ``.pdf`` links route to ``pdf``; links with
     ``http`` that contain the base and are not processed become level 0.
     """
-    s = (seeds.select("seed_url").where(U.seed_valid(F.col("seed_url"))).distinct()
-         .withColumn("base", U.derive_base(F.col("seed_url"))))
-    asked = pages.join(s.select(F.col("seed_url").alias("url")), "url", "left_semi")
+    # written, so that its size is known and a short list is broadcast to the pages
+    s = cut_lineage(seeds.select(F.col("seed_url").alias("url")).where(U.seed_valid(F.col("url"))).distinct())
+    asked = pages.join(s, "url", "left_semi")
     last = fetch_status(asked).where("_fetched = 'inside'").select("url", "_version")
     seed_pages = asked.select("url", "html", fetch_number(asked).alias("_version")).join(last, ["url", "_version"], "left_semi")
     links = (extract_links(seed_pages.select(F.col("url").alias("seed_url"), "html", F.lit(0).alias("page_id")), url_col="seed_url")
@@ -151,8 +151,9 @@ def crawl(start: DataFrame, pages: DataFrame, processed: DataFrame | None = None
         if max_pages is not None:
             expand = expand.where("fetched")
         # each distinct page is parsed once, then its links go to every seed that reached it
+        # (the list of them is written: its size says whether it is broadcast to the pages)
         raw = every if every is not None else followed_links(
-            pages, status.join(expand.select("url").distinct(), "url", "left_semi"))
+            pages, cut_lineage(status.join(expand.select("url").distinct(), "url", "left_semi")))
         links = raw.join(expand.select(F.col("url").alias("page_url"), "seed_url", "base"), "page_url")
         nxt = (resolve_relative(links)
                .select("seed_url", "base", F.col("link").alias("url"))

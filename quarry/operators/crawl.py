@@ -43,9 +43,11 @@ def fetch_number(pages: DataFrame) -> Column:
 
 
 def last_fetch(pages: DataFrame, status: DataFrame, columns: tuple[str, ...] = ("url", "html")) -> DataFrame:
-    """The pages, one row per URL of ``status`` (by its ``_version``)."""
-    versioned = pages.select(*columns, fetch_number(pages).alias("_version"))
-    return versioned.join(status.select("url", "_version"), ["url", "_version"]).dropDuplicates(["url"]).select(*columns)
+    """The pages, one row per URL of ``status`` (by its ``_version``), with
+    ``columns`` of both.  The html is shuffled once: repeated rows of a fetch are
+    dropped by the keys of the join."""
+    versioned = pages.select(*[c for c in columns if c in pages.columns], fetch_number(pages).alias("_version"))
+    return versioned.join(status, ["url", "_version"]).dropDuplicates(["url", "_version"]).select(*columns)
 
 
 def followed_links(pages: DataFrame, status: DataFrame, most: bool = False) -> DataFrame:

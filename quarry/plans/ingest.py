@@ -99,9 +99,8 @@ def page_sources(pages: DataFrame) -> DataFrame:
     """``source, content, fetch``: the last fetch of every URL; null content where
     that fetch failed (404 or no html)."""
     status = fetch_status(pages)
-    last = last_fetch(pages.withColumn("fetch", fetch_number(pages)), status, ("url", "html", "fetch"))
-    return (last.join(status.select("url", "_fetched"), "url")
-            .select(F.col("url").alias("source"), F.when(F.col("_fetched") == "inside", F.col("html")).alias("content"), "fetch"))
+    last = last_fetch(pages.withColumn("fetch", fetch_number(pages)), status, ("url", "html", "fetch", "_fetched"))
+    return last.select(F.col("url").alias("source"), F.when(F.col("_fetched") == "inside", F.col("html")).alias("content"), "fetch")
 
 
 def add_sites(spark: SparkSession, seeds: DataFrame, pages: DataFrame, index_path: str,

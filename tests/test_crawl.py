@@ -96,3 +96,46 @@ def test_unbounded_crawl_ends_on_cycles(spark):
     pages = spark.createDataFrame(chain, "url string, html string, status_code int")
     got = {r.url: r.level for r in crawl_from_seeds(seeds, pages, max_level=None).collect()}
     assert got == {f"{B}/n{i}": i for i in range(8)} | {f"{B}/style": 1}
+
+
+def test_unbounded_crawl_parses_pages_once(spark, monkeypatch):
+    from quarry.operators import crawl as C
+    parsed = []
+    real = C.extract_links
+    monkeypatch.setattr(C, "extract_links", lambda pages, **kw: parsed.append(kw.get("url_col")) or real(pages, **kw))
+    chain = [page(f"{B}/", [f"{B}/n0"])] + [page(f"{B}/n{i}", [f"/n{i + 1}/"]) for i in range(3)]
+    pages = spark.createDataFrame(chain, "url string, html string, status_code int")
+    seeds = spark.createDataFrame([(f"{B}/",)], "seed_url string")
+    got = {r.url: r.level for r in crawl_from_seeds(seeds, pages, max_level=None).collect()}
+    assert got == {f"{B}/n{i}": i for i in range(4)} | {f"{B}/style": 1}
+    assert parsed == ["seed_url", None]                                 # the seed pages, then every page
+
+
+def test_followed_links_by_both_ways(spark):
+    """Repeated rows, an older fetch, a failed one: the same links whether few or
+    most pages are asked; most pages meet nothing before they are parsed."""
+    from quarry.operators.crawl import fetch_status, followed_links
+    rows = [(1, "u", "<a href='/old'>x</a>"), (2, "u", "<a href='/a/'>x</a><a href='/a'>x</a><a href='http://far'>x</a>"),
+            (2, "u", "<a href='/a'>x</a>"), (3, "v", None), (4, "w", "<a href='/'>x</a><a href=''>x</a>"), (5, None, "<a href='/n'>x</a>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    status = fetch_status(pages).where("_fetched = 'inside'")
+    few, most = followed_links(pages, status), followed_links(pages, status, most=True)
+    assert [tuple(r) for r in few.collect()] == [tuple(r) for r in most.collect()] == [("u", "/a")]
+
+
+def test_last_fetch_shuffles_html_once(spark):
+    from quarry.plans.ingest import page_sources
+    rows = [(i % 7, f"u{i % 5}", None if i % 3 else f"<p>{i % 7}</p>") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").dropDuplicates(["page_id", "url"])
+    last = {}
+    for r in pages.collect():
+        last[r.url] = max(last.get(r.url, (-1, None)), (r.page_id, r.html or ""))
+    assert {r.source: (r.fetch, r.content or "") for r in page_sources(pages).collect()} == last
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = spark.createDataFrame(rows, "page_id long, url string, html string")
+        plan = page_sources(table)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 3                 # html with its key; the status, before and after its aggregate

@@ -54,7 +54,8 @@ def buckets(vectors: np.ndarray, mean: np.ndarray, normals: np.ndarray, probes:
 
 
 def _with_buckets(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], probes: int) -> DataFrame:
-    """``rows`` (key, vector) once per bucket, as ``_bucket``."""
+    """``rows`` (key, vector) once per bucket, as ``_bucket``; written with their list
+    of buckets, so that each vector is written and hashed once."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*rows.schema.fields, T.StructField("_buckets", T.ArrayType(T.LongType()))])
 
@@ -65,7 +66,7 @@ def _with_buckets(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], probes:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1]), pa.int32()), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([*b.columns, lists], names=schema.fieldNames())
 
-    return rows.mapInArrow(run, schema).withColumn("_bucket", F.explode("_buckets")).drop("_buckets")
+    return cut_lineage(rows.mapInArrow(run, schema)).withColumn("_bucket", F.explode("_buckets")).drop("_buckets")
 
 
 def knn_approximate(questions: DataFrame, index: DataFrame, k: int = 1, q_key: str = "q_id", c_key: str = "chunk_id",
@@ -81,7 +82,7 @@ def knn_approximate(questions: DataFrame, index: DataFrame, k: int = 1, q_key: s
     if model is None:
         schema = T.StructType([asked.schema["_q"], rows.schema["_c"], T.StructField("dist", T.DoubleType())])
         return knn.rank_hits(rows.sparkSession.createDataFrame([], schema), k, q_key, c_key)
-    left, right = _with_buckets(rows, model, 1), cut_lineage(_with_buckets(asked, model, probes))
+    left, right = _with_buckets(rows, model, 1), _with_buckets(asked, model, probes)
     n = lambda frame, size, name: (frame.groupBy("_bucket").agg(F.count("*").alias("_n"))
                                    .select("_bucket", F.ceil(F.col("_n") / size).alias(name)))
     blocks = n(left.select("_bucket"), knn.INDEX_BLOCK, "_rows").join(n(right, knn.QUESTION_BLOCK, "_asks"), "_bucket")

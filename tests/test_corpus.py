@@ -127,3 +127,39 @@ def test_texts_are_shuffled_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
     assert normalized_layout(docs)[0].count() == docs.count()
+
+
+def test_a_file_is_many_rows(spark, tmp_path, monkeypatch):
+    """A directory's files are cut into rows of a document's size, between tokens
+    and in the order of their paths: the blocks are those of whole files."""
+    from quarry.plans import train
+    text = {"a.txt": "  one\n\n", "ab.txt": "", "b.txt": "\ntwo  two \n x\n\n\nthree, 3.14\n" * 40, "a-b.txt": " \n", "c.txt": "four!" * 30 + "\n five"}
+    for name, t in text.items():
+        (tmp_path / name).write_text(t)
+    longest, whole = {}, train.training_blocks
+
+    def seen(docs, **more):
+        longest[train.PIECE] = max(len(r.text) for r in docs.select("text").collect())
+        return whole(docs, **more)
+
+    monkeypatch.setattr(train, "training_blocks", seen)
+    blocks = {}
+    for size in (16, 10 ** 6):
+        monkeypatch.setattr(train, "PIECE", size)
+        blocks[size] = {(r.split, r.block_id): list(r.input_ids) for r in
+                        train.directory_blocks(spark, str(tmp_path), fraction=0.7, block_size=4).collect()}
+    assert blocks[16] == blocks[10 ** 6] and len(blocks[16]) > 100
+    assert longest[16] < 200 < longest[10 ** 6]
+
+
+def test_pieces_cut_no_token(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.functions.text import token_count, token_pieces
+    texts = ["", "a", "   ", "a  b\t\n c", " ab " * 9, "x" * 40, " a  b c " * 7, "1 2,3 \n\n" * 5, "\U0001f600 a" * 8, "a\x0bb\x0cc\r\nd" * 6]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for size in (1, 2, 3, 7, 1000):
+        pieces = token_pieces(F.col("t"), size)
+        for r in df.select("t", pieces.alias("p"), token_count(F.col("t")).alias("n"),
+                           F.aggregate(F.transform(pieces, token_count), F.lit(0), lambda a, x: a + x).alias("m")).collect():
+            assert "".join(r.p) == r.t and r.n == r.m

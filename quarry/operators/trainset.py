@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import TOKEN_PATTERN
+from quarry.operators.batches import stretches
 from quarry.operators.docs import normalized_layout
 from quarry.operators.hooks import Hook, built
 from quarry.operators.layout import between, text_layout
@@ -35,6 +36,8 @@ VOCAB_SIZE = 50257          # ids 0..255 bytes, then corpus tokens, 50256 specia
 BYTE_IDS = 256
 END_OF_TEXT_ID = 50256
 # ----------------------------------------------------------------------------
+TOKENS_AT_A_TIME = 1 << 18  # tokens whose ids are made together
+IDS_AT_A_TIME = 1 << 20     # ids whose text is made together
 
 
 def corpus_offsets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -108,7 +111,7 @@ def _encoder(shared: Broadcast, place: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array([t for t, _ in shared.value], pa.string())
         number = np.array([i for _, i in shared.value], dtype=np.int32)
-        for b in batches:
+        for b in stretches(batches, place, TOKENS_AT_A_TIME):
             offsets, values = as_lists(b.column(place))
             coded = values.cast(pa.string()).dictionary_encode()
             kinds, of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
@@ -142,7 +145,7 @@ def _decoder(shared: Broadcast, place: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = {i: t.encode("utf-8") for t, i in shared.value} | {i: bytes([i]) for i in range(BYTE_IDS)}
         table = pa.array([text.get(i, b"") for i in range(max(text) + 1)] + [b""], pa.large_binary())
-        for b in batches:
+        for b in stretches(batches, place, IDS_AT_A_TIME):
             offsets, values = as_lists(b.column(place))
             ids = pc.fill_null(values, -1).to_numpy(zero_copy_only=False)
             pieces = table.take(pa.array(np.where((ids >= 0) & (ids < len(table)), ids, len(table) - 1)))

@@ -86,3 +86,17 @@ def test_time_is_linear_in_the_length(unit):
             best = min(best, time.process_time() - t)
         return best
     assert took(2_000_000) < 5 * max(took(1_000_000), 0.005)
+
+
+def test_batches_go_a_stretch_at_a_time():
+    """Chunks, ids and texts are made of stretches of a batch: every row once, in order."""
+    import pyarrow as pa
+
+    from quarry.operators import batches
+    sizes = [3, 0, 50, 7, 7, 7, 0, 1, 20]
+    texts = ["x" * n if n else None for n in sizes]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array(texts, pa.string())], names=["k", "t"])
+    out = list(batches.stretches(iter([batch, batch.slice(0, 0), batch.slice(4)]), 1, 10))
+    assert [x for b in out for x in b.column(1).to_pylist()] == texts + texts[4:]
+    assert all(sum(len(x or "") for x in b.column(1).to_pylist()[1:]) < 10 for b in out)
+    assert max(b.num_rows for b in out) < 5

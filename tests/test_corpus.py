@@ -163,3 +163,24 @@ def test_pieces_cut_no_token(spark):
         for r in df.select("t", pieces.alias("p"), token_count(F.col("t")).alias("n"),
                            F.aggregate(F.transform(pieces, token_count), F.lit(0), lambda a, x: a + x).alias("m")).collect():
             assert "".join(r.p) == r.t and r.n == r.m
+
+
+def test_ids_are_made_a_stretch_at_a_time(spark, monkeypatch):
+    """What a batch's tokens become does not stand in memory at once: results come
+    in stretches of tokens and of ids, whatever the batch."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    monkeypatch.setattr(TS, "TOKENS_AT_A_TIME", 6)
+    monkeypatch.setattr(TS, "IDS_AT_A_TIME", 12)
+    rows = [["ab", " c"], None, [], ["xyz"] * 5, ["ab"] * 20, [" c", "q"], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows, pa.list_(pa.string()))], names=["k", "tokens"])
+    shared = SimpleNamespace(value=[("ab", 256), (" c", 257)])
+    coded = list(TS._encoder(shared, 1, ["k", "input_ids"])(iter([batch.slice(0, 0), batch])))
+    assert len(coded) > 2 and max(b.num_rows for b in coded) < len(rows)
+    ids = [x for b in coded for x in b.column(1).to_pylist()]
+    assert ids == [[256, 257], [], [], [120, 121, 122] * 5, [256] * 20, [257, 113], []]
+    whole = pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["k", "input_ids"])
+    read = list(TS._decoder(shared, 1, ["k", "text"])(iter([whole])))
+    assert len(read) > 2 and [x for b in read for x in b.column(1).to_pylist()] == ["".join(r or []) for r in rows]
+    assert [x for b in read for x in b.column(0).to_pylist()] == list(range(len(rows)))

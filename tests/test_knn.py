@@ -114,3 +114,42 @@ def test_approximate_odd_tables(spark):
     asked = spark.createDataFrame([(5, [1.0, 2.0]), (6, None)], "q_id long, embedding array<double>")
     assert knn_approximate(asked, empty).collect() == []
     assert [tuple(r) for r in knn_approximate(asked, one, k=5).collect()] == [(5, 1, 0.0, 1), (5, 3, 0.0, 2)]
+
+
+def _as_before(asked, vectors, k):
+    dist = knn.squared_distances(asked.astype(float), vectors.astype(float))
+    row, column = knn.nearest_columns(np.round(dist, knn.RANK_DECIMALS), k)
+    return row, column, dist[row, column]
+
+
+def _screened(asked, vectors, k):
+    return [np.concatenate(x) for x in zip(*knn._nearest(asked, vectors, k), strict=True)]
+
+
+def test_screening_leaves_no_neighbour_out(monkeypatch):
+    """Single precision only says what to measure: near ties, copies, long and tiny
+    vectors, and what cannot be screened, all rank as in double precision."""
+    rnd = np.random.default_rng(11)
+    close = rnd.normal(size=(1, 40)) + rnd.normal(size=(900, 40)) * 1e-5
+    sparse = (rnd.poisson(0.1, (1500, 64)) / 3.0).astype(np.float32)
+    cases = [(close[:70], close), (sparse[:90], sparse), (np.ones((5, 3)), np.ones((400, 3))),
+             (rnd.normal(size=(40, 6)) * 1e7, rnd.normal(size=(500, 6)) * 1e7), (rnd.normal(size=(20, 4)) * 1e-30, rnd.normal(size=(300, 4)) * 1e-30),
+             (np.zeros((3, 5), np.float32), rnd.normal(size=(80, 5)).astype(np.float32)), (rnd.normal(size=(6, 5)), rnd.normal(size=(2, 5))),
+             (rnd.normal(size=(6, 5)) * 1e30, rnd.normal(size=(90, 5)) * 1e30), (np.array([[np.nan, 1], [0, 1]]), rnd.normal(size=(50, 2)))]
+    for cells in (1 << 23, 1 << 11):
+        monkeypatch.setattr(knn, "SCREENED_AT_A_TIME", cells)
+        for asked, vectors in cases:
+            for k in (1, 2, 7, 60):
+                want, got = _as_before(asked, vectors, k), _screened(asked, vectors, k)
+                assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+                scale = 1e-12 * (1 + np.nanmax(np.abs(vectors.astype(float))) ** 2 * vectors.shape[1])
+                assert np.allclose(got[2], want[2], rtol=0, atol=scale, equal_nan=True)
+
+
+def test_screening_measures_few(monkeypatch):
+    """Ordinary blocks are multiplied in single precision and few pairs measured."""
+    rnd = np.random.default_rng(12)
+    x = rnd.normal(size=(3000, 32)).astype(np.float32)
+    monkeypatch.setattr(knn, "squared_distances", None)      # the full matrix in double precision is not made
+    for k in (1, 3, 10):
+        assert [len(a) for a in _screened(x[:200], x, k)] == [200 * k] * 3

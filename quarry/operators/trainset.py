@@ -196,20 +196,16 @@ def pack_blocks(ids: DataFrame, block_size: int = BLOCK_SIZE, key: str = "doc_id
     placed = (ordered_scan(lengths, "_key", sums={"_off": "_n"}, group_cols=["split"])
               .select(F.col("split").alias("_split"), "_key", "_off"))
     rows = ids.join(placed, (F.col("split") == F.col("_split")) & (F.col(key) == F.col("_key")))
-    size, first = F.lit(block_size), F.floor(F.col("_off") / block_size)
-    last = F.floor((F.col("_off") + F.size("input_ids") - 1) / block_size)
-
-    def piece(block):
-        begin = F.greatest(block * size - F.col("_off"), F.lit(0))
-        end = F.least((block + 1) * size - F.col("_off"), F.size("input_ids"))
-        return F.struct(block.cast("bigint").alias("block_id"), (F.col("_off") + begin - block * size).cast("int").alias("slot"),
-                        F.slice("input_ids", begin.cast("int") + 1, (end - begin).cast("int")).alias("ids"))
-
-    pieces = (rows.where(F.size("input_ids") > 0)
-              .select("split", F.explode(F.transform(F.sequence(first, last), piece)).alias("p"))
-              .select("split", "p.block_id", "p.slot", "p.ids"))
-    whole = pieces.where(F.size("ids") == block_size).select("split", "block_id", F.col("ids").alias("input_ids"))
-    border = (pieces.where(F.size("ids") < block_size).groupBy("split", "block_id")
+    first, last = F.floor(F.col("_off") / block_size), F.floor((F.col("_off") + F.size("input_ids") - 1) / block_size)
+    # one row per block, and then the slice: a slice inside a lambda would copy the whole part for every block
+    blocks = (rows.where(F.size("input_ids") > 0)
+              .select("split", "_off", "input_ids", F.explode(F.sequence(first, last)).alias("block_id")))
+    here = F.col("block_id") * block_size - F.col("_off")
+    begin, end = F.greatest(here, F.lit(0)), F.least(here + block_size, F.size("input_ids"))
+    ids_here = F.slice("input_ids", begin.cast("int") + 1, (end - begin).cast("int"))
+    whole = blocks.where(end - begin == block_size).select("split", "block_id", ids_here.alias("input_ids"))
+    border = (blocks.where(end - begin < block_size)
+              .select("split", "block_id", (begin - here).cast("int").alias("slot"), ids_here.alias("ids")).groupBy("split", "block_id")
               .agg(F.array_sort(F.collect_list(F.struct("slot", "ids"))).alias("_p"))   # at most block_size ids
               .select("split", "block_id", F.flatten(F.transform("_p", lambda x: x["ids"])).alias("input_ids"))
               .where(F.size("input_ids") == block_size))

@@ -184,3 +184,17 @@ def test_ids_are_made_a_stretch_at_a_time(spark, monkeypatch):
     read = list(TS._decoder(shared, 1, ["k", "text"])(iter([whole])))
     assert len(read) > 2 and [x for b in read for x in b.column(1).to_pylist()] == ["".join(r or []) for r in rows]
     assert [x for b in read for x in b.column(0).to_pylist()] == list(range(len(rows)))
+
+
+def test_a_long_part_is_packed_in_linear_time(spark):
+    """A part of very many blocks costs its length: no block copies the whole part."""
+    import time
+
+    from pyspark.sql import functions as F
+    n = 4_000_000
+    ids = spark.range(1).select(F.lit("train").alias("split"), F.lit(1).alias("doc_id"),
+                                F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: x % 1000).alias("input_ids"))
+    begin = time.time()
+    got = TS.pack_blocks(ids).agg(F.count("*"), F.sum(F.element_at("input_ids", 1)), F.max("block_id")).first()
+    assert list(got) == [n // 128, sum(128 * b % 1000 for b in range(n // 128)), n // 128 - 1]
+    assert time.time() - begin < 60

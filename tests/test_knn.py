@@ -153,3 +153,43 @@ def test_screening_measures_few(monkeypatch):
     monkeypatch.setattr(knn, "squared_distances", None)      # the full matrix in double precision is not made
     for k in (1, 3, 10):
         assert [len(a) for a in _screened(x[:200], x, k)] == [200 * k] * 3
+
+
+def test_vectors_are_shuffled_by_no_join(spark, monkeypatch):
+    """Blocks of both sides meet without being shuffled or written once per pair; only
+    the hits are, and each task emits k of them for a question, however many pieces it met."""
+    monkeypatch.setattr(knn, "INDEX_BLOCK", 8)
+    monkeypatch.setattr(knn, "QUESTION_BLOCK", 8)
+    monkeypatch.setattr(knn, "PAIR_TASKS", 1)
+    rnd = np.random.default_rng(13)
+    qdf, cdf = (spark.createDataFrame([(i, rnd.normal(size=4).tolist()) for i in range(n)], f"{key} long, embedding array<double>")
+                for n, key in ((100, "q_id"), (400, "chunk_id")))
+    seen = []
+    monkeypatch.setattr(knn, "rank_hits", lambda found, k, *keys, rank=knn.rank_hits: seen.append(found) or rank(found, k, *keys))
+    hits = knn_join(qdf, cdf, k=2, pivots=1)
+    assert hits.count() == 200
+    plan = hits._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "CoGroup" not in plan
+    assert seen[0].count() <= 2 * 100 * 4 * spark.sparkContext.defaultParallelism        # of 50 pieces
+
+
+def test_packed_matrices_come_back():
+    rnd = np.random.default_rng(14)
+    for x in (rnd.normal(size=(7, 5)), rnd.normal(size=(9, 3)).astype(np.float32), rnd.poisson(0.2, (30, 11)) * rnd.normal(size=(30, 11)),
+              np.array([[0.0, np.nan], [np.inf, 0.0]], np.float32), np.zeros((4, 6), np.float32), np.zeros((3, 0)), rnd.integers(0, 2, (5, 40))):
+        got = knn.unpack(knn.pack(x))
+        assert got.dtype == x.dtype and got.shape == x.shape and np.array_equal(got, x, equal_nan=x.dtype.kind == "f")
+    sparse = (rnd.random((500, 256)) < 0.2).astype(np.float32)
+    assert len(knn.pack(sparse)) < sparse.nbytes / 3
+
+
+def test_what_is_known_to_be_near_bounds_the_rest():
+    """With the k-th distances known, farther rows are left out and nearer ones are not."""
+    rnd = np.random.default_rng(15)
+    x, y = rnd.normal(size=(50, 6)), rnd.normal(size=(700, 6))
+    row, column, dist = _as_before(x, y, 3)
+    reach = np.round(dist.reshape(50, 3)[:, 2], knn.RANK_DECIMALS)
+    for known in (reach, reach + 0.3):
+        got = [np.concatenate(z) for z in zip(*knn._nearest(x, y, 3, known), strict=True)]
+        assert np.array_equal(got[0], row) and np.array_equal(got[1], column)
+    assert sum(len(r) for r, *_ in knn._nearest(x, y + 50.0, 3, reach)) == 0

@@ -65,3 +65,34 @@ def test_encode_roundtrip(spark):
     rows = parse_requests(to_requests(df)).collect()
     assert [r.msg for r in rows] == qs
     assert rows[0].request_url == "/get?msg=what%20is%201%2B1%3F"
+
+
+def test_a_write_leaves_no_shuffle_files(spark):
+    """Tables written on the way and indexes in cells: their shuffles go with the write."""
+    import os
+    import tempfile
+    import time
+    from pyspark.sql import functions as F
+    from quarry.session import SHUFFLE_CLEANUP, cut_lineage
+    from quarry.sources.index_store import load_index, save_index
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    setting = spark.conf.get(SHUFFLE_CLEANUP, None)
+
+    def shuffles():
+        return {x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x and x.endswith(".data") and os.path.exists(x)}
+
+    def left(most):
+        end = time.time() + 20                               # files are deleted a little later
+        while (size := sum(os.path.getsize(x) for x in shuffles() - before)) > most and time.time() < end:
+            time.sleep(0.2)
+        return size
+
+    before = shuffles()
+    assert cut_lineage(spark.range(1000).repartition(5, "id")).count() == 1000 and left(1000) <= 1000      # of the count
+    vector = F.array(*[F.rand(i).cast("float") for i in range(64)])
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("chunk_id"), F.lit("s").alias("source"), F.lit(0).alias("chunk_idx"),
+                                    F.lit(0).alias("start"), F.lit("t").alias("text"), vector.alias("embedding"))
+    path = tempfile.mkdtemp(prefix="quarry-idx-") + "/index"
+    save_index(rows, path, cells=4)
+    assert left(200_000) <= 200_000                          # the vectors are 768,000 bytes; distances to the centres are summed up
+    assert load_index(spark, path).count() == 3000 and spark.conf.get(SHUFFLE_CLEANUP, None) == setting

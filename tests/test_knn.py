@@ -155,22 +155,27 @@ def test_screening_measures_few(monkeypatch):
         assert [len(a) for a in _screened(x[:200], x, k)] == [200 * k] * 3
 
 
-def test_vectors_are_shuffled_by_no_join(spark, monkeypatch):
-    """Blocks of both sides meet without being shuffled or written once per pair; only
-    the hits are, and each task emits k of them for a question, however many pieces it met."""
+def test_a_task_takes_many_blocks(spark, monkeypatch):
+    """Pairs of blocks are dealt to few tasks: vectors are not shuffled once per pair,
+    and a question has k hits per share of the pieces, not per piece."""
     monkeypatch.setattr(knn, "INDEX_BLOCK", 8)
     monkeypatch.setattr(knn, "QUESTION_BLOCK", 8)
-    monkeypatch.setattr(knn, "PAIR_TASKS", 1)
+    monkeypatch.setattr(knn, "TASKS_PER_CORE", 1)
     rnd = np.random.default_rng(13)
     qdf, cdf = (spark.createDataFrame([(i, rnd.normal(size=4).tolist()) for i in range(n)], f"{key} long, embedding array<double>")
                 for n, key in ((100, "q_id"), (400, "chunk_id")))
     seen = []
     monkeypatch.setattr(knn, "rank_hits", lambda found, k, *keys, rank=knn.rank_hits: seen.append(found) or rank(found, k, *keys))
-    hits = knn_join(qdf, cdf, k=2, pivots=1)
-    assert hits.count() == 200
-    plan = hits._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
-    assert "CoGroup" not in plan and "hashpartitioning(_cell" not in plan and "CartesianProduct" in plan
-    assert seen[0].count() == 2 * 100                        # there are more blocks than tasks, so each meets all 50 pieces in one
+    assert knn_join(qdf, cdf, k=2, pivots=1).count() == 200
+    assert 200 <= seen[0].count() <= 200 * spark.sparkContext.defaultParallelism        # of 50 pieces
+
+
+def test_grid():
+    """Enough tasks, the larger side less often, and no share above its bound."""
+    for rows, questions, blocks in ((0, 0, 1), (10, 5, 1), (263_000, 69_000, 6), (69_000, 263_000, 22), (30_000_000, 9_000_000, 733)):
+        of_pieces, of_blocks = knn._grid(rows, questions, blocks, 24, 1)
+        assert of_pieces * of_blocks >= 24 and of_pieces * knn.SHARE_ROWS >= rows and of_blocks * knn.SHARE_ROWS >= questions
+    assert knn._grid(263_000, 69_000, 6, 24, 1) == (12, 2)
 
 
 def test_packed_matrices_come_back():
